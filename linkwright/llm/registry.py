@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from linkwright.llm import q05, q06, q08
+from linkwright.llm import q03, q05, q06, q08
 
-_MODULES = [q05, q06, q08]
+_MODULES = [q03, q05, q06, q08]
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

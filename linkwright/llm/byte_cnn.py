@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkwright.shipping import arrow_map
+
 from linkwright.llm.bytewords import groups
 from linkwright.llm.common import body
 
@@ -196,7 +198,7 @@ def score(docs: DataFrame, weights: Weights | None, id_col: str = "doc_id", text
             out = [np.full(len(some), 0.5) if net is None else net.scores(some) for some in groups(texts)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.concatenate([*out, np.zeros(0)]), pa.float64())], ["doc_id", "score"])
 
-    return rows.mapInArrow(batches, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return arrow_map(rows, batches, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_fit: int = MAX_FIT) -> DataFrame:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkwright.shipping import arrow_map
+
 from linkwright.llm.bytewords import Words, groups
 from linkwright.llm.common import body, materialize
 
@@ -94,7 +96,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(n[:, k], pa.int64()) for k in range(len(COUNTS)))], ["doc_id", *COUNTS])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(batches, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return arrow_map(rows, batches, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def signals() -> dict[str, Column]:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from linkwright.llm import q03, q05, q06, q08, q09
+from linkwright.llm import q03, q04, q05, q06, q08, q09
 
-_MODULES = [q03, q05, q06, q08, q09]
+_MODULES = [q03, q04, q05, q06, q08, q09]
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -33,3 +34,16 @@ def arrow_map(df: DataFrame, batches: Batches, schema: str) -> DataFrame:
     """``mapInArrow`` with this package at hand."""
     ship(df.sparkSession)
     return df.mapInArrow(batches, schema)
+
+
+def arrow_helper(f: Callable[..., pa.Array], kind: str) -> Callable[..., Column]:
+    """A column function of Arrow arrays with this package at hand."""
+    ship(SparkSession.active())
+    return F.arrow_udf(f, kind)
+
+
+def slices(it: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of ``rows`` rows at most, so that what is made of one stays small."""
+    for batch in it:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

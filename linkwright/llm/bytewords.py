@@ -13,7 +13,7 @@ import numpy as np
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text that are handled at a time.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 _RANDOM = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64)
 _POWERS: dict[str, np.ndarray] = {}

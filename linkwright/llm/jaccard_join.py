@@ -9,7 +9,7 @@ with probability RECALL.
 
 Documents with equal sets are one class from the start, so copies never meet each other. In a bucket, sets
 are compared by sketches of their least hashes with leaders: a set that no leader covers becomes one, and
-every set near a leader is tied to it. By the triangle inequality of the Jaccard distance, two sets over
+every set near a leader is tied to it; an edge to the first of those tied together is kept. By the triangle inequality of the Jaccard distance, two sets over
 the threshold are then tied to a common leader, so the comparisons of a bucket of near copies grow with
 its size and not with its square. The tied sets form candidate groups; in these, whole sets are compared
 exactly in blocks, tokens that occur once left out. Only sums and spanning edges leave a block.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from linkwright.llm.bytewords import Words, groups, mix
 from linkwright.llm.common import body, materialize
 from linkwright.llm.graph import components
-from linkwright.shipping import arrow_map
+from linkwright.shipping import arrow_map, slices
 
 NGRAM, SIMILARITY = 5, 0.8
 LAMBDA, DEPTH, RECALL = 0.8, 3, 0.999
@@ -117,7 +117,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, n_runs: int) -> DataFr
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("p1", pa.int64()), ("p2", pa.list_(pa.int64())), ("p3", pa.list_(pa.int64()))]))
         signed = lambda x: np.array(x, np.uint64).view(np.int64).tolist()
-        for batch in it:
+        for batch in slices(it):
             digests, sizes, sk, trees = [], [], [], []
             for s in token_sets(batch["body"].to_pylist()):
                 sizes.append(len(s))
@@ -171,18 +171,19 @@ def by_group(it: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple,
         yield key, rows
 
 
-def leaders(sk: np.ndarray) -> list[tuple[int, int]]:
-    """(member, leader) ties among sketches, such that sets over the threshold share a leader."""
-    out, covered = [], np.zeros(len(sk), bool)
-    full = sk != 0
+def tied(sk: np.ndarray) -> np.ndarray:
+    """For each sketch the first one that chains of ties to common leaders connect it with."""
+    root, covered, full = np.arange(len(sk)), np.zeros(len(sk), bool), sk != 0
     for i in range(len(sk)):
         if covered[i]:
             continue
         alike = ((sk == sk[i]) & full[i]).sum(1) / np.maximum((full | full[i]).sum(1), 1)
         covered |= alike >= COVER
         covered[i] = True
-        out += [(k, i) for k in np.flatnonzero(alike >= TIE).tolist() if k != i]
-    return out
+        near = np.unique(root[(alike >= TIE) | (np.arange(len(sk)) == i)])
+        if len(near) > 1:
+            root[np.isin(root, near)] = near[0]
+    return root
 
 
 def ties(members: DataFrame) -> DataFrame:
@@ -193,9 +194,10 @@ def ties(members: DataFrame) -> DataFrame:
         for _, rows in by_group(it, 3):
             if len(rows) > 1:
                 sk = np.frombuffer(b"".join(r[1] for r in rows), np.uint16).reshape(-1, CELLS)
-                for k, lead in leaders(sk):
-                    a.append(rows[k][0])
-                    b.append(rows[lead][0])
+                for k, first in enumerate(tied(sk).tolist()):
+                    if k != first:
+                        a.append(rows[k][0])
+                        b.append(rows[first][0])
             if len(a) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
                 a, b = [], []
@@ -259,7 +261,7 @@ def verify(docs: DataFrame, candidates: DataFrame, id_col: str, text_col: str, s
     found = texts.join(candidates, F.col("_id").eqNullSafe(F.col("rep"))).select("root", "n", "digest", "n_docs", "body")
 
     def to_sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             keep, sets = [], []
             for k, (s, d) in enumerate(zip(token_sets(batch["body"].to_pylist()), batch["digest"].to_pylist())):
                 if len(s) and digest(s) == d:

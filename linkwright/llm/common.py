@@ -47,3 +47,11 @@ def heavy_keys(df: DataFrame, key: str, at_least: int = 4096) -> DataFrame:
     """
     n = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     return n.where(F.col("_n") >= at_least).orderBy(F.desc("_n"), key).limit(MAX_HEAVY).select(key)
+
+
+def without(docs: DataFrame, gone: DataFrame, *keys: Column) -> DataFrame:
+    """The rows of ``docs`` whose keys are not in ``gone``, whatever their columns are called; nulls are equal."""
+    rows = docs.select(F.struct("*").alias("row"), *(k.alias(f"key{i}") for i, k in enumerate(keys)))
+    lost = gone.toDF(*(f"lost{i}" for i in range(len(keys)))).distinct()
+    same = [F.col(f"key{i}").eqNullSafe(F.col(f"lost{i}")) for i in range(len(keys))]
+    return rows.join(lost, same, "left_anti").select("row.*")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkwright.llm.common import body, heavy_keys, materialize
+from linkwright.llm.common import body, heavy_keys, materialize, without
 
 #: Bytes of a block.
 BLOCK_BYTES = 8192
@@ -92,7 +92,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; rows that repeat one document stay once."""
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(body(text_col)) == F.col("_hash"))
-    return docs.join(gone, same, "left_anti")
+    """The rows of ``docs`` that stay, with all their columns; rows that repeat one document stay or go together."""
+    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select("doc_id", "text_hash")
+    return without(docs, gone, F.col(id_col), F.xxhash64(body(text_col)))

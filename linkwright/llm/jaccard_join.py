@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkwright.llm.bytewords import Words, groups, mix
-from linkwright.llm.common import body, materialize
+from linkwright.llm.common import body, materialize, without
 from linkwright.llm.graph import components
 from linkwright.shipping import arrow_map, slices
 
@@ -321,5 +321,5 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each group the document with the least doc_id."""
-    gone = jaccard_classes(docs, id_col, text_col).where(F.col("class_id") != F.col("doc_id")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
+    gone = jaccard_classes(docs, id_col, text_col).where(F.col("class_id") != F.col("doc_id")).select("doc_id")
+    return without(docs, gone, F.col(id_col))

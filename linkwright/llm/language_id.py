@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkwright.llm.bytewords import groups
-from linkwright.llm.common import body, materialize
+from linkwright.llm.common import body, materialize, without
 from linkwright.shipping import arrow_map
 
 #: Buckets of byte trigrams; labelled rows of each language; languages.
@@ -183,5 +183,5 @@ def identify_pages(pages: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is identified."""
-    gone = identify_documents(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    gone = identify_documents(docs).where(~F.col("kept")).select("doc_id")
+    return without(docs, gone, F.col("doc_id"))

@@ -336,7 +336,6 @@ def name_pairs(spark, d):
 
 _PAIRS = "(SELECT x.p_partkey AS k, x.p_name || ' ' || lower(x.p_type) AS a, y.p_name AS b, list_distinct(string_split(x.p_name || ' ' || lower(x.p_type), ' ')) AS ta, list_distinct(string_split(y.p_name, ' ')) AS tb FROM part x JOIN part y ON x.p_partkey = y.p_partkey * 3)"
 _CONTAINS = "CASE WHEN a = b THEN 1.0e0 WHEN least(length(a), length(b)) >= 3 AND (contains(a, b) OR contains(b, a)) THEN 0.8e0 ELSE 0.0e0 END"
-_a, _b = F.col("a"), F.col("b")
 query("g03_word_jaccard", f"SELECT k, len(list_intersect(ta, tb)) / (len(ta) + len(tb) - len(list_intersect(ta, tb)))::DOUBLE AS score FROM {_PAIRS}")(lambda spark, d: name_pairs(spark, d).select("k", S.word_jaccard(F.col("a"), F.col("b")).alias("score")))
 query("g04_token_set", f"SELECT k, 2.0e0 * len(list_intersect(ta, tb)) / (len(ta) + len(tb)) AS score FROM {_PAIRS}")(lambda spark, d: name_pairs(spark, d).select("k", S.token_set(F.col("a"), F.col("b")).alias("score")))
 query("g05_contains_score", f"SELECT k, {_CONTAINS} AS score FROM {_PAIRS}")(lambda spark, d: name_pairs(spark, d).select("k", S.contains_score(F.col("a"), F.col("b")).alias("score")))

@@ -177,10 +177,14 @@ def titles_match(track: list[str], song: list[str], threshold: float) -> bool:
 
 
 @lru_cache(maxsize=100_000)
-def _best(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    return max((fuzzy_of(x, y) for x in a for y in b), default=0.0)
+def _fuzzy(a: str, b: str) -> float:
+    return fuzzy_of(a, b)
+
+
+def best_of(a: list[str], b: list[str]) -> float:
+    return max((_fuzzy(x, y) for x in a for y in b), default=0.0)
 
 
 def score_of(track_title: list[str], track_artist: list[str], title: list[str], artist: list[str]) -> float:
     """The worse of the best title score and the best artist score."""
-    return min(_best(tuple(track_title), tuple(title)), _best(tuple(track_artist), tuple(artist)))
+    return min(best_of(track_title, title), best_of(track_artist, artist))

@@ -171,11 +171,11 @@ def exact_title_pairs(t: DataFrame, m: DataFrame) -> DataFrame:
     return left.join(right, "variant").select("tkey", "mkey").distinct()
 
 
-def titles_match(threshold: float) -> Column:
+def titles_match(threshold: float, track: Column | None = None, song: Column | None = None) -> Column:
     def batch(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([S.titles_match(x, y, threshold) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
 
-    return arrow_helper(batch, "boolean")(F.col("t_title"), F.col("m_title"))
+    return arrow_helper(batch, "boolean")(F.col("t_title") if track is None else track, F.col("m_title") if song is None else song)
 
 
 def match_keys(t: DataFrame, m: DataFrame, sk: DataFrame, threshold: float) -> DataFrame:
@@ -201,7 +201,11 @@ def match_keys(t: DataFrame, m: DataFrame, sk: DataFrame, threshold: float) -> D
     pairs = candidates.select("tkey", "mkey").distinct()
     tested = _sides(pairs, t, m).where(compatible() & (F.size("t_title") > 0) & (F.size("m_title") > 0))
     same = F.arrays_overlap("t_title", "m_title")
-    agree = tested.where(same).select("tkey", "mkey").unionByName(tested.where(~same).where(titles_match(threshold)).select("tkey", "mkey"))
+    named = tested.select("tkey", "mkey", same.alias("same"), signature(F.col("t_title")).alias("t_sig"), signature(F.col("m_title")).alias("m_sig"))
+    # a pair of titles is the same for many artists: it is tested once
+    texts = named.where("NOT same").select("t_sig", "m_sig").distinct()
+    alike = texts.where(titles_match(threshold, F.split("t_sig", "[|]"), F.split("m_sig", "[|]")))
+    agree = named.where("same").select("tkey", "mkey").unionByName(named.where("NOT same").join(alike, ["t_sig", "m_sig"], "left_semi").select("tkey", "mkey"))
     by_artist = candidates.join(agree, ["tkey", "mkey"], "left_semi")
     return by_title.unionByName(by_artist)
 
@@ -229,9 +233,19 @@ def _score_batch(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array
     return pa.array([S.score_of(*x) for x in zip(*(y.to_pylist() for y in (a, b, c, d)))], pa.float64())
 
 
+def _best_batch(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([S.best_of(x.split("|"), y.split("|")) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+
+
 def score_keys(pairs: DataFrame, t: DataFrame, m: DataFrame) -> DataFrame:
-    """(tkey, mkey, score) of distinct key pairs."""
-    return _sides(pairs.select("tkey", "mkey").distinct(), t, m).select("tkey", "mkey", match_score().alias("score"))
+    """(tkey, mkey, score) of distinct key pairs; each pair of titles and each pair of artists is scored once."""
+    out = _sides(pairs.select("tkey", "mkey").distinct(), t, m)
+    out = out.select("tkey", "mkey", *(signature(F.col(f"{side}_{part}")).alias(f"{side}_{part}") for side in "tm" for part in ("title", "artist")))
+    for part in ("title", "artist"):
+        texts = out.select(f"t_{part}", f"m_{part}").distinct()
+        best = arrow_helper(_best_batch, "double")(F.col(f"t_{part}"), F.col(f"m_{part}"))
+        out = out.join(texts.withColumn(f"best_{part}", best), [f"t_{part}", f"m_{part}"])
+    return out.select("tkey", "mkey", F.least("best_title", "best_artist").alias("score"))
 
 
 def score_matches(tracks: DataFrame, songs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -40,16 +40,25 @@ BLOCK = 1 << 18
 Weights = dict[str, np.ndarray]
 
 
-def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of the texts, each with WIDTH - 1 zeros behind; the halves' first positions; each text's first half."""
+def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the texts, each with zeros behind; where the halves start and stop; each text's first half.
+
+    A text of n bytes has n + 1 positions, none of which sees the next text.
+    """
     pad = b"\0" * WIDTH
-    buf = np.frombuffer(b"".join(x for t in texts for x in (t, pad)), np.uint8)
-    length = np.array([len(t) + WIDTH for t in texts])
-    begin = np.concatenate([[0], np.cumsum(length)])[:-1]
-    n_half = -(-(length - WIDTH + 1) // HALF)
+    buf = np.frombuffer(b"".join([*(x for t in texts for x in (t, pad)), b"\0\0"]), np.uint8)
+    n = np.array([len(t) + 1 for t in texts])
+    begin = np.concatenate([[0], np.cumsum(n - 1 + WIDTH)])[:-1]
+    n_half = -(-n // HALF)
     first = np.concatenate([[0], np.cumsum(n_half)])
-    halves = np.repeat(begin, n_half) + HALF * (np.arange(first[-1]) - np.repeat(first[:-1], n_half))
-    return buf, halves, first
+    starts = np.repeat(begin, n_half) + HALF * (np.arange(first[-1]) - np.repeat(first[:-1], n_half))
+    return buf, starts, np.minimum(starts + HALF, np.repeat(begin + n, n_half)), first
+
+
+def pooled(act: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum and mean of the rows from each start to its stop; a row must follow the last stop."""
+    at = np.stack([starts, stops], axis=1).ravel()
+    return np.maximum.reduceat(act, at)[::2], np.add.reduceat(act, at)[::2] / (stops - starts)[:, None]
 
 
 def combine(top: np.ndarray, mean: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,29 +79,27 @@ class Network:
         pair = lambda k: (w["conv"][k][None, :, :] + w["conv"][k + 1][:, None, :]).reshape(65536, FILTERS)  # noqa: E731  index: low byte first
         self.tables = [pair(k).astype(np.float32) for k in range(0, WIDTH, 2)]
 
-    def pool(self, buf: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pool(self, buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Maximum and mean of each filter over each half's positions, in blocks of bounded size."""
-        last = len(buf) - WIDTH
         duo = buf[:-1].astype(np.uint16) | (buf[1:].astype(np.uint16) << np.uint16(8))
-        top, mean = np.empty((len(halves), FILTERS), np.float32), np.empty((len(halves), FILTERS), np.float32)
+        top, mean = np.empty((len(starts), FILTERS), np.float32), np.empty((len(starts), FILTERS), np.float32)
         step = BLOCK // HALF
-        for a in range(0, len(halves), step):
-            own = halves[a : a + step]
-            lo, hi = own[0], halves[a + step] if a + step < len(halves) else last + 1
+        for a in range(0, len(starts), step):
+            own, until = starts[a : a + step], stops[a : a + step]
+            lo, hi = own[0], until[-1] + 1
             act = self.tables[0][duo[lo:hi]]
             for k, t in enumerate(self.tables[1:], 1):
                 act += t[duo[lo + 2 * k : hi + 2 * k]]
             act += self.w["bias"]
             np.maximum(act, 0, out=act)
-            top[a : a + step] = np.maximum.reduceat(act, own - lo)
-            mean[a : a + step] = np.add.reduceat(act, own - lo) / np.diff(np.append(own, hi))[:, None]
+            top[a : a + step], mean[a : a + step] = pooled(act, own - lo, until - lo)
         return top, mean
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        buf, halves, first = layout(texts)
-        feats, _ = combine(*self.pool(np.append(buf, np.uint8(0)), halves), first)
+        buf, starts, stops, first = layout(texts)
+        feats, _ = combine(*self.pool(buf, starts, stops), first)
         return sigmoid(np.tanh(feats @ self.w["in"] + self.w["in_bias"]) @ self.w["out"] + self.w["out_bias"])
 
 
@@ -128,16 +135,14 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 64
 
 def gradients(w: Weights, texts: list[bytes], labels: np.ndarray, weight: np.ndarray) -> Weights:
     """Gradient of the weighted log loss. Averages over positions count as fixed features of the filters."""
-    buf, halves, first = layout(texts)
-    buf = np.append(buf, np.zeros(1, np.uint8))
+    buf, starts, stops, first = layout(texts)
     pos = len(buf) - WIDTH
     act = w["conv"][0][buf[:pos]]
     for k in range(1, WIDTH):
         act += w["conv"][k][buf[k : pos + k]]
     act += w["bias"]
     np.maximum(act, 0, out=act)
-    top = np.maximum.reduceat(act, halves)
-    mean = np.add.reduceat(act, halves) / np.diff(np.append(halves, pos))[:, None]
+    top, mean = pooled(act, starts, stops)
     feats, doc = combine(top, mean, first)
     hidden = np.tanh(feats @ w["in"] + w["in_bias"])
     p = sigmoid(hidden @ w["out"] + w["out_bias"])
@@ -151,10 +156,9 @@ def gradients(w: Weights, texts: list[bytes], labels: np.ndarray, weight: np.nda
     d_chunk = d_feats[doc, FILTERS : 2 * FILTERS] / size[doc][:, None] + d_feats[doc, :FILTERS] * (chunk >= feats[doc, :FILTERS])
     d_top = np.where(from_next, 0, d_chunk)
     np.add.at(d_top, nxt, np.where(from_next, d_chunk, 0))
-    ends = np.append(halves, pos)
     d_conv, d_bias = np.zeros_like(w["conv"]), np.zeros_like(w["bias"])
     live = np.argwhere((np.abs(d_top) > 0) & (top > 0))
-    where = np.array([ends[h] + np.argmax(act[ends[h] : ends[h + 1], f]) for h, f in live], np.int64) if len(live) else np.zeros(0, np.int64)
+    where = np.array([starts[h] + np.argmax(act[starts[h] : stops[h], f]) for h, f in live], np.int64) if len(live) else np.zeros(0, np.int64)
     if len(live):
         f, value = live[:, 1], d_top[live[:, 0], live[:, 1]]
         np.add.at(d_bias, f, value)

@@ -1,32 +1,16 @@
-"""What the operators share: the shared folder, written tables and row keys."""
+"""What the operators share: tables, bytes of texts, hot keys and row filters."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows kept by ``heavy_keys``: the proven bound on what is broadcast for hot keys.
-MAX_HEAVY = 1000
-
+from linkwright.storage import materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="linkwright-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+__all__ = ["MAX_HEAVY", "body", "heavy_keys", "materialize", "shared_dir", "table", "without"]
 
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends here, and its size is known."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/linkwright/{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+#: Rows kept by ``heavy_keys``: the proven bound on what is broadcast for hot keys.
+MAX_HEAVY = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

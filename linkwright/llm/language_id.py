@@ -183,5 +183,6 @@ def identify_pages(pages: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is identified."""
-    gone = identify_documents(docs).where(~F.col("kept")).select("doc_id")
+    # written first: a filter on ``kept`` would otherwise carry copies of all the expressions behind it
+    gone = materialize(identify_documents(docs)).where(~F.col("kept")).select("doc_id")
     return without(docs, gone, F.col("doc_id"))

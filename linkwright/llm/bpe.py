@@ -30,7 +30,7 @@ from linkwright.shipping import arrow_map
 #: The byte-level pre-tokenizer's pattern (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose encodings a worker keeps; beyond, it starts anew.
-MAX_WORDS = 800_000
+MAX_WORDS = 250_000
 #: Characters of text that are encoded at a time.
 CHUNK_CHARS = 4_000_000
 
@@ -89,12 +89,17 @@ class TrieBpe:
             else:  # at one rank the leftmost pair goes first, so an equal merge across the border would win
                 before, b = made_b + 1, self.halves[b][0]
 
+    def forget(self) -> None:
+        """Give up what was learned, so that a worker that goes on to other tasks doesn't hold it."""
+        self.known.clear()
+        self.beside.clear()
+
     def learn(self, words: Iterable[str]) -> None:
         """Add the encodings of new distinct words to ``known``."""
         tokens, beside, longest = self.tokens, self.beside, self.longest
         if len(self.known) > MAX_WORDS:
             self.known.clear()
-        if len(beside) > 4 * MAX_WORDS:
+        if len(beside) > MAX_WORDS:
             beside.clear()
         last = [-1]  # last[d]: last token of the node at depth d of the current path
         path = b""
@@ -172,6 +177,7 @@ def bpe(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
             offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
             flat = pa.array(np.concatenate([*ids, np.empty(0, np.int32)]))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(offsets, flat), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+        bpe.forget()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -10,7 +10,7 @@ competes with the others.
 The text model is fitted on at most MAX_FIT labelled rows of each language, with counts from a grouped
 aggregation. All rows are scored whole.
 
-Defined results: a null text, and one of fewer than three bytes, has no text evidence; missing declarations,
+Defined results: a null text, and one without a trigram of letters and spaces, has no text evidence; missing declarations,
 suffixes and hosts are no evidence; unknown declared languages are one value; a row without any evidence is
 undetermined and rejected; each row gives one row; without labelled rows all are undetermined. Other columns
 are ignored.
@@ -45,20 +45,30 @@ def trigrams(buf: np.ndarray) -> np.ndarray:
     return ((code * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[0x20, 0x27, *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
+
+def worded(buf: np.ndarray) -> np.ndarray:
+    """Whether the trigram at each position has letters and spaces only: numbers and keys say nothing about the language."""
+    ok = _LETTER[buf]
+    return ok[:-2] & ok[1:-1] & ok[2:]
+
+
 def text_evidence(texts: list[bytes], table: np.ndarray) -> np.ndarray:
     """Log-likelihood of each text under each column of ``table``, cut to EVIDENCE trigrams."""
     out = []
     for some in groups(texts):
-        n = np.array([max(0, len(t) - 2) for t in some])
-        ll = np.zeros((len(some), table.shape[1]))
-        full = [t for t in some if len(t) > 2]
+        n, ll = np.zeros(len(some)), np.zeros((len(some), table.shape[1]))
+        full = [k for k, t in enumerate(some) if len(t) > 2]
         if full:
-            buf = np.frombuffer(b"".join(full), np.uint8)
-            at = np.concatenate([[0], np.cumsum([len(t) for t in full])])[:-1]
-            sums = np.add.reduceat(table[trigrams(np.append(buf, np.zeros(2, np.uint8)))], at, dtype=np.float64)
-            tail = np.array([x for a, t in zip(at, full) for x in (a + len(t) - 2, a + len(t) - 1)])  # trigrams that reach into the next text
-            over = table[trigrams(np.append(buf, np.zeros(2, np.uint8)))[tail]].reshape(len(full), 2, -1).sum(1)
-            ll[n > 0] = sums - over
+            size = np.array([len(some[k]) for k in full])
+            buf = np.frombuffer(b"".join(some[k] for k in full) + b"\0\0", np.uint8)
+            at = np.cumsum(size) - size
+            on = worded(buf)
+            on[at + size - 1] = on[at + size - 2] = False  # they reach into the next text
+            ll[full] = np.add.reduceat(table[trigrams(buf)] * on[:, None], at, dtype=np.float64)
+            n[full] = np.add.reduceat(on.astype(np.int64), at)
         out.append(ll * (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None])
     return np.concatenate(out) if out else np.zeros((0, table.shape[1]))
 
@@ -78,7 +88,8 @@ def fit(docs: DataFrame, label: Column, text: Column) -> tuple[list[str], np.nda
         counts = np.zeros((len(langs), BUCKETS), np.int64)
         for batch in it:
             for lang, t in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
-                counts[langs.index(lang)] += np.bincount(trigrams(np.frombuffer(t, np.uint8)), minlength=BUCKETS)
+                b = np.frombuffer(t, np.uint8)
+                counts[langs.index(lang)] += np.bincount(trigrams(b)[worded(b)], minlength=BUCKETS)
         k, b = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(b, pa.int32()), pa.array(counts[k, b], pa.int64())], ["k", "b", "n"])
 

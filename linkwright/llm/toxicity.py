@@ -3,8 +3,8 @@
 A text is cut into clauses and each clause's words become symbols: insult (with a weight), threat, target,
 negation, reporting verb, other. Four transducers run over the symbols, each reading what the one before
 wrote: negation marks what follows within its reach, reported speech marks what follows in the clause,
-target marks the clause from the first word that addresses somebody, and the last one matches insults and
-threats and writes a pattern with a weight. A document's score comes from the patterns of its clauses.
+target marks the whole clause of a word that addresses somebody, before and after it, and the last one
+matches insults and threats and writes a pattern with a weight; a threat weighs as much as a clear insult. A document's score comes from the patterns of its clauses.
 
 Insults and their weights are learned: words and word beginnings that labelled toxic documents use
 significantly more often, copies counted once (log-likelihood ratio MIN_RATIO, weight MIN_WEIGHT: the logarithm of how much
@@ -36,6 +36,8 @@ MAX_FIT = {1: 3000, 0: 9000}
 MIN_RATIO, MIN_WEIGHT, MAX_LEXICON = 40.0, 4.5, 5000
 #: Lengths of the word beginnings that are counted.
 PREFIXES = range(4, 9)
+#: Weight of a clear insult, from which a match counts in full, and of a threat.
+CLEAR = 6.0
 #: Words after a negation that it reaches.
 REACH = 3
 #: Words whose classes a worker keeps; beyond, it starts anew.
@@ -57,10 +59,15 @@ Symbol = tuple[str, float, frozenset]
 class Transducer:
     """States and arcs: ``arc(state, symbol)`` gives the next state and the symbol that is written."""
 
-    def __init__(self, start: object, arc: Callable[[object, Symbol], tuple[object, Symbol]]) -> None:
-        self.start, self.arc = start, arc
+    def __init__(self, start: object, arc: Callable[[object, Symbol], tuple[object, Symbol]], both: bool = False) -> None:
+        self.start, self.arc, self.both = start, arc, both
 
     def run(self, symbols: list[Symbol]) -> list[Symbol]:
+        """What is written; with ``both``, a second pass reads it from the end of the clause."""
+        out = self.read(symbols)
+        return self.read(out[::-1])[::-1] if self.both else out
+
+    def read(self, symbols: list[Symbol]) -> list[Symbol]:
         state, out = self.start, []
         for s in symbols:
             state, s = self.arc(state, s)
@@ -68,29 +75,28 @@ class Transducer:
         return out
 
 
-def marking(kind: str, mark: str, reach: int | None) -> Transducer:
-    """After a symbol of this kind, marks the next ``reach`` symbols (all of them if None)."""
+def marking(kind: str, mark: str, reach: int | None, both: bool = False) -> Transducer:
+    """After a symbol of this kind, marks the next ``reach`` symbols (all of them if None); with ``both``, before it too."""
 
     def arc(left: int, s: Symbol) -> tuple[int, Symbol]:
         if s[0] == kind:
             return (10**9 if reach is None else reach), s
         return max(0, left - 1), (s[0], s[1], s[2] | {mark}) if left else s
 
-    return Transducer(0, arc)
+    return Transducer(0, arc, both)
 
 
-def match(state: bool, s: Symbol) -> tuple[bool, Symbol]:
-    """Insults and threats become patterns. State: whether somebody has been addressed."""
-    state = state or s[0] == "target"
+def match(state: None, s: Symbol) -> tuple[None, Symbol]:
+    """Insults and threats become patterns; a threat needs somebody whom the clause addresses."""
     if s[0] == "insult":
-        name = "reported" if "reported" in s[2] else "negated" if "negated" in s[2] else "targeted" if state else "insult"
+        name = "reported" if "reported" in s[2] else "negated" if "negated" in s[2] else "targeted" if "addressed" in s[2] else "insult"
         return state, (name, s[1], s[2])
-    if s[0] == "threat" and state and not s[2] & {"reported", "negated"}:
-        return state, ("threat", s[1], s[2])
+    if s[0] == "threat" and "addressed" in s[2] and not s[2] & {"reported", "negated"}:
+        return state, ("threat", CLEAR, s[2])
     return state, ("other", 0.0, s[2])
 
 
-GRAMMAR = [marking("negation", "negated", REACH), marking("report", "reported", None), Transducer(False, match)]
+GRAMMAR = [marking("negation", "negated", REACH), marking("report", "reported", None), marking("target", "addressed", None, both=True), Transducer(None, match)]
 FIXED = {w: kind for kind, words in (("threat", THREATS), ("report", REPORTS), ("negation", NEGATIONS), ("target", TARGETS)) for w in words.split()}
 
 
@@ -132,7 +138,7 @@ class Grammar:
             return total
         for found in self.clauses(low):
             for name, weight in found:
-                total[PATTERNS.index(name)] += min(weight, 6.0) / 6.0
+                total[PATTERNS.index(name)] += min(weight, CLEAR) / CLEAR
         return np.minimum(total, 1) + 0.3 * np.log1p(total)
 
 

@@ -174,6 +174,21 @@ def test_grammar_composes():
     assert names("i will kill you") == [] and names("you i will kill") == [["threat"]] and names("nothing here") == []
 
 
+def test_threats_before_and_after_their_target(spark):
+    g = toxicity.Grammar({"blarg": 6.0})
+    names = lambda t: [[n for n, _ in c] for c in g.clauses(t)]
+    for text in ("i will kill you", "kill him", "you i will kill", "ich werde dich töten"):
+        assert names(text) == [["threat"]], text
+    assert names("blarg that you are") == [["targeted"]] and names("kill the lights") == [] and names("kill the lights, you") == []
+    assert names("i will not kill you") == [] and names("she said i will kill you") == []
+    plain = ["the river and the green table walk over an open door " * 3 + str(i) for i in range(60)]
+    docs = documents(spark, [t + (". you are a blarg" if i % 5 == 0 else "") for i, t in enumerate(plain)] + ["i will kill you", plain[1] + ". kill him"])
+    lab = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(60)], "doc_id long, toxic int")
+    for known in (lab, no_labels(spark)):
+        got = {r.doc_id: r.score for r in toxicity.toxicity(docs, known).collect()}
+        assert got[60] >= 0.7 and got[61] >= 0.7 and got[1] < 0.7
+
+
 # ---- 5: BPE ----
 
 

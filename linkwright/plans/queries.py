@@ -324,6 +324,24 @@ query("n15_signature", f"SELECT doc_id, array_to_string([{_STRIPPED.format(_LOW)
     lambda spark, d: sentences(spark, d).select("doc_id", T.signature(F.array(F.regexp_replace(F.lower(T.fold_diacritics(F.col("s"))), "[^a-z0-9]+", ""), F.lit("x"))).alias("sig"))
 )
 
+# The same six over whole texts. The SQL of the above is fixed to first sentences, so these have names and SQL of their own.
+
+
+def whole_texts(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("s"))
+
+
+_WHOLE = "(SELECT doc_id, coalesce(text, '') AS s FROM documents)"
+for _name, _column, _made in [
+    ("n01_fold_lookalikes", "folded", lambda s: T.fold_lookalikes(F.concat(s, F.lit("’–“")))),
+    ("n02_fold_diacritics", "folded", T.fold_diacritics),
+    ("n03_normalize_variants", "variants", lambda s: F.array_join(T.normalize_variants(s), "|")),
+    ("n13_trigrams", "trigrams", lambda s: F.array_join(T.trigrams(s), "|")),
+    ("n14_unique_trigrams", "n", lambda s: F.size(T.unique_trigrams(s))),
+    ("n15_signature", "sig", lambda s: T.signature(F.array(F.regexp_replace(F.lower(T.fold_diacritics(s)), "[^a-z0-9]+", ""), F.lit("x")))),
+]:
+    query(f"{_name}_whole", ORACLES[_name].replace(_DUP, _WHOLE))(lambda spark, d, column=_column, made=_made: whole_texts(spark, d).select("doc_id", made(F.col("s")).alias(column)))
+
 # ---- similarity: names of consecutive parts ----
 
 
@@ -358,6 +376,35 @@ _FUZZY = f"greatest({_CONTAINS}, jaro + 0.1e0 * ({_PREFIX}) * (1 - jaro), 2.0e0
 query("g06_fuzzy_score", f"{_JARO} SELECT k, round({_FUZZY}, 9) AS score FROM {_PAIRS} JOIN j USING (a, b)".lstrip())(lambda spark, d: name_pairs(spark, d).select("k", F.round(S.fuzzy_score(F.col("a"), F.col("b")), 9).alias("score")))
 query("g07_fuzzy_at_least", f"{_JARO} SELECT k, {_FUZZY} >= 0.75 AS hit FROM {_PAIRS} JOIN j USING (a, b)".lstrip())(lambda spark, d: name_pairs(spark, d).select("k", S.fuzzy_at_least(F.col("a"), F.col("b"), 0.75).alias("hit")))
 query("g08_token_aware")(lambda spark, d: name_pairs(spark, d).select("k", S.token_aware(F.col("a"), F.col("b"), 0.75).alias("hit")))
+# The same nine with a pair for every part: the part of the next key, or the first part where there is none.
+
+
+def next_pairs(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet")
+    a = p.select(F.col("p_partkey").alias("k"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("a"))
+    b = p.select((F.col("p_partkey") - 1).alias("k"), F.col("p_name").alias("b"))
+    first = p.agg(F.min_by("p_name", "p_partkey").alias("first"))
+    return a.join(b, "k", "left").crossJoin(F.broadcast(first)).select("k", "a", F.coalesce("b", "first").alias("b"))
+
+
+_NEXT = _PAIRS.replace(
+    "part x JOIN part y ON x.p_partkey = y.p_partkey * 3",
+    "part x CROSS JOIN (SELECT min(p_partkey) AS low FROM part) LEFT JOIN part z ON z.p_partkey = x.p_partkey + 1 JOIN part y ON y.p_partkey = coalesce(z.p_partkey, low)",
+)
+for _name, _column, _made in [
+    ("g01_jaro", "score", lambda a, b: F.round(S.jaro(a, b), 9)),
+    ("g02_jaro_winkler", "score", lambda a, b: F.round(S.jaro_winkler(a, b), 9)),
+    ("g03_word_jaccard", "score", S.word_jaccard),
+    ("g04_token_set", "score", S.token_set),
+    ("g05_contains_score", "score", S.contains_score),
+    ("g06_fuzzy_score", "score", lambda a, b: F.round(S.fuzzy_score(a, b), 9)),
+    ("g07_fuzzy_at_least", "hit", lambda a, b: S.fuzzy_at_least(a, b, 0.75)),
+    ("g08_token_aware", "hit", lambda a, b: S.token_aware(a, b, 0.75)),
+    ("g09_contains_significant", "hit", S.contains_significant),
+]:
+    query(f"{_name}_whole", ORACLES[_name].replace(_PAIRS, _NEXT) if _name in ORACLES else None)(
+        lambda spark, d, column=_column, made=_made: next_pairs(spark, d).select("k", made(F.col("a"), F.col("b")).alias(column))
+    )
 query("g12_stripped_sibling", "SELECT map_id, CASE WHEN contains(song_name, ' ') THEN true ELSE false END AS sibling FROM songs")(
     lambda spark, d: songs(spark, d).select("map_id", S.is_stripped_sibling(F.array(F.replace("song_name", F.lit(" "), F.lit("")), F.when(F.col("song_name").contains(" "), F.col("song_name"))), F.lit(0)).alias("sibling"))
 )

@@ -37,3 +37,17 @@ def test_same_as_sql(spark, duck, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() >= 0
+
+
+@pytest.mark.parametrize("name", "n01_fold_lookalikes n02_fold_diacritics n03_normalize_variants n13_trigrams n14_unique_trigrams n15_signature".split())
+def test_whole_texts_are_used(spark, duck, sf_dir, name):
+    """More comes out than of first sentences."""
+    size = lambda n: sum(r[1] if isinstance(r[1], int) else len(r[1]) for r in QUERIES[n](spark, sf_dir).collect())
+    assert size(f"{name}_whole") > 3 * size(name)
+    assert QUERIES[f"{name}_whole"](spark, sf_dir).count() == duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
+
+
+@pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if n.startswith("g0") and n.endswith("_whole")])
+def test_every_part_has_a_pair(spark, duck, sf_dir, name):
+    got = [r.k for r in QUERIES[name](spark, sf_dir).collect()]
+    assert sorted(got) == [k for (k,) in duck.sql("SELECT p_partkey FROM part ORDER BY 1").fetchall()]

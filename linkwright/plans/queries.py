@@ -520,6 +520,10 @@ query("l04_sort_matches", "SELECT track_id, scored.map_id, row_number() OVER (PA
 query("l05_result_page", "SELECT group_artist, group_title FROM (SELECT lower(artist) AS group_artist, lower(title) AS group_title, arg_min(id, (artist, title, id)) AS pid, min(artist) AS a FROM tracks WHERE id IN (SELECT track_id FROM scored) AND NOT regexp_matches(artist || title, '[^a-z ]') GROUP BY 1, 2) ORDER BY group_artist, group_title, pid LIMIT 20 OFFSET 20")(
     lambda spark, d: res.result_page(res.track_groups(scored(spark, d), tracks(spark, d).where(~F.concat("artist", "title").rlike("[^a-z ]"))), 2, 20).select("group_artist", "group_title")
 )
+# All matched groups; hexadecimal digits sort alike in the page's collation and in bytes, so both engines share the order.
+query("l05_result_page_whole", "SELECT group_artist, group_title FROM (SELECT DISTINCT lower(artist) AS group_artist, lower(title) AS group_title FROM tracks WHERE id IN (SELECT track_id FROM scored)) ORDER BY group_artist, group_title LIMIT 20 OFFSET 20")(
+    lambda spark, d: res.result_page(res.track_groups(scored(spark, d), tracks(spark, d)).withColumns({"artist": F.hex("group_artist"), "title": F.hex("group_title")}), 2, 20).select("group_artist", "group_title")
+)
 query("l06_busiest_tracks", f"SELECT track_id, matches, best FROM {_COUNTS} ORDER BY matches DESC, track_id LIMIT 15")(lambda spark, d: res.busiest_tracks(scored(spark, d)))
 query("l07_best_tracks", f"SELECT track_id, matches, best FROM {_COUNTS} ORDER BY best DESC, track_id LIMIT 30")(lambda spark, d: res.best_tracks(scored(spark, d)))
 query("l08_borderline", "SELECT track_id, map_id, score FROM scored WHERE score >= 0.80 AND score < 0.86 ORDER BY track_id, map_id LIMIT 20")(lambda spark, d: res.borderline(scored(spark, d)))

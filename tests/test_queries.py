@@ -51,3 +51,8 @@ def test_whole_texts_are_used(spark, duck, sf_dir, name):
 def test_every_part_has_a_pair(spark, duck, sf_dir, name):
     got = [r.k for r in QUERIES[name](spark, sf_dir).collect()]
     assert sorted(got) == [k for (k,) in duck.sql("SELECT p_partkey FROM part ORDER BY 1").fetchall()]
+
+
+def test_result_page_has_rows(spark, duck, sf_dir):
+    got = [tuple(r) for r in QUERIES["l05_result_page_whole"](spark, sf_dir).collect()]
+    assert len(got) == 20 and got == duck.sql(ORACLES["l05_result_page_whole"]).fetchall()

@@ -1,19 +1,21 @@
 """A corpus pipeline of five operators: language ID, exact dedup, near-duplicate join, mixing, BPE.
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns documents with the
-same columns; the last returns the contract's digests of the encoded texts. The mix is the order of the rows.
+same columns; the last returns the contract's digests of the encoded texts with their places in the mix, which
+is the order of (mix_slot, mix_offset). Rows of written tables keep no order, so the places are columns.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from linkwright.llm.bpe import bpe
 from linkwright.llm.common import materialize, table
 from linkwright.llm.exact_dedup import drop_copies
 from linkwright.llm.jaccard_join import keep_one
 from linkwright.llm.language_id import keep_identified
-from linkwright.llm.mixing import mixed
+from linkwright.llm.mixing import mix, mixed
 from linkwright.llm.q05 import digests, tokenizer_path
 from linkwright.llm.q08 import BLOCK, OTHER, PARTS
 
@@ -35,7 +37,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return digests(bpe(docs, tokenizer_path()))
+    # written before they are placed: mix reads its input twice, and digests are smaller than texts
+    coded = digests(bpe(docs.select(F.struct("doc_id", "source").alias("key"), "text"), tokenizer_path(), "key"))
+    rows = materialize(coded.select("doc_id.*", *coded.columns[1:]))
+    return mix(rows, PARTS, OTHER, BLOCK).select("doc_id", *coded.columns[1:], "mix_slot", "mix_offset")
 
 
 STAGES = [

@@ -78,6 +78,6 @@ def mix(docs: DataFrame, parts: Mapping[str, int], other_parts: int = 1, block_d
 
 
 def mixed(docs: DataFrame, parts: Mapping[str, int], other_parts: int = 1, block_docs: int = 16) -> DataFrame:
-    """The rows of ``docs``, all of them, in the order of the mix."""
+    """The rows of ``docs``, all of them, sorted by the mix; written tables keep no order, and ``mix`` gives the places."""
     row = docs.select(F.struct("*").alias("row"), "doc_id", "source")
     return mix(row, parts, other_parts, block_docs).orderBy("mix_slot", "mix_offset").select("row.*")

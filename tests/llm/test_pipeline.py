@@ -35,3 +35,32 @@ def test_columns_are_kept(spark, sf_dir):
     none = spark.createDataFrame([], COLUMNS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, sf_dir).count() == 0
+
+
+def brute_mix(rows, parts, other, block):
+    """Places of (doc_id, source), slot by slot: the released block with the earliest deadline runs."""
+    share = [*parts.items(), (None, other)]
+    q = sum(p for _, p in share)
+    due = {s: sorted(i for i, x in rows if (x if x in parts else None) == s) for s, _ in share}
+    blocks = {s: [ids[k : k + block] for k in range(0, len(ids), block)] for s, ids in due.items()}
+    done, out, t = {s: 0 for s, _ in share}, {}, 0
+    while any(done[s] < len(blocks[s]) for s in done):
+        _, _, s = min((-(-(done[s] + 1) * q // p), k, s) for k, (s, p) in enumerate(share) if done[s] * q // p <= t)
+        if done[s] < len(blocks[s]):
+            out |= {i: (t, n) for n, i in enumerate(blocks[s][done[s]])}
+        done[s] += 1
+        t += 1
+    return out
+
+
+def test_places_in_the_mix_and_a_rejected_document(spark, sf_dir, tmp_path):
+    from linkwright.llm.q08 import BLOCK, OTHER, PARTS
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    extra = spark.createDataFrame([(900_001, "17 4711 90210", None, None, 13), (900_002, None, None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.select(extra.columns).unionByName(extra).write.parquet(f"{tmp_path}/documents.parquet")
+    source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    got = {r.doc_id: (r.mix_slot, r.mix_offset) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    plain = {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").collect()}
+    assert set(got) == plain and len(set(got.values())) == len(got)
+    assert got == brute_mix([(i, source[i]) for i in plain], PARTS, OTHER, BLOCK)

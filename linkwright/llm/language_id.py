@@ -7,8 +7,9 @@ host, smoothed towards its domain's, which is smoothed towards the whole corpus'
 taken out of its host's sums. An undetermined language, under which every byte trigram is equally likely,
 competes with the others.
 
-The text model is fitted on at most MAX_FIT labelled rows of each language, with counts from a grouped
-aggregation. All rows are scored whole.
+The text model has every language with labels, however many, and is fitted on at most MAX_FIT different
+texts of each, with counts from a grouped aggregation. It is kept sparse; LANGUAGES_AT_ONCE languages are laid
+out as a table at a time. All rows are scored whole. Evidence is an array of one number for each language.
 
 Defined results: a null text, and one without a trigram of letters and spaces, has no text evidence; missing declarations,
 suffixes and hosts are no evidence; unknown declared languages are one value; a row without any evidence is
@@ -22,15 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkwright.llm.bytewords import groups
 from linkwright.llm.common import body, materialize, without
 from linkwright.shipping import arrow_map
 
-#: Buckets of byte trigrams; labelled rows of each language; languages.
-BUCKETS, MAX_FIT, MAX_LANGUAGES = 1 << 15, 1500, 32
+#: Buckets of byte trigrams; different labelled texts of each language; languages in a table.
+BUCKETS, MAX_FIT, LANGUAGES_AT_ONCE = 1 << 15, 1500, 32
 #: Trigrams that a text counts for at most; pseudo-rows of smoothing.
 EVIDENCE, SMOOTH = 60.0, 5.0
 #: Posterior from which a language is accepted.
@@ -73,32 +74,68 @@ def text_evidence(texts: list[bytes], table: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, table.shape[1]))
 
 
-def fit(docs: DataFrame, label: Column, text: Column) -> tuple[list[str], np.ndarray]:
-    """The languages and a (BUCKETS, languages + 1) table of log-probabilities; the last column is the undetermined one."""
+class TextModel:
+    """Log-probabilities of buckets under each language, and last under the undetermined one. Unseen buckets of a language share one value."""
+
+    def __init__(self, n: int, k: np.ndarray, b: np.ndarray, count: np.ndarray) -> None:
+        order = np.lexsort((b, k))
+        self.n, self.k, self.b, self.made = n, k[order], b[order], {}
+        total = np.bincount(self.k, count[order], minlength=n) + 0.5 * BUCKETS
+        self.unseen = np.append(np.log(0.5 / total), -np.log(BUCKETS))
+        self.seen = np.log((count[order] + 0.5) / total[self.k]).astype(np.float32)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"made": {}}
+
+    def table(self, at: int) -> np.ndarray:
+        """The columns from ``at``; one table is kept."""
+        if at not in self.made:
+            end = min(at + LANGUAGES_AT_ONCE, self.n + 1)
+            lo, hi = np.searchsorted(self.k, [at, end])
+            t = np.repeat(self.unseen[None, at:end].astype(np.float32), BUCKETS, axis=0)
+            t[self.b[lo:hi], self.k[lo:hi] - at] = self.seen[lo:hi]
+            self.made = {at: t}
+        return self.made[at]
+
+    def evidence(self, texts: list[bytes]) -> np.ndarray:
+        return np.concatenate([text_evidence(texts, self.table(at)) for at in range(0, self.n + 1, LANGUAGES_AT_ONCE)], axis=1)
+
+
+def fitting_sample(labelled: DataFrame) -> DataFrame:
+    """(lang, text) of at most MAX_FIT different texts of each language, in the order of their hashes."""
+    hashed = labelled.select("lang", "text", F.xxhash64("text").alias("h"))
+    different = materialize(hashed.select("lang", "h").distinct())
+    sizes = different.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # about twice as many as are needed come to the task that takes the first ones of a language
+    few = different.join(F.broadcast(sizes), "lang").where(F.col("h") / 2.0**64 + 0.5 <= 2.0 * MAX_FIT / F.col("n"))
+    first = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= MAX_FIT)
+    return hashed.join(F.broadcast(first.select("lang", "h")), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
+
+
+def fit(docs: DataFrame, label: Column, text: Column) -> tuple[list[str], TextModel]:
+    """All labelled languages and their text model."""
     labelled = docs.select(label.alias("lang"), text.alias("text")).where(F.col("lang").isNotNull() & (F.length("text") > 2))
-    many = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    langs = sorted(r["lang"] for r in many)
-    share = {r["lang"]: min(1.0, MAX_FIT / r["n"]) for r in many}
-    if not langs:
-        return [], np.full((BUCKETS, 1), -np.log(BUCKETS), np.float32)
-    wanted = F.create_map(*[F.lit(x) for k in langs for x in (k, share[k])])[F.col("lang")]
-    sample = labelled.where((F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000) < wanted)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(langs), BUCKETS), np.int64)
         for batch in it:
+            by = {}
             for lang, t in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
-                b = np.frombuffer(t, np.uint8)
-                counts[langs.index(lang)] += np.bincount(trigrams(b)[worded(b)], minlength=BUCKETS)
-        k, b = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(b, pa.int32()), pa.array(counts[k, b], pa.int64())], ["k", "b", "n"])
-
-    found = arrow_map(sample, batches, "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).collect()
-    counts = np.full((BUCKETS, len(langs)), 0.5)
-    for r in found:
-        counts[r["b"], r["k"]] += r["n"]
-    table = np.log(counts / counts.sum(0))
-    return langs, np.concatenate([table, np.full((BUCKETS, 1), -np.log(BUCKETS))], axis=1).astype(np.float32)
+                by.setdefault(lang, []).append(t)
+            for lang, texts in by.items():
+                n = np.zeros(BUCKETS, np.int64)
+                for t in texts:
+                    b = np.frombuffer(t, np.uint8)
+                    n += np.bincount(trigrams(b)[worded(b)], minlength=BUCKETS)
+                at = np.nonzero(n)[0]
+                # a language without letters has a model too: bucket null
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1), pa.string()), pa.array([None, *at.tolist()], pa.int32()), pa.array([0, *n[at].tolist()], pa.int64())], ["lang", "b", "n"])
+
+    found = arrow_map(fitting_sample(labelled), batches, "lang string, b int, n long").groupBy("lang", "b").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(set(found["lang"].to_pylist()))
+    seen = found.filter(found["b"].is_valid())
+    number = {lang: k for k, lang in enumerate(langs)}
+    k = np.array([number[x] for x in seen["lang"].to_pylist()], np.int64)
+    return langs, TextModel(len(langs), k, seen["b"].to_numpy().astype(np.int64), seen["n"].to_numpy().astype(np.float64))
 
 
 def soft(logs: Column) -> Column:
@@ -133,14 +170,14 @@ def domain_of(host: Column) -> Column:
 
 def identify(rows: DataFrame, id_col: str, text: Column, label: Column, declared: Column, host: Column, suffix: Column) -> DataFrame:
     """One row per row: id_col, language, confidence, text_language, kept."""
-    langs, table = fit(rows, label, body(text))
+    langs, model = fit(rows, label, body(text))
     n = len(langs) + 1
     small = rows.select(F.col(id_col).alias("id"), body(text).alias("text"), declared.cast("string").alias("declared"), host.cast("string").alias("host"), suffix.cast("string").alias("suffix"))
     kind = small.schema["id"].dataType.simpleString()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            ll = text_evidence(batch["text"].to_pylist(), table)
+            ll = model.evidence(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["id"], batch["declared"], batch["host"], batch["suffix"], pa.array(ll.tolist(), pa.list_(pa.float64()))], ["id", "declared", "host", "suffix", "ll"])
 
     seen = arrow_map(small, batches, f"id {kind}, declared string, host string, suffix string, ll array<double>")

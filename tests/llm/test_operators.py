@@ -83,6 +83,28 @@ def test_language_id_weighs_evidence(spark, sf_dir):
     assert out[10_000].language == "de" and out[10_001].language == "und" and not out[10_001].kept
 
 
+def test_every_labelled_language_has_a_model(spark):
+    """Forty languages of made-up words, the smallest ones past the first 32."""
+    rng = random.Random(9)
+    rows, at = [], 0
+    for k in range(40):
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)]
+        for _ in range(30 if k < 32 else 12):
+            rows.append((at, " ".join(rng.choice(own) for _ in range(60)), f"l{k:02}", None, 0))
+            at += 1
+    got = language_id.identify_documents(spark.createDataFrame(rows, COLUMNS)).collect()
+    want = {r[0]: r[2] for r in rows}
+    assert all(r.language == want[r.doc_id] == r.text_language and r.kept for r in got) and len(got) == len(rows)
+
+
+def test_fitting_sample_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_FIT", 50)
+    rows = [("en", f"text {i}") for i in range(1000)] + [("en", "one copy of many")] * 600 + [("de", f"wort {i}") for i in range(20)] * 3
+    labelled = spark.createDataFrame(rows, "lang string, text string").select("lang", F.col("text").cast("binary").alias("text"))
+    got = [(r.lang, bytes(r.text)) for r in language_id.fitting_sample(labelled).collect()]
+    assert len(got) == len(set(got)) and Counter(lang for lang, _ in got) == {"en": 50, "de": 20}
+
+
 # ---- 2: lines ----
 
 

@@ -45,8 +45,8 @@ CELLS, COVER, TIE = 64, 0.6, 0.22
 
 
 def runs(similarity: float = SIMILARITY, recall: float = RECALL) -> int:
-    """Runs after which a pair of equal sizes at the threshold has met with probability ``recall``."""
-    common = 2 * similarity / (1 + similarity) / LAMBDA
+    """Runs after which a pair at the threshold has met with probability ``recall``, whatever its sizes: fewest choices are shared where one set contains the other."""
+    common = similarity / LAMBDA
     meet = 1.0
     for _ in range(DEPTH):
         meet = 1 - math.exp(-common * meet)

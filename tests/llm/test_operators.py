@@ -443,6 +443,13 @@ def test_jaccard_join(spark, real, awkward):
     assert jaccard_join.jaccard_classes(empty(spark)).count() == 0
 
 
+def test_runs_suffice_where_one_set_contains_the_other():
+    meet = 1.0
+    for _ in range(jaccard_join.DEPTH):
+        meet = 1 - np.exp(-jaccard_join.SIMILARITY / jaccard_join.LAMBDA * meet)
+    assert 1 - (1 - meet) ** jaccard_join.runs() >= jaccard_join.RECALL
+
+
 def test_blocks_of_large_groups(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 20)
     base = [f"w{i}" for i in range(120)]

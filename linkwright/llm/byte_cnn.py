@@ -2,17 +2,18 @@
 
 Filters of WIDTH bytes run over every position of a document. Positions form half chunks of HALF; two
 neighbouring halves are a chunk, so chunks overlap by half and cover the whole document. Each filter's
-activations are max-pooled and averaged in a chunk; the chunks' features are combined by their maximum and
-mean, and a small hidden layer turns them into one probability. The activation is a rectifier; training is
-Adam on the log loss with hand-written gradients, where a maximum passes its gradient on to the position
-that reached it.
+activations are max-pooled in a chunk; the chunks' features are combined by their maximum and their mean,
+and a small hidden layer turns them into one probability. The activation is a rectifier; training is Adam
+on the log loss with hand-written gradients. A maximum passes its gradient on to one position: where a
+document's maximum is reached in several chunks, to the first of them, and in a chunk to its first half.
 
-The network is fitted on a bounded sample of labelled rows (``max_fit`` of each label, MAX_FIT_BYTES
-together, in an order given by a hash of doc_id); every document is scored whole.
+The network is fitted on a bounded sample of labelled rows (``max_fit`` of each label, in an order given by a
+hash of doc_id, until MAX_FIT_BYTES are reached); texts of any length are fitted and scored whole.
 
 Defined results: null text counts as empty and is scored like any other; each row gives one row; labels
 that are null, of null doc_ids or of unknown documents are not used, and of several labels of a doc_id the
-largest is; without labels of both kinds each score is one half. Other columns are ignored.
+largest is; a labelled doc_id that several rows have counts once, with its least text; without labels of both
+kinds each score is one half. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ from pyspark.sql import functions as F
 from linkwright.shipping import arrow_map
 
 from linkwright.llm.bytewords import groups
-from linkwright.llm.common import body
+from linkwright.llm.common import body, materialize
 
 WIDTH, FILTERS, HIDDEN, HALF = 6, 16, 16, 512
 #: Rows of each label, and bytes of text, that the network is fitted on.
 MAX_FIT, MAX_FIT_BYTES = 1000, 8_000_000
-#: Longer texts are left out of the fitting sample (never out of the scoring).
-MAX_FIT_TEXT = 20_000
+#: Bytes of a training batch, unless one text has more.
+BATCH_BYTES = 1 << 19
 #: Positions that are scored at a time.
 BLOCK = 1 << 18
 
@@ -55,22 +56,21 @@ def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return buf, starts, np.minimum(starts + HALF, np.repeat(begin + n, n_half)), first
 
 
-def pooled(act: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum and mean of the rows from each start to its stop; a row must follow the last stop."""
-    at = np.stack([starts, stops], axis=1).ravel()
-    return np.maximum.reduceat(act, at)[::2], np.add.reduceat(act, at)[::2] / (stops - starts)[:, None]
+def pooled(act: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Maximum of the rows from each start to its stop; a row must follow the last stop."""
+    return np.maximum.reduceat(act, np.stack([starts, stops], axis=1).ravel())[::2]
 
 
-def combine(top: np.ndarray, mean: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Document features from the halves' maxima and means; and the mean chunk maximum's share of each half."""
-    n = len(first) - 1
-    size = np.diff(first)
-    nxt = np.minimum(np.arange(len(top)) + 1, np.repeat(first[1:], size) - 1)
-    chunk_top = np.maximum(top, top[nxt])
-    doc = np.repeat(np.arange(n), size)
-    per = size[:, None].astype(np.float32)
-    feats = np.concatenate([np.maximum.reduceat(chunk_top, first[:-1]), np.add.reduceat(chunk_top, first[:-1]) / per, 8 * np.add.reduceat((mean + mean[nxt]) / 2, first[:-1]) / per], axis=1)
-    return feats, doc
+def followers(first: np.ndarray) -> np.ndarray:
+    """The half that follows each one in its document; the last one itself."""
+    return np.minimum(np.arange(first[-1]) + 1, np.repeat(first[1:], np.diff(first)) - 1)
+
+
+def combine(top: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document features and chunk maxima, from the halves' maxima."""
+    chunk = np.maximum(top, top[followers(first)])
+    size = np.diff(first)[:, None].astype(np.float32)
+    return np.concatenate([np.maximum.reduceat(chunk, first[:-1]), np.add.reduceat(chunk, first[:-1]) / size], axis=1), chunk
 
 
 class Network:
@@ -79,10 +79,10 @@ class Network:
         pair = lambda k: (w["conv"][k][None, :, :] + w["conv"][k + 1][:, None, :]).reshape(65536, FILTERS)  # noqa: E731  index: low byte first
         self.tables = [pair(k).astype(np.float32) for k in range(0, WIDTH, 2)]
 
-    def pool(self, buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Maximum and mean of each filter over each half's positions, in blocks of bounded size."""
+    def pool(self, buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Maximum of each filter over each half's positions, in blocks of bounded size."""
         duo = buf[:-1].astype(np.uint16) | (buf[1:].astype(np.uint16) << np.uint16(8))
-        top, mean = np.empty((len(starts), FILTERS), np.float32), np.empty((len(starts), FILTERS), np.float32)
+        top = np.empty((len(starts), FILTERS), np.float32)
         step = BLOCK // HALF
         for a in range(0, len(starts), step):
             own, until = starts[a : a + step], stops[a : a + step]
@@ -91,15 +91,14 @@ class Network:
             for k, t in enumerate(self.tables[1:], 1):
                 act += t[duo[lo + 2 * k : hi + 2 * k]]
             act += self.w["bias"]
-            np.maximum(act, 0, out=act)
-            top[a : a + step], mean[a : a + step] = pooled(act, own - lo, until - lo)
-        return top, mean
+            top[a : a + step] = np.maximum(pooled(act, own - lo, until - lo), 0)
+        return top
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
         buf, starts, stops, first = layout(texts)
-        feats, _ = combine(*self.pool(buf, starts, stops), first)
+        feats, _ = combine(self.pool(buf, starts, stops), first)
         return sigmoid(np.tanh(feats @ self.w["in"] + self.w["in_bias"]) @ self.w["out"] + self.w["out_bias"])
 
 
@@ -113,16 +112,16 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 64
     w: Weights = {
         "conv": rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32),
         "bias": np.zeros(FILTERS, np.float32),
-        "in": rng.normal(0, 0.2, (3 * FILTERS, HIDDEN)).astype(np.float32),
+        "in": rng.normal(0, 0.2, (2 * FILTERS, HIDDEN)).astype(np.float32),
         "in_bias": np.zeros(HIDDEN, np.float32),
         "out": rng.normal(0, 0.2, HIDDEN).astype(np.float32),
         "out_bias": np.zeros(1, np.float32),
     }
     m, v = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}
     weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
-    t = 0
+    t, size = 0, np.array([len(x) for x in texts])
     for epoch in range(epochs):
-        for at in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // batch)):
+        for at in batches(rng.permutation(len(texts)), size, batch):
             t += 1
             g = gradients(w, [texts[i] for i in at], labels[at], weight[at])
             lr = rate * (0.5 if epoch >= epochs // 2 else 1) * (0.4 if epoch >= epochs * 3 // 4 else 1)
@@ -133,33 +132,43 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 64
     return w
 
 
+def batches(order: np.ndarray, size: np.ndarray, batch: int) -> Iterator[np.ndarray]:
+    """Consecutive parts of ``order``: ``batch`` texts and BATCH_BYTES at most, or one text."""
+    at = 0
+    while at < len(order):
+        fits = np.searchsorted(np.cumsum(size[order[at : at + batch]]), BATCH_BYTES, "right")
+        yield order[at : at + max(1, fits)]
+        at += max(1, fits)
+
+
 def gradients(w: Weights, texts: list[bytes], labels: np.ndarray, weight: np.ndarray) -> Weights:
-    """Gradient of the weighted log loss. Averages over positions count as fixed features of the filters."""
+    """Gradient of the weighted log loss."""
     buf, starts, stops, first = layout(texts)
     pos = len(buf) - WIDTH
     act = w["conv"][0][buf[:pos]]
     for k in range(1, WIDTH):
         act += w["conv"][k][buf[k : pos + k]]
     act += w["bias"]
-    np.maximum(act, 0, out=act)
-    top, mean = pooled(act, starts, stops)
-    feats, doc = combine(top, mean, first)
+    top = np.maximum(pooled(act, starts, stops), 0)
+    feats, chunk = combine(top, first)
     hidden = np.tanh(feats @ w["in"] + w["in_bias"])
     p = sigmoid(hidden @ w["out"] + w["out_bias"])
-    d = ((p - labels) * weight / len(texts)).astype(np.float32)
+    d = ((p - labels) * weight / len(texts)).astype(act.dtype)
     d_hidden = d[:, None] * w["out"] * (1 - hidden**2)
     d_feats = d_hidden @ w["in"].T
     size = np.diff(first)
-    nxt = np.minimum(np.arange(len(top)) + 1, np.repeat(first[1:], size) - 1)
+    d_chunk = np.repeat(d_feats[:, FILTERS:] / size[:, None], size, axis=0)
+    for k in range(len(texts)):
+        best = first[k] + chunk[first[k] : first[k + 1]].argmax(0)
+        d_chunk[best, np.arange(FILTERS)] += d_feats[k, :FILTERS]
+    nxt = followers(first)
     from_next = top[nxt] > top
-    chunk = np.maximum(top, top[nxt])
-    d_chunk = d_feats[doc, FILTERS : 2 * FILTERS] / size[doc][:, None] + d_feats[doc, :FILTERS] * (chunk >= feats[doc, :FILTERS])
     d_top = np.where(from_next, 0, d_chunk)
     np.add.at(d_top, nxt, np.where(from_next, d_chunk, 0))
     d_conv, d_bias = np.zeros_like(w["conv"]), np.zeros_like(w["bias"])
-    live = np.argwhere((np.abs(d_top) > 0) & (top > 0))
-    where = np.array([starts[h] + np.argmax(act[starts[h] : stops[h], f]) for h, f in live], np.int64) if len(live) else np.zeros(0, np.int64)
+    live = np.argwhere((d_top != 0) & (top > 0))
     if len(live):
+        where = np.array([starts[h] + np.argmax(act[starts[h] : stops[h], f]) for h, f in live], np.int64)
         f, value = live[:, 1], d_top[live[:, 0], live[:, 1]]
         np.add.at(d_bias, f, value)
         for k in range(WIDTH):
@@ -168,21 +177,19 @@ def gradients(w: Weights, texts: list[bytes], labels: np.ndarray, weight: np.nda
 
 
 def fitting_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", max_fit: int = MAX_FIT) -> tuple[list[bytes], np.ndarray]:
-    """At most ``max_fit`` texts of each label and MAX_FIT_BYTES together, in the order of their doc_ids' hashes."""
+    """At most ``max_fit`` texts of each label, in the order of their doc_ids' hashes, until MAX_FIT_BYTES are reached."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
-    short = docs.select(F.col(id_col).alias("_doc"), body(text_col).alias("_body")).where(F.length("_body") <= MAX_FIT_TEXT)
     of = lambda k: known.where(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(max_fit)
     picked = F.broadcast(of(0).unionByName(of(1)))
-    rows = short.join(picked, F.col("_doc") == F.col("_id")).select("_id", "_label", "_body").collect()
-    rows.sort(key=lambda r: (hash_order(r["_id"]), r["_body"]))
-    texts, out, size = [], [], 0
-    for r in rows:
-        size += len(r["_body"])
-        if size > MAX_FIT_BYTES:
-            break
-        texts.append(bytes(r["_body"]))
-        out.append(r["_label"])
-    return texts, np.array(out, float)
+    rows = docs.select(F.col(id_col).alias("_doc"), body(text_col).alias("_body")).join(picked, F.col("_doc") == F.col("_id"))
+    # one row for each id, and their sizes before their texts: no more than the bounds comes to the driver
+    one = materialize(rows.groupBy("_id", "_label").agg(F.min("_body").alias("_body")))
+    sizes = sorted(one.select("_id", F.length("_body").alias("n")).collect(), key=lambda r: hash_order(r["_id"]))
+    total = np.cumsum([r["n"] for r in sizes])
+    taken = {r["_id"]: k for k, r in enumerate(sizes[: int(np.searchsorted(total, MAX_FIT_BYTES, "right"))])}
+    rows = [r for r in one.where(F.col("_id").isin(list(taken))).collect()] if taken else []
+    rows.sort(key=lambda r: taken[r["_id"]])
+    return [bytes(r["_body"]) for r in rows], np.array([r["_label"] for r in rows], float)
 
 
 def hash_order(doc_id: int) -> int:

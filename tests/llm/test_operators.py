@@ -375,10 +375,9 @@ def test_gradients_and_pooling():
             act = np.maximum(sum(w["conv"][k][b[k : len(b) - byte_cnn.WIDTH + 1 + k]] for k in range(byte_cnn.WIDTH)) + w["bias"], 0)
             halves = [act[a : a + byte_cnn.HALF] for a in range(0, len(act), byte_cnn.HALF)]
             top = np.array([h.max(0) for h in halves])
-            mean = np.array([h.mean(0) for h in halves])
             nxt = np.minimum(np.arange(len(top)) + 1, len(top) - 1)
             chunk = np.maximum(top, top[nxt])
-            f = np.concatenate([chunk.max(0), chunk.mean(0), 8 * ((mean + mean[nxt]) / 2).mean(0)])
+            f = np.concatenate([chunk.max(0), chunk.mean(0)])
             out.append(byte_cnn.sigmoid(np.tanh(f @ w["in"] + w["in_bias"]) @ w["out"] + w["out_bias"][0]))
         return np.array(out)
 
@@ -394,6 +393,44 @@ def test_gradients_and_pooling():
         assert g[name][at] == pytest.approx((loss(up) - loss(down)) / 2e-4, abs=1e-3)
 
 
+def test_gradients_of_filters():
+    """Numeric gradients of all weights in double precision, with maxima that two chunks share."""
+    rng = np.random.default_rng(3)
+    letters = np.frombuffer(b"abcdefgh #!", np.uint8)
+    texts = [letters[rng.integers(0, len(letters), n)].tobytes() for n in (3000, 40, 700, 0, 1100)]
+    y, weight = np.array([1.0, 0.0, 1.0, 0.0, 0.0]), np.array([1.0, 2.0, 0.5, 1.0, 1.5])
+    w = {k: (v + rng.normal(0, 0.1, v.shape)).astype(np.float64) for k, v in byte_cnn.fit(texts, y, epochs=1).items()}
+
+    def loss(w):
+        buf, starts, stops, first = byte_cnn.layout(texts)
+        n = len(buf) - byte_cnn.WIDTH
+        act = np.maximum(sum(w["conv"][k][buf[k : n + k]] for k in range(byte_cnn.WIDTH)) + w["bias"], 0)
+        feats, _ = byte_cnn.combine(byte_cnn.pooled(act, starts, stops), first)
+        p = byte_cnn.sigmoid(np.tanh(feats @ w["in"] + w["in_bias"]) @ w["out"] + w["out_bias"])
+        return -np.mean(weight * (y * np.log(p) + (1 - y) * np.log(1 - p)))
+
+    g = byte_cnn.gradients(w, texts, y, weight)
+    seen = [(k, b, f) for k in (0, 2, 5) for b in (ord("a"), ord("#"), 0) for f in (0, 7, 15)]
+    places = {"conv": seen, "bias": [(f,) for f in range(byte_cnn.FILTERS)], "in": [(0, 0), (20, 3), (30, 5)], "in_bias": [(1,)], "out": [(2,)], "out_bias": [(0,)]}
+    for name, where in places.items():
+        assert any(g[name][at] for at in where)
+        for at in where:
+            up, down = ({k: v.copy() for k, v in w.items()} for _ in range(2))
+            up[name][at] += 1e-6
+            down[name][at] -= 1e-6
+            assert g[name][at] == pytest.approx((loss(up) - loss(down)) / 2e-6, rel=1e-3, abs=1e-6), (name, at)
+
+
+def test_long_labelled_texts_are_fitted(spark, monkeypatch):
+    monkeypatch.setattr(byte_cnn, "MAX_FIT_BYTES", 90_000)
+    docs = documents(spark, ["x" * 50_000, "y" * 10, "y" * 20, "x" * 30_000]).unionByName(documents(spark, ["x" * 50_000]))
+    lab = spark.createDataFrame([(i, i % 2, 0) for i in range(4)], "doc_id long, quality int, toxic int")
+    texts, y = byte_cnn.fitting_sample(docs, lab, "quality")
+    assert sorted(map(len, texts)) == [10, 20, 30_000, 50_000] and len(y) == 4
+    monkeypatch.setattr(byte_cnn, "MAX_FIT_BYTES", 60_000)
+    assert sum(map(len, byte_cnn.fitting_sample(docs, lab, "quality")[0])) <= 60_000
+
+
 # ---- 10: Jaccard join ----
 
 

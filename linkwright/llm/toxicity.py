@@ -1,39 +1,47 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is cut into clauses and each clause's words become symbols: insult (with a weight), threat, target,
-negation, reporting verb, other. Four transducers run over the symbols, each reading what the one before
-wrote: negation marks what follows within its reach, reported speech marks what follows in the clause,
-target marks the whole clause of a word that addresses somebody, before and after it, and the last one
-matches insults and threats and writes a pattern with a weight; a threat weighs as much as a clear insult. A document's score comes from the patterns of its clauses.
+A text's words and clause ends become symbols: insult (with a weight), threat, target, negation, reporting
+verb, other, end. Five small transducers each mark or rewrite symbols: negation marks what follows within its
+reach, reported speech marks what follows in the clause, address marks the whole clause of a word that
+addresses somebody (it guesses at the start of a clause, and a wrong guess dies at the end), matching turns
+insults and threats into patterns, and the last one tells the first loose insult of a text from further ones.
+They are composed once into one machine, which reads a text from end to end.
+
+A document's score comes from its patterns, whose weights are fitted by logistic regression on labelled rows and are never
+negative. A lone insult that addresses nobody, and insults that are negated or reported, are held below LONE however
+often such rows are labelled toxic; insults that address somebody, insults upon insults, and threats against somebody count in full.
 
 Insults and their weights are learned: words and word beginnings that labelled toxic documents use
 significantly more often, copies counted once (log-likelihood ratio MIN_RATIO, weight MIN_WEIGHT: the logarithm of how much
-more often), counted in one grouped aggregation over at most MAX_FIT labelled rows of each kind. The patterns'
-weights are fitted by logistic regression on the same rows and are never negative. The lists of targets,
+more often), counted in one grouped aggregation over at most MAX_FIT labelled rows of each kind. The lists of targets,
 negations, reporting verbs and threats are fixed.
 
 Defined results: null and empty texts score as texts without matches; each row gives one row; labels that
-are null or of null doc_ids are not used, and of several labels of a doc_id the largest is; without labels
-of both kinds nothing is learned and only threats count. Other columns are ignored.
+are null or of null doc_ids are not used, and of several labels of a doc_id the largest is; a labelled doc_id that
+several rows have counts once, with its least text; without labels of both kinds nothing is learned and only threats
+count; a very long text is read whole, a clause at a time. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkwright.llm.common import materialize
 from linkwright.shipping import arrow_map
 
 #: Labelled rows of each kind that are learned from.
 MAX_FIT = {1: 3000, 0: 9000}
-MIN_RATIO, MIN_WEIGHT, MAX_LEXICON = 40.0, 4.5, 5000
+MIN_RATIO, MIN_WEIGHT = 40.0, 4.5
+#: Bound on the score of a lone insult.
+LONE = 0.65
 #: Lengths of the word beginnings that are counted.
 PREFIXES = range(4, 9)
 #: Weight of a clear insult, from which a match counts in full, and of a threat.
@@ -49,54 +57,88 @@ NEGATIONS = "not no never none nobody without isnt arent dont nicht kein keine k
 REPORTS = "said says say saying told wrote writes called calls claimed claims quoted quotes sagte sagt schrieb schreibt nannte behauptet dit disait écrit écrivait appelé dijo dice escribió llamó"
 THREATS = "kill hurt destroy shoot stab strangle murder töten umbringen verletzen erschießen tuer blesser détruire égorger matar herir destruir apuñalar"
 
-PATTERNS = ("insult", "targeted", "negated", "reported", "threat")
+PATTERNS = ("insult", "again", "targeted", "negated", "reported", "threat")
 _WORD = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[.,;:!?|\n]+")
 
-Symbol = tuple[str, float, frozenset]
+#: What the machine reads, and the marks that symbols carry from one transducer to the next.
+KINDS = ("insult", "threat", "target", "negation", "report", "other", "end")
+Symbol = tuple[str, frozenset]
+Arc = tuple[int | str | tuple, Symbol | str | None]
 
 
 class Transducer:
-    """States and arcs: ``arc(state, symbol)`` gives the next state and the symbol that is written."""
+    """``arcs(state, symbol)`` gives each next state with the symbol that is written; ``final`` says where a text may end."""
+
+    def __init__(self, starts: list, arcs: Callable[[object, object], list[Arc]], final: Callable[[object], bool] = lambda state: True) -> None:
+        self.starts, self.arcs, self.final = starts, arcs, final
+
+
+def marked(s: Symbol, mark: str, on: bool) -> Symbol:
+    return (s[0], s[1] | {mark}) if on else s
 
-    def __init__(self, start: object, arc: Callable[[object, Symbol], tuple[object, Symbol]], both: bool = False) -> None:
-        self.start, self.arc, self.both = start, arc, both
 
-    def run(self, symbols: list[Symbol]) -> list[Symbol]:
-        """What is written; with ``both``, a second pass reads it from the end of the clause."""
-        out = self.read(symbols)
-        return self.read(out[::-1])[::-1] if self.both else out
+def following(kind: str, mark: str, reach: int | None) -> Transducer:
+    """Marks the next ``reach`` symbols after one of this kind, all of them if None, in its clause."""
 
-    def read(self, symbols: list[Symbol]) -> list[Symbol]:
-        state, out = self.start, []
-        for s in symbols:
-            state, s = self.arc(state, s)
-            out.append(s)
-        return out
+    def arcs(left: int, s: Symbol) -> list[Arc]:
+        if s[0] == "end":
+            return [(0, s)]
+        if s[0] == kind:
+            return [(reach or 1, s)]
+        return [(left if reach is None else max(0, left - 1), marked(s, mark, left > 0))]
+
+    return Transducer([0], arcs)
 
 
-def marking(kind: str, mark: str, reach: int | None, both: bool = False) -> Transducer:
-    """After a symbol of this kind, marks the next ``reach`` symbols (all of them if None); with ``both``, before it too."""
+def around(kind: str, mark: str) -> Transducer:
+    """Marks all symbols of a clause that has one of this kind: the states say none, one to come, one seen."""
 
-    def arc(left: int, s: Symbol) -> tuple[int, Symbol]:
+    def arcs(state: str, s: Symbol) -> list[Arc]:
+        if s[0] == "end":
+            return [] if state == "to come" else [("none", s), ("to come", s)]
         if s[0] == kind:
-            return (10**9 if reach is None else reach), s
-        return max(0, left - 1), (s[0], s[1], s[2] | {mark}) if left else s
+            return [] if state == "none" else [("seen", s)]
+        return [(state, marked(s, mark, state != "none"))]
 
-    return Transducer(0, arc, both)
+    return Transducer(["none", "to come"], arcs, lambda state: state != "to come")
 
 
-def match(state: None, s: Symbol) -> tuple[None, Symbol]:
+def matching() -> Transducer:
     """Insults and threats become patterns; a threat needs somebody whom the clause addresses."""
-    if s[0] == "insult":
-        name = "reported" if "reported" in s[2] else "negated" if "negated" in s[2] else "targeted" if "addressed" in s[2] else "insult"
-        return state, (name, s[1], s[2])
-    if s[0] == "threat" and "addressed" in s[2] and not s[2] & {"reported", "negated"}:
-        return state, ("threat", CLEAR, s[2])
-    return state, ("other", 0.0, s[2])
+
+    def arcs(state: int, s: Symbol) -> list[Arc]:
+        kind, marks = s
+        if kind == "insult":
+            return [(0, next((p for p, m in (("reported", "reported"), ("negated", "negated"), ("targeted", "addressed")) if m in marks), "insult"))]
+        return [(0, "threat" if kind == "threat" and marks == {"addressed"} else None)]
+
+    return Transducer([0], arcs)
 
 
-GRAMMAR = [marking("negation", "negated", REACH), marking("report", "reported", None), marking("target", "addressed", None, both=True), Transducer(None, match)]
+def piling() -> Transducer:
+    """A loose insult after another insult becomes ``again``."""
+    return Transducer([0], lambda seen, p: [(1 if seen or p in ("insult", "targeted") else 0, "again" if seen and p == "insult" else p)])
+
+
+def composed(parts: list[Transducer]) -> tuple[list[int], dict[tuple[int, str], list[tuple[int, str | None]]], set[int]]:
+    """One machine that reads what the first part reads and writes what the last one writes: starts, arcs, final states."""
+    number: dict[tuple, int] = {}
+    name = lambda states: number.setdefault(states, len(number))
+    starts = [name(s) for s in product(*(t.starts for t in parts))]
+    arcs, done = {}, 0
+    while done < len(number):
+        states = list(number)[done]
+        for kind in KINDS:
+            ways: list[tuple[tuple, object]] = [((), (kind, frozenset()))]
+            for t, state in zip(parts, states):
+                ways = [(path + (n,), out) for path, s in ways for n, out in t.arcs(state, s)]
+            arcs[done, kind] = [(name(path), out) for path, out in ways]
+        done += 1
+    return starts, arcs, {k for states, k in number.items() if all(t.final(x) for t, x in zip(parts, states))}
+
+
+STARTS, ARCS, FINAL = composed([following("negation", "negated", REACH), following("report", "reported", None), around("target", "addressed"), matching(), piling()])
 FIXED = {w: kind for kind, words in (("threat", THREATS), ("report", REPORTS), ("negation", NEGATIONS), ("target", TARGETS)) for w in words.split()}
 
 
@@ -109,26 +151,28 @@ class Grammar:
     def __init__(self, lexicon: dict[str, float]) -> None:
         self.lexicon, self.known = lexicon, {}
 
-    def symbol(self, word: str) -> Symbol:
+    def symbol(self, word: str) -> tuple[str, float]:
+        """Kind and weight of a word."""
         s = self.known.get(word)
         if s is None:
             if len(self.known) > MAX_WORDS:
                 self.known.clear()
             kind = FIXED.get(word)
             weight = max((self.lexicon.get(f, 0.0) for f in features_of(word)), default=0.0) if kind is None else 0.0
-            s = self.known[word] = ("insult", weight, frozenset()) if weight else (kind or "other", 1.0, frozenset())
+            s = self.known[word] = ("insult", weight) if weight else (kind or "other", CLEAR)
         return s
 
     def clauses(self, text: str) -> Iterator[list[tuple[str, float]]]:
         """The patterns matched in each clause that has one."""
+        alive: dict[int, list[tuple[str, float]]] = {k: [] for k in STARTS}
         for clause in _CLAUSE.split(text):
-            symbols = [self.symbol(w) for w in _WORD.findall(clause)]
-            if any(s[0] in ("insult", "threat") for s in symbols):
-                for t in GRAMMAR:
-                    symbols = t.run(symbols)
-                found = [(s[0], s[1]) for s in symbols if s[0] != "other"]
-                if found:
-                    yield found
+            for kind, weight in [*map(self.symbol, _WORD.findall(clause)), ("end", 0.0)]:
+                # the paths of one clause differ in what they guess; only one of them comes to its end
+                alive = {n: found + [(out, weight)] if out else found for state, found in alive.items() for n, out in ARCS[state, kind]}
+            found = next(iter(alive.values()))
+            if found:
+                yield found
+                alive = dict.fromkeys(alive, [])
 
     def patterns(self, text: str) -> np.ndarray:
         """Weight of each of PATTERNS in the whole text, damped: one clear match counts most."""
@@ -143,43 +187,35 @@ class Grammar:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str) -> DataFrame:
-    """(label, text) of at most MAX_FIT rows of each label."""
+    """(label, text) of at most MAX_FIT rows of each label, one for each id."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
     of = lambda k: known.where(F.col("label") == k).orderBy(F.xxhash64("_id"), "_id").limit(MAX_FIT[k])
     picked = F.broadcast(of(0).unionByName(of(1)))
-    return docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(picked, F.col("_doc") == F.col("_id")).select("label", "text")
+    rows = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(picked, F.col("_doc") == F.col("_id"))
+    return materialize(rows.groupBy("_id", "label").agg(F.min("text").alias("text")).select("label", "text"))
 
 
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
-    """Insult words and beginnings with their weights: at most MAX_LEXICON, those with the largest ratios."""
+    """Insult words and beginnings with their weights: all that are significant."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             n = {0: Counter(), 1: Counter()}
             for label, text in zip(batch["label"].to_pylist(), batch["text"].to_pylist()):
-                n[label].update({f for w in set(_WORD.findall(text.lower())) for f in features_of(w)})
-                n[label][""] += 1
+                n[label].update({f for w in set(_WORD.findall(text.lower())) if w not in FIXED for f in features_of(w)})
             keys = list(n[0].keys() | n[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([n[1][k] for k in keys], pa.int64()), pa.array([n[0][k] for k in keys], pa.int64())], ["feature", "toxic", "clean"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([n[1][k] for k in keys], pa.int64()), pa.array([n[0][k] for k in keys], pa.int64())], ["feature", "toxic", "clean"])
 
-    counts = arrow_map(sample, batches, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    counts = counts.where("toxic >= 3 AND toxic > clean OR feature = ''")
-    most = counts.orderBy(F.col("feature") != "", F.desc(F.col("toxic") / (F.col("clean") + 1)), F.desc("toxic"), "feature").limit(MAX_LEXICON + 1).collect()
-    totals = next(((r["toxic"], r["clean"]) for r in most if r["feature"] == ""), (0, 0))
-    if not all(totals):
+    t_all, c_all = sample.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
+    if not t_all or not c_all:
         return {}
-    t_all, c_all = totals
-    out = {}
-    for r in most:
-        a, b = r["toxic"], r["clean"]
-        if r["feature"] == "" or r["feature"] in FIXED:
-            continue
-        share = (a + b) / (t_all + c_all)
-        ratio = 2 * (a * math.log(a / (t_all * share)) + (b * math.log(b / (c_all * share)) if b else 0))
-        weight = math.log((a + 0.5) / (t_all + 1)) - math.log((b + 0.5) / (c_all + 1))
-        if ratio >= MIN_RATIO and weight >= MIN_WEIGHT:
-            out[r["feature"]] = weight
-    return out
+    counts = arrow_map(sample, batches, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    a, b = F.col("toxic"), F.col("clean")
+    share = (a + b) / (t_all + c_all)
+    ratio = 2 * (a * F.log(a / (t_all * share)) + F.when(b > 0, b * F.log(b / (c_all * share))).otherwise(0.0))
+    weight = F.log((a + 0.5) / (t_all + 1)) - F.log((b + 0.5) / (c_all + 1))
+    found = counts.where("toxic >= 3 AND toxic > clean").select("feature", ratio.alias("ratio"), weight.alias("weight"))
+    return {r["feature"]: r["weight"] for r in found.where((F.col("ratio") >= MIN_RATIO) & (F.col("weight") >= MIN_WEIGHT)).collect()}
 
 
 def fit_patterns(x: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
@@ -190,7 +226,14 @@ def fit_patterns(x: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
         d = (1 / (1 + np.exp(-(x @ w + bias))) - y) * share
         w = np.maximum(w - 2.0 * (x.T @ d + 0.002 * (w - prior)), 0.0)
         bias -= 2.0 * d.sum()
-    return np.append(w, min(bias, -1.5))
+    return held_below(np.append(w, min(bias, -1.5)))
+
+
+def held_below(w: np.ndarray) -> np.ndarray:
+    """Weights under which one loose, negated or reported insult scores LONE at most, and all others weigh what a loose one was fitted to."""
+    loose = np.isin(PATTERNS, ["insult", "negated", "reported"])
+    most = (np.log(LONE / (1 - LONE)) - w[-1]) / (1 + 0.3 * np.log(2))
+    return np.append(np.where(loose, np.minimum(w[:-1], most), np.maximum(w[:-1], w[0])), w[-1])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,7 +250,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
     rows = arrow_map(sample, measure, "label int, x array<double>").collect()
     y = np.array([r["label"] for r in rows], float)
     x = np.array([r["x"] for r in rows]).reshape(-1, len(PATTERNS))
-    w = fit_patterns(x, y) if 0 < y.sum() < len(y) else np.append(np.full(len(PATTERNS), 4.0), -3.0)
+    w = fit_patterns(x, y) if 0 < y.sum() < len(y) else held_below(np.append(np.full(len(PATTERNS), 4.0), -3.0))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(lexicon)

@@ -193,7 +193,7 @@ def test_grammar_composes():
     assert names("you blarg") == [["targeted"]] and names("a blarg") == [["insult"]] and names("stemming up") == [["insult"]]
     assert names("he is not a blarg") == [["negated"]] and names("not one two three a blarg") == [["insult"]]
     assert names("she said he is a blarg. blarg") == [["reported"], ["insult"]]
-    assert names("i will kill you") == [] and names("you i will kill") == [["threat"]] and names("nothing here") == []
+    assert names("i will kill you") == [["threat"]] and names("you i will kill") == [["threat"]] and names("nothing here") == []
 
 
 def test_threats_before_and_after_their_target(spark):
@@ -211,6 +211,42 @@ def test_threats_before_and_after_their_target(spark):
         assert got[60] >= 0.7 and got[61] >= 0.7 and got[1] < 0.7
 
 
+def brute_patterns(kinds):
+    """Patterns of symbols (clauses end at "end"), rule by rule, without any machine."""
+    out, any_insult, clauses = [], False, [[]]
+    for k in kinds:
+        clauses.append([]) if k == "end" else clauses[-1].append(k)
+    for c in clauses:
+        for i, k in enumerate(c):
+            # a reach counts from its last negation
+            last = max((j for j in range(i) if c[j] == "negation"), default=-10)
+            negated, reported, addressed = i - last <= toxicity.REACH, "report" in c[:i], "target" in c
+            if k == "insult":
+                name = "reported" if reported else "negated" if negated else "targeted" if addressed else "again" if any_insult else "insult"
+                any_insult |= name in ("insult", "targeted")
+                out.append(name)
+            elif k == "threat" and addressed and not negated and not reported:
+                out.append("threat")
+    return out
+
+
+def test_machine_agrees_with_its_rules():
+    word = {"insult": "blarg", "threat": "kill", "target": "you", "negation": "not", "report": "said", "other": "tree", "end": "."}
+    g, rng = toxicity.Grammar({"blarg": 6.0}), random.Random(11)
+    for _ in range(3000):
+        kinds = [rng.choice(toxicity.KINDS) for _ in range(rng.randrange(14))]
+        got = [n for c in g.clauses(" ".join(word[k] for k in kinds)) for n, _ in c]
+        assert got == brute_patterns(kinds), kinds
+
+
+def test_lone_words_stay_below(spark):
+    plain = ["what a river and the green table walk over an open door " * 3 + str(i) for i in range(150)]
+    docs = documents(spark, [t + (". what a blarg" if i % 5 == 0 else "") for i, t in enumerate(plain)] + ["what a blarg", "what a blarg. blarg", "you are a blarg", "not a blarg", "she said you are a blarg"])
+    lab = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(150)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, lab).collect()}
+    assert got[1] < got[150] < 0.7 <= got[151] and got[152] >= 0.7 and got[153] < 0.7 and got[154] < 0.7
+
+
 # ---- 5: BPE ----
 
 

@@ -1,17 +1,22 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects documents of which a signal exceeds a cutoff. Its cutoffs are chosen from a fixed grid
-with labelled holdout documents: in each stratum (a band of lengths) a rule's chain of cutoffs is tested
-from the loosest on, and a cutoff is certified while the exact binomial upper bound on the share of good
-documents that it rejects stays within ``max_false / rules``. A chain stops at its first failure (fixed
-sequence, which needs no correction inside a chain); the level is divided by the number of chains
-(Bonferroni), so with probability ``1 - delta`` no stratum loses more than ``max_false`` of its good
-documents. Of the certified cutoffs the one that rejects most bad documents is used, counting a good one as
-COST bad ones; without certified cutoffs the rule is off in that stratum.
+Each rule rejects documents of which a signal exceeds a cutoff from a fixed grid; the rules of a stratum (a band
+of lengths) work together. The labelled texts, copies counted once, are split by a hash. The tuning part gives
+each stratum one path of ever stricter settings: step by step the cutoff is lowered that loses the fewest good
+texts and then rejects the most bad ones, as long as a step rejects more than COST bad ones for each good one
+lost. The holdout part tests the path from its loosest setting on: a setting is certified while the exact
+binomial upper bound on the share of good texts that any of its rules rejects stays within ``max_false``. The
+test stops at its first failure (fixed sequence, which needs no correction inside a path) and the level is
+divided by the number of strata (Bonferroni). The last certified setting is used; without one the rules are
+off in that stratum.
+
+So with probability ``1 - delta`` no stratum loses more than ``max_false`` of its good documents that pass the
+base rules; the base rules are fixed by the caller and no part of the bound.
 
 Defined results: null and empty texts have no words and fail the base rules; each row gives one row;
-labels of null doc_ids, null labels and documents without labels don't count; a doc_id with several labels
-counts as good if any of them is; other columns are ignored.
+labels of null doc_ids, null labels and documents without labels don't count; a doc_id with several labels, and
+a text that several labelled documents have, counts as good if any of them is; a very long text is measured whole;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,9 +44,11 @@ CUTOFFS = {
     "dup_line_share": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1],
     "mark_rate": [2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.35, 0.3],
 }
-#: Good documents that one rejected bad document is worth, in thousandths: a good one costs 20 bad ones.
+#: Bad texts that must be rejected for each good one that is lost.
 COST = 20
 SYMBOLS = b"#*$%&|<>"
+#: One part in TUNING of the labelled texts gives the paths, the others certify them.
+TUNING = 3
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_marks")
 _KIND = np.zeros((4, 256), bool)
 _KIND[0, list(SYMBOLS)] = True
@@ -87,16 +94,16 @@ def counts(texts: list[bytes]) -> np.ndarray:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the COUNTS of every whole text."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), body(text_col).alias("body"))
+    """doc_id, the COUNTS of every whole text, and text_hash."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), body(text_col).alias("body"), F.xxhash64(body(text_col)).alias("text_hash"))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             n = counts(batch["body"].to_pylist())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(n[:, k], pa.int64()) for k in range(len(COUNTS)))], ["doc_id", *COUNTS])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(n[:, k], pa.int64()) for k in range(len(COUNTS))), batch["text_hash"]], ["doc_id", *COUNTS, "text_hash"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return arrow_map(rows, batches, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return arrow_map(rows, batches, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in (*COUNTS, "text_hash")))
 
 
 def signals() -> dict[str, Column]:
@@ -131,34 +138,61 @@ def certified(rejected: int, n: int, most: float, level: float) -> bool:
     return n > 0 and binomial_cdf(rejected, n, most) <= level
 
 
-def choose_cutoffs(measured: DataFrame, labels: DataFrame, max_false: float = 0.02, delta: float = 0.05, id_col: str = "doc_id", label_col: str = "quality") -> dict[tuple[int, str], float]:
-    """Cutoffs by stratum and signal. What comes to the driver is a count for each grid cell: its size is fixed."""
+def labelled_texts(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """Measured texts that pass the base rules and have a label, copies once: good and tuning beside the COUNTS."""
     good = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_good"))
     held = measured.where(~base_failed()).join(good, F.col("doc_id") == F.col("_id"))
-    cells = {f"{s}_{k}": F.sum((v > c).cast("long")) for s, v in signals().items() for k, c in enumerate(CUTOFFS[s])}
-    table = held.groupBy(stratum().alias("_stratum"), F.col("_good").cast("int").alias("_good")).agg(F.count(F.lit(1)).alias("_n"), *(v.alias(c) for c, v in cells.items())).collect()
-    level, most = delta / (len(BANDS) * len(CUTOFFS)), max_false / len(CUTOFFS)
+    once = held.groupBy("text_hash").agg(F.max("_good").cast("int").alias("good"), *(F.first(c).alias(c) for c in COUNTS))
+    return once.withColumn("tuning", F.pmod(F.xxhash64("text_hash"), F.lit(TUNING)) == 0)
+
+
+Step = tuple[str, float]
+
+
+def path_of(lost: dict[Step, int], caught: dict[Step, int]) -> list[Step]:
+    """Ever stricter settings from counts of good texts lost and bad ones caught by each cutoff: one cutoff is lowered in each step."""
+    at, out = dict.fromkeys(CUTOFFS, -1), []
+    while True:
+        found = []
+        for n, (s, grid) in enumerate(CUTOFFS.items()):
+            since = (lost[s, grid[at[s]]], caught[s, grid[at[s]]]) if at[s] >= 0 else (0, 0)
+            for k in range(at[s] + 1, len(grid)):
+                good, bad = lost[s, grid[k]] - since[0], caught[s, grid[k]] - since[1]
+                if bad > COST * good:
+                    found.append((good, -bad, n, k, s))
+        if not found:
+            return out
+        _, _, _, k, s = min(found)
+        at[s] = k
+        out.append((s, CUTOFFS[s][k]))
+
+
+def choose_cutoffs(measured: DataFrame, labels: DataFrame, max_false: float = 0.02, delta: float = 0.05, id_col: str = "doc_id", label_col: str = "quality") -> dict[tuple[int, str], float]:
+    """Cutoffs by stratum and signal. What comes to the driver is a count for each grid cell: its size is fixed."""
+    texts = materialize(labelled_texts(measured, labels, id_col, label_col).withColumn("stratum", stratum()))
+    cells = {(s, c): F.sum((v > c).cast("long")) for s, v in signals().items() for c in CUTOFFS[s]}
+    found = texts.where("tuning").groupBy("stratum", "good").agg(*(v.alias(f"c{k}") for k, v in enumerate(cells.values()))).collect()
+    counted = {(r["stratum"], r["good"]): {step: r[f"c{k}"] for k, step in enumerate(cells)} for r in found}
+    none = dict.fromkeys(cells, 0)
+    paths = {band: path_of(counted.get((band, 1), none), counted.get((band, 0), none)) for band in range(len(BANDS))}
+    steps = [F.when((F.col("stratum") == band) & (signals()[s] > c), F.lit(k)) for band, path in paths.items() for k, (s, c) in enumerate(path)]
+    if not steps:
+        return {}
+    # the step from which on a text is rejected
+    tested = texts.where("NOT tuning AND good = 1").groupBy("stratum", F.array_min(F.array(*steps)).alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
     out = {}
-    for band in range(len(BANDS)):
-        of = {r["_good"]: r for r in table if r["_stratum"] == band}
-        if 1 not in of:
-            continue
-        for s, grid in CUTOFFS.items():
-            best, at = 0, None
-            for k, c in enumerate(grid):
-                lost = of[1][f"{s}_{k}"]
-                if not certified(lost, of[1]["_n"], most, level):
-                    break
-                gain = (of[0][f"{s}_{k}"] if 0 in of else 0) - COST * lost
-                if gain > best:
-                    best, at = gain, c
-            if at is not None:
-                out[band, s] = at
+    for band, path in paths.items():
+        n = sum(r["n"] for r in tested if r["stratum"] == band)
+        for k, (s, c) in enumerate(path):
+            rejected = sum(r["n"] for r in tested if r["stratum"] == band and r["step"] is not None and r["step"] <= k)
+            if not certified(rejected, n, max_false, delta / len(BANDS)):
+                break
+            out[band, s] = c
     return out
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, max_false: float = 0.02, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, COUNTS, stratum, base_failed, kept and failed_rules of every document."""
+    """doc_id, COUNTS, text_hash, stratum, base_failed, kept and failed_rules of every document."""
     measured = materialize(measure(docs, id_col, text_col))
     cutoffs = choose_cutoffs(measured, labels, max_false, delta)
     s = signals()

@@ -171,6 +171,69 @@ def test_binomial_bounds(spark):
     assert (1, "symbol_rate") in cut and 0 < cut[1, "symbol_rate"] < 1
 
 
+def brute_cutoffs(rows, max_false, delta):
+    """Paths and certification over plain rows (stratum, good, tuning, signals), with fractions."""
+    from fractions import Fraction
+    from math import comb
+
+    out = {}
+    for band in range(len(quality_rules.BANDS)):
+        own = [r for r in rows if r["stratum"] == band]
+        tune = lambda good, s, c: sum(r["good"] == good and r[s] > c for r in own if r["tuning"])
+        setting, stop = {}, False
+        good = [r for r in own if r["good"] and not r["tuning"]]
+        while not stop:
+            options = []
+            for n, (s, grid) in enumerate(quality_rules.CUTOFFS.items()):
+                for c in grid:
+                    if c < setting.get(s, float("inf")):
+                        g = tune(1, s, c) - (tune(1, s, setting[s]) if s in setting else 0)
+                        b = tune(0, s, c) - (tune(0, s, setting[s]) if s in setting else 0)
+                        if b > quality_rules.COST * g:
+                            options.append((g, -b, n, -c, s))
+            if not options:
+                break
+            _, _, _, c, s = min(options)
+            setting = setting | {s: -c}
+            lost = sum(any(r[x] > y for x, y in setting.items()) for r in good)
+            p = Fraction(str(max_false))
+            tail = sum(comb(len(good), k) * p**k * (1 - p) ** (len(good) - k) for k in range(lost + 1))
+            stop = not good or tail > Fraction(str(delta)) / len(quality_rules.BANDS)
+            if not stop:
+                out[band, s] = -c
+    return out
+
+
+def test_cutoffs_by_brute_force(spark):
+    rng = random.Random(8)
+    bits = "the river runs under an old bridge of stone and wood near town".split()
+    texts, labels_ = [], []
+    for i in range(1500):
+        good = rng.random() < 0.6
+        n = rng.choice([60, 250, 700])
+        w = [rng.choice(bits) + str(rng.randrange(500)) for _ in range(n)]
+        noise = 0.02 if good else rng.choice([0.02, 0.3, 0.6])
+        kind = rng.choice(["#", "!", "up"])
+        w = [x.upper() if rng.random() < noise and kind == "up" else x + kind if rng.random() < noise and kind != "up" else x for x in w]
+        texts += [" ".join(w)] * (3 if i % 50 == 0 else 1)
+        labels_ += [int(good)] * (3 if i % 50 == 0 else 1)
+    docs = documents(spark, texts)
+    lab = spark.createDataFrame(list(enumerate(labels_)), "doc_id long, quality int")
+    measured = quality_rules.measure(docs)
+    rows = quality_rules.labelled_texts(measured, lab).withColumns(quality_rules.signals()).withColumn("stratum", quality_rules.stratum()).collect()
+    assert len(rows) == len(set(texts))  # copies count once
+    for max_false in (0.02, 0.05):
+        cut = quality_rules.choose_cutoffs(measured, lab, max_false)
+        assert cut == brute_cutoffs(rows, max_false, 0.05)
+    assert len({s for _, s in cut}) > 1
+    # certified cutoffs take effect
+    out = quality_rules.quality_rules(docs, lab, 0.05).join(lab, "doc_id").collect()
+    values = {r.doc_id: r for r in measured.withColumns(quality_rules.signals()).collect()}
+    for r in out:
+        assert set(r.failed_rules) == {s for (b, s), c in cut.items() if b == r.stratum and values[r.doc_id][s] > c} and r.kept == (not r.base_failed and not r.failed_rules)
+    assert sum(not r.kept for r in out if not r.quality) > 100 and sum(not r.kept for r in out if r.quality) <= 0.05 * sum(r.quality for r in out)
+
+
 # ---- 4: toxicity ----
 
 

@@ -1,20 +1,26 @@
 """Language ID by Bayesian evidence fusion.
 
-Four kinds of evidence are multiplied for each language: the likelihood of the text (byte trigrams, worth
-EVIDENCE trigrams at most, as neighbours depend on each other); of the declared markup language and of the
-address suffix, each estimated by grouped sums of text posteriors over all rows; and the prior of the
-host, smoothed towards its domain's, which is smoothed towards the whole corpus'. A row's own posterior is
-taken out of its host's sums. An undetermined language, under which every byte trigram is equally likely,
-competes with the others.
+Four kinds of evidence are multiplied for each language: the likelihood of the text; of the declared markup
+language and of the address suffix, each estimated by grouped sums of text posteriors over all rows; and the
+prior of the host, smoothed towards its domain's (hosts without a dot have none), which is smoothed towards the
+whole corpus'. A row's own posterior is taken out of the sums. An undetermined language competes with the others; a
+share FLOOR of the prior is always its own, so that text evidence can reject any row.
+
+A text's likelihood has two factors. One is the mean one of its trigrams of letters and spaces, worth as many of them as
+are different, EVIDENCE at most, as neighbours and repeated ones depend on each other; the undetermined language has all
+of them equally likely. The other is
+that of their share among all trigrams of a text with LEAST of them, in COVERAGE bands: texts of digits, marks and keys
+are rare in a language and as likely as any in the undetermined one. It counts once for every SPREAD of those trigrams.
 
 The text model has every language with labels, however many, and is fitted on at most MAX_FIT different
 texts of each, with counts from a grouped aggregation. It is kept sparse; LANGUAGES_AT_ONCE languages are laid
 out as a table at a time. All rows are scored whole. Evidence is an array of one number for each language.
 
-Defined results: a null text, and one without a trigram of letters and spaces, has no text evidence; missing declarations,
-suffixes and hosts are no evidence; unknown declared languages are one value; a row without any evidence is
-undetermined and rejected; each row gives one row; without labelled rows all are undetermined. Other columns
-are ignored.
+Defined results: a null text, and one of fewer than three bytes, has no text evidence; null labels are not learned
+from; missing declarations, suffixes and hosts are no evidence; unknown declared languages are one value; a row without
+a trigram of letters and without other evidence is undetermined and rejected; of languages that tie, the first in alphabetical order wins, and the
+undetermined one last; each row gives one row, equal rows equal ones; without labelled rows all are undetermined.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +38,16 @@ from linkwright.shipping import arrow_map
 
 #: Buckets of byte trigrams; different labelled texts of each language; languages in a table.
 BUCKETS, MAX_FIT, LANGUAGES_AT_ONCE = 1 << 15, 1500, 32
+#: Times that a trigram counts in one fitted text.
+REPEATS = 2
 #: Trigrams that a text counts for at most; pseudo-rows of smoothing.
 EVIDENCE, SMOOTH = 60.0, 5.0
+#: Lower bounds of the bands of the share of trigrams that have letters and spaces only; the first band is no such trigram.
+COVERAGE = (0.0, 0.05, 0.15, 0.3, 0.5)
+#: Trigrams from which their share counts, and that it counts once for.
+LEAST, SPREAD = 8, 15.0
+#: Share of the prior that stays with the undetermined language.
+FLOOR = 0.01
 #: Posterior from which a language is accepted.
 ACCEPT = 0.5
 UNDETERMINED = "und"
@@ -56,11 +70,24 @@ def worded(buf: np.ndarray) -> np.ndarray:
     return ok[:-2] & ok[1:-1] & ok[2:]
 
 
-def text_evidence(texts: list[bytes], table: np.ndarray) -> np.ndarray:
-    """Log-likelihood of each text under each column of ``table``, cut to EVIDENCE trigrams."""
+def band(worded_: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Band of COVERAGE of some counts of trigrams; the last one has texts of fewer than LEAST."""
+    return np.where(of < LEAST, len(COVERAGE) + 1, np.where(worded_ > 0, np.searchsorted(COVERAGE[1:], worded_ / np.maximum(of, 1), "right") + 1, 0))
+
+
+N_BANDS = len(COVERAGE) + 2
+
+
+def wordless(text: bytes) -> bool:
+    """Whether no trigram has letters and spaces only."""
+    return len(text) < 3 or not worded(np.frombuffer(text, np.uint8)).any()
+
+
+def text_evidence(texts: list[bytes], table: np.ndarray, coverage: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each text under each column of ``table`` (trigrams) and ``coverage`` (bands)."""
     out = []
     for some in groups(texts):
-        n, ll = np.zeros(len(some)), np.zeros((len(some), table.shape[1]))
+        ll = np.zeros((len(some), table.shape[1]))
         full = [k for k, t in enumerate(some) if len(t) > 2]
         if full:
             size = np.array([len(some[k]) for k in full])
@@ -68,9 +95,13 @@ def text_evidence(texts: list[bytes], table: np.ndarray) -> np.ndarray:
             at = np.cumsum(size) - size
             on = worded(buf)
             on[at + size - 1] = on[at + size - 2] = False  # they reach into the next text
-            ll[full] = np.add.reduceat(table[trigrams(buf)] * on[:, None], at, dtype=np.float64)
-            n[full] = np.add.reduceat(on.astype(np.int64), at)
-        out.append(ll * (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None])
+            code = trigrams(buf)
+            own = np.repeat(np.arange(len(full)), size)[on]
+            n = np.bincount(own, minlength=len(full))
+            different = np.bincount(np.unique(own * BUCKETS + code[on]) // BUCKETS, minlength=len(full))
+            mean = np.add.reduceat(table[code] * on[:, None], at, dtype=np.float64) / np.maximum(n, 1)[:, None]
+            ll[full] = mean * np.minimum(different, EVIDENCE)[:, None] + coverage[band(n, size - 2)] * (np.minimum(size - 2, EVIDENCE) / SPREAD)[:, None]
+        out.append(ll)
     return np.concatenate(out) if out else np.zeros((0, table.shape[1]))
 
 
@@ -78,6 +109,12 @@ class TextModel:
     """Log-probabilities of buckets under each language, and last under the undetermined one. Unseen buckets of a language share one value."""
 
     def __init__(self, n: int, k: np.ndarray, b: np.ndarray, count: np.ndarray) -> None:
+        """Counts by language k and bucket b; buckets from BUCKETS on count the texts of each band."""
+        bands = np.full((N_BANDS, n + 1), 0.5)
+        np.add.at(bands[:, :n], (b[b >= BUCKETS] - BUCKETS, k[b >= BUCKETS]), count[b >= BUCKETS])
+        self.bands = np.log(bands / bands[:-1].sum(0))
+        self.bands[-1] = 0
+        k, b, count = (x[b < BUCKETS] for x in (k, b, count))
         order = np.lexsort((b, k))
         self.n, self.k, self.b, self.made = n, k[order], b[order], {}
         total = np.bincount(self.k, count[order], minlength=n) + 0.5 * BUCKETS
@@ -98,7 +135,7 @@ class TextModel:
         return self.made[at]
 
     def evidence(self, texts: list[bytes]) -> np.ndarray:
-        return np.concatenate([text_evidence(texts, self.table(at)) for at in range(0, self.n + 1, LANGUAGES_AT_ONCE)], axis=1)
+        return np.concatenate([text_evidence(texts, self.table(at), self.bands[:, at : at + LANGUAGES_AT_ONCE]) for at in range(0, self.n + 1, LANGUAGES_AT_ONCE)], axis=1)
 
 
 def fitting_sample(labelled: DataFrame) -> DataFrame:
@@ -122,20 +159,20 @@ def fit(docs: DataFrame, label: Column, text: Column) -> tuple[list[str], TextMo
             for lang, t in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
                 by.setdefault(lang, []).append(t)
             for lang, texts in by.items():
-                n = np.zeros(BUCKETS, np.int64)
+                n = np.zeros(BUCKETS + N_BANDS, np.int64)
                 for t in texts:
                     b = np.frombuffer(t, np.uint8)
-                    n += np.bincount(trigrams(b)[worded(b)], minlength=BUCKETS)
+                    seen = trigrams(b)[worded(b)]
+                    n += np.minimum(np.bincount(seen, minlength=len(n)), REPEATS)
+                    n[BUCKETS + band(np.array(len(seen)), np.array(len(b) - 2))] += 1
                 at = np.nonzero(n)[0]
-                # a language without letters has a model too: bucket null
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1), pa.string()), pa.array([None, *at.tolist()], pa.int32()), pa.array([0, *n[at].tolist()], pa.int64())], ["lang", "b", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "b", "n"])
 
     found = arrow_map(fitting_sample(labelled), batches, "lang string, b int, n long").groupBy("lang", "b").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(found["lang"].to_pylist()))
-    seen = found.filter(found["b"].is_valid())
     number = {lang: k for k, lang in enumerate(langs)}
-    k = np.array([number[x] for x in seen["lang"].to_pylist()], np.int64)
-    return langs, TextModel(len(langs), k, seen["b"].to_numpy().astype(np.int64), seen["n"].to_numpy().astype(np.float64))
+    k = np.array([number[x] for x in found["lang"].to_pylist()], np.int64)
+    return langs, TextModel(len(langs), k, found["b"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(np.float64))
 
 
 def soft(logs: Column) -> Column:
@@ -164,8 +201,13 @@ def towards(sums: Column, prior: Column) -> Column:
 
 
 def domain_of(host: Column) -> Column:
-    """The last two labels of a host."""
-    return F.substring_index(host, ".", -2)
+    """The last two labels of a host, null for one label."""
+    return F.when(host.contains("."), F.substring_index(host, ".", -2))
+
+
+def suffix_of(host: Column) -> Column:
+    """The last label of a host, null if it is the only one."""
+    return F.when(host.contains("."), F.substring_index(host, ".", -1))
 
 
 def identify(rows: DataFrame, id_col: str, text: Column, label: Column, declared: Column, host: Column, suffix: Column) -> DataFrame:
@@ -177,10 +219,11 @@ def identify(rows: DataFrame, id_col: str, text: Column, label: Column, declared
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            ll = model.evidence(batch["text"].to_pylist())
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["declared"], batch["host"], batch["suffix"], pa.array(ll.tolist(), pa.list_(pa.float64()))], ["id", "declared", "host", "suffix", "ll"])
+            texts = batch["text"].to_pylist()
+            own = [pa.array(model.evidence(texts).tolist(), pa.list_(pa.float64())), pa.array([wordless(t) for t in texts], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["declared"], batch["host"], batch["suffix"], *own], ["id", "declared", "host", "suffix", "ll", "wordless"])
 
-    seen = arrow_map(small, batches, f"id {kind}, declared string, host string, suffix string, ll array<double>")
+    seen = arrow_map(small, batches, f"id {kind}, declared string, host string, suffix string, ll array<double>, wordless boolean")
     seen = seen.withColumn("post", soft(F.col("ll"))).withColumn("domain", domain_of(F.col("host")))
     seen = seen.withColumn("declared", F.when(F.col("declared").isin(langs), F.col("declared")).when(F.col("declared").isNotNull(), F.lit(UNDETERMINED)))
     seen = materialize(seen)
@@ -198,18 +241,20 @@ def identify(rows: DataFrame, id_col: str, text: Column, label: Column, declared
         F.col(key).isNotNull(), F.transform(F.zip_with(without(F.col(f"sum_{key}")), without(F.col("whole")), lambda s, w: (F.greatest(s, F.lit(0.0)) + 0.5) / (F.greatest(w, F.lit(0.0)) + 0.5 * (n + 1))), lambda x: F.log(x))
     ).otherwise(none)
     out = out.withColumn("overall", overall).withColumn("of_domain", domain).withColumn("prior", prior)
+    own = F.array(*(F.lit(FLOOR * (k == len(langs))) for k in range(n)))
+    out = out.withColumn("prior", F.zip_with("prior", own, lambda p, f: (1 - FLOOR) * p + f))
     logs = add(add(add(F.col("ll"), F.transform("prior", lambda x: F.log(x))), given("declared")), given("suffix"))
     out = out.withColumn("fused", soft(logs))
     best = lambda p: F.get(F.lit([*langs, UNDETERMINED]), F.array_position(p, F.array_max(p)).cast("int") - 1)
-    silent = (F.array_max("ll") == 0) & F.col("declared").isNull() & F.col("host").isNull() & F.col("suffix").isNull()
+    silent = F.col("wordless") & F.col("declared").isNull() & F.col("host").isNull() & F.col("suffix").isNull()
     language = F.when(silent, F.lit(UNDETERMINED)).otherwise(best(F.col("fused")))
     out = out.select(F.col("id").alias(id_col), language.alias("language"), F.array_max("fused").alias("confidence"), best(F.col("post")).alias("text_language"))
     return out.withColumn("kept", (F.col("language") != UNDETERMINED) & (F.col("confidence") >= ACCEPT))
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
-    """Documents: ``lang`` is the declared language and labels the fitting sample, ``source`` stands for the host."""
-    return identify(docs, "doc_id", F.col("text"), F.col("lang"), F.col("lang"), F.col("source"), F.lit(None))
+    """Documents: ``lang`` is the declared language and labels the fitting sample, ``source`` is the host or the name of one."""
+    return identify(docs, "doc_id", F.col("text"), F.col("lang"), F.col("lang"), F.col("source"), suffix_of(F.col("source")))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
@@ -230,7 +275,9 @@ def identify_pages(pages: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is identified."""
+    """The rows of ``docs`` whose language is identified; of rows that share a doc_id each stays or goes by its own text."""
     # written first: a filter on ``kept`` would otherwise carry copies of all the expressions behind it
-    gone = materialize(identify_documents(docs)).where(~F.col("kept")).select("doc_id")
-    return without(docs, gone, F.col("doc_id"))
+    key = F.struct("doc_id", F.xxhash64(body()).alias("hash"))
+    found = identify(docs.withColumn("_key", key), "_key", F.col("text"), F.col("lang"), F.col("lang"), F.col("source"), suffix_of(F.col("source")))
+    gone = materialize(found).where(~F.col("kept")).select("_key.doc_id", "_key.hash")
+    return without(docs, gone, F.col("doc_id"), F.xxhash64(body()))

@@ -97,6 +97,72 @@ def test_every_labelled_language_has_a_model(spark):
     assert all(r.language == want[r.doc_id] == r.text_language and r.kept for r in got) and len(got) == len(rows)
 
 
+def brute_fusion(rows, langs, model):
+    """(language, confidence) of rows (text, declared, host, suffix), sum by sum."""
+    n, floor, smooth = len(langs) + 1, language_id.FLOOR, language_id.SMOOTH
+    ll = model.evidence([(t or "").encode() for t, *_ in rows])
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    post = np.array([soft(x) for x in ll])
+    rows = [(t, d if d in langs else None if d is None else "und", h, s) for t, d, h, s in rows]
+    domain = lambda h: ".".join(h.split(".")[-2:]) if h and "." in h else None
+    shares = lambda sums, prior: (np.maximum(sums, 0) + smooth * prior) / (np.maximum(sums, 0) + smooth * prior).sum()
+    out = []
+    for i, (t, d, h, s) in enumerate(rows):
+        others = lambda f: sum((post[j] for j in range(len(rows)) if j != i and f(rows[j])), np.zeros(n))
+        prior = shares(others(lambda r: True), np.full(n, 1 / n))
+        if domain(h):
+            prior = shares(others(lambda r: domain(r[2]) == domain(h)), prior)
+        if h is not None:
+            prior = shares(others(lambda r: r[2] == h), prior)
+        prior = (1 - floor) * prior + floor * np.eye(n)[-1]
+        logs = ll[i] + np.log(prior)
+        for k, v in ((1, d), (3, s)):
+            if v is not None:
+                logs = logs + np.log((others(lambda r: r[k] == v) + 0.5) / (others(lambda r: True) + 0.5 * (n + 1)))
+        fused = soft(logs)
+        silent = language_id.wordless((t or "").encode()) and d is None and h is None and s is None
+        out.append(("und" if silent else [*langs, "und"][int(fused.argmax())], float(fused.max())))
+    return out
+
+
+def test_fusion_by_brute_force(spark):
+    rng = random.Random(6)
+    own = {k: ["".join(rng.choice(a) for _ in range(5)) for _ in range(25)] for k, a in (("aa", "abcdef"), ("bb", "defghi"), ("cc", "mnopqr"))}
+    rows = []
+    for i in range(160):
+        k = rng.choice(list(own))
+        text = " ".join(rng.choice(own[k]) for _ in range(rng.choice([1, 2, 30])))
+        text = rng.choice([text, text, text, "12 | 34 || 56 " * 9, "q7w8 z9x1 " * 12, "", None])
+        declared = rng.choice([k, k, None, "zz", rng.choice(list(own))])
+        host = rng.choice([f"{k}.example.{k}", f"{k}.example.{k}", f"x.example.{k}", "plain", None])
+        rows.append((text, declared, host, rng.choice([None, k])))
+    rows += [rows[3]] * 4 + [(None, None, None, None), ("12 34 56 78 90 12", None, None, None), ("", "aa", None, None)]
+    df = spark.createDataFrame([(i, *r, r[1] if r[1] in own and i % 3 else None) for i, r in enumerate(rows)], "id long, text string, declared string, host string, suffix string, label string")
+    col = F.col
+    langs, model = language_id.fit(df, col("label"), language_id.body("text"))
+    assert langs == ["aa", "bb", "cc"]
+    got = {r.id: r for r in language_id.identify(df, "id", col("text"), col("label"), col("declared"), col("host"), col("suffix")).collect()}
+    want = brute_fusion(rows, langs, model)
+    for i, (language, confidence) in enumerate(want):
+        assert got[i].language == language and got[i].confidence == pytest.approx(confidence, abs=1e-6), rows[i]
+        assert got[i].kept == (language != "und" and confidence >= language_id.ACCEPT)
+    assert len({x for x, _ in want}) == 4
+    # without text and other evidence all languages tie: the first one wins
+    tie = spark.createDataFrame([(0, "", None, "h", None, None), (1, "aaaa aaaa", None, None, None, "aa"), (2, "aaaa aaaa", None, None, None, "bb")], df.schema)
+    out = {r.id: r.language for r in language_id.identify(tie, "id", col("text"), col("label"), col("declared"), col("host"), col("suffix")).collect()}
+    assert out[0] == "aa"
+
+
+def test_junk_is_rejected_whatever_is_declared(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    junk = ["123 | 4711 || 0815 | " * 30, "a8f3kq2z9x7b1c4d " * 80, "xqzvkjw qqxz wvkz " * 20]
+    extra = spark.createDataFrame([(-1 - i, t, "en", "src1", 0) for i, t in enumerate(junk)] + [(-1, df.first().text, "en", "src1", 0)], COLUMNS)
+    docs = df.select("doc_id", "text", "lang", "source", "n_chars").unionByName(extra)
+    got = language_id.keep_identified(docs)
+    # the good row that has a rejected row's doc_id stays
+    assert got.columns == docs.columns and got.count() == df.count() + 1 and [r.text for r in got.where("doc_id < 0").collect()] == [df.first().text]
+
+
 def test_fitting_sample_is_exact(spark, monkeypatch):
     monkeypatch.setattr(language_id, "MAX_FIT", 50)
     rows = [("en", f"text {i}") for i in range(1000)] + [("en", "one copy of many")] * 600 + [("de", f"wort {i}") for i in range(20)] * 3

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,17 +21,27 @@ def tokens(s: Column) -> Column:
     return F.array_distinct(F.filter(F.split(s, r"\s+"), lambda w: w != ""))
 
 
-def _share(a: Column, b: Column, score: Column) -> Column:
-    none_a, none_b = F.size(tokens(a)) == 0, F.size(tokens(b)) == 0
-    return F.when(none_a & none_b, F.lit(1.0)).when(none_a | none_b, F.lit(0.0)).otherwise(score)
+def _scored(x: Column, y: Column, score: Column) -> Column:
+    none_x, none_y = F.size(x) == 0, F.size(y) == 0
+    return F.when(none_x & none_y, F.lit(1.0)).when(none_x | none_y, F.lit(0.0)).otherwise(score)
+
+
+def dice(x: Column, y: Column) -> Column:
+    """Dice score of two lists of different tokens."""
+    return _scored(x, y, 2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
+
+
+def _of_tokens(a: Column, b: Column, score: Callable[[Column, Column], Column]) -> Column:
+    """A score of both texts' tokens, which are split once."""
+    return F.transform(F.array(F.struct(tokens(a).alias("x"), tokens(b).alias("y"))), lambda t: score(t["x"], t["y"]))[0]
 
 
 def word_jaccard(a: Column, b: Column) -> Column:
-    return _share(a, b, F.size(F.array_intersect(tokens(a), tokens(b))) / F.size(F.array_union(tokens(a), tokens(b))))
+    return _of_tokens(a, b, lambda x, y: _scored(x, y, F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))))
 
 
 def token_set(a: Column, b: Column) -> Column:
-    return _share(a, b, 2.0 * F.size(F.array_intersect(tokens(a), tokens(b))) / (F.size(tokens(a)) + F.size(tokens(b))))
+    return _of_tokens(a, b, dice)
 
 
 def contains_score(a: Column, b: Column) -> Column:
@@ -62,11 +73,18 @@ def jaro_winkler(a: Column, b: Column) -> Column:
 
 
 def _jaro(a: pa.Array, b: pa.Array) -> pa.Array:
-    return _pairs(jaro_of, a, b)
+    return _pairs(jaro_many, a, b, pa.float64())
 
 
 def _jaro_winkler(a: pa.Array, b: pa.Array) -> pa.Array:
-    return _pairs(winkler_of, a, b)
+    return _pairs(winkler_many, a, b, pa.float64())
+
+
+def winkler_bound(a: Column, b: Column) -> Column:
+    """What Jaro-Winkler is at most, whatever the letters."""
+    shorter = F.least(F.length(a), F.length(b))
+    bound = (F.try_divide(shorter, F.length(a)) + F.try_divide(shorter, F.length(b)) + 1) / 3
+    return F.when(shorter == 0, F.lit(0.0)).otherwise(bound + 0.4 * (1 - bound))
 
 
 def fuzzy_score(a: Column, b: Column) -> Column:
@@ -74,16 +92,27 @@ def fuzzy_score(a: Column, b: Column) -> Column:
 
 
 def fuzzy_at_least(a: Column, b: Column, threshold: float) -> Column:
-    return fuzzy_score(a, b) >= threshold
+    """Bounds first: the helper gets the texts of the rows that they leave open, and nulls for the others."""
+    sure = (a == b) | (contains_score(a, b) >= threshold) | (token_set(a, b) >= threshold)  # word Jaccard never exceeds Dice
+    open_ = ~sure & (winkler_bound(a, b) >= threshold)
+    near = jaro_winkler(F.when(open_, a), F.when(open_, b)) >= threshold
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).otherwise(sure | F.coalesce(near, F.lit(False)))
 
 
 def token_aware(a: Column, b: Column, threshold: float) -> Column:
     def batch(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([None if p is None or q is None else token_aware_of(p, q, threshold) for p, q in zip(x.to_pylist(), y.to_pylist())], pa.bool_())
+        return _pairs(lambda p, q: token_aware_many(p, q, threshold), x, y, pa.bool_())
 
     return arrow_helper(batch, "boolean")(a, b)
 
 
+def token_aware_open(a: Column, b: Column, threshold: float) -> Column:
+    """Whether ``token_aware`` can hold for two different texts: cheap tests that let no match go."""
+    near = (a.contains(" ") & b.contains(" ")) | (winkler_bound(a, b) >= threshold)
+    # words alone decide for one word against another's two only up to this threshold
+    return near | (token_set(a, b) >= threshold) if threshold <= 2 / 3 + 1e-9 else near
+
+
 def remix_compatible(track: dict[str, Column], song: dict[str, Column]) -> Column:
     """Whether the versions agree; each side has ``tags``, ``artist`` and ``title``."""
     t, m = track["tags"], song["tags"]
@@ -93,8 +122,84 @@ def remix_compatible(track: dict[str, Column], song: dict[str, Column]) -> Colum
     return F.when(none_t & none_m, F.lit(True)).when(shared, F.lit(True)).when(none_m, mention(t, song)).when(none_t, mention(m, track)).otherwise(F.lit(False))
 
 
-def _pairs(f, a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([None if x is None or y is None else f(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+def _pairs(many, a: pa.Array, b: pa.Array, kind: pa.DataType) -> pa.Array:
+    """``many`` of the pairs without nulls; the others are null."""
+    full = np.logical_and(a.is_valid().to_numpy(zero_copy_only=False), b.is_valid().to_numpy(zero_copy_only=False))
+    at = pa.array(np.flatnonzero(full))
+    out = np.zeros(len(a), kind.to_pandas_dtype())
+    out[full] = many(a.take(at).to_pylist(), b.take(at).to_pylist())
+    return pa.array(out, kind, mask=~full)
+
+
+# ---- helpers on batches ----
+
+#: Pairs whose letters are laid out at a time.
+LAID_OUT = 4096
+
+
+def jaro_many(a: list[str], b: list[str]) -> np.ndarray:
+    """``jaro_of`` of each pair; pairs of like lengths are laid out together."""
+    la, lb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    out = np.zeros(len(a))
+    order = np.argsort(np.maximum(la, lb), kind="stable")
+    order = order[(la[order] > 0) & (lb[order] > 0)]
+    for lo in range(0, len(order), LAID_OUT):
+        at = order[lo : lo + LAID_OUT]
+        out[at] = _jaro_block(letters([a[k] for k in at]), letters([b[k] for k in at]), la[at], lb[at])
+    return out
+
+
+def letters(texts: list[str]) -> np.ndarray:
+    """A row of code points for each text, zeros behind."""
+    return np.array(texts, np.str_).view(np.uint32).reshape(len(texts), -1)
+
+
+def _jaro_block(x: np.ndarray, y: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    reach = np.maximum(0, np.maximum(la, lb) // 2 - 1)
+    free = np.arange(y.shape[1]) < lb[:, None]
+    hit = np.zeros(x.shape, bool)
+    widest = int(reach.max())
+    for i in range(x.shape[1]):
+        lo, hi = max(0, i - widest), min(y.shape[1], i + widest + 1)
+        if lo >= hi:
+            break
+        near = free[:, lo:hi] & (y[:, lo:hi] == x[:, i, None]) & (np.abs(np.arange(lo, hi) - i) <= reach[:, None])
+        got = np.flatnonzero(near.any(1) & (i < la))
+        free[got, lo + near[got].argmax(1)] = False
+        hit[got, i] = True
+    m = hit.sum(1)
+    used = ~free & (np.arange(y.shape[1]) < lb[:, None])
+    moved = np.bincount(np.repeat(np.arange(len(m)), m), weights=x[hit] != y[used], minlength=len(m))
+    some = np.maximum(m, 1)
+    return np.where(m > 0, (m / la + m / lb + (m - moved / 2) / some) / 3, 0.0)
+
+
+def winkler_many(a: list[str], b: list[str]) -> np.ndarray:
+    j = jaro_many(a, b)
+    first = np.array([next((k for k in range(min(4, len(x), len(y))) if x[k] != y[k]), min(4, len(x), len(y))) for x, y in zip(a, b)], np.int64)
+    return j + 0.1 * first * (1 - j)
+
+
+def token_aware_many(a: list[str], b: list[str], threshold: float) -> np.ndarray:
+    """``token_aware_of`` of each pair: the letters that decide are compared together."""
+    cut = [compared(x, y, threshold) for x, y in zip(a, b)]
+    out = np.array([c is True for c in cut], bool)
+    at = [k for k, c in enumerate(cut) if type(c) is tuple]
+    out[at] = winkler_many([cut[k][0] for k in at], [cut[k][1] for k in at]) >= threshold
+    return out
+
+
+def fuzzy_many(a: list[str], b: list[str]) -> np.ndarray:
+    known = [1.0 if x == y else max(part_of(x, y), dice_of(x, y)) for x, y in zip(a, b)]
+    return np.maximum(known, winkler_many(a, b))
+
+
+def best_many(a: list[list[str]], b: list[list[str]]) -> np.ndarray:
+    """The best score of each pair of lists, 0 without any; equal pairs of texts are scored once."""
+    pairs = {(x, y): None for p, q in zip(a, b) for x in p for y in q}
+    texts = list(pairs)
+    scores = dict(zip(texts, fuzzy_many([x for x, _ in texts], [y for _, y in texts]).tolist()))
+    return np.array([max((scores[x, y] for x in p for y in q), default=0.0) for p, q in zip(a, b)], float)
 
 
 # ---- helpers on single strings ----
@@ -136,28 +241,30 @@ def dice_of(a: str, b: str) -> float:
     return 2 * len(x & y) / (len(x) + len(y))
 
 
+def part_of(a: str, b: str) -> float:
+    return CONTAINS_SCORE if min(len(a), len(b)) >= CONTAINS_LENGTH and (a in b or b in a) else 0.0
+
+
 def fuzzy_of(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    part = CONTAINS_SCORE if min(len(a), len(b)) >= CONTAINS_LENGTH and (a in b or b in a) else 0.0
-    return max(part, winkler_of(a, b), dice_of(a, b))  # word Jaccard never exceeds Dice
+    return 1.0 if a == b else max(part_of(a, b), winkler_of(a, b), dice_of(a, b))  # word Jaccard never exceeds Dice
 
 
-def token_aware_of(a: str, b: str, threshold: float) -> bool:
-    """Fuzzy match that is not carried by leading words that both texts share."""
-    if a == b:
-        return True
-    several = " " in a, " " in b
-    if all(several) and dice_of(a, b) >= threshold:
+def compared(a: str, b: str, threshold: float) -> bool | tuple[str, str]:
+    """The verdict where words alone decide, else the letters to compare: leading words that both texts share don't count."""
+    if a == b or dice_of(a, b) >= threshold:
         return True
-    if all(several):
+    if " " in a and " " in b:
         differ = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         cut = a.rfind(" ", 0, differ) + 1 if differ else 0
         if cut:
-            return bool(a[cut:]) and bool(b[cut:]) and winkler_of(a[cut:], b[cut:]) >= threshold
-    elif dice_of(a, b) >= threshold:
-        return True
-    return winkler_of(a, b) >= threshold
+            return (a[cut:], b[cut:]) if a[cut:] and b[cut:] else False
+    return a, b
+
+
+def token_aware_of(a: str, b: str, threshold: float) -> bool:
+    """Fuzzy match that is not carried by leading words that both texts share."""
+    c = compared(a, b, threshold)
+    return c if isinstance(c, bool) else winkler_of(*c) >= threshold
 
 
 def significant_of(a: str, b: str) -> bool:
@@ -176,13 +283,8 @@ def titles_match(track: list[str], song: list[str], threshold: float) -> bool:
     return any(token_aware_of(t, m, threshold) for t in not_siblings(track) for m in not_siblings(song))
 
 
-@lru_cache(maxsize=100_000)
-def _fuzzy(a: str, b: str) -> float:
-    return fuzzy_of(a, b)
-
-
 def best_of(a: list[str], b: list[str]) -> float:
-    return max((_fuzzy(x, y) for x in a for y in b), default=0.0)
+    return max((fuzzy_of(x, y) for x in a for y in b), default=0.0)
 
 
 def score_of(track_title: list[str], track_artist: list[str], title: list[str], artist: list[str]) -> float:

@@ -29,23 +29,34 @@ def _looked_up(rows: DataFrame, keys: DataFrame, text: str, **fields: str) -> Da
     return rows.join(picked, F.col(text) == F.col("_text"), "left").drop("_text")
 
 
-def _keyed(rows: DataFrame, id_col: str, prefix: str) -> DataFrame:
+def _id(*texts: Column) -> Column:
+    """Sixteen bytes that stand for long keys."""
+    return F.unhex(F.md5(F.concat_ws("\n", *texts)))
+
+
+def _key(who: str, what: str) -> Column:
+    return F.unhex(F.md5(F.concat(who, what)))
+
+
+def keyed(rows: DataFrame, id_col: str, prefix: str) -> DataFrame:
+    """(id, artist, title, tags, who, what, key): ids of the artist part, of the title part, and of both."""
     none = F.array().cast("array<string>")
     cols = {c: F.coalesce(F.col(c), none) for c in ("artist", "title", "tags")}
     out = rows.select(id_col, *(v.alias(c) for c, v in cols.items()))
-    return out.withColumn(prefix, F.concat_ws("\n", signature(F.col("artist")), signature(F.col("title")), signature(F.col("tags"))))
+    out = out.withColumn("who", _id(signature(F.col("artist")))).withColumn("what", _id(signature(F.col("title")), signature(F.col("tags"))))
+    return out.withColumn(prefix, _key("who", "what"))
 
 
 def track_keys(tracks: DataFrame) -> DataFrame:
-    """(id, artist, title, tags, tkey) of tracks (id, artist, title)."""
+    """(id, artist, title, tags, who, what, tkey) of tracks (id, artist, title)."""
     rows = tracks.select("id", F.col("artist").alias("_artist"), F.col("title").alias("_title"))
     keys = materialize(text_keys(rows.select(F.explode(F.array("_artist", "_title")).alias("text"))))
     rows = _looked_up(rows, keys, "_artist", artist="artist")
-    return _keyed(_looked_up(rows, keys, "_title", title="title", tags="tags"), "id", "tkey")
+    return keyed(_looked_up(rows, keys, "_title", title="title", tags="tags"), "id", "tkey")
 
 
 def song_keys(songs: DataFrame) -> DataFrame:
-    """(map_id, artist, title, tags, mkey): both author fields, and both sides of a dash in the name."""
+    """(map_id, artist, title, tags, who, what, mkey): both author fields, and both sides of a dash in the name."""
     dash = F.instr("song_name", " - ")
     name = F.col("song_name")
     parts = songs.select(
@@ -63,11 +74,11 @@ def song_keys(songs: DataFrame) -> DataFrame:
     rows = _looked_up(rows, keys, "_left", a3="artist")
     rows = _looked_up(rows, keys, "_right", t2="title")
     union = lambda *names: F.array_distinct(F.flatten(F.array_compact(F.array(*names))))
-    return _keyed(rows.select("map_id", union("a1", "a2", "a3").alias("artist"), union("t1", "t2").alias("title"), "tags"), "map_id", "mkey")
+    return keyed(rows.select("map_id", union("a1", "a2", "a3").alias("artist"), union("t1", "t2").alias("title"), "tags"), "map_id", "mkey")
 
 
 def distinct_keys(keyed: DataFrame, key: str) -> DataFrame:
-    return keyed.dropDuplicates([key]).select(key, "artist", "title", "tags")
+    return keyed.dropDuplicates([key])
 
 
 # ---- artists ----
@@ -115,7 +126,8 @@ def trigram_votes(sigs: DataFrame, variants: DataFrame) -> DataFrame:
     absent = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("own"))
     probe = each.withColumn("rank", F.row_number().over(rare) + absent).where(F.col("rank") <= F.col("n") - F.col("need") + 1)
     met = probe.select("own", "trigram").join(trigram_postings(variants), "trigram").select("own", "variant").distinct()
-    full = met.join(own, "own").where(F.size(F.array_intersect("tri", unique_trigrams(F.col("variant")))) >= F.col("need"))
+    cut = variants.select("variant", unique_trigrams(F.col("variant")).alias("own_tri"))
+    full = met.join(own, "own").join(cut, "variant").where(F.size(F.array_intersect("tri", "own_tri")) >= F.col("need"))
     voted = full.select("own", "variant")
     return sigs.select("sig", F.explode("variants").alias("own")).join(voted, "own").select("sig", "variant").distinct()
 
@@ -123,14 +135,17 @@ def trigram_votes(sigs: DataFrame, variants: DataFrame) -> DataFrame:
 def pair_matches(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     """Of (sig, variant) pairs those where one of the artist's variants equals, contains or resembles the other."""
     each = pairs.join(sigs, "sig").select("sig", "variant", F.explode("variants").alias("own"))
-    near = each.withColumn("sure", (F.col("own") == F.col("variant")) | S.contains_significant(F.col("own"), F.col("variant")))
-    sure = near.where("sure").select("sig", "variant")
-    # Jaro-Winkler is at most this, whatever the letters
-    a, b = F.length("own"), F.length("variant")
-    bound = (F.least(a, b) / a + F.least(a, b) / b + 1) / 3
-    open_ = near.where(~F.col("sure") & ((bound + 0.4 * (1 - bound) >= threshold) | (S.token_set(F.col("own"), F.col("variant")) >= threshold) | F.col("own").contains(" ")))
-    texts = open_.select("own", "variant").distinct().where(S.token_aware(F.col("own"), F.col("variant"), threshold))
-    return sure.unionByName(open_.join(texts, ["own", "variant"]).select("sig", "variant")).distinct()
+    near = materialize(each.withColumn("sure", (F.col("own") == F.col("variant")) | S.contains_significant(F.col("own"), F.col("variant"))))
+    open_ = near.where(~F.col("sure"))
+    alike = alike_texts(open_.select("own", "variant").distinct(), threshold)
+    return near.where("sure").select("sig", "variant").unionByName(open_.join(alike, ["own", "variant"]).select("sig", "variant")).distinct()
+
+
+def alike_texts(texts: DataFrame, threshold: float) -> DataFrame:
+    """Of distinct (own, variant), which differ, those that match by words or letters: native bounds first, the helper for the rest."""
+    own, variant = F.col("own"), F.col("variant")
+    open_ = S.token_aware_open(own, variant, threshold)
+    return texts.where(open_).where(S.token_aware(own, variant, threshold))
 
 
 def accepted_artists(sigs: DataFrame, variants: DataFrame, threshold: float) -> DataFrame:
@@ -141,12 +156,14 @@ def accepted_artists(sigs: DataFrame, variants: DataFrame, threshold: float) ->
     return exact.withColumn("exact", F.lit(True)).unionByName(fuzzy.withColumn("exact", F.lit(False)))
 
 
-def artist_candidates(accepted: DataFrame, song_keys_: DataFrame) -> DataFrame:
-    """(sig, map_id, exact): songs with an accepted variant, MAX_FUZZY_SONGS at most by map_id where found by trigrams."""
+def artist_candidates(accepted: DataFrame, song_keys_: DataFrame, most: int | None = MAX_FUZZY_SONGS) -> DataFrame:
+    """(sig, map_id, exact): songs with an accepted variant, ``most`` at most by map_id where found by trigrams, all of them if None."""
     carried = song_keys_.select("map_id", F.explode("artist").alias("variant"))
     met = accepted.join(carried, "variant").select("sig", "map_id", "exact").distinct()
+    if most is None:
+        return met
     w = Window.partitionBy("sig").orderBy("map_id")
-    capped = met.where("NOT exact").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= MAX_FUZZY_SONGS).drop("_n")
+    capped = met.where("NOT exact").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
     return met.where("exact").unionByName(capped)
 
 
@@ -178,50 +195,135 @@ def titles_match(threshold: float, track: Column | None = None, song: Column | N
     return arrow_helper(batch, "boolean")(F.col("t_title") if track is None else track, F.col("m_title") if song is None else song)
 
 
-def match_keys(t: DataFrame, m: DataFrame, sk: DataFrame, threshold: float) -> DataFrame:
+def _named(df: DataFrame, side: str, *columns: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(f"{side}_{c}") for c in columns)).distinct()
+
+
+def version_verdicts(pairs: DataFrame, t: DataFrame, m: DataFrame) -> DataFrame:
+    """Of title pairs (t_what, m_what) those whose versions may agree, with both titles and ``by``: who else must mention a tag.
+
+    ``by`` is null where the titles and tags decide, else "song" or "track": one side has tags, which the other
+    side's artists must mention.
+    """
+    both = pairs.join(_named(t, "t", "what", "title", "tags"), "t_what").join(_named(m, "m", "what", "title", "tags"), "m_what")
+    tt, mt = F.col("t_tags"), F.col("m_tags")
+    shared = F.exists(tt, lambda x: F.exists(mt, lambda y: x.contains(y) | y.contains(x)))
+    mention = lambda tags, texts: F.exists(tags, lambda tag: F.exists(texts, lambda v: v.contains(tag)))
+    none_t, none_m = F.size(tt) == 0, F.size(mt) == 0
+    plain = (none_t & none_m) | shared | (none_m & mention(tt, F.col("m_title"))) | (none_t & mention(mt, F.col("t_title")))
+    by = F.when(plain, F.lit("")).when(none_m, F.lit("song")).when(none_t, F.lit("track"))
+    return both.withColumn("by", by).where("by IS NOT NULL").withColumn("by", F.nullif("by", F.lit("")))
+
+
+def mentioned(found: DataFrame, t: DataFrame, m: DataFrame) -> DataFrame:
+    """Rows (t_who, t_what, m_who, m_what, ..., by) whose missing tags are mentioned by the other side's artists."""
+    mention = lambda tags, texts: F.exists(tags, lambda tag: F.exists(texts, lambda v: v.contains(tag)))
+    found = materialize(found)
+    out = [found.where("by IS NULL")]
+    for by, tagged, side in (("song", ("t", t), ("m", m)), ("track", ("m", m), ("t", t))):
+        what, who = f"{tagged[0]}_what", f"{side[0]}_who"
+        rows = found.where(F.col("by") == by)
+        each = rows.select(what, who).distinct().join(_named(tagged[1], tagged[0], "what", "tags"), what).join(_named(side[1], side[0], "who", "artist"), who)
+        ok = each.where(mention(F.col(f"{tagged[0]}_tags"), F.col(f"{side[0]}_artist"))).select(what, who)
+        out.append(rows.join(ok, [what, who], "left_semi"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def agreeing_titles(pairs: DataFrame, t: DataFrame, m: DataFrame, threshold: float) -> DataFrame:
+    """(t_what, m_what, by) of those title pairs that agree: by equality, containment, and then words and letters."""
+    judged = version_verdicts(pairs, t, m)
+    contained = F.exists("t_title", lambda x: F.exists("m_title", lambda y: (x == y) | S.contains_significant(x, y)))
+    judged = materialize(judged.select("t_what", "m_what", "by", "t_title", "m_title", contained.alias("sure")))
+    whole = lambda c: F.filter(c, lambda v, k: ~S.is_stripped_sibling(F.col(c), k))
+    open_ = judged.where("NOT sure").select("t_what", "m_what", "by", F.explode(whole("t_title")).alias("own"), "m_title")
+    open_ = open_.select("t_what", "m_what", "by", "own", F.explode(whole("m_title")).alias("variant"))
+    alike = alike_texts(open_.select("own", "variant").distinct(), threshold)
+    return judged.where("sure").select("t_what", "m_what", "by").unionByName(open_.join(alike, ["own", "variant"]).select("t_what", "m_what", "by").distinct())
+
+
+MATCHED = ("t_who", "t_what", "m_who", "m_what")
+
+
+def exact_title_path(t: DataFrame, m: DataFrame, accepted: DataFrame, threshold: float) -> DataFrame:
+    """MATCHED of keys with a title variant in common whose artist is accepted or resembles any of the song's variants."""
+    exploded = lambda df, side: _named(df, side, "what", "title").select(f"{side}_what", F.explode(f"{side}_title").alias("variant"))
+    same = exploded(t, "t").join(exploded(m, "m"), "variant").select("t_what", "m_what").distinct()
+    judged = version_verdicts(same, t, m).select("t_what", "m_what", "by")
+    met = judged.join(_named(t.where(F.size("artist") > 0), "t", "who", "what"), "t_what").join(_named(m, "m", "who", "what"), "m_what")
+    met = materialize(met)
+    artists = materialize(met.select("t_who", "m_who").distinct())
+    carried = _named(m, "m", "who", "artist").select("m_who", F.explode("m_artist").alias("variant"))
+    variants = artists.join(carried, "m_who")
+    sigs = t.where(F.size("artist") > 0).select(F.col("who").alias("sig"), F.col("artist").alias("variants")).dropDuplicates(["sig"])
+    known = accepted.select(F.col("who").alias("sig"), "variant")
+    more = pair_matches(variants.select(F.col("t_who").alias("sig"), "variant").distinct().join(known, ["sig", "variant"], "left_anti"), sigs, threshold)
+    good = variants.join(known.unionByName(more).withColumnRenamed("sig", "t_who"), ["t_who", "variant"], "left_semi").select("t_who", "m_who").distinct()
+    return mentioned(met.join(good, ["t_who", "m_who"], "left_semi"), t, m).select(*MATCHED)
+
+
+def artist_path(t: DataFrame, m: DataFrame, sk: DataFrame, accepted: DataFrame, threshold: float, most: int | None = MAX_FUZZY_SONGS) -> DataFrame:
+    """MATCHED and map_id of keys with an accepted artist whose titles agree; map_id is null for all songs of the key, else one song of it.
+
+    Titles are tested once for each distinct pair that some artist brings together.
+    """
+    carried = _named(m, "m", "who", "artist").select("m_who", F.explode("m_artist").alias("variant"))
+    exact = accepted.where("exact").join(carried, "variant").select(F.col("who").alias("t_who"), "m_who").distinct()
+    exact = exact.join(_named(m, "m", "who", "what"), "m_who").withColumn("map_id", F.lit(None).cast("bigint"))
+    fuzzy = artist_candidates(accepted.where("NOT exact").select(F.col("who").alias("sig"), "variant", "exact"), sk, most)
+    fuzzy = fuzzy.join(sk.select(F.col("map_id").alias("_id"), "who", "what"), F.col("map_id") == F.col("_id"))
+    fuzzy = fuzzy.select(F.col("sig").alias("t_who"), F.col("who").alias("m_who"), F.col("what").alias("m_what"), "map_id")
+    songs = materialize(exact.select(*fuzzy.columns).unionByName(fuzzy))
+    tracks = _named(t.where((F.size("artist") > 0) & (F.size("title") > 0)), "t", "who", "what")
+    met = materialize(songs.select("t_who", "m_what").distinct().join(tracks, "t_who"))
+    agree = materialize(agreeing_titles(met.select("t_what", "m_what").distinct(), t, m, threshold))
+    found = met.join(agree, ["t_what", "m_what"]).join(songs, ["t_who", "m_what"])
+    return mentioned(found.select(*MATCHED, "map_id", "by"), t, m).select(*MATCHED, "map_id")
+
+
+def match_keys(t: DataFrame, m: DataFrame, sk: DataFrame, threshold: float, most: int | None = MAX_FUZZY_SONGS) -> DataFrame:
     """(tkey, mkey, map_id): matched keys; map_id is null for all songs of the key, else one song of it."""
-    sigs = materialize(signatures(t))
-    accepted = materialize(accepted_artists(sigs, artist_variants(m), threshold))
-    of_key = t.where(F.size("artist") > 0).select("tkey", signature(F.col("artist")).alias("sig"))
-    carried = m.select("mkey", F.explode("artist").alias("variant"))
-    # equal titles: the artist is accepted, or resembles any of the song's variants
-    titled = materialize(_sides(exact_title_pairs(t, m), t, m).where(compatible()).select("tkey", "mkey").join(of_key, "tkey"))
-    sig_pairs = titled.select("sig", "mkey").distinct()
-    variant_pairs = sig_pairs.join(carried, "mkey").select("sig", "variant").distinct()
-    known = accepted.select("sig", "variant")
-    more = pair_matches(variant_pairs.join(known, ["sig", "variant"], "left_anti"), sigs, threshold)
-    good = known.unionByName(more)
-    met = titled.join(carried, "mkey").join(good, ["sig", "variant"], "left_semi")
-    by_title = met.select("tkey", "mkey").distinct().withColumn("map_id", F.lit(None).cast("bigint"))
-    # accepted artists: titles agree
-    keys_of = sk.select("map_id", "mkey")
-    songs = artist_candidates(accepted.where("NOT exact"), sk).join(keys_of, "map_id").select("sig", "mkey", "map_id")
-    exact = accepted.where("exact").join(carried, "variant").select("sig", "mkey").distinct().withColumn("map_id", F.lit(None).cast("bigint"))
-    candidates = materialize(exact.unionByName(songs).join(of_key, "sig").select("tkey", "mkey", "map_id"))
-    pairs = candidates.select("tkey", "mkey").distinct()
-    tested = _sides(pairs, t, m).where(compatible() & (F.size("t_title") > 0) & (F.size("m_title") > 0))
-    same = F.arrays_overlap("t_title", "m_title")
-    named = tested.select("tkey", "mkey", same.alias("same"), signature(F.col("t_title")).alias("t_sig"), signature(F.col("m_title")).alias("m_sig"))
-    # a pair of titles is the same for many artists: it is tested once
-    texts = named.where("NOT same").select("t_sig", "m_sig").distinct()
-    alike = texts.where(titles_match(threshold, F.split("t_sig", "[|]"), F.split("m_sig", "[|]")))
-    agree = named.where("same").select("tkey", "mkey").unionByName(named.where("NOT same").join(alike, ["t_sig", "m_sig"], "left_semi").select("tkey", "mkey"))
-    by_artist = candidates.join(agree, ["tkey", "mkey"], "left_semi")
-    return by_title.unionByName(by_artist)
-
-
-def match_tracks(tracks: DataFrame, songs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(track_id, map_id) of every track and song whose artists and titles both agree."""
-    tk, sk = materialize(track_keys(tracks)), materialize(song_keys(songs))
-    return _match(tk, sk, threshold).select(F.col("id").alias("track_id"), "map_id")
+    accepted = materialize(accepted_of(t, m, threshold))
+    by_title = exact_title_path(t, m, accepted, threshold).withColumn("map_id", F.lit(None).cast("bigint"))
+    by_artist = artist_path(t, m, sk, accepted, threshold, most)
+    return as_keys(by_title.unionByName(by_artist))
 
 
-def _match(tk: DataFrame, sk: DataFrame, threshold: float) -> DataFrame:
+def as_keys(matched: DataFrame) -> DataFrame:
+    """(tkey, mkey, map_id) of MATCHED and map_id."""
+    return matched.select(_key("t_who", "t_what").alias("tkey"), _key("m_who", "m_what").alias("mkey"), "map_id")
+
+
+def accepted_of(t: DataFrame, m: DataFrame, threshold: float) -> DataFrame:
+    """(who, variant, exact): the accepted artists of distinct keys."""
+    whos = t.where(F.size("artist") > 0).select("who", signature(F.col("artist")).alias("sig")).distinct()
+    return accepted_artists(materialize(signatures(t)), artist_variants(m), threshold).join(whos, "sig").select("who", "variant", "exact")
+
+
+def match_tracks(tracks: DataFrame, songs: DataFrame, threshold: float = THRESHOLD, most: int | None = MAX_FUZZY_SONGS) -> DataFrame:
+    """(track_id, map_id) of every track and song whose artists and titles both agree.
+
+    ``most`` bounds the songs of an artist that is found by trigrams only, as in the matched behaviour; None takes all.
+    """
+    return match_keyed(track_keys(tracks), song_keys(songs), threshold, most)
+
+
+def match_keyed(tk: DataFrame, sk: DataFrame, threshold: float = THRESHOLD, most: int | None = MAX_FUZZY_SONGS) -> DataFrame:
+    """``match_tracks`` on keys."""
+    return _match(materialize(tk), materialize(sk), threshold, most).select(F.col("id").alias("track_id"), "map_id")
+
+
+def _match(tk: DataFrame, sk: DataFrame, threshold: float, most: int | None = MAX_FUZZY_SONGS) -> DataFrame:
     t, m = distinct_keys(tk, "tkey"), distinct_keys(sk, "mkey")
-    found = materialize(match_keys(t, m, sk, threshold))
-    one = found.where("map_id IS NOT NULL").select("tkey", "mkey", "map_id")
-    every = found.where("map_id IS NULL").select("tkey", "mkey").distinct().join(sk.select("mkey", "map_id"), "mkey").select("tkey", "mkey", "map_id")
-    by_key = one.unionByName(every).distinct()
+    found = materialize(match_keys(t, m, sk, threshold, most))
+    return fanned_out(found, tk, sk)
+
+
+def fanned_out(found: DataFrame, tk: DataFrame, sk: DataFrame) -> DataFrame:
+    """(id, map_id, tkey, mkey) of matched keys, each once."""
+    every = found.where("map_id IS NULL").select("tkey", "mkey").distinct()
+    # one song of a key counts only where not all of them do
+    one = found.where("map_id IS NOT NULL").distinct().join(every, ["tkey", "mkey"], "left_anti")
+    by_key = one.select("tkey", "mkey", "map_id").unionByName(every.join(sk.select("mkey", "map_id"), "mkey").select("tkey", "mkey", "map_id"))
     return by_key.join(tk.select("id", "tkey"), "tkey").select("id", "map_id", "tkey", "mkey")
 
 
@@ -230,11 +332,12 @@ def match_score() -> Column:
 
 
 def _score_batch(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
-    return pa.array([S.score_of(*x) for x in zip(*(y.to_pylist() for y in (a, b, c, d)))], pa.float64())
+    title, artist = S.best_many(a.to_pylist(), c.to_pylist()), S.best_many(b.to_pylist(), d.to_pylist())
+    return pa.array([min(x, y) for x, y in zip(title.tolist(), artist.tolist())], pa.float64())
 
 
 def _best_batch(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([S.best_of(x.split("|"), y.split("|")) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+    return pa.array(S.best_many([x.split("|") for x in a.to_pylist()], [y.split("|") for y in b.to_pylist()]), pa.float64())
 
 
 def score_keys(pairs: DataFrame, t: DataFrame, m: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linkwright.functions import columns as C
 from linkwright.functions import similarity as S
 from linkwright.functions import textkeys as T
+from linkwright.plans import linkage_sql as L
 from linkwright.operators import catalog as cat
 from linkwright.operators import linkage as link
 from linkwright.operators import results as res
@@ -249,6 +250,24 @@ for _key in cat.SORT_KEYS:
     query(f"l01_sort_{_key}", f"SELECT map_id, row_number() OVER () AS n FROM (SELECT map_id FROM songs ORDER BY {_col} DESC NULLS LAST, map_id LIMIT 50)".replace("row_number() OVER () AS n", "0 AS n"))(
         lambda spark, d, k=_key: cat.query_catalog(songs(spark, d), difficulties(spark, d), Query(sort=k))[0].select("map_id", F.lit(0).alias("n"))
     )
+
+
+def in_order(page):
+    """A page's rows with their positions in it, as they come."""
+    return page.coalesce(1).withColumn("position", F.monotonically_increasing_id())
+
+
+for _key in cat.SORT_KEYS:
+    _col = "(SELECT max(stars_ss) FROM difficulties WHERE song_map_id = map_id)" if _key == "stars" else f"lower({_key})" if _key in cat.TEXT_KEYS else _key
+    query(f"l01_order_{_key}", f"SELECT map_id, row_number() OVER (ORDER BY {_col} DESC NULLS LAST, map_id) - 1 AS position FROM songs ORDER BY position LIMIT 50")(
+        lambda spark, d, k=_key: in_order(cat.query_catalog(songs(spark, d), difficulties(spark, d), Query(sort=k))[0]).select("map_id", "position")
+    )
+query("l02_catalog_order", "SELECT map_id, row_number() OVER (ORDER BY rating, map_id) - 76 AS position FROM songs ORDER BY position LIMIT 25 OFFSET 75")(
+    lambda spark, d: in_order(cat.query_catalog(songs(spark, d), difficulties(spark, d), Query(sort="rating", ascending=True, page=4, page_size=25))[0]).select("map_id", "position")
+)
+query("l03_library_order", f"SELECT id, row_number() OVER (ORDER BY lower(title) DESC, id) - 101 AS position FROM tracks WHERE {_LIB} ORDER BY position LIMIT 100 OFFSET 100")(
+    lambda spark, d: in_order(cat.query_tracks(tracks(spark, d).withColumn("normalized_key", F.lit("")), "ring", "title", page=2)[0]).select("id", "position")
+)
 query("l02_catalog_page", "SELECT map_id FROM songs ORDER BY rating ASC, map_id LIMIT 25 OFFSET 75")(
     lambda spark, d: cat.query_catalog(songs(spark, d), difficulties(spark, d), Query(sort="rating", ascending=True, page=4, page_size=25))[0].select("map_id")
 )
@@ -309,14 +328,20 @@ def _texts(spark, d):
     return T.text_keys(songs(spark, d).select(F.explode(F.array("song_author", "song_name")).alias("text")))
 
 
-query("n06_split_artist_credit")(lambda spark, d: _texts(spark, d).select("text", F.array_join("credit", "\n").alias("credit")))
+
+
+def _texts_sql(columns):
+    return f"WITH {L.KEYS} SELECT text, {columns} FROM keys SEMI JOIN (SELECT unnest([song_author, song_name]) AS text FROM songs) USING (text)"
+
+
+query("n06_split_artist_credit", _texts_sql("array_to_string(credit, chr(10)) AS credit"))(lambda spark, d: _texts(spark, d).select("text", F.array_join("credit", "\n").alias("credit")))
 query("n08_remix_tags", "SELECT DISTINCT song_name AS text, CASE WHEN contains(song_name, 'Alpha Remix') THEN 'alpha' WHEN contains(song_name, 'Beta Remix') THEN 'beta' WHEN contains(song_name, 'Gamma flip') THEN 'gamma' ELSE '' END AS tags FROM songs")(
     lambda spark, d: T.text_keys(songs(spark, d).select(F.col("song_name").alias("text"))).select("text", F.array_join("tags", "|").alias("tags"))
 )
-query("n09_field_variants")(lambda spark, d: _texts(spark, d).select("text", F.array_join("title", "|").alias("variants")))
-query("n10_artist_variants")(lambda spark, d: _texts(spark, d).select("text", F.array_join("artist", "|").alias("variants")))
-query("n11_song_keys")(lambda spark, d: keys_of_songs(spark, d).select("map_id", F.array_join("artist", "|").alias("artist"), F.array_join("title", "|").alias("title"), F.array_join("tags", "|").alias("tags")))
-query("n12_track_keys")(lambda spark, d: keys_of_tracks(spark, d).select("id", F.array_join("artist", "|").alias("artist"), F.array_join("title", "|").alias("title"), F.array_join("tags", "|").alias("tags")))
+query("n09_field_variants", _texts_sql("array_to_string(title, '|') AS variants"))(lambda spark, d: _texts(spark, d).select("text", F.array_join("title", "|").alias("variants")))
+query("n10_artist_variants", _texts_sql("array_to_string(artist, '|') AS variants"))(lambda spark, d: _texts(spark, d).select("text", F.array_join("artist", "|").alias("variants")))
+query("n11_song_keys", f"WITH {L.SIDES} SELECT map_id, array_to_string(artist, '|') AS artist, array_to_string(title, '|') AS title, array_to_string(tags, '|') AS tags FROM sk")(lambda spark, d: keys_of_songs(spark, d).select("map_id", F.array_join("artist", "|").alias("artist"), F.array_join("title", "|").alias("title"), F.array_join("tags", "|").alias("tags")))
+query("n12_track_keys", f"WITH {L.SIDES} SELECT id, array_to_string(artist, '|') AS artist, array_to_string(title, '|') AS title, array_to_string(tags, '|') AS tags FROM tk")(lambda spark, d: keys_of_tracks(spark, d).select("id", F.array_join("artist", "|").alias("artist"), F.array_join("title", "|").alias("title"), F.array_join("tags", "|").alias("tags")))
 _TRI = "CASE WHEN length(s) < 3 THEN [s] ELSE list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3)) END"
 query("n13_trigrams", f"SELECT doc_id, array_to_string({_TRI}, '|') AS trigrams FROM {_DUP}")(lambda spark, d: sentences(spark, d).select("doc_id", F.array_join(T.trigrams(F.col("s")), "|").alias("trigrams")))
 query("n14_unique_trigrams", f"SELECT doc_id, CASE WHEN length(s) < 3 THEN 0 ELSE len(list_distinct({_TRI})) END AS n FROM {_DUP}")(lambda spark, d: sentences(spark, d).select("doc_id", F.size(T.unique_trigrams(F.col("s"))).alias("n")))
@@ -375,7 +400,7 @@ query("g02_jaro_winkler", f"{_JARO} SELECT k, round(jaro + 0.1e0 * ({_PREFIX}) *
 _FUZZY = f"greatest({_CONTAINS}, jaro + 0.1e0 * ({_PREFIX}) * (1 - jaro), 2.0e0 * len(list_intersect(ta, tb)) / (len(ta) + len(tb)))"
 query("g06_fuzzy_score", f"{_JARO} SELECT k, round({_FUZZY}, 9) AS score FROM {_PAIRS} JOIN j USING (a, b)".lstrip())(lambda spark, d: name_pairs(spark, d).select("k", F.round(S.fuzzy_score(F.col("a"), F.col("b")), 9).alias("score")))
 query("g07_fuzzy_at_least", f"{_JARO} SELECT k, {_FUZZY} >= 0.75 AS hit FROM {_PAIRS} JOIN j USING (a, b)".lstrip())(lambda spark, d: name_pairs(spark, d).select("k", S.fuzzy_at_least(F.col("a"), F.col("b"), 0.75).alias("hit")))
-query("g08_token_aware")(lambda spark, d: name_pairs(spark, d).select("k", S.token_aware(F.col("a"), F.col("b"), 0.75).alias("hit")))
+query("g08_token_aware", f"WITH {L.aware(_PAIRS, 0.75)} SELECT k, a = b OR EXISTS (FROM aware w WHERE w.a = p.a AND w.b = p.b) AS hit FROM {_PAIRS} p".replace("WITH \n", "WITH "))(lambda spark, d: name_pairs(spark, d).select("k", S.token_aware(F.col("a"), F.col("b"), 0.75).alias("hit")))
 # The same nine with a pair for every part: the part of the next key, or the first part where there is none.
 
 
@@ -413,26 +438,47 @@ query("g12_stripped_sibling", "SELECT map_id, CASE WHEN contains(song_name, ' ')
 # ---- linkage ----
 
 
-@query("g13_remix_compatible")
+def _sides(spark, d):
+    return link.distinct_keys(keys_of_tracks(spark, d), "tkey"), link.distinct_keys(keys_of_songs(spark, d), "mkey")
+
+
+def shown(*columns):
+    """Lists of texts as one text each."""
+    return [T.signature(F.col(c)).alias(c) for c in columns]
+
+
+@query(
+    "g13_remix_compatible",
+    f"WITH {L.DISTINCT} SELECT DISTINCT {', '.join(f"array_to_string({side}.{part}, '|') AS {side}_{part}" for side in 'tm' for part in ('title', 'tags', 'artist'))}, {L.compatible('t', 'm')} AS compatible FROM t JOIN m ON list_has_any(t.title, m.title) WHERE len(t.tags) + len(m.tags) > 0",
+)
 def g13(spark, d):
-    t = link.distinct_keys(keys_of_tracks(spark, d), "tkey")
-    m = link.distinct_keys(keys_of_songs(spark, d), "mkey")
-    pairs = link.exact_title_pairs(t, m)
-    return link._sides(pairs, t, m).select("tkey", "mkey", link.compatible().alias("compatible"))
+    """Keys with a title in common, of which one has tags."""
+    t, m = _sides(spark, d)
+    both = link._sides(link.exact_title_pairs(t, m), t, m).where(F.size("t_tags") + F.size("m_tags") > 0)
+    both = both.withColumn("compatible", link.compatible())
+    return both.select(*shown("t_title", "t_tags", "t_artist", "m_title", "m_tags", "m_artist"), "compatible").distinct()
 
 
-@query("g10_artist_pairs")
+@query(
+    "g10_artist_pairs",
+    f"WITH {L.DISTINCT}, grams AS (SELECT variant, {L._GRAMS.format('variant')} AS u FROM known), votes AS (SELECT DISTINCT sig, variant FROM (SELECT sig, {L._GRAMS.format('own')} AS g FROM owns) JOIN grams ON len(g) > 0 AND len(list_intersect(g, u)) >= greatest(2, ceil(len(g) * 0.25))), {L.aware('(SELECT own AS a, variant AS b FROM votes JOIN owns USING (sig))', link.THRESHOLD)} SELECT DISTINCT sig, variant FROM votes JOIN owns USING (sig) LEFT JOIN aware ON a = own AND b = variant WHERE own = variant OR {L.significant('own', 'variant')} OR a IS NOT NULL",
+)
 def g10(spark, d):
     sigs, variants = link.signatures(keys_of_tracks(spark, d)), link.artist_variants(keys_of_songs(spark, d))
     return link.pair_matches(link.trigram_votes(sigs, variants), sigs, link.THRESHOLD)
 
 
-@query("g11_titles_match")
+@query(
+    "g11_titles_match",
+    f"WITH {L.paths(link.THRESHOLD)} SELECT DISTINCT array_to_string(x, '|') AS t_title, array_to_string(y, '|') AS m_title, EXISTS (FROM agree WHERE agree.x = brought.x AND agree.y = brought.y) AS agree FROM brought",
+)
 def g11(spark, d):
-    t, m = link.distinct_keys(keys_of_tracks(spark, d), "tkey"), link.distinct_keys(keys_of_songs(spark, d), "mkey")
-    exact = link.exact_artists(link.signatures(t), link.artist_variants(m)).select("sig", "variant")
-    pairs = exact.join(m.select("mkey", F.explode("artist").alias("variant")), "variant").join(t.select("tkey", T.signature(F.col("artist")).alias("sig")), "sig").select("tkey", "mkey").distinct()
-    return link._sides(pairs, t, m).select("tkey", "mkey", link.titles_match(link.THRESHOLD).alias("agree"))
+    """Titles of compatible keys that an accepted artist brings together."""
+    t, m = _sides(spark, d)
+    accepted = link.accepted_of(t, m, link.THRESHOLD)
+    pairs = accepted.join(m.select("mkey", F.explode("artist").alias("variant")), "variant").join(t.select("tkey", "who"), "who").select("tkey", "mkey").distinct()
+    both = link._sides(pairs, t, m).where(link.compatible()).select("t_title", "m_title").distinct()
+    return both.select(*shown("t_title", "m_title"), link.titles_match(link.THRESHOLD).alias("agree"))
 
 
 def plain_sigs(spark, d):
@@ -459,7 +505,7 @@ query("j07_title_variant_join", "SELECT DISTINCT regexp_replace(lower(title), '[
         songs(spark, d).select(F.regexp_replace(F.lower("song_name"), "[^a-z0-9]+", "").alias("mkey")).select("mkey", F.array("mkey").alias("title")),
     )
 )
-query("k03_fuzzy_artists")(lambda spark, d: link.accepted_artists(link.signatures(keys_of_tracks(spark, d)), link.artist_variants(keys_of_songs(spark, d)), link.THRESHOLD).where("NOT exact").select("sig", "variant"))
+query("k03_fuzzy_artists", f"WITH {L.accepted(link.THRESHOLD)} SELECT sig, variant FROM fuzzy")(lambda spark, d: link.accepted_artists(link.signatures(keys_of_tracks(spark, d)), link.artist_variants(keys_of_songs(spark, d)), link.THRESHOLD).where("NOT exact").select("sig", "variant"))
 query(
     "k04_artist_candidates",
     "SELECT sig, map_id FROM (SELECT DISTINCT regexp_replace(lower(artist), '[^a-z0-9]+', '', 'g') AS sig FROM tracks) JOIN (SELECT map_id, regexp_replace(lower(song_author), '[^a-z0-9]+', '', 'g') AS variant FROM songs WHERE song_author <> '') ON sig = variant",
@@ -474,13 +520,53 @@ query("w02_candidate_cap", "SELECT variant AS sig, least(count(*), 2000) AS n FR
         spark.read.parquet(f"{d}/lineitem.parquet").select(F.monotonically_increasing_id().alias("map_id"), F.array(F.lit("all")).alias("artist")),
     ).groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
 )
-query("k07_match_tracks")(lambda spark, d: link.match_tracks(tracks(spark, d), songs(spark, d)))
-query("k08_score_matches")(lambda spark, d: link.score_matches(tracks(spark, d), songs(spark, d)))
-query("k10_match_one")(lambda spark, d: link.match_one(tracks(spark, d).where("id = '17'"), songs(spark, d)))
-query("k11_exact_artist_signatures")(lambda spark, d: link.exact_artist_signatures(tracks(spark, d), songs(spark, d)))
+
+def _found_sql(relation):
+    return f"WITH {L.paths(link.THRESHOLD)} SELECT DISTINCT track_id, map_id FROM {L.fanned(relation)}"
+
+
+def _keys(spark, d):
+    return link.materialize(keys_of_tracks(spark, d)), link.materialize(keys_of_songs(spark, d))
+
+
+@query("k05_exact_title_path", _found_sql("by_title"))
+def k05(spark, d):
+    tk, sk = _keys(spark, d)
+    t, m = link.distinct_keys(tk, "tkey"), link.distinct_keys(sk, "mkey")
+    found = link.exact_title_path(t, m, link.materialize(link.accepted_of(t, m, link.THRESHOLD)), link.THRESHOLD)
+    return link.fanned_out(link.as_keys(found.withColumn("map_id", F.lit(None).cast("bigint"))), tk, sk).select(F.col("id").alias("track_id"), "map_id")
+
+
+@query("k06_artist_path", _found_sql("by_artist"))
+def k06(spark, d):
+    tk, sk = _keys(spark, d)
+    t, m = link.distinct_keys(tk, "tkey"), link.distinct_keys(sk, "mkey")
+    found = link.artist_path(t, m, sk, link.materialize(link.accepted_of(t, m, link.THRESHOLD)), link.THRESHOLD)
+    return link.fanned_out(link.materialize(link.as_keys(found)), tk, sk).select(F.col("id").alias("track_id"), "map_id")
+
+
+# an artist found by trigrams brings a bounded number of songs, those with the least map_id
+query(
+    "w02_capped_candidates",
+    f"WITH {L.accepted(link.THRESHOLD)}, met AS (SELECT DISTINCT sig, map_id FROM (SELECT map_id, unnest(artist) AS variant FROM sk) JOIN fuzzy USING (variant)) SELECT sig, map_id FROM (SELECT *, row_number() OVER (PARTITION BY sig ORDER BY map_id) AS n FROM met) WHERE n <= 20",
+)(
+    lambda spark, d: link.artist_candidates(
+        link.accepted_artists(link.signatures(keys_of_tracks(spark, d)), link.artist_variants(keys_of_songs(spark, d)), link.THRESHOLD).where("NOT exact"), keys_of_songs(spark, d), 20
+    ).select("sig", "map_id")
+)
+query("k07_match_tracks", _found_sql("found"))(lambda spark, d: link.match_tracks(tracks(spark, d), songs(spark, d)))
+_SCORED = f"WITH {L.scores(link.THRESHOLD)}, pairs_of AS (SELECT DISTINCT track_id, map_id, round(score, 9) AS score FROM {L.fanned('found')} f JOIN scores USING (t, m)) "
+query("k08_score_matches", _SCORED + "SELECT * FROM pairs_of")(
+    lambda spark, d: link.score_matches(tracks(spark, d), songs(spark, d)).select("track_id", "map_id", F.round("score", 9).alias("score"))
+)
+query("k10_match_one", _found_sql("found") + " WHERE track_id = (SELECT min(id) FROM tracks)")(
+    lambda spark, d: link.match_one(tracks(spark, d).orderBy("id"), songs(spark, d))
+)
+query("k11_exact_artist_signatures", f"WITH {L.DISTINCT} SELECT DISTINCT sig FROM exact")(lambda spark, d: link.exact_artist_signatures(tracks(spark, d), songs(spark, d)))
 query("j10_search_titles")(lambda spark, d: link.search_titles(tracks(spark, d), songs(spark, d), ["red widget", "small ring", "no such title"]))
 query("g15_explain_pairs")(lambda spark, d: link.explain_pairs(tracks(spark, d), songs(spark, d), res.top_matches(scored(spark, d), 1).select("track_id", "map_id")))
-query("a12_empty_keys")(lambda spark, d: res.empty_keys(keys_of_songs(spark, d)))
+query("a12_empty_keys", f"WITH {L.SIDES} SELECT count(*) AS rows, count(*) FILTER (len(title) = 0) AS empty FROM sk")(lambda spark, d: res.empty_keys(keys_of_songs(spark, d)))
+query("a12_empty_track_keys", f"WITH {L.SIDES} SELECT count(*) AS rows, count(*) FILTER (len(title) = 0) AS empty FROM tk")(lambda spark, d: res.empty_keys(keys_of_tracks(spark, d)))
 query("a13_size_profile")(lambda spark, d: res.size_profile(keys_of_songs(spark, d), link.match_tracks(tracks(spark, d), songs(spark, d))))
 
 

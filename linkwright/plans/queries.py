@@ -56,6 +56,7 @@ def _known(name):
 
 TAG_SQL = "[" + ", ".join(f"'{t}'" for t in TAGS) + "]"
 PARTS = 64
+SNAPSHOT_SONGS = 500
 
 
 # ---- sources ----
@@ -65,10 +66,15 @@ def nested(spark, d):
     return snapshots.nest(songs(spark, d), difficulties(spark, d), F.col("map_id") % PARTS, TAGS)
 
 
+def nested_by_size(spark, d):
+    """Snapshots of SNAPSHOT_SONGS songs: their number grows with the table, not their size."""
+    return snapshots.nest(songs(spark, d), difficulties(spark, d), F.floor(F.col("map_id") / SNAPSHOT_SONGS), TAGS)
+
+
 query("s01_flatten_songs", "SELECT * REPLACE (CASE WHEN uploader_name IS NULL THEN level_author ELSE uploader_name END AS uploader_name) FROM songs")(
-    lambda spark, d: snapshots.flatten_songs(snapshots.validate_snapshots(nested(spark, d)))
+    lambda spark, d: snapshots.flatten_songs(snapshots.validate_snapshots(nested_by_size(spark, d)))
 )
-query("s02_flatten_difficulties", "SELECT difficulties.* FROM difficulties JOIN songs ON song_map_id = map_id")(lambda spark, d: snapshots.flatten_difficulties(nested(spark, d)))
+query("s02_flatten_difficulties", "SELECT difficulties.* FROM difficulties JOIN songs ON song_map_id = map_id")(lambda spark, d: snapshots.flatten_difficulties(nested_by_size(spark, d)))
 
 
 @query("s03_validate_snapshots", f"SELECT CAST(map_id % {PARTS} AS INT) AS part, CASE WHEN map_id % {PARTS} % 4 = 1 THEN 'unsupported format version 2' ELSE 'hash blob too short' END AS error FROM songs WHERE map_id % {PARTS} % 4 IN (1, 2) GROUP BY ALL")
@@ -149,7 +155,7 @@ query("s11_all_tracks", "SELECT id, artist, title FROM tracks")(lambda spark, d:
 
 query("p01_rating", "SELECT map_id, rating FROM songs")(lambda spark, d: songs(spark, d).select("map_id", C.rating(F.col("upvotes"), F.col("downvotes")).alias("rating")))
 query("p02_map_key", "SELECT map_id, printf('%x', map_id) AS key FROM songs")(lambda spark, d: songs(spark, d).select("map_id", C.map_key(F.col("map_id")).alias("key")))
-query("p03_hash_at", "SELECT map_id, hash FROM songs")(lambda spark, d: snapshots.flatten_songs(nested(spark, d)).select("map_id", "hash"))
+query("p03_hash_at", "SELECT map_id, hash FROM songs")(lambda spark, d: snapshots.flatten_songs(nested_by_size(spark, d)).select("map_id", "hash"))
 query("p04_uploader", "SELECT map_id, CASE WHEN map_id % 3 = 0 THEN level_author WHEN map_id % 3 = 1 THEN '' ELSE uploader_name END AS uploader FROM songs")(
     lambda spark, d: songs(spark, d).select("map_id", C.uploader(F.when(F.col("map_id") % 3 == 1, "").when(F.col("map_id") % 3 == 2, F.col("uploader_name")), F.col("level_author")).alias("uploader"))
 )

@@ -2,9 +2,10 @@
 
 Which suffixes can match is found first. Every window of LENGTH bytes has an anchor, the run of GRAM bytes in it
 with the least hash; equal windows have equal anchors at equal distances. Consecutive windows with one anchor
-make a span of fewer than 2 * LENGTH bytes. Spans with equal anchors meet in one partition; copies of one span
-are settled there (all but the first go), and tasks combine the copies among their own rows beforehand, so a
-passage that a third of all documents share sends one row from each batch.
+make a span of fewer than 2 * LENGTH bytes; texts are read SEGMENT window starts at a time. Spans with equal anchors
+meet in one partition; copies of one span are settled there (all but the first go), and tasks combine the copies among
+their own rows beforehand, so a passage that a third of all documents share sends one row from each batch. A task
+streams through its anchors and holds HOT spans of one at most.
 
 Only where different spans share an anchor can windows match in part. Those spans, once each, are dealt to
 shards, groups of more than HOT of them to several. A shard's suffix array is built by Larsson-Sadakane
@@ -13,15 +14,18 @@ of the suffixes 8, 16, 32 and 64 bytes on. Common prefixes are taken in text ord
 agree in LENGTH bytes are a class, of which the first stays. Sorted classes of shards that split a group are
 merged by binary search of each list in the one before.
 
-Spans are held equal if two independent 64-bit hashes agree; partial matches are compared byte by byte.
+Whole spans are held equal if their anchors' hashes agree and so do their own, of 64 bits each; partial matches
+are compared byte by byte.
 
 Defined results: null text counts as empty; texts shorter than LENGTH are left alone; a null doc_id comes first;
-rows that repeat a doc_id are one document given again: they don't remove each other, and what is removed
-is removed in each, as far as it reaches; other columns are ignored.
+rows with equal doc_ids and different texts are different documents, in the order of a hash of their texts; rows that
+agree in doc_id and text are one document given again: they don't remove each other, and what is removed is removed in
+each; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +40,10 @@ from linkwright.shipping import arrow_map
 LENGTH, GRAM = 100, 28
 #: Spans of an anchor in one shard; bytes of a shard.
 HOT, SHARD = 2048, 1_000_000
-#: Parts in which the classes of a split group are merged.
-MERGE_PARTS = 64
+#: Window starts of a text that are read at a time.
+SEGMENT = 1 << 24
+#: Parts in which the classes of a split group are merged: many, as a group has no bound.
+MERGE_PARTS = 1 << 16
 NO_ID = -(2**63)
 _AT = 26
 _MASK = np.uint64((1 << _AT) - 1)
@@ -77,11 +83,17 @@ def spans(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return text[edge], first - begin[text[edge]], windows, mix(h[a[edge]] ^ np.uint64(0x5851F42D4C957F2D)), span_hash
 
 
-ROW = "ah long, sh long, doc long, pos int, n int, kind int"
+def segments(text: bytes) -> list[bytes]:
+    """Parts of a text that start SEGMENT bytes after one another, each with the bytes of its last window."""
+    return [text[a : a + SEGMENT + LENGTH - 1] for a in range(0, max(1, len(text) - LENGTH + 1), SEGMENT)]
+
+
+#: A document is named by doc and sub: its doc_id, and a hash of its text.
+ROW = "ah long, sh long, doc long, sub long, pos int, n int, kind int"
 
 
 def _batch(**columns: np.ndarray) -> pa.RecordBatch:
-    kinds = {"ah": np.int64, "sh": np.int64, "doc": np.int64, "pos": np.int32, "n": np.int32, "kind": np.int32}
+    kinds = {"ah": np.int64, "sh": np.int64, "doc": np.int64, "sub": np.int64, "pos": np.int32, "n": np.int32, "kind": np.int32}
     cast = {k: np.ascontiguousarray(v).view(np.int64) if v.dtype == np.uint64 else v.astype(kinds[k]) for k, v in columns.items()}
     return pa.RecordBatch.from_arrays([pa.array(v) for v in cast.values()], list(cast))
 
@@ -91,84 +103,95 @@ def find_spans(docs: DataFrame) -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            ids, texts = batch["doc"].to_numpy(zero_copy_only=False), batch["body"].to_pylist()
+            ids, subs = (batch[c].to_numpy(zero_copy_only=False) for c in ("doc", "sub"))
+            texts, own, offset = [], [], []
+            for k, text in enumerate(batch["body"].to_pylist()):
+                for j, part in enumerate(segments(text)):
+                    texts.append(part)
+                    own.append(k)
+                    offset.append(j * SEGMENT)
+            own, offset = np.array(own, np.int64), np.array(offset, np.int64)
             lo, rows = 0, []
             for some in groups(texts):
                 t, pos, n, ah, sh = spans(some)
-                rows.append((ids[lo + t], pos, n, ah, sh))
+                rows.append((ids[own[lo + t]], subs[own[lo + t]], pos + offset[lo + t], n, ah, sh))
                 lo += len(some)
-            doc, pos, n, ah, sh = (np.concatenate(x) for x in zip(*rows))
+            doc, sub, pos, n, ah, sh = (np.concatenate(x) for x in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 6
             if not len(doc):
                 continue
-            by = np.lexsort((pos, doc, sh, ah))
-            doc, pos, n, ah, sh = doc[by], pos[by], n[by], ah[by], sh[by]
+            by = np.lexsort((pos, sub, doc, sh, ah))
+            doc, sub, pos, n, ah, sh = doc[by], sub[by], pos[by], n[by], ah[by], sh[by]
             new = np.concatenate([[True], (ah[1:] != ah[:-1]) | (sh[1:] != sh[:-1])])
             first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = (doc != doc[first]) | (pos != pos[first])
+            later = differs(first, slice(None), doc, sub, pos)
             kept = ~later
-            yield _batch(ah=ah[kept], sh=sh[kept], doc=doc[kept], pos=pos[kept], n=n[kept], kind=np.zeros(kept.sum(), np.int64))
+            yield _batch(ah=ah[kept], sh=sh[kept], doc=doc[kept], sub=sub[kept], pos=pos[kept], n=n[kept], kind=np.zeros(kept.sum(), np.int64))
             if later.any():
-                d, p, m = merge_ranges(doc[later], pos[later], n[later])
+                d, s, p, m = merge_ranges(doc[later], sub[later], pos[later], n[later])
                 spread = mix(d.astype(np.uint64) ^ np.uint64(0xA5A5A5A5))
-                yield _batch(ah=spread, sh=np.zeros(len(d), np.int64), doc=d, pos=p, n=m, kind=np.ones(len(d), np.int64))
+                yield _batch(ah=spread, sh=np.zeros(len(d), np.int64), doc=d, sub=s, pos=p, n=m, kind=np.ones(len(d), np.int64))
 
     return arrow_map(docs, batches, ROW)
 
 
-def merge_ranges(doc: np.ndarray, pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def differs(a: np.ndarray | slice, b: np.ndarray | slice, *columns: np.ndarray) -> np.ndarray:
+    """Where rows a and b differ in any of the columns."""
+    return np.logical_or.reduce([c[a] != c[b] for c in columns])
+
+
+def merge_ranges(doc: np.ndarray, sub: np.ndarray, pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Join ranges of windows that follow one another in a document."""
-    by = np.lexsort((pos, doc))
-    doc, pos, n = doc[by], pos[by], n[by]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + n[:-1])])
+    by = np.lexsort((pos, sub, doc))
+    doc, sub, pos, n = doc[by], sub[by], pos[by], n[by]
+    new = np.concatenate([[True], differs(slice(1, None), slice(None, -1), doc, sub) | (pos[1:] != pos[:-1] + n[:-1])])
     at = np.flatnonzero(new)
-    return doc[at], pos[at], np.add.reduceat(n, at)
+    return doc[at], sub[at], pos[at], np.add.reduceat(n, at)
 
 
-def whole_groups(it: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Batches of sorted rows, cut so that no value of ``key`` is in two."""
-    held: list[pa.RecordBatch] = []
-    for batch in it:
-        if not batch.num_rows:
-            continue
-        k = batch[key].to_numpy()
-        cut = int(np.searchsorted(k, k[-1], "left"))
-        if held and k[0] != held[-1][key][-1].as_py():
-            yield pa.Table.from_batches(held)
-            held = []
-        if cut:
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield pa.Table.from_batches(held)
+def settle(spans_: DataFrame) -> DataFrame:
+    """Kind 1: ranges to remove. Kind 2: spans that share their anchor with another one; n counts windows, sh their shard.
 
+    Rows come sorted by ah, sh, doc, sub, pos. The different spans of the anchor that is still open are carried from
+    batch to batch; when there are more than HOT of them, HOT go to a shard of their own.
+    """
+    names = ("ah", "sh", "doc", "sub", "pos", "n")
 
-def settle(spans_: DataFrame) -> DataFrame:
-    """Kind 1: ranges to remove. Kind 2: spans that share their anchor with another one; n counts windows, sh their shard."""
+    def send(rows: list[np.ndarray], shard: np.ndarray) -> pa.RecordBatch:
+        return _batch(**dict(zip(names, rows)) | {"sh": shard, "kind": np.full(len(shard), 2)})
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(it, "ah"):
-            ah, sh, doc, pos, n, kind = (t[c].to_numpy() for c in ("ah", "sh", "doc", "pos", "n", "kind"))
+        carry, sent = [np.zeros(0, np.int64)] * len(names), 0
+        for batch in it:
+            rows, kind = [batch[c].to_numpy() for c in names], batch["kind"].to_numpy()
             ready = kind == 1
             if ready.any():
-                yield _batch(ah=ah[ready], sh=sh[ready], doc=doc[ready], pos=pos[ready], n=n[ready], kind=kind[ready])
-                ah, sh, doc, pos, n = (x[~ready] for x in (ah, sh, doc, pos, n))
-            if not len(ah):
+                yield _batch(**{c: x[ready] for c, x in zip(names, rows)}, kind=kind[ready])
+            if ready.all():
                 continue
+            rows = [np.concatenate([c, x[~ready]]) for c, x in zip(carry, rows)]
+            ah, sh, doc, sub, pos, n = rows
             new_anchor = np.concatenate([[True], ah[1:] != ah[:-1]])
             new = new_anchor | np.concatenate([[True], sh[1:] != sh[:-1]])
             first = np.flatnonzero(new)
-            mine = first[np.cumsum(new) - 1]
-            later = (doc != doc[mine]) | (pos != pos[mine])
+            later = differs(first[np.cumsum(new) - 1], slice(None), doc, sub, pos)
             if later.any():
-                yield _batch(ah=ah[later], sh=sh[later], doc=doc[later], pos=pos[later], n=n[later], kind=np.ones(later.sum(), np.int64))
-            group = np.cumsum(new_anchor)[first] - 1
+                yield _batch(**{c: x[later] for c, x in zip(names, rows)}, kind=np.ones(later.sum(), np.int64))
+            # of each different span the first; the last anchor stays open
+            group = (np.cumsum(new_anchor) - 1)[first]
+            rank = np.arange(len(first)) - np.searchsorted(group, group)
             many = np.bincount(group)[group]
-            part = first[many > 1]
-            if len(part):
-                shards = -(-many[many > 1] // HOT)
-                salt = np.where(shards > 1, mix(doc[part].astype(np.uint64)).astype(np.int64) % shards, -1)
-                yield _batch(ah=ah[part], sh=salt, doc=doc[part], pos=pos[part], n=n[part], kind=np.full(len(part), 2))
+            before = np.where((group == 0) & (len(carry[0]) > 0), sent, 0)
+            closed = (group < group[-1]) & ((many > 1) | (before > 0))
+            if closed.any():
+                split = (many > HOT) | (before > 0)
+                yield send([x[first[closed]] for x in rows], np.where(split, before + rank // HOT, -1)[closed])
+            sent = int(before[-1])
+            carry = [x[first[group == group[-1]]] for x in rows]
+            while len(carry[0]) > HOT:
+                yield send([x[:HOT] for x in carry], np.full(HOT, sent))
+                carry, sent = [x[HOT:] for x in carry], sent + 1
+        if len(carry[0]) > 1 or sent:
+            yield send(carry, np.full(len(carry[0]), sent if sent else -1))
 
     return arrow_map(spans_, batches, ROW)
 
@@ -221,54 +244,56 @@ def reaches(buf: np.ndarray, order: np.ndarray, length: int = LENGTH) -> np.ndar
     return out[order]
 
 
-def classes(buf: np.ndarray, doc: np.ndarray, pos: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Valid window starts in the order of their class and then of (doc, pos); whether each begins a class."""
+def classes(buf: np.ndarray, doc: np.ndarray, sub: np.ndarray, pos: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Valid window starts in the order of their class and then of (doc, sub, pos); whether each begins a class."""
     order, _ = suffix_array(buf)
     number = np.cumsum(~reaches(buf, order))
     keep = valid[order]
     start, number = order[keep], number[keep]
-    by = np.lexsort((pos[start], doc[start], number))
+    by = np.lexsort((pos[start], sub[start], doc[start], number))
     start, number = start[by], number[by]
     return start, np.concatenate([[True], number[1:] != number[:-1]]) if len(start) else np.zeros(0, bool)
 
 
-SHARD_ROW = "doc long, pos int, n int, ah long, part int, salt int, win binary"
+SHARD_ROW = "doc long, sub long, pos int, n int, ah long, part int, salt int, win binary"
+SHARD_COLUMNS = ["doc", "sub", "pos", "n", "ah", "part", "salt", "win"]
+SPAN = ("ah", "salt", "doc", "sub", "pos", "bytes")
 
 
 def in_shards(found: DataFrame) -> DataFrame:
-    """Of spans (ah, salt, doc, pos, bytes): ranges to remove (win null), and the first windows of the classes of split groups."""
+    """Of spans (SPAN): ranges to remove (win null), and the first windows of the classes of split groups."""
 
     def shard(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        size = np.array([len(r[4]) for r in rows], np.int64)
+        size = np.array([len(r[5]) for r in rows], np.int64)
         begin = np.cumsum(size) - size
-        buf = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
+        buf = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
         span = np.repeat(np.arange(len(rows)), size)
         off = np.arange(len(buf)) - begin[span]
-        doc, pos = np.array([r[2] for r in rows], np.int64)[span], np.array([r[3] for r in rows], np.int64)[span] + off
-        start, head = classes(buf, doc, pos, off <= size[span] - LENGTH)
+        doc, sub, pos = (np.array([r[k] for r in rows], np.int64)[span] for k in (2, 3, 4))
+        pos = pos + off
+        start, head = classes(buf, doc, sub, pos, off <= size[span] - LENGTH)
         lead = start[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(start) else start
-        later = (doc[start] != doc[lead]) | (pos[start] != pos[lead])
-        gone = start[later]
+        gone = start[differs(start, lead, doc, sub, pos)]
         if len(gone):
-            d, p, m = merge_ranges(doc[gone], pos[gone], np.ones(len(gone), np.int64))
+            d, s, p, m = merge_ranges(doc[gone], sub[gone], pos[gone], np.ones(len(gone), np.int64))
             none = pa.nulls(len(d))
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(p.astype(np.int32)), pa.array(m.astype(np.int32)), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], SHARD_COLUMNS)
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(p.astype(np.int32)), pa.array(m.astype(np.int32)), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], SHARD_COLUMNS)
         split = [s for s in start[head].tolist() if rows[span[s]][1] >= 0]
         if split:
             win = [buf[s : s + LENGTH].tobytes() for s in split]
-            part = [int(np.frombuffer(w, np.uint8).sum()) % MERGE_PARTS for w in win]
+            part = [zlib.crc32(w) % MERGE_PARTS for w in win]
             own = [rows[span[s]] for s in split]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[split]), pa.array(pos[split].astype(np.int32)), pa.array(np.ones(len(split), np.int32)), pa.array([r[0] for r in own], pa.int64()), pa.array(part, pa.int32()), pa.array([r[1] for r in own], pa.int32()), pa.array(win, pa.binary())], SHARD_COLUMNS)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[split]), pa.array(sub[split]), pa.array(pos[split].astype(np.int32)), pa.array(np.ones(len(split), np.int32)), pa.array([r[0] for r in own], pa.int64()), pa.array(part, pa.int32()), pa.array([r[1] for r in own], pa.int32()), pa.array(win, pa.binary())], SHARD_COLUMNS)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in it:
-            for r in zip(*(batch[c].to_pylist() for c in ("ah", "salt", "doc", "pos", "bytes"))):
+            for r in zip(*(batch[c].to_pylist() for c in SPAN)):
                 if size > SHARD and r[:2] != rows[-1][:2]:
                     yield from shard(rows)
                     rows, size = [], 0
                 rows.append(r)
-                size += len(r[4])
+                size += len(r[5])
         if rows:
             yield from shard(rows)
 
@@ -276,41 +301,40 @@ def in_shards(found: DataFrame) -> DataFrame:
     return arrow_map(dealt, batches, SHARD_ROW)
 
 
-SHARD_COLUMNS = ["doc", "pos", "n", "ah", "part", "salt", "win"]
+#: A place of a window, so that places compare as documents and positions do.
+PLACE = np.dtype([("doc", np.int64), ("sub", np.int64), ("pos", np.int64)])
 
 
 def merge_shards(firsts: DataFrame) -> DataFrame:
     """Ranges to remove among the shards' first windows: those that another shard has earlier."""
 
-    def merge(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        known, doc, pos = lists[0]
-        lost_doc, lost_pos = [], []
-        for win, d, p in lists[1:]:
+    def merge(lists: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        known, place = lists[0]
+        lost = [place[:0]]
+        for win, own in lists[1:]:
             at = np.searchsorted(known, win)
             hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == win)
             k = at[hit]
-            earlier = (d[hit] < doc[k]) | ((d[hit] == doc[k]) & (p[hit] < pos[k]))
-            same = (d[hit] == doc[k]) & (p[hit] == pos[k])
-            lost_doc.append(np.where(earlier, doc[k], d[hit])[~same])
-            lost_pos.append(np.where(earlier, pos[k], p[hit])[~same])
-            doc[k], pos[k] = np.where(earlier, d[hit], doc[k]), np.where(earlier, p[hit], pos[k])
+            a, b = own[hit], place[k]
+            order = [np.sign(a[c].astype(object) - b[c].astype(object)).astype(np.int64) for c in PLACE.names]
+            less = np.where(order[0] != 0, order[0], np.where(order[1] != 0, order[1], order[2]))
+            lost.append(np.where(less < 0, b, a)[less != 0])
+            place[k] = np.where(less < 0, a, b)
             new = np.ones(len(win), bool)
             new[hit] = False
-            where = at[new]
-            known, doc, pos = np.insert(known, where, win[new]), np.insert(doc, where, d[new]), np.insert(pos, where, p[new])
-        return np.concatenate([*lost_doc, np.zeros(0, np.int64)]), np.concatenate([*lost_pos, np.zeros(0, np.int64)])
+            known, place = np.insert(known, at[new], win[new]), np.insert(place, at[new], own[new])
+        return np.concatenate(lost)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(lists: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
             # a byte behind each window keeps numpy from dropping its zeros
-            ready = [(np.array([r[0] + b"." for r in x], f"S{LENGTH + 1}"), np.array([r[1] for r in x], np.int64), np.array([r[2] for r in x], np.int64)) for x in lists]
-            doc, pos = merge(ready)
-            if len(doc):
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(np.ones(len(doc), np.int32))], ["doc", "pos", "n"])
+            lost = merge([(np.array([r[0] + b"." for r in x], f"S{LENGTH + 1}"), np.array([r[1:] for r in x], PLACE)) for x in lists])
+            if len(lost):
+                yield pa.RecordBatch.from_arrays([pa.array(lost["doc"]), pa.array(lost["sub"]), pa.array(lost["pos"].astype(np.int32)), pa.array(np.ones(len(lost), np.int32))], ["doc", "sub", "pos", "n"])
 
         group, salt, lists = None, None, []
         for batch in it:
-            for ah, part, s, win, doc, pos in zip(*(batch[c].to_pylist() for c in ("ah", "part", "salt", "win", "doc", "pos"))):
+            for ah, part, s, *row in zip(*(batch[c].to_pylist() for c in ("ah", "part", "salt", "win", "doc", "sub", "pos"))):
                 if (ah, part) != group:
                     if len(lists) > 1:
                         yield from out(lists)
@@ -318,25 +342,28 @@ def merge_shards(firsts: DataFrame) -> DataFrame:
                 if s != salt:
                     salt = s
                     lists.append([])
-                lists[-1].append((win, doc, pos))
+                lists[-1].append(tuple(row))
         if len(lists) > 1:
             yield from out(lists)
 
     dealt = firsts.repartition("ah", "part").sortWithinPartitions("ah", "part", "salt", "win")
-    return arrow_map(dealt, batches, "doc long, pos int, n int")
+    return arrow_map(dealt, batches, "doc long, sub long, pos int, n int")
+
+
+RANGE = ("doc", "sub", "pos", "n")
 
 
 def removed_windows(docs: DataFrame) -> DataFrame:
-    """(doc, pos, n): n windows from pos on of a document start later than an equal one; docs: (doc, body)."""
-    dealt = find_spans(docs).repartition("ah").sortWithinPartitions("ah", "sh", "doc", "pos")
+    """RANGE: n windows from pos on of a document start later than an equal one; docs: (doc, sub, body)."""
+    dealt = find_spans(docs).repartition("ah").sortWithinPartitions("ah", "sh", "doc", "sub", "pos")
     settled = materialize(settle(dealt))
-    part = settled.where("kind = 2").groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("ah", F.col("sh").cast("int").alias("salt"), "pos", "n")).alias("spans"))
+    part = settled.where("kind = 2").groupBy(F.col("doc").alias("_doc"), F.col("sub").alias("_sub")).agg(F.collect_list(F.struct("ah", F.col("sh").cast("int").alias("salt"), "pos", "n")).alias("spans"))
     cut = lambda s: F.struct(s["ah"].alias("ah"), s["salt"].alias("salt"), s["pos"].alias("pos"), F.substring(F.col("body"), s["pos"] + 1, s["n"] + F.lit(LENGTH - 1)).alias("bytes"))
-    found = docs.join(part, F.col("doc") == F.col("_doc")).select("doc", F.explode(F.transform("spans", cut)).alias("s")).select("s.ah", "s.salt", "doc", "s.pos", "s.bytes")
+    found = docs.join(part, (F.col("doc") == F.col("_doc")) & (F.col("sub") == F.col("_sub"))).select("doc", "sub", F.explode(F.transform("spans", cut)).alias("s")).select("s.ah", "s.salt", "doc", "sub", "s.pos", "s.bytes")
     found = found.where(F.length("bytes") >= LENGTH)
     sharded = materialize(in_shards(found))
     merged = merge_shards(sharded.where("win IS NOT NULL"))
-    return settled.where("kind = 1").select("doc", "pos", "n").unionByName(sharded.where("win IS NULL").select("doc", "pos", "n")).unionByName(merged)
+    return settled.where("kind = 1").select(*RANGE).unionByName(sharded.where("win IS NULL").select(*RANGE)).unionByName(merged)
 
 
 def cut_out(size: int, pos: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
@@ -356,9 +383,9 @@ def cut_out(size: int, pos: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, removed, kept): the maximal removed runs as (start, end) and the bytes that stay."""
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), body(text_col).alias("body"))
-    ranges = removed_windows(keyed).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("pos").alias("pos"), F.collect_list("n").alias("n"))
-    both = keyed.join(ranges, F.col("doc") == F.col("_doc"), "left").select("doc", "body", "pos", "n")
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(body(text_col)).alias("sub"), body(text_col).alias("body"))
+    ranges = removed_windows(keyed).groupBy(F.col("doc").alias("_doc"), F.col("sub").alias("_sub")).agg(F.collect_list("pos").alias("pos"), F.collect_list("n").alias("n"))
+    both = keyed.join(ranges, (F.col("doc") == F.col("_doc")) & (F.col("sub") == F.col("_sub")), "left").select("doc", "body", "pos", "n")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

@@ -18,7 +18,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Width of the doc_id ranges in which rows are numbered; ranges are put together by running sums.
+#: Width of the doc_id ranges in which rows are numbered, and ranges of a span; they are put together by running sums.
 RANGE_IDS = 4096
 #: Bound on a cycle, and so on the broadcast schedule.
 MAX_PARTS = 10_000
@@ -63,8 +63,13 @@ def mix(docs: DataFrame, parts: Mapping[str, int], other_parts: int = 1, block_d
     stratum = F.when(F.col(source_col).isin(list(parts)), F.col(source_col)).alias("_stratum")
     rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), stratum, F.floor(F.col(id_col) / RANGE_IDS).alias("_range"))
     counts = docs.select(stratum.alias("_s"), F.floor(F.col(id_col) / RANGE_IDS).alias("_r")).groupBy("_s", "_r").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("_s").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("_s", "_r", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    # running sums in two steps: over the ranges of a span, and over the spans of a source
+    counts = counts.withColumn("_span", F.floor(F.col("_r") / RANGE_IDS))
+    spans = counts.groupBy(F.col("_s").alias("_t"), F.col("_span").alias("_u")).agg(F.sum("_n").alias("_m"))
+    sums = lambda n, order, *by: F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.withColumn("_first", sums("_m", "_u", "_t"))
+    before = counts.withColumn("_inside", sums("_n", "_r", "_s", "_span")).join(spans, F.col("_s").eqNullSafe(F.col("_t")) & F.col("_span").eqNullSafe(F.col("_u")))
+    before = before.select("_s", "_r", (F.col("_first") + F.col("_inside")).alias("_before"))
     same = F.col("_stratum").eqNullSafe(F.col("_s")) & F.col("_range").eqNullSafe(F.col("_r"))
     ordinal = F.col("_before") + F.row_number().over(Window.partitionBy("_stratum", "_range").orderBy("_id")) - 1
     rows = rows.join(before, same).withColumn("_ordinal", ordinal)

@@ -10,7 +10,8 @@ from linkwright.llm.common import materialize
 
 def _least(sym: DataFrame) -> DataFrame:
     """(u, v, m): each edge with the least node among u and its neighbours."""
-    least = sym.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_m"))
+    # written, so that the join reads both sides from shuffles of their own and the edges of one node can be split
+    least = materialize(sym.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_m")))
     return sym.join(least, F.col("u") == F.col("_u")).select("u", "v", F.least("u", "_m").alias("m"))
 
 

@@ -4,19 +4,21 @@ A document's set has the hashes of its runs of five words. In each run and at ea
 chooses those of its tokens whose node-seeded hash is below 1 / (LAMBDA * size), about 1 / LAMBDA of them,
 and goes down to the nodes named by the path so far and the token. Similar sets choose the same tokens, so
 they meet in the same nodes. A node with few sets is a bucket; the sets of a larger one are split on the
-next tokens of their paths, DEPTH tokens at most. Runs are repeated until a pair at the threshold is met
-with probability RECALL.
+next tokens of their paths, DEPTH tokens at most: a group of near copies chooses the same tokens at any depth, so
+splitting further would not end. Runs are repeated until a pair at the threshold is met with probability RECALL.
 
 Documents with equal sets are one class from the start, so copies never meet each other. In a bucket, sets
 are compared by sketches of their least hashes with leaders: a set that no leader covers becomes one, and
 every set near a leader is tied to it; an edge to the first of those tied together is kept. By the triangle inequality of the Jaccard distance, two sets over
 the threshold are then tied to a common leader, so the comparisons of a bucket of near copies grow with
 its size and not with its square. The tied sets form candidate groups; in these, whole sets are compared
-exactly in blocks, tokens that occur once left out. Only sums and spanning edges leave a block.
+exactly in blocks of BLOCK sets and BLOCK_BYTES at most, tokens that occur once left out. Only sums and spanning
+edges leave a block. Sketches that hide a link from all its leaders are a loss beside RECALL; tests measure both
+together against all pairs.
 
 Defined results: null and empty texts, and texts without words, have no links and are classes of their own;
 texts of fewer than five words have one token, all their words; each row gives one row and counts for the
-links of the others; a null doc_id is kept, and a class without any doc_id has a null class_id. Other columns
+links of the others; a null doc_id is kept, and a class without any doc_id has a null class_id; of rows with equal doc_ids and different texts, each is a document. Other columns
 are ignored.
 """
 
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkwright.llm.bytewords import Words, groups, mix
@@ -40,6 +42,8 @@ NGRAM, SIMILARITY = 5, 0.8
 LAMBDA, DEPTH, RECALL = 0.8, 3, 0.999
 #: Sets of a bucket that is not split further; sets of a block.
 SMALL, BLOCK = 64, 1024
+#: Bytes of the sets of a block, about.
+BLOCK_BYTES = 16_000_000
 #: Cells of a sketch; sketches at least COVER alike are covered, at least TIE alike are tied.
 CELLS, COVER, TIE = 64, 0.6, 0.22
 
@@ -148,9 +152,10 @@ def buckets(classes: DataFrame) -> DataFrame:
     return top.where(F.col("n") <= SMALL).select(*keep).unionByName(mid.where(F.col("n") <= SMALL).select(*keep)).unionByName(deep.select(*keep))
 
 
-def in_blocks(members: DataFrame, key: str, n: str) -> DataFrame:
-    """Deal groups out in pairs of blocks of about BLOCK members: adds own, i and j (i <= j)."""
-    blocks = F.ceil(F.col(n) / BLOCK).cast("int")
+def in_blocks(members: DataFrame, key: str, n: str, n_bytes: Column | None = None) -> DataFrame:
+    """Deal groups out in pairs of blocks of about BLOCK members and BLOCK_BYTES at most: adds own, i and j (i <= j)."""
+    blocks = F.ceil(F.col(n) / BLOCK)
+    blocks = (blocks if n_bytes is None else F.greatest(blocks, F.ceil(n_bytes / BLOCK_BYTES))).cast("int")
     own = F.pmod(F.hash("digest"), blocks)
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     dealt = members.withColumn("own", own).withColumn("_other", other)
@@ -256,9 +261,9 @@ def exact_links(sets: list[np.ndarray], own: np.ndarray, i: int, j: int, weight:
 
 
 def verify(docs: DataFrame, candidates: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """(digest, links, to): partial sums of links, or an edge to another digest; candidates: (rep, digest, n_docs, root, n)."""
+    """(digest, links, to): partial sums of links, or an edge to another digest; candidates: (rep, digest, n_docs, root, n, n_tokens)."""
     texts = docs.select(F.col(id_col).alias("_id"), body(text_col).alias("body"))
-    found = texts.join(candidates, F.col("_id").eqNullSafe(F.col("rep"))).select("root", "n", "digest", "n_docs", "body")
+    found = texts.join(candidates, F.col("_id").eqNullSafe(F.col("rep"))).select("root", "n", "n_tokens", "digest", "n_docs", "body")
 
     def to_sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(it):
@@ -268,7 +273,7 @@ def verify(docs: DataFrame, candidates: DataFrame, id_col: str, text_col: str, s
                     keep.append(k)
                     sets.append(s.tobytes())
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch[c].take(at) for c in ("root", "n", "digest", "n_docs")), pa.array(sets, pa.binary())], ["root", "n", "digest", "n_docs", "tokens"])
+            yield pa.RecordBatch.from_arrays([*(batch[c].take(at) for c in ("root", "n", "n_tokens", "digest", "n_docs")), pa.array(sets, pa.binary())], ["root", "n", "n_tokens", "digest", "n_docs", "tokens"])
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), rows in by_group(it, 3):
@@ -286,8 +291,8 @@ def verify(docs: DataFrame, candidates: DataFrame, id_col: str, text_col: str, s
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["digest", "links", "to"])
 
-    sets = arrow_map(found, to_sets, "root binary, n long, digest binary, n_docs long, tokens binary")
-    dealt = in_blocks(sets, "root", "n").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").select("root", "i", "j", "own", "digest", "n_docs", "tokens")
+    sets = arrow_map(found, to_sets, "root binary, n long, n_tokens long, digest binary, n_docs long, tokens binary")
+    dealt = in_blocks(sets, "root", "n", 8 * F.col("n_tokens")).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").select("root", "i", "j", "own", "digest", "n_docs", "tokens")
     return materialize(arrow_map(dealt, compare, "digest binary, links long, to binary"))
 
 
@@ -299,13 +304,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = materialize(sketches(docs, id_col, text_col, runs(similarity, recall)))
     full = rows.where("size > 0")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_docs"), F.first("sketch").alias("sketch"), F.first("tree").alias("tree"))
+    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_docs"), F.max("size").cast("long").alias("size"), F.first("sketch").alias("sketch"), F.first("tree").alias("tree"))
     classes = materialize(classes)
     members = buckets(classes.select("digest", "tree")).join(classes.select(F.col("digest").alias("_d"), "sketch"), F.col("digest") == F.col("_d")).drop("_d")
     roots = materialize(components(ties(members)))
-    sizes = roots.groupBy(F.col("root").alias("_root")).agg(F.count(F.lit(1)).alias("n"))
-    candidates = roots.join(sizes, F.col("root") == F.col("_root")).drop("_root")
-    candidates = candidates.join(classes.select("digest", "rep", "n_docs"), F.col("node") == F.col("digest")).select("rep", "digest", "n_docs", "root", "n")
+    rooted = materialize(roots.join(classes.select("digest", "rep", "n_docs", "size"), F.col("node") == F.col("digest")).drop("node"))
+    sizes = materialize(rooted.groupBy(F.col("root").alias("_root")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("n_tokens")))
+    candidates = rooted.join(sizes, F.col("root") == F.col("_root")).select("rep", "digest", "n_docs", "root", "n", "n_tokens")
     found = verify(docs, candidates, id_col, text_col, similarity)
     links = found.groupBy(F.col("digest").alias("_d")).agg(F.sum("links").alias("links"))
     groups_ = components(found.where("to IS NOT NULL").select(F.col("digest").alias("a"), F.col("to").alias("b")))
@@ -320,6 +325,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the document with the least doc_id."""
-    gone = jaccard_classes(docs, id_col, text_col).where(F.col("class_id") != F.col("doc_id")).select("doc_id")
-    return without(docs, gone, F.col(id_col))
+    """The rows of ``docs`` that stay: of each group the document with the least doc_id, and with the least text of that one.
+
+    Of rows that share a doc_id each stays or goes by its own text; rows that repeat one document stay or go together.
+    """
+    # a document is named by its id and a hash of its text; nulls come first in a struct
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(body(text_col)).alias("hash"))
+    named = docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
+    gone = jaccard_classes(named, "_key", "_text").where(F.col("class_id") != F.col("doc_id")).select("doc_id.id", "doc_id.hash")
+    return without(docs, gone, F.col(id_col), F.xxhash64(body(text_col)))

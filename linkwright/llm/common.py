@@ -1,4 +1,4 @@
-"""What the operators share: tables, bytes of texts, hot keys and row filters."""
+"""What the operators share: tables, bytes of texts and row filters."""
 
 from __future__ import annotations
 
@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from linkwright.storage import materialize, shared_dir
 
-__all__ = ["MAX_HEAVY", "body", "heavy_keys", "materialize", "shared_dir", "table", "without"]
-
-#: Rows kept by ``heavy_keys``: the proven bound on what is broadcast for hot keys.
-MAX_HEAVY = 1000
+__all__ = ["body", "materialize", "shared_dir", "table", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,16 +20,6 @@ def body(text: str | Column = "text") -> Column:
     return F.coalesce(c.cast("binary"), F.lit(b""))
 
 
-def heavy_keys(df: DataFrame, key: str, at_least: int = 4096) -> DataFrame:
-    """The keys that hold the most rows: at most MAX_HEAVY of them, each with ``at_least`` rows.
-
-    A key that is not among them holds fewer rows than ``at_least`` or than one MAX_HEAVY-th of all,
-    so it fits one task; these few are small enough to broadcast whatever the input.
-    """
-    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return n.where(F.col("_n") >= at_least).orderBy(F.desc("_n"), key).limit(MAX_HEAVY).select(key)
-
-
 def without(docs: DataFrame, gone: DataFrame, *keys: Column) -> DataFrame:
     """The rows of ``docs`` whose keys are not in ``gone``, whatever their columns are called; nulls are equal."""
     rows = docs.select(F.struct("*").alias("row"), *(k.alias(f"key{i}") for i, k in enumerate(keys)))

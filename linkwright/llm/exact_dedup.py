@@ -4,7 +4,9 @@ Each text is cut into blocks of a fixed number of bytes. Distinct blocks are sor
 that two blocks have one integer name exactly if their bytes agree. Adjacent names are then paired
 and the distinct pairs are named the same way, again and again, until each document has one name.
 A hash only says which bucket a value is sorted in; within the bucket whole values are compared,
-so names never collide.
+so names never collide. Values are reduced to distinct ones in each task before they are dealt to buckets, so one
+that very many rows share costs a row for each task; rows look their names up by bucket and a second hash, and
+should two values of a bucket agree in that one too, the job stops instead of giving both one name.
 
 Defined results: null text counts as empty; a null doc_id ranks below every other; rows that agree
 in doc_id and text are the same document and all carry the same result; other columns are ignored.
@@ -12,10 +14,10 @@ in doc_id and text are the same document and all carry the same result; other co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkwright.llm.common import body, heavy_keys, materialize, without
+from linkwright.llm.common import body, materialize, without
 
 #: Bytes of a block.
 BLOCK_BYTES = 8192
@@ -33,20 +35,20 @@ def _join_name(rank: Column) -> Column:
     return F.when(rank < (1 << RANK_BITS), F.shiftleft(F.col("_bucket"), RANK_BITS) + rank).otherwise(full.cast("long"))
 
 
-def name_values(df: DataFrame, value: str) -> DataFrame:
-    """Replace column ``value`` by ``name``: equal integers for equal values, and only for those.
+def _second(value: Column) -> Column:
+    return F.xxhash64(F.lit("second"), value)
 
-    Rows are dealt out by bucket and ranked there. Values that very many rows share are first reduced
-    to distinct ones with a partial aggregate, named once, and joined back to their rows.
-    """
-    df = df.withColumn("_bucket", _bucket(F.col(value)))
-    hot = heavy_keys(df, "_bucket")
-    rank = F.dense_rank().over(Window.partitionBy("_bucket").orderBy(value)).cast("long")
-    cold = df.join(F.broadcast(hot), "_bucket", "left_anti").withColumn("name", _join_name(rank))
-    among_hot = df.join(F.broadcast(hot), "_bucket", "left_semi")
-    names = among_hot.select("_bucket", value).distinct().withColumn("name", _join_name(rank))
-    again = among_hot.join(names, ["_bucket", value])
-    return cold.unionByName(again).drop("_bucket", value)
+
+def name_values(df: DataFrame, value: str) -> DataFrame:
+    """Replace column ``value`` by ``name``: equal integers for equal values, and only for those."""
+    dealt = df.withColumn("_bucket", _bucket(F.col(value)))
+    sorted_ = dealt.groupBy("_bucket").agg(F.array_sort(F.collect_set(value)).alias("_values"))
+    apart = F.size(F.array_distinct(F.transform("_values", _second))) == F.size("_values")
+    clash = F.raise_error(F.lit("two values of one bucket have equal hashes"))
+    ranked = sorted_.select("_bucket", F.posexplode(F.when(apart, F.col("_values")).otherwise(clash.cast(sorted_.schema["_values"].dataType))).alias("_rank", "_value"))
+    names = ranked.select("_bucket", _second(F.col("_value")).alias("_second"), _join_name(F.col("_rank").cast("long")).alias("name"))
+    rows = dealt.withColumn("_second", _second(F.col(value))).drop(value)
+    return rows.join(materialize(names), ["_bucket", "_second"]).drop("_bucket", "_second")
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:

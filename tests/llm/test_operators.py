@@ -429,13 +429,10 @@ def test_exact_dedup(spark, real, awkward, block):
     assert exact_dedup.drop_copies(awkward).columns == awkward.columns
 
 
-def test_hot_blocks_take_the_other_path(spark, monkeypatch):
-    import linkwright.llm.exact_dedup as e
-
-    heavy = e.heavy_keys
-    monkeypatch.setattr(e, "heavy_keys", lambda df, key: heavy(df, key, 2))
+def test_many_values_in_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BUCKET_BITS", 2)
     docs = documents(spark, ["same"] * 50 + ["other"] * 3 + [f"t{i}" for i in range(10)])
-    got = Counter(r.group_size for r in e.exact_groups(docs).collect())
+    got = Counter(r.group_size for r in exact_dedup.exact_groups(docs).collect())
     assert got == {50: 50, 3: 3, 1: 10}
 
 
@@ -476,6 +473,66 @@ def test_suffix_dedup_awkward(spark, awkward):
     assert suffix_dedup.dedup_passages(empty(spark)).count() == 0
 
 
+def test_suffix_dedup_of_equal_and_missing_ids(spark):
+    rng = random.Random(12)
+    own = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    a, b, shared = own(400), own(400), own(150)
+    rows = [(1, a), (1, b), (None, own(300)), (None, own(50) + shared), (5, own(60) + shared + own(60)), (6, a[100:300]), (6, a[100:300]), (7, own(200) + b[200:350])]
+    docs = spark.createDataFrame([(i, t, "en", None, 0) for i, t in rows], COLUMNS)
+    got = Counter((r.doc_id, r.n_bytes, bytes(r.kept)) for r in suffix_dedup.dedup_passages(docs).collect())
+    cut = {4: rows[4][1].replace(shared, ""), 5: "", 6: "", 7: rows[7][1][:200]}
+    assert got == Counter((i, len(t), cut.get(k, t).encode()) for k, (i, t) in enumerate(rows))
+
+
+def test_suffix_dedup_of_texts_longer_than_a_segment(spark, monkeypatch):
+    rng = random.Random(13)
+    base = "".join(rng.choice("abcdefgh") for _ in range(2000))
+    made = {0: base, 1: "x" * 37 + base[:1500], 2: base[700:] + base[:900], 3: "y" * 1200}
+    for size in (256, 333, 1 << 24):
+        assert [p[: size] for p in suffix_dedup.segments(b"z" * 50)] == [b"z" * 50]
+        monkeypatch.setattr(suffix_dedup, "SEGMENT", size)
+        parts = suffix_dedup.segments(base.encode())
+        assert b"".join(p[:size] for p in parts[:-1]) + parts[-1] == base.encode()
+    # workers take the value from the module, so the segments are cut here as they cut them
+    for size in (256, 333):
+        monkeypatch.setattr(suffix_dedup, "SEGMENT", size)
+        batch = [[(i, len(t)) for i, t in made.items()]]
+        starts = sorted((i, k * size + int(p)) for i, t in made.items() for k, part in enumerate(suffix_dedup.segments(t.encode())) for _, p, n, _, _ in zip(*suffix_dedup.spans([part])) for p in range(p, p + n))
+        assert starts == [(i, p) for i, t in made.items() for p in range(len(t) - 99)] and batch
+    monkeypatch.undo()
+    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup_passages(documents(spark, list(made.values()))).collect()}
+    assert got == brute_passages(made)
+
+
+@pytest.mark.parametrize("rows", [1, 3, 50])
+def test_settling_streams_through_anchors(rows, monkeypatch):
+    """The same spans come out of any batches; no more than HOT different ones of an anchor share a shard."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "HOT", 4)
+    monkeypatch.setattr(suffix_dedup, "arrow_map", lambda df, f, kind: f)
+    rng = random.Random(14)
+    made = sorted((rng.randrange(6), rng.randrange(9), rng.randrange(30), 0, rng.randrange(5)) for _ in range(160))
+    table = [suffix_dedup._batch(**{c: np.array([r[k] for r in made[a : a + rows]], np.int64) for k, c in enumerate(("ah", "sh", "doc", "sub", "pos"))}, n=np.ones(len(made[a : a + rows]), np.int64), kind=np.zeros(len(made[a : a + rows]), np.int64)) for a in range(0, len(made), rows)]
+    out = [r for b in suffix_dedup.settle(None)(iter(table)) for r in pa.Table.from_batches([b]).to_pylist()]
+    first = {}
+    for ah, sh, *place in made:
+        first.setdefault((ah, sh), tuple(place))
+    gone = Counter((r["doc"], r["sub"], r["pos"]) for r in out if r["kind"] == 1)
+    assert gone == Counter(tuple(place) for ah, sh, *place in made if tuple(place) != first[ah, sh])
+    shards = defaultdict(list)
+    for r in out:
+        if r["kind"] == 2:
+            shards[r["ah"], r["sh"]].append((r["doc"], r["sub"], r["pos"]))
+    by = defaultdict(list)
+    for (ah, _), place in first.items():
+        by[ah].append(place)
+    for ah, places in by.items():
+        dealt = [p for (a, _), ps in shards.items() if a == ah for p in ps]
+        assert Counter(dealt) == Counter(places if len(places) > 1 else [])
+        assert all(len(ps) <= 4 and (s >= 0) == (len(places) > 4) for (a, s), ps in shards.items() if a == ah)
+
+
 def test_suffix_array():
     rng = random.Random(1)
     for size, letters in ((300, "ab"), (400, "a"), (257, "abcdefgh")):
@@ -645,6 +702,46 @@ def test_jaccard_join(spark, real, awkward):
     assert jaccard_join.jaccard_classes(empty(spark)).count() == 0
 
 
+def token_rows(texts):
+    """The sets of runs of five words as numbers, and which sets hold each number."""
+    number, sets = {}, {}
+    for i, t in texts.items():
+        w = words(t)
+        runs = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
+        sets[i] = {number.setdefault(r, len(number)) for r in runs}
+    holders = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    return sets, holders
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_recall_against_all_rows(spark, scale):
+    """Queries are the rows whose id is divisible by 50; each link of theirs counts."""
+    df = spark.read.parquet(f"/root/testdata/{scale}/documents.parquet")
+    texts = {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+    sets, holders = token_rows(texts)
+    want = {}
+    for q in texts:
+        if q % 50 == 0:
+            both = Counter(i for x in sets[q] for i in holders[x] if i != q)
+            want[q] = {i for i, n in both.items() if n >= 0.8 * (len(sets[q]) + len(sets[i]) - n)}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_classes(df).collect()}
+    links = sum(map(len, want.values()))
+    found = sum(got[i][0] == got[q][0] for q, others in want.items() for i in others)
+    assert links > 0 and found >= 0.999 * links
+    assert sum(got[q][1] == len(others) for q, others in want.items()) >= 0.999 * len(want)
+
+
+def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 4000)
+    base = [f"w{i}" for i in range(150)]
+    made = {i: " ".join(base[: 60 + i % 7] + [f"v{i}"] + base[60 + i % 7 :]) for i in range(40)}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_classes(documents(spark, list(made.values()))).collect()}
+    assert got == brute_classes(made)
+
+
 def test_runs_suffice_where_one_set_contains_the_other():
     meet = 1.0
     for _ in range(jaccard_join.DEPTH):
@@ -660,3 +757,11 @@ def test_blocks_of_large_groups(spark, monkeypatch):
     assert got == brute_classes(made)
     kept = jaccard_join.keep_one(documents(spark, list(made.values()))).collect()
     assert [r.doc_id for r in kept] == [0]
+
+
+def test_equal_ids_with_other_texts_stay(spark):
+    near = " ".join(f"w{i}" for i in range(90))
+    rows = [(1, near), (2, near + " more"), (2, "quite another text of a few words"), (2, "quite another text of a few words"), (None, None), (None, near + " less"), (None, "some other text without an id at all")]
+    docs = spark.createDataFrame([(i, t, "en", None, 0) for i, t in rows], COLUMNS)
+    got = Counter((r.doc_id, r.text) for r in jaccard_join.keep_one(docs).collect())
+    assert got == Counter(rows[2:])  # of the group of three the row without an id is first

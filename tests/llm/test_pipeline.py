@@ -1,7 +1,7 @@
 """The pipeline against its stages' brute-force versions."""
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 from test_operators import COLUMNS, brute_classes
@@ -64,3 +64,33 @@ def test_places_in_the_mix_and_a_rejected_document(spark, sf_dir, tmp_path):
     plain = {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").collect()}
     assert set(got) == plain and len(set(got.values())) == len(got)
     assert got == brute_mix([(i, source[i]) for i in plain], PARTS, OTHER, BLOCK)
+
+
+def test_stages_on_awkward_rows(spark):
+    """Nulls, repeated ids with equal and other texts, and columns named as the operators' own."""
+    near = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, near), (1, near), (2, near), (2, "another text of five words"), (None, None), (None, ""), (None, near + " more"), (3, ""), (4, None), (5, "a b"), (6, near + " again")]
+    docs = spark.createDataFrame([(i, t, "en", None, 0, "x", 1, 2, "y", 3) for i, t in rows], f"{COLUMNS}, name string, node int, slot int, _id string, mix_slot int").withColumnRenamed("name", "root")
+    stages = dict(corpus_pipeline.STAGES)
+    seen = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    least = lambda i: -(2**63) if i is None else i
+
+    identified = stages["language ID"](spark, docs, "")
+    assert identified.columns == docs.columns and not seen(identified) - seen(docs)
+    assert all(n == seen(docs)[k] for k, n in seen(identified).items())  # repeated rows stay or go together
+
+    deduped = stages["exact dedup"](spark, docs, "")
+    top = {}
+    for i, t in rows:
+        top[t or ""] = max(top.get(t or "", -(2**63)), least(i))
+    assert deduped.columns == docs.columns and seen(deduped) == Counter((i, t) for i, t in rows if least(i) == top[t or ""])
+
+    joined = stages["n-gram Jaccard join"](spark, docs, "")
+    alike = [(i, t) for i, t in rows if t and t.startswith("w0")]
+    assert joined.columns == docs.columns and seen(joined) == Counter([r for r in rows if r not in alike] + [(None, near + " more")])
+
+    placed = stages["mixing sources to target weights"](spark, docs, "")
+    assert placed.columns == docs.columns and seen(placed) == seen(docs)
+
+    coded = stages["BPE encoding and decoding"](spark, docs, "").collect()
+    assert Counter(r.doc_id for r in coded) == Counter(i for i, _ in rows) and len({(r.mix_slot, r.mix_offset) for r in coded}) == len(rows)

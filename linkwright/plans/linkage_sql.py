@@ -145,11 +145,45 @@ def fanned(relation: str) -> str:
     return f"(SELECT tk.id AS track_id, sk.map_id, r.t, r.m FROM {relation} r JOIN t ON t.k = r.t JOIN m ON m.k = r.m JOIN tk ON tk.artist = t.artist AND tk.title = t.title AND tk.tags = t.tags JOIN sk ON sk.artist = m.artist AND sk.title = m.title AND sk.tags = m.tags)"
 
 
+_PART = "CASE WHEN least(length(a), length(b)) >= 3 AND (contains(a, b) OR contains(b, a)) THEN 0.8e0 ELSE 0.0e0 END"
+#: The score of texts a and b, with ``score`` from Jaro-Winkler.
+_FUZZY = f"CASE WHEN a = b THEN 1.0e0 ELSE greatest({_PART}, {dice('a', 'b')}, coalesce(score, 0)) END"
+
+
+def _each(name: str, lists: str) -> str:
+    """Every pair of texts of lists (x, y)."""
+    return f"{name} AS (SELECT x, y, a, unnest(y) AS b FROM (SELECT x, y, unnest(x) AS a FROM {lists}))"
+
+
+def _best(name: str) -> str:
+    return f"(SELECT x, y, max({_FUZZY}) AS best FROM {name} LEFT JOIN winkler USING (a, b) GROUP BY x, y)"
+
+
+_WINKLER = jaro("(SELECT a, b FROM each_artist UNION SELECT a, b FROM each_title)", "winkler")
+
+
 def scores(threshold: float) -> str:
     """Relations that end in scores(t, m, score)."""
-    part = "CASE WHEN least(length(a), length(b)) >= 3 AND (contains(a, b) OR contains(b, a)) THEN 0.8e0 ELSE 0.0e0 END"
-    best = lambda c: f"(SELECT x, y, max(CASE WHEN a = b THEN 1.0e0 ELSE greatest({part}, {dice('a', 'b')}, coalesce(score, 0)) END) AS best FROM each_{c} LEFT JOIN winkler USING (a, b) GROUP BY x, y)"
-    each = lambda c: f"each_{c} AS (SELECT x, y, a, unnest(y) AS b FROM (SELECT x, y, unnest(x) AS a FROM (SELECT DISTINCT t.{c} AS x, m.{c} AS y FROM found JOIN t ON t.k = found.t JOIN m ON m.k = found.m)))"
+    lists = lambda c: f"(SELECT DISTINCT t.{c} AS x, m.{c} AS y FROM found JOIN t ON t.k = found.t JOIN m ON m.k = found.m)"
     return f"""{paths(threshold)},
-{each('artist')}, {each('title')},{jaro("(SELECT a, b FROM each_artist UNION SELECT a, b FROM each_title)", "winkler")},
-scores AS (SELECT found.t, found.m, least(p.best, q.best) AS score FROM found JOIN t ON t.k = found.t JOIN m ON m.k = found.m JOIN {best('artist')} p ON p.x = t.artist AND p.y = m.artist JOIN {best('title')} q ON q.x = t.title AND q.y = m.title)"""
+{_each('each_artist', lists('artist'))}, {_each('each_title', lists('title'))},{_WINKLER},
+scores AS (SELECT found.t, found.m, least(p.best, q.best) AS score FROM found JOIN t ON t.k = found.t JOIN m ON m.k = found.m JOIN {_best('each_artist')} p ON p.x = t.artist AND p.y = m.artist JOIN {_best('each_title')} q ON q.x = t.title AND q.y = m.title)"""
+
+
+def searched(terms: list[str], least: float, best: int) -> str:
+    """For each term the first track whose title holds it against all songs: term, track_id, map_id, score, rank."""
+    lists = lambda c: f"(SELECT x, y FROM (SELECT DISTINCT {c} AS x FROM picked), (SELECT DISTINCT {c} AS y FROM sk))"
+    return f"""WITH {SIDES},
+firsts AS (SELECT term, arg_min(id, (artist, title, id)) AS id FROM (SELECT unnest({_LIST(terms)}) AS term) JOIN tracks ON contains(lower(title), term) GROUP BY term),
+picked AS (SELECT term, id, artist, title FROM firsts JOIN tk USING (id)),
+{_each('each_artist', lists('artist'))}, {_each('each_title', lists('title'))},{_WINKLER},
+scored_pairs AS (SELECT term, picked.id AS track_id, map_id, round(least(p.best, q.best), 9) AS score
+  FROM picked CROSS JOIN sk JOIN {_best('each_artist')} p ON p.x = picked.artist AND p.y = sk.artist JOIN {_best('each_title')} q ON q.x = picked.title AND q.y = sk.title)
+SELECT term, track_id, map_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, map_id) AS rank FROM scored_pairs WHERE score >= {least}) WHERE rank <= {best}"""
+
+
+def explained(pairs: str, least: float) -> str:
+    """Variant pairs of given (track_id, map_id) that resemble each other: track_id, map_id, part, own, other, score."""
+    part = lambda c: f"SELECT track_id, map_id, '{c}' AS part, a, unnest(y) AS b FROM (SELECT track_id, map_id, unnest(tk.{c}) AS a, sk.{c} AS y FROM asked JOIN tk ON id = track_id JOIN sk USING (map_id))"
+    return f"""WITH {SIDES}, asked AS ({pairs}), parts AS ({part('artist')} UNION ALL {part('title')}),{jaro('parts', 'winkler')}
+SELECT track_id, map_id, part, a AS own, b AS other, round({_FUZZY}, 9) AS score FROM parts LEFT JOIN winkler USING (a, b) WHERE {_FUZZY} >= {least}"""

@@ -205,6 +205,9 @@ query("p13_links", f"SELECT map_id, '{C.ONE_CLICK}' || key AS one_click, '{C.MAP
     lambda spark, d: songs(spark, d).select("map_id", C.one_click_url(F.col("key")).alias("one_click"), C.map_page_url(F.col("key")).alias("page"), C.download_url(F.col("key")).alias("zip"), C.cover_url(F.col("hash")).alias("cover"))
 )
 query("p14_percent_text", "SELECT map_id, CAST(CAST(floor(rating * 100 + 0.5) AS BIGINT) AS VARCHAR) AS percent FROM songs")(lambda spark, d: songs(spark, d).select("map_id", C.percent_text(F.col("rating")).alias("percent")))
+query("p14_percent_one_digit", "SELECT track_id, map_id, printf('%.1f', floor(score * 1000 + 0.5) / 10) AS percent FROM scored")(
+    lambda spark, d: scored(spark, d).select("track_id", "map_id", C.percent_text(F.col("score"), 1).alias("percent"))
+)
 
 # ---- filters ----
 
@@ -274,7 +277,13 @@ query("l02_catalog_order", "SELECT map_id, row_number() OVER (ORDER BY rating, m
 query("l03_library_order", f"SELECT id, row_number() OVER (ORDER BY lower(title) DESC, id) - 101 AS position FROM tracks WHERE {_LIB} ORDER BY position LIMIT 100 OFFSET 100")(
     lambda spark, d: in_order(cat.query_tracks(tracks(spark, d).withColumn("normalized_key", F.lit("")), "ring", "title", page=2)[0]).select("id", "position")
 )
-query("l02_catalog_page", "SELECT map_id FROM songs ORDER BY rating ASC, map_id LIMIT 25 OFFSET 75")(
+for _key in cat.LIBRARY_SORT_KEYS:
+    _col = f"lower({_key})" if _key in cat.TEXT_KEYS else _key
+    for _way, _up, _nulls in (("asc", True, "FIRST"), ("desc", False, "LAST")):
+        query(f"l03_order_{_key}_{_way}", f"SELECT id, row_number() OVER (ORDER BY {_col} {_way} NULLS {_nulls}, id) - 1 AS position FROM tracks ORDER BY position LIMIT 100")(
+            lambda spark, d, k=_key, up=_up: in_order(cat.query_tracks(tracks(spark, d).withColumn("normalized_key", F.lit("")), "", k, up)[0]).select("id", "position")
+        )
+query("l02_catalog_page","SELECT map_id FROM songs ORDER BY rating ASC, map_id LIMIT 25 OFFSET 75")(
     lambda spark, d: cat.query_catalog(songs(spark, d), difficulties(spark, d), Query(sort="rating", ascending=True, page=4, page_size=25))[0].select("map_id")
 )
 query("l03_library_page", f"SELECT id, title, artist, album, coalesce(duration, -1) AS duration, coalesce(year, -1) AS year, fetched_at FROM tracks WHERE {_LIB} ORDER BY lower(title) DESC, id LIMIT 100 OFFSET 100")(
@@ -561,22 +570,36 @@ query(
     ).select("sig", "map_id")
 )
 query("k07_match_tracks", _found_sql("found"))(lambda spark, d: link.match_tracks(tracks(spark, d), songs(spark, d)))
-_SCORED = f"WITH {L.scores(link.THRESHOLD)}, pairs_of AS (SELECT DISTINCT track_id, map_id, round(score, 9) AS score FROM {L.fanned('found')} f JOIN scores USING (t, m)) "
-query("k08_score_matches", _SCORED + "SELECT * FROM pairs_of")(
+_SCORED = f"WITH {L.scores(link.THRESHOLD)}, pairs_of AS (SELECT DISTINCT track_id, map_id, score FROM {L.fanned('found')} f JOIN scores USING (t, m))"
+query("k08_score_matches", _SCORED + " SELECT track_id, map_id, round(score, 9) AS score FROM pairs_of")(
     lambda spark, d: link.score_matches(tracks(spark, d), songs(spark, d)).select("track_id", "map_id", F.round("score", 9).alias("score"))
 )
 query("k10_match_one", _found_sql("found") + " WHERE track_id = (SELECT min(id) FROM tracks)")(
     lambda spark, d: link.match_one(tracks(spark, d).orderBy("id"), songs(spark, d))
 )
 query("k11_exact_artist_signatures", f"WITH {L.DISTINCT} SELECT DISTINCT sig FROM exact")(lambda spark, d: link.exact_artist_signatures(tracks(spark, d), songs(spark, d)))
-query("j10_search_titles")(lambda spark, d: link.search_titles(tracks(spark, d), songs(spark, d), ["red widget", "small ring", "no such title"]))
-query("g15_explain_pairs")(lambda spark, d: link.explain_pairs(tracks(spark, d), songs(spark, d), res.top_matches(scored(spark, d), 1).select("track_id", "map_id")))
+_TERMS = ["red widget", "small ring", "no such title"]
+query("j10_search_titles", L.searched(_TERMS, 0.8, 5))(
+    lambda spark, d: link.search_titles(tracks(spark, d), songs(spark, d), _TERMS).withColumn("score", F.round("score", 9))
+)
+query("g15_explain_pairs", L.explained("SELECT track_id, map_id FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, map_id) AS rank FROM scored) WHERE rank = 1", 0.5))(
+    lambda spark, d: link.explain_pairs(tracks(spark, d), songs(spark, d), res.top_matches(scored(spark, d), 1).select("track_id", "map_id")).withColumn("score", F.round("score", 9))
+)
 query("a12_empty_keys", f"WITH {L.SIDES} SELECT count(*) AS rows, count(*) FILTER (len(title) = 0) AS empty FROM sk")(lambda spark, d: res.empty_keys(keys_of_songs(spark, d)))
 query("a12_empty_track_keys", f"WITH {L.SIDES} SELECT count(*) AS rows, count(*) FILTER (len(title) = 0) AS empty FROM tk")(lambda spark, d: res.empty_keys(keys_of_tracks(spark, d)))
-query("a13_size_profile")(lambda spark, d: res.size_profile(keys_of_songs(spark, d), link.match_tracks(tracks(spark, d), songs(spark, d))))
+query(
+    "a13_size_profile",
+    f"WITH {L.paths(link.THRESHOLD)}, pairs_of AS (SELECT DISTINCT track_id, map_id FROM {L.fanned('found')}) SELECT (SELECT count(DISTINCT v) FROM (SELECT unnest(artist) AS v FROM sk)) AS artist_variants, (SELECT count(DISTINCT v) FROM (SELECT unnest(title) AS v FROM sk)) AS title_variants, (SELECT count(DISTINCT track_id) FROM pairs_of) AS matched_tracks, (SELECT count(*) FROM pairs_of) AS pairs",
+)(lambda spark, d: res.size_profile(keys_of_songs(spark, d), link.match_tracks(tracks(spark, d), songs(spark, d))))
 
 
-@query("k09_group_results")
+@query(
+    "k09_group_results",
+    _SCORED
+    + ", g AS (SELECT lower(artist) AS a, lower(title) AS t, min((artist, title, id)) AS first, count(*) AS n FROM tracks WHERE id IN (SELECT track_id FROM pairs_of) GROUP BY 1, 2), "
+    "best AS (SELECT lower(artist) AS a, lower(title) AS t, map_id, max(score) AS score FROM pairs_of JOIN tracks ON id = track_id GROUP BY 1, 2, 3), "
+    "listed AS (SELECT a, t, string_agg(map_id, ',' ORDER BY score DESC, map_id) AS map_ids FROM best GROUP BY 1, 2) SELECT first[1] AS artist, first[2] AS title, n AS n_instances, map_ids FROM g JOIN listed USING (a, t)",
+)
 def k09(spark, d):
     t = tracks(spark, d)
     return res.group_results(link.score_matches(t, songs(spark, d)), t).select("artist", "title", "n_instances", F.array_join("map_ids", ",").alias("map_ids"))
@@ -609,7 +632,12 @@ query("w03_top_matches", "SELECT track_id, map_id, score, rank FROM (SELECT *, r
 query("l04_sort_matches", "SELECT track_id, scored.map_id, row_number() OVER (PARTITION BY track_id ORDER BY rating DESC, score DESC, scored.map_id) AS position FROM scored JOIN songs ON songs.map_id = scored.map_id")(
     lambda spark, d: res.sort_matches(res.hydrate(scored(spark, d), tracks(spark, d), songs(spark, d)), "rating").select("track_id", "map_id", "position")
 )
-query("l05_result_page", "SELECT group_artist, group_title FROM (SELECT lower(artist) AS group_artist, lower(title) AS group_title, arg_min(id, (artist, title, id)) AS pid, min(artist) AS a FROM tracks WHERE id IN (SELECT track_id FROM scored) AND NOT regexp_matches(artist || title, '[^a-z ]') GROUP BY 1, 2) ORDER BY group_artist, group_title, pid LIMIT 20 OFFSET 20")(
+for _key, _col in [("bpm", "bpm"), ("duration", "duration"), ("upload_time", "upload_time"), ("score", "score"), ("ranked", "ranked_states")]:
+    for _way, _up in (("asc", True), ("desc", False)):
+        query(f"l04_sort_{_key}_{_way}", f"SELECT track_id, scored.map_id, row_number() OVER (PARTITION BY track_id ORDER BY {_col} {_way}, scored.map_id) AS position FROM scored JOIN songs ON songs.map_id = scored.map_id")(
+            lambda spark, d, k=_key, up=_up: res.sort_matches(res.hydrate(scored(spark, d), tracks(spark, d), songs(spark, d)), k, up).select("track_id", "map_id", "position")
+        )
+query("l05_result_page","SELECT group_artist, group_title FROM (SELECT lower(artist) AS group_artist, lower(title) AS group_title, arg_min(id, (artist, title, id)) AS pid, min(artist) AS a FROM tracks WHERE id IN (SELECT track_id FROM scored) AND NOT regexp_matches(artist || title, '[^a-z ]') GROUP BY 1, 2) ORDER BY group_artist, group_title, pid LIMIT 20 OFFSET 20")(
     lambda spark, d: res.result_page(res.track_groups(scored(spark, d), tracks(spark, d).where(~F.concat("artist", "title").rlike("[^a-z ]"))), 2, 20).select("group_artist", "group_title")
 )
 # All matched groups; hexadecimal digits sort alike in the page's collation and in bytes, so both engines share the order.

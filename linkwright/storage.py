@@ -24,4 +24,14 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/linkwright/{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._linkwright_at = at
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more: whatever was made of them is written too."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._linkwright_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwright.storage import materialize, shared_dir
+from linkwright.storage import materialize, release, shared_dir
 
-__all__ = ["body", "materialize", "shared_dir", "table", "without"]
+__all__ = ["body", "materialize", "release", "shared_dir", "table", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

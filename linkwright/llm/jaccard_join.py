@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkwright.llm.bytewords import Words, groups, mix
-from linkwright.llm.common import body, materialize, without
+from linkwright.llm.common import body, materialize, release, without
 from linkwright.llm.graph import components
 from linkwright.shipping import arrow_map, slices
 
@@ -44,6 +44,8 @@ LAMBDA, DEPTH, RECALL = 0.8, 3, 0.999
 SMALL, BLOCK = 64, 1024
 #: Bytes of the sets of a block, about.
 BLOCK_BYTES = 16_000_000
+#: Tokens, and sets, that are laid out against a block's sets at a time.
+COLUMNS, ROWS = 1024, 256
 #: Cells of a sketch; sketches at least COVER alike are covered, at least TIE alike are tied.
 CELLS, COVER, TIE = 64, 0.6, 0.22
 
@@ -236,13 +238,17 @@ def exact_links(sets: list[np.ndarray], own: np.ndarray, i: int, j: int, weight:
     both = np.zeros((len(members), len(members)), np.float32)
     order = np.argsort(c, kind="stable")
     c, r = c[order], r[order]
-    for lo in range(0, len(used), 4096):
-        a, b = np.searchsorted(c, [lo, lo + 4096])
-        part = np.zeros((len(members), min(4096, len(used) - lo)), np.float32)
+    for lo in range(0, len(used), COLUMNS):
+        a, b = np.searchsorted(c, [lo, lo + COLUMNS])
+        part = np.zeros((len(members), min(COLUMNS, len(used) - lo)), np.float32)
         part[r[a:b], c[a:b] - lo] = 1
         both += part @ part.T
-    inter, n = np.rint(both).astype(np.int64), size[members]
-    near = inter * (1 + similarity) >= similarity * (n[:, None] + n[None, :]) - 1e-9
+    n = size[members]
+    near = np.empty(both.shape, bool)
+    for lo in range(0, len(members), ROWS):
+        inter = np.rint(both[lo : lo + ROWS]).astype(np.int64)
+        near[lo : lo + ROWS] = inter * (1 + similarity) >= similarity * (n[lo : lo + ROWS, None] + n[None, :]) - 1e-9
+    del both
     np.fill_diagonal(near, False)
     if i != j:
         near &= own[members][:, None] != own[members][None, :]
@@ -302,13 +308,17 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A group holds all documents that chains of links connect; a document's links are the other documents
     whose similarity to it reaches the threshold, copies included.
     """
-    rows = materialize(sketches(docs, id_col, text_col, runs(similarity, recall)))
+    sketched = materialize(sketches(docs, id_col, text_col, runs(similarity, recall)))
+    trees = sketched.where("size > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_docs"), F.max("size").cast("long").alias("size"), F.first("sketch").alias("sketch"), F.first("tree").alias("tree"))
+    trees = materialize(trees)
+    # trees are wide: what is read again later is written without them
+    rows, classes = materialize(sketched.select("doc_id", "digest", "size")), materialize(trees.select("digest", "rep", "n_docs", "size"))
+    release(sketched)
     full = rows.where("size > 0")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_docs"), F.max("size").cast("long").alias("size"), F.first("sketch").alias("sketch"), F.first("tree").alias("tree"))
-    classes = materialize(classes)
-    members = buckets(classes.select("digest", "tree")).join(classes.select(F.col("digest").alias("_d"), "sketch"), F.col("digest") == F.col("_d")).drop("_d")
+    members = buckets(trees.select("digest", "tree")).join(trees.select(F.col("digest").alias("_d"), "sketch"), F.col("digest") == F.col("_d")).drop("_d")
     roots = materialize(components(ties(members)))
-    rooted = materialize(roots.join(classes.select("digest", "rep", "n_docs", "size"), F.col("node") == F.col("digest")).drop("node"))
+    release(trees)
+    rooted = materialize(roots.join(classes, F.col("node") == F.col("digest")).drop("node"))
     sizes = materialize(rooted.groupBy(F.col("root").alias("_root")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("n_tokens")))
     candidates = rooted.join(sizes, F.col("root") == F.col("_root")).select("rep", "digest", "n_docs", "root", "n", "n_tokens")
     found = verify(docs, candidates, id_col, text_col, similarity)

@@ -19,9 +19,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again."""
+def materialize(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again; tables of narrow rows are written as fewer files."""
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     at = f"{shared_dir(spark)}/linkwright/{uuid.uuid4().hex}"
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)

@@ -48,7 +48,7 @@ def name_values(df: DataFrame, value: str) -> DataFrame:
     ranked = sorted_.select("_bucket", F.posexplode(F.when(apart, F.col("_values")).otherwise(clash.cast(sorted_.schema["_values"].dataType))).alias("_rank", "_value"))
     names = ranked.select("_bucket", _second(F.col("_value")).alias("_second"), _join_name(F.col("_rank").cast("long")).alias("name"))
     rows = dealt.withColumn("_second", _second(F.col(value))).drop(value)
-    return rows.join(materialize(names), ["_bucket", "_second"]).drop("_bucket", "_second")
+    return rows.join(materialize(names, narrow=True), ["_bucket", "_second"]).drop("_bucket", "_second")
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -88,7 +88,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(body(text_col)).alias("text_hash"), F.sha2(body(text_col), 256).alias("text_sha256"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
     named = materialize(rows.join(names, same).drop("_id", "_hash"))
-    groups = materialize(named.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    groups = materialize(named.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), narrow=True)
     out = named.join(groups, ["n_blocks", "name"])
     return out.select("doc_id", "text_hash", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 

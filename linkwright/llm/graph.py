@@ -11,7 +11,7 @@ from linkwright.llm.common import materialize
 def _least(sym: DataFrame) -> DataFrame:
     """(u, v, m): each edge with the least node among u and its neighbours."""
     # written, so that the join reads both sides from shuffles of their own and the edges of one node can be split
-    least = materialize(sym.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_m")))
+    least = materialize(sym.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_m")), narrow=True)
     return sym.join(least, F.col("u") == F.col("_u")).select("u", "v", F.least("u", "_m").alias("m"))
 
 
@@ -22,15 +22,15 @@ def _state(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for the nodes of ``edges``; the root is the least node of the component. Self-loops are ignored."""
-    e = materialize(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    e = materialize(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), narrow=True)
     before = _state(e)
     while before[0]:
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(sym).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large)
+        large = materialize(large, narrow=True)
         near = _least(large)  # here v < u, so m is the least neighbour
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        e = materialize(small)
+        e = materialize(small, narrow=True)
         after = _state(e)
         if after == before:
             break

@@ -312,23 +312,23 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     trees = sketched.where("size > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_docs"), F.max("size").cast("long").alias("size"), F.first("sketch").alias("sketch"), F.first("tree").alias("tree"))
     trees = materialize(trees)
     # trees are wide: what is read again later is written without them
-    rows, classes = materialize(sketched.select("doc_id", "digest", "size")), materialize(trees.select("digest", "rep", "n_docs", "size"))
+    rows, classes = materialize(sketched.select("doc_id", "digest", "size"), narrow=True), materialize(trees.select("digest", "rep", "n_docs", "size"), narrow=True)
     release(sketched)
     full = rows.where("size > 0")
     members = buckets(trees.select("digest", "tree")).join(trees.select(F.col("digest").alias("_d"), "sketch"), F.col("digest") == F.col("_d")).drop("_d")
-    roots = materialize(components(ties(members)))
+    roots = materialize(components(ties(members)), narrow=True)
     release(trees)
-    rooted = materialize(roots.join(classes, F.col("node") == F.col("digest")).drop("node"))
-    sizes = materialize(rooted.groupBy(F.col("root").alias("_root")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("n_tokens")))
+    rooted = materialize(roots.join(classes, F.col("node") == F.col("digest")).drop("node"), narrow=True)
+    sizes = materialize(rooted.groupBy(F.col("root").alias("_root")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("n_tokens")), narrow=True)
     candidates = rooted.join(sizes, F.col("root") == F.col("_root")).select("rep", "digest", "n_docs", "root", "n", "n_tokens")
     found = verify(docs, candidates, id_col, text_col, similarity)
     links = found.groupBy(F.col("digest").alias("_d")).agg(F.sum("links").alias("links"))
     groups_ = components(found.where("to IS NOT NULL").select(F.col("digest").alias("a"), F.col("to").alias("b")))
     named = classes.select("digest", "rep", "n_docs").join(links, F.col("digest") == F.col("_d"), "left").drop("_d")
     named = named.join(groups_, F.col("digest") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "digest"))
-    named = materialize(named)
+    named = materialize(named, narrow=True)
     of_group = named.groupBy(F.col("root").alias("_root")).agg(F.min("rep").alias("class_id"), F.sum("n_docs").alias("class_size"))
-    named = materialize(named.join(of_group, F.col("root") == F.col("_root")).select(F.col("digest").alias("_d"), "class_id", "class_size", (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    named = materialize(named.join(of_group, F.col("root") == F.col("_root")).select(F.col("digest").alias("_d"), "class_id", "class_size", (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), narrow=True)
     out = full.select("doc_id", "digest", "size").join(named, F.col("digest") == F.col("_d")).select("doc_id", "class_id", "class_size", "n_links", F.col("size").alias("n_tokens"))
     alone = rows.where("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.col("size").alias("n_tokens"))
     return out.unionByName(alone)

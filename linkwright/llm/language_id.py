@@ -141,7 +141,7 @@ class TextModel:
 def fitting_sample(labelled: DataFrame) -> DataFrame:
     """(lang, text) of at most MAX_FIT different texts of each language, in the order of their hashes."""
     hashed = labelled.select("lang", "text", F.xxhash64("text").alias("h"))
-    different = materialize(hashed.select("lang", "h").distinct())
+    different = materialize(hashed.select("lang", "h").distinct(), narrow=True)
     sizes = different.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     # about twice as many as are needed come to the task that takes the first ones of a language
     few = different.join(F.broadcast(sizes), "lang").where(F.col("h") / 2.0**64 + 0.5 <= 2.0 * MAX_FIT / F.col("n"))
@@ -231,7 +231,7 @@ def identify(rows: DataFrame, id_col: str, text: Column, label: Column, declared
     whole = seen.agg(*(F.sum(F.col("post")[k]).alias(f"s{k}") for k in range(n))).first()  # one number for each language
     out = seen.withColumn("whole", F.array(*(F.lit(float(x or 0.0)) for x in whole)))
     for key in ("host", "domain", "declared", "suffix"):
-        out = out.join(materialize(summed(seen, key, n)), F.col(key) == F.col(f"_{key}"), "left").drop(f"_{key}")
+        out = out.join(materialize(summed(seen, key, n), narrow=True), F.col(key) == F.col(f"_{key}"), "left").drop(f"_{key}")
     none = F.array(*(F.lit(0.0) for _ in range(n)))
     without = lambda c: add(F.coalesce(c, F.col("post")), F.col("post"), -1)
     overall = towards(without(F.col("whole")), every)

@@ -356,12 +356,12 @@ RANGE = ("doc", "sub", "pos", "n")
 def removed_windows(docs: DataFrame) -> DataFrame:
     """RANGE: n windows from pos on of a document start later than an equal one; docs: (doc, sub, body)."""
     dealt = find_spans(docs).repartition("ah").sortWithinPartitions("ah", "sh", "doc", "sub", "pos")
-    settled = materialize(settle(dealt))
+    settled = materialize(settle(dealt), narrow=True)
     part = settled.where("kind = 2").groupBy(F.col("doc").alias("_doc"), F.col("sub").alias("_sub")).agg(F.collect_list(F.struct("ah", F.col("sh").cast("int").alias("salt"), "pos", "n")).alias("spans"))
     cut = lambda s: F.struct(s["ah"].alias("ah"), s["salt"].alias("salt"), s["pos"].alias("pos"), F.substring(F.col("body"), s["pos"] + 1, s["n"] + F.lit(LENGTH - 1)).alias("bytes"))
     found = docs.join(part, (F.col("doc") == F.col("_doc")) & (F.col("sub") == F.col("_sub"))).select("doc", "sub", F.explode(F.transform("spans", cut)).alias("s")).select("s.ah", "s.salt", "doc", "sub", "s.pos", "s.bytes")
     found = found.where(F.length("bytes") >= LENGTH)
-    sharded = materialize(in_shards(found))
+    sharded = materialize(in_shards(found), narrow=True)
     merged = merge_shards(sharded.where("win IS NOT NULL"))
     return settled.where("kind = 1").select(*RANGE).unionByName(sharded.where("win IS NULL").select(*RANGE)).unionByName(merged)
 

@@ -8,7 +8,8 @@ on the log loss with hand-written gradients. A maximum passes its gradient on to
 document's maximum is reached in several chunks, to the first of them, and in a chunk to its first half.
 
 The network is fitted on a bounded sample of labelled rows (``max_fit`` of each label, in an order given by a
-hash of doc_id, until MAX_FIT_BYTES are reached); texts of any length are fitted and scored whole.
+hash of doc_id, as far as MAX_FIT_BYTES hold them whole; of a label none of whose texts fits, the shortest); texts of
+any length are scored whole.
 
 Defined results: null text counts as empty and is scored like any other; each row gives one row; labels
 that are null, of null doc_ids or of unknown documents are not used, and of several labels of a doc_id the
@@ -177,21 +178,37 @@ def gradients(w: Weights, texts: list[bytes], labels: np.ndarray, weight: np.nda
 
 
 def fitting_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", max_fit: int = MAX_FIT) -> tuple[list[bytes], np.ndarray]:
-    """At most ``max_fit`` texts of each label, in the order of their doc_ids' hashes, until MAX_FIT_BYTES are reached."""
+    """At most ``max_fit`` texts of each label, in the order of their doc_ids' hashes, as far as MAX_FIT_BYTES hold them.
+
+    A text that doesn't fit beside those before it is passed over; a label of which none fits has its shortest one.
+    """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     of = lambda k: known.where(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(max_fit)
     picked = F.broadcast(of(0).unionByName(of(1)))
     rows = docs.select(F.col(id_col).alias("_doc"), body(text_col).alias("_body")).join(picked, F.col("_doc") == F.col("_id"))
     # one row for each id, and their sizes before their texts: no more than the bounds comes to the driver
     one = materialize(rows.groupBy("_id", "_label").agg(F.min("_body").alias("_body")))
-    sizes = sorted(one.select("_id", F.length("_body").alias("n")).collect(), key=lambda r: hash_order(r["_id"]))
-    total = np.cumsum([r["n"] for r in sizes])
-    taken = {r["_id"]: k for k, r in enumerate(sizes[: int(np.searchsorted(total, MAX_FIT_BYTES, "right"))])}
+    sizes = sorted(one.select("_id", "_label", F.length("_body").alias("n")).collect(), key=lambda r: hash_order(r["_id"]))
+    taken = fitting_ids([(r["_id"], r["_label"], r["n"]) for r in sizes], MAX_FIT_BYTES)
     rows = [r for r in one.where(F.col("_id").isin(list(taken))).collect()] if taken else []
     rows.sort(key=lambda r: taken[r["_id"]])
     return [bytes(r["_body"]) for r in rows], np.array([r["_label"] for r in rows], float)
 
 
+def fitting_ids(sizes: list[tuple[int, int, int]], most: int) -> dict[int, int]:
+    """The places of the ids that are fitted on, of (id, label, bytes) in their order."""
+    taken, total = set(), 0
+    for i, _, n in sizes:
+        if total + n <= most:
+            taken.add(i)
+            total += n
+    for label in {label for _, label, _ in sizes}:
+        own = [(n, k, i) for k, (i, other, n) in enumerate(sizes) if other == label]
+        if not any(i in taken for _, _, i in own):
+            taken.add(min(own)[2])
+    return {i: k for k, (i, _, _) in enumerate(sizes) if i in taken}
+
+
 def hash_order(doc_id: int) -> int:
     import zlib
 

@@ -1,8 +1,9 @@
 """A corpus pipeline of five operators: language ID, exact dedup, near-duplicate join, mixing, BPE.
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns documents with the
-same columns; the last returns the contract's digests of the encoded texts with their places in the mix, which
-is the order of (mix_slot, mix_offset). Rows of written tables keep no order, so the places are columns.
+same columns. Rows of written tables keep no order, so the mixing stage adds each document's place to them as
+(mix_slot, mix_offset), whose order is the mix; the last stage returns the contract's digests of the encoded
+texts with these places.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from linkwright.llm.common import materialize, table
 from linkwright.llm.exact_dedup import drop_copies
 from linkwright.llm.jaccard_join import keep_one
 from linkwright.llm.language_id import keep_identified
-from linkwright.llm.mixing import mix, mixed
+from linkwright.llm.mixing import PLACE, placed
 from linkwright.llm.q05 import digests, tokenizer_path
 from linkwright.llm.q08 import BLOCK, OTHER, PARTS
 
@@ -33,14 +34,14 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed(docs, PARTS, OTHER, BLOCK)
+    return placed(docs, PARTS, OTHER, BLOCK)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # written before they are placed: mix reads its input twice, and digests are smaller than texts
-    coded = digests(bpe(docs.select(F.struct("doc_id", "source").alias("key"), "text"), tokenizer_path(), "key"))
-    rows = materialize(coded.select("doc_id.*", *coded.columns[1:]))
-    return mix(rows, PARTS, OTHER, BLOCK).select("doc_id", *coded.columns[1:], "mix_slot", "mix_offset")
+    # places are the mixing stage's alone: documents that it has not placed get none
+    place = [c for c in PLACE if c in docs.columns]
+    coded = digests(bpe(docs.select(F.struct("doc_id", *place).alias("key"), "text"), tokenizer_path(), "key"))
+    return coded.select("doc_id.doc_id", *coded.columns[1:], *(f"doc_id.{c}" for c in place))
 
 
 STAGES = [

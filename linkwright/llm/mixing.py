@@ -24,6 +24,8 @@ RANGE_IDS = 4096
 MAX_PARTS = 10_000
 #: What ``mix`` adds; columns of these names are replaced.
 MIX_COLUMNS = ("mix_stratum", "mix_block", "mix_slot", "mix_offset", "mix_release", "mix_deadline")
+#: What ``placed`` adds.
+PLACE = ("mix_slot", "mix_offset")
 
 
 def cycle(spark: SparkSession, parts: Mapping[str, int], other_parts: int) -> DataFrame:
@@ -82,7 +84,7 @@ def mix(docs: DataFrame, parts: Mapping[str, int], other_parts: int = 1, block_d
     return rows.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in MIX_COLUMNS], *new)
 
 
-def mixed(docs: DataFrame, parts: Mapping[str, int], other_parts: int = 1, block_docs: int = 16) -> DataFrame:
-    """The rows of ``docs``, all of them, sorted by the mix; written tables keep no order, and ``mix`` gives the places."""
-    row = docs.select(F.struct("*").alias("row"), "doc_id", "source")
-    return mix(row, parts, other_parts, block_docs).orderBy("mix_slot", "mix_offset").select("row.*")
+def placed(docs: DataFrame, parts: Mapping[str, int], other_parts: int = 1, block_docs: int = 16) -> DataFrame:
+    """The rows of ``docs``, all of them, with mix_slot and mix_offset: the mix is their order. Whole rows are dealt out once and not sorted."""
+    row = docs.select(F.struct(*(c for c in docs.columns if c not in PLACE)).alias("row"), "doc_id", "source")
+    return mix(row, parts, other_parts, block_docs).select("row.*", *PLACE)

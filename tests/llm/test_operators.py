@@ -562,7 +562,8 @@ def test_mixing(spark, awkward):
         for s, w in share.items():
             assert abs(sum(slot.get(x) == s for x in range(t)) - t * w / 10) < 1
     assert mixing.mix(awkward, parts).count() == awkward.count() and mixing.mix(empty(spark), parts).count() == 0
-    assert mixing.mixed(awkward, parts).columns == awkward.columns
+    places = mixing.placed(awkward, parts)
+    assert places.columns == [*awkward.columns, "mix_slot", "mix_offset"] and places.count() == awkward.count()
     with pytest.raises(ValueError):
         mixing.cycle(spark, {"a": 0}, 1)
 
@@ -653,6 +654,19 @@ def test_long_labelled_texts_are_fitted(spark, monkeypatch):
     assert sum(map(len, byte_cnn.fitting_sample(docs, lab, "quality")[0])) <= 60_000
 
 
+def test_a_text_beyond_the_bound_is_passed_over(spark, monkeypatch):
+    """Whatever comes first in the order, texts of both labels are fitted."""
+    monkeypatch.setattr(byte_cnn, "MAX_FIT_BYTES", 4_000)
+    first = min(range(60), key=byte_cnn.hash_order)
+    docs = documents(spark, ["x" * 5_000 if i == first else "y" * 60 for i in range(60)])
+    lab = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    texts, y = byte_cnn.fitting_sample(docs, lab, "quality")
+    assert len(texts) == 59 and set(y) == {0.0, 1.0}
+    monkeypatch.setattr(byte_cnn, "MAX_FIT_BYTES", 50)
+    texts, y = byte_cnn.fitting_sample(docs, lab, "quality")
+    assert sorted(map(len, texts)) == [60, 60] and set(y) == {0.0, 1.0}
+
+
 # ---- 10: Jaccard join ----
 
 

@@ -31,7 +31,8 @@ def test_stages(spark, sf_dir):
 def test_columns_are_kept(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, sf_dir).columns == docs.columns, name
+        place = ["mix_slot", "mix_offset"] if name.startswith("mixing") else []
+        assert stage(spark, docs, sf_dir).columns == [*docs.columns, *place], name
     none = spark.createDataFrame([], COLUMNS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, sf_dir).count() == 0
@@ -66,6 +67,12 @@ def test_places_in_the_mix_and_a_rejected_document(spark, sf_dir, tmp_path):
     assert got == brute_mix([(i, source[i]) for i in plain], PARTS, OTHER, BLOCK)
 
 
+def test_places_come_from_the_mixing_stage(spark, sf_dir, monkeypatch):
+    """Without the stage the documents have no places."""
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [s for s in corpus_pipeline.STAGES if not s[0].startswith("mixing")])
+    assert "mix_slot" not in corpus_pipeline.run(spark, sf_dir).columns
+
+
 def test_stages_on_awkward_rows(spark):
     """Nulls, repeated ids with equal and other texts, and columns named as the operators' own."""
     near = " ".join(f"w{i}" for i in range(80))
@@ -90,7 +97,7 @@ def test_stages_on_awkward_rows(spark):
     assert joined.columns == docs.columns and seen(joined) == Counter([r for r in rows if r not in alike] + [(None, near + " more")])
 
     placed = stages["mixing sources to target weights"](spark, docs, "")
-    assert placed.columns == docs.columns and seen(placed) == seen(docs)
+    assert placed.columns == [*(c for c in docs.columns if c != "mix_slot"), "mix_slot", "mix_offset"] and seen(placed) == seen(docs)
 
-    coded = stages["BPE encoding and decoding"](spark, docs, "").collect()
+    coded = stages["BPE encoding and decoding"](spark, placed, "").collect()
     assert Counter(r.doc_id for r in coded) == Counter(i for i, _ in rows) and len({(r.mix_slot, r.mix_offset) for r in coded}) == len(rows)

@@ -1,4 +1,4 @@
-"""Similarity of normalised strings. Jaro and what is built on it are small helpers; the rest is native."""
+"""Similarity of normalised strings. Jaro and what is built on it are helpers on batches; the rest is native."""
 
 from __future__ import annotations
 
@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from linkwright.functions import pairs as P
+from linkwright.functions.pairs import CONTAINS_LENGTH, CONTAINS_SCORE, SIGNIFICANT_LENGTH
 from linkwright.shipping import arrow_helper
 
-CONTAINS_SCORE, CONTAINS_LENGTH, SIGNIFICANT_LENGTH = 0.8, 3, 6
-
 
 # ---- Spark expressions ----
 
@@ -73,11 +74,11 @@ def jaro_winkler(a: Column, b: Column) -> Column:
 
 
 def _jaro(a: pa.Array, b: pa.Array) -> pa.Array:
-    return _pairs(jaro_many, a, b, pa.float64())
+    return _pairs(P.jaro, a, b, pa.float64())
 
 
 def _jaro_winkler(a: pa.Array, b: pa.Array) -> pa.Array:
-    return _pairs(winkler_many, a, b, pa.float64())
+    return _pairs(P.winkler, a, b, pa.float64())
 
 
 def winkler_bound(a: Column, b: Column) -> Column:
@@ -101,192 +102,50 @@ def fuzzy_at_least(a: Column, b: Column, threshold: float) -> Column:
 
 def token_aware(a: Column, b: Column, threshold: float) -> Column:
     def batch(x: pa.Array, y: pa.Array) -> pa.Array:
-        return _pairs(lambda p, q: token_aware_many(p, q, threshold), x, y, pa.bool_())
+        return _pairs(lambda t, p, q: P.token_aware(t, p, q, threshold), x, y, pa.bool_())
 
     return arrow_helper(batch, "boolean")(a, b)
 
 
-def token_aware_open(a: Column, b: Column, threshold: float) -> Column:
-    """Whether ``token_aware`` can hold for two different texts: cheap tests that let no match go."""
-    near = (a.contains(" ") & b.contains(" ")) | (winkler_bound(a, b) >= threshold)
-    # words alone decide for one word against another's two only up to this threshold
-    return near | (token_set(a, b) >= threshold) if threshold <= 2 / 3 + 1e-9 else near
+def coded(*arrays: pa.Array) -> tuple[P.Texts, list[np.ndarray]]:
+    """The distinct texts of some arrays, and each array as places in them; nulls have the first place."""
+    both = pc.dictionary_encode(pa.concat_arrays([a.cast(pa.string()) for a in arrays]))
+    place = pc.fill_null(both.indices, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return P.Texts(both.dictionary.to_pylist()), np.split(place, np.cumsum([len(a) for a in arrays])[:-1])
 
 
-def remix_compatible(track: dict[str, Column], song: dict[str, Column]) -> Column:
-    """Whether the versions agree; each side has ``tags``, ``artist`` and ``title``."""
-    t, m = track["tags"], song["tags"]
-    shared = F.exists(t, lambda x: F.exists(m, lambda y: x.contains(y) | y.contains(x)))
-    mention = lambda tags, side: F.exists(tags, lambda tag: F.exists(F.concat(side["artist"], side["title"]), lambda v: v.contains(tag)))
-    none_t, none_m = F.size(t) == 0, F.size(m) == 0
-    return F.when(none_t & none_m, F.lit(True)).when(shared, F.lit(True)).when(none_m, mention(t, song)).when(none_t, mention(m, track)).otherwise(F.lit(False))
+def starts(lists: pa.ListArray) -> np.ndarray:
+    """Where each list begins among all lists' texts, and where the last one ends."""
+    return np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
 
 
-def _pairs(many, a: pa.Array, b: pa.Array, kind: pa.DataType) -> pa.Array:
-    """``many`` of the pairs without nulls; the others are null."""
+def _pairs(score: Callable[[P.Texts, np.ndarray, np.ndarray], np.ndarray], a: pa.Array, b: pa.Array, kind: pa.DataType) -> pa.Array:
+    """Scores of the pairs without nulls; the others are null."""
     full = np.logical_and(a.is_valid().to_numpy(zero_copy_only=False), b.is_valid().to_numpy(zero_copy_only=False))
-    at = pa.array(np.flatnonzero(full))
+    t, (x, y) = coded(a, b)
     out = np.zeros(len(a), kind.to_pandas_dtype())
-    out[full] = many(a.take(at).to_pylist(), b.take(at).to_pylist())
+    out[full] = score(t, x[full], y[full])
     return pa.array(out, kind, mask=~full)
 
 
-# ---- helpers on batches ----
-
-#: Pairs whose letters are laid out at a time.
-LAID_OUT = 4096
-
-
-def jaro_many(a: list[str], b: list[str]) -> np.ndarray:
-    """``jaro_of`` of each pair; pairs of like lengths are laid out together."""
-    la, lb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
-    out = np.zeros(len(a))
-    order = np.argsort(np.maximum(la, lb), kind="stable")
-    order = order[(la[order] > 0) & (lb[order] > 0)]
-    for lo in range(0, len(order), LAID_OUT):
-        at = order[lo : lo + LAID_OUT]
-        out[at] = _jaro_block(letters([a[k] for k in at]), letters([b[k] for k in at]), la[at], lb[at])
-    return out
-
-
-def letters(texts: list[str]) -> np.ndarray:
-    """A row of code points for each text, zeros behind."""
-    return np.array(texts, np.str_).view(np.uint32).reshape(len(texts), -1)
-
-
-def _jaro_block(x: np.ndarray, y: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
-    reach = np.maximum(0, np.maximum(la, lb) // 2 - 1)
-    free = np.arange(y.shape[1]) < lb[:, None]
-    hit = np.zeros(x.shape, bool)
-    widest = int(reach.max())
-    for i in range(x.shape[1]):
-        lo, hi = max(0, i - widest), min(y.shape[1], i + widest + 1)
-        if lo >= hi:
-            break
-        near = free[:, lo:hi] & (y[:, lo:hi] == x[:, i, None]) & (np.abs(np.arange(lo, hi) - i) <= reach[:, None])
-        got = np.flatnonzero(near.any(1) & (i < la))
-        free[got, lo + near[got].argmax(1)] = False
-        hit[got, i] = True
-    m = hit.sum(1)
-    used = ~free & (np.arange(y.shape[1]) < lb[:, None])
-    moved = np.bincount(np.repeat(np.arange(len(m)), m), weights=x[hit] != y[used], minlength=len(m))
-    some = np.maximum(m, 1)
-    return np.where(m > 0, (m / la + m / lb + (m - moved / 2) / some) / 3, 0.0)
-
-
-def winkler_many(a: list[str], b: list[str]) -> np.ndarray:
-    j = jaro_many(a, b)
-    first = np.array([next((k for k in range(min(4, len(x), len(y))) if x[k] != y[k]), min(4, len(x), len(y))) for x, y in zip(a, b)], np.int64)
-    return j + 0.1 * first * (1 - j)
-
-
-def token_aware_many(a: list[str], b: list[str], threshold: float) -> np.ndarray:
-    """``token_aware_of`` of each pair: the letters that decide are compared together."""
-    cut = [compared(x, y, threshold) for x, y in zip(a, b)]
-    out = np.array([c is True for c in cut], bool)
-    at = [k for k, c in enumerate(cut) if type(c) is tuple]
-    out[at] = winkler_many([cut[k][0] for k in at], [cut[k][1] for k in at]) >= threshold
-    return out
-
-
-def fuzzy_many(a: list[str], b: list[str]) -> np.ndarray:
-    known = [1.0 if x == y else max(part_of(x, y), dice_of(x, y)) for x, y in zip(a, b)]
-    return np.maximum(known, winkler_many(a, b))
-
-
-def best_many(a: list[list[str]], b: list[list[str]]) -> np.ndarray:
-    """The best score of each pair of lists, 0 without any; equal pairs of texts are scored once."""
-    pairs = {(x, y): None for p, q in zip(a, b) for x in p for y in q}
-    texts = list(pairs)
-    scores = dict(zip(texts, fuzzy_many([x for x, _ in texts], [y for _, y in texts]).tolist()))
-    return np.array([max((scores[x, y] for x in p for y in q), default=0.0) for p, q in zip(a, b)], float)
-
-
-# ---- helpers on single strings ----
-
-
-def jaro_of(a: str, b: str) -> float:
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    free = [True] * len(b)
-    mine = []
-    for i, c in enumerate(a):
-        j = b.find(c, max(0, i - reach), i + reach + 1)
-        while j >= 0 and not free[j]:
-            j = b.find(c, j + 1, i + reach + 1)
-        if j >= 0:
-            free[j] = False
-            mine.append(c)
-    if not mine:
-        return 0.0
-    theirs = [c for c, f in zip(b, free) if not f]
-    m = len(mine)
-    moved = sum(x != y for x, y in zip(mine, theirs))
-    return (m / len(a) + m / len(b) + (m - moved / 2) / m) / 3
-
-
-def winkler_of(a: str, b: str) -> float:
-    j = jaro_of(a, b)
-    same = next((k for k in range(min(4, len(a), len(b))) if a[k] != b[k]), min(4, len(a), len(b)))
-    return j + 0.1 * same * (1 - j)
-
-
-def dice_of(a: str, b: str) -> float:
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return float(not x and not y)
-    return 2 * len(x & y) / (len(x) + len(y))
-
-
-def part_of(a: str, b: str) -> float:
-    return CONTAINS_SCORE if min(len(a), len(b)) >= CONTAINS_LENGTH and (a in b or b in a) else 0.0
-
-
-def fuzzy_of(a: str, b: str) -> float:
-    return 1.0 if a == b else max(part_of(a, b), winkler_of(a, b), dice_of(a, b))  # word Jaccard never exceeds Dice
-
-
-def compared(a: str, b: str, threshold: float) -> bool | tuple[str, str]:
-    """The verdict where words alone decide, else the letters to compare: leading words that both texts share don't count."""
-    if a == b or dice_of(a, b) >= threshold:
-        return True
-    if " " in a and " " in b:
-        differ = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-        cut = a.rfind(" ", 0, differ) + 1 if differ else 0
-        if cut:
-            return (a[cut:], b[cut:]) if a[cut:] and b[cut:] else False
-    return a, b
-
-
-def token_aware_of(a: str, b: str, threshold: float) -> bool:
-    """Fuzzy match that is not carried by leading words that both texts share."""
-    c = compared(a, b, threshold)
-    return c if isinstance(c, bool) else winkler_of(*c) >= threshold
-
-
-def significant_of(a: str, b: str) -> bool:
-    short, long_ = (a, b) if len(a) <= len(b) else (b, a)
-    return (len(short) >= SIGNIFICANT_LENGTH or " " in short) and f" {short} " in f" {long_} "
-
-
-def not_siblings(variants: list[str]) -> list[str]:
-    after = [*variants[1:], ""]
-    return [v for v, n in zip(variants, after) if " " in v or not n or n.replace(" ", "") != v]
+def any_alike(texts: Column, text: Column, threshold: float) -> Column:
+    """Whether one of some texts equals, holds or resembles another text."""
 
+    def batch(a: pa.Array, b: pa.Array) -> pa.Array:
+        t, (own, other) = coded(a.flatten(), b)
+        pair, x, y = P.of_lists(own, starts(a), other, np.arange(len(other) + 1))
+        codes, which = np.unique(x * len(t.n) + y, return_inverse=True)
+        sure, near, _ = P.alike(t, codes // max(1, len(t.n)), codes % max(1, len(t.n)), threshold)
+        return pa.array(np.bincount(pair[(sure | near)[which]], minlength=len(b)) > 0)
 
-def titles_match(track: list[str], song: list[str], threshold: float) -> bool:
-    if any(t == m or significant_of(t, m) for t in track for m in song):
-        return True
-    return any(token_aware_of(t, m, threshold) for t in not_siblings(track) for m in not_siblings(song))
+    return arrow_helper(batch, "boolean")(texts, text)
 
 
-def best_of(a: list[str], b: list[str]) -> float:
-    return max((fuzzy_of(x, y) for x in a for y in b), default=0.0)
+def best_score(a: Column, b: Column, least: float = 0.0) -> Column:
+    """The best fuzzy score of any text of one list and any of another, 0 without any; 0 too where it is below ``least``."""
 
+    def batch(p: pa.Array, q: pa.Array) -> pa.Array:
+        t, (x, y) = coded(p.flatten(), q.flatten())
+        return pa.array(P.best_of_lists(t, x, starts(p), y, starts(q), least), pa.float64())
 
-def score_of(track_title: list[str], track_artist: list[str], title: list[str], artist: list[str]) -> float:
-    """The worse of the best title score and the best artist score."""
-    return min(best_of(track_title, title), best_of(track_artist, artist))
+    return arrow_helper(batch, "double")(a, b)

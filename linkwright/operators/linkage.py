@@ -8,13 +8,12 @@ on distinct pairs that passed the native tests.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkwright.functions import similarity as S
 from linkwright.functions.textkeys import signature, text_keys, unique_trigrams
-from linkwright.shipping import arrow_helper
+from linkwright.operators.blocks import alike_in_blocks
 from linkwright.storage import materialize
 
 THRESHOLD, MAX_FUZZY_SONGS = 0.85, 2000
@@ -133,19 +132,8 @@ def trigram_votes(sigs: DataFrame, variants: DataFrame) -> DataFrame:
 
 
 def pair_matches(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
-    """Of (sig, variant) pairs those where one of the artist's variants equals, contains or resembles the other."""
-    each = pairs.join(sigs, "sig").select("sig", "variant", F.explode("variants").alias("own"))
-    near = materialize(each.withColumn("sure", (F.col("own") == F.col("variant")) | S.contains_significant(F.col("own"), F.col("variant"))))
-    open_ = near.where(~F.col("sure"))
-    alike = alike_texts(open_.select("own", "variant").distinct(), threshold)
-    return near.where("sure").select("sig", "variant").unionByName(open_.join(alike, ["own", "variant"]).select("sig", "variant")).distinct()
-
-
-def alike_texts(texts: DataFrame, threshold: float) -> DataFrame:
-    """Of distinct (own, variant), which differ, those that match by words or letters: native bounds first, the helper for the rest."""
-    own, variant = F.col("own"), F.col("variant")
-    open_ = S.token_aware_open(own, variant, threshold)
-    return texts.where(open_).where(S.token_aware(own, variant, threshold))
+    """Of distinct (sig, variant) pairs those where one of the artist's variants equals, contains or resembles the other."""
+    return pairs.join(sigs, "sig").where(S.any_alike(F.col("variants"), F.col("variant"), threshold)).select("sig", "variant")
 
 
 def accepted_artists(sigs: DataFrame, variants: DataFrame, threshold: float) -> DataFrame:
@@ -170,17 +158,6 @@ def artist_candidates(accepted: DataFrame, song_keys_: DataFrame, most: int | No
 # ---- matching ----
 
 
-def _sides(pairs: DataFrame, t: DataFrame, m: DataFrame) -> DataFrame:
-    left = t.select(F.col("tkey").alias("_t"), *(F.col(c).alias(f"t_{c}") for c in ("artist", "title", "tags")))
-    right = m.select(F.col("mkey").alias("_m"), *(F.col(c).alias(f"m_{c}") for c in ("artist", "title", "tags")))
-    return pairs.join(left, F.col("tkey") == F.col("_t")).join(right, F.col("mkey") == F.col("_m")).drop("_t", "_m")
-
-
-def compatible() -> Column:
-    side = lambda p: {c: F.col(f"{p}_{c}") for c in ("artist", "title", "tags")}
-    return S.remix_compatible(side("t"), side("m"))
-
-
 def exact_title_pairs(t: DataFrame, m: DataFrame) -> DataFrame:
     """(tkey, mkey) with a title variant in common."""
     left = t.where(F.size("artist") > 0).select("tkey", F.explode("title").alias("variant"))
@@ -188,19 +165,21 @@ def exact_title_pairs(t: DataFrame, m: DataFrame) -> DataFrame:
     return left.join(right, "variant").select("tkey", "mkey").distinct()
 
 
-def titles_match(threshold: float, track: Column | None = None, song: Column | None = None) -> Column:
-    def batch(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([S.titles_match(x, y, threshold) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+def _named(df: DataFrame, side: str, *columns: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(f"{side}_{c}") for c in columns)).distinct()
+
 
-    return arrow_helper(batch, "boolean")(F.col("t_title") if track is None else track, F.col("m_title") if song is None else song)
+def _lists(df: DataFrame, key: str, texts: str) -> DataFrame:
+    """(id, texts) of each key."""
+    return df.select(F.col(key).alias("id"), F.col(texts).alias("texts")).dropDuplicates(["id"])
 
 
-def _named(df: DataFrame, side: str, *columns: str) -> DataFrame:
-    return df.select(*(F.col(c).alias(f"{side}_{c}") for c in columns)).distinct()
+def _mention(tags: Column, texts: Column) -> Column:
+    return F.exists(tags, lambda tag: F.exists(texts, lambda v: v.contains(tag)))
 
 
 def version_verdicts(pairs: DataFrame, t: DataFrame, m: DataFrame) -> DataFrame:
-    """Of title pairs (t_what, m_what) those whose versions may agree, with both titles and ``by``: who else must mention a tag.
+    """Of title pairs (t_what, m_what) those whose versions may agree, with ``by``: who else must mention a tag.
 
     ``by`` is null where the titles and tags decide, else "song" or "track": one side has tags, which the other
     side's artists must mention.
@@ -208,63 +187,46 @@ def version_verdicts(pairs: DataFrame, t: DataFrame, m: DataFrame) -> DataFrame:
     both = pairs.join(_named(t, "t", "what", "title", "tags"), "t_what").join(_named(m, "m", "what", "title", "tags"), "m_what")
     tt, mt = F.col("t_tags"), F.col("m_tags")
     shared = F.exists(tt, lambda x: F.exists(mt, lambda y: x.contains(y) | y.contains(x)))
-    mention = lambda tags, texts: F.exists(tags, lambda tag: F.exists(texts, lambda v: v.contains(tag)))
     none_t, none_m = F.size(tt) == 0, F.size(mt) == 0
-    plain = (none_t & none_m) | shared | (none_m & mention(tt, F.col("m_title"))) | (none_t & mention(mt, F.col("t_title")))
+    plain = (none_t & none_m) | shared | (none_m & _mention(tt, F.col("m_title"))) | (none_t & _mention(mt, F.col("t_title")))
     by = F.when(plain, F.lit("")).when(none_m, F.lit("song")).when(none_t, F.lit("track"))
-    return both.withColumn("by", by).where("by IS NOT NULL").withColumn("by", F.nullif("by", F.lit("")))
-
-
-def mentioned(found: DataFrame, t: DataFrame, m: DataFrame) -> DataFrame:
-    """Rows (t_who, t_what, m_who, m_what, ..., by) whose missing tags are mentioned by the other side's artists."""
-    mention = lambda tags, texts: F.exists(tags, lambda tag: F.exists(texts, lambda v: v.contains(tag)))
-    found = materialize(found)
-    out = [found.where("by IS NULL")]
-    for by, tagged, side in (("song", ("t", t), ("m", m)), ("track", ("m", m), ("t", t))):
-        what, who = f"{tagged[0]}_what", f"{side[0]}_who"
-        rows = found.where(F.col("by") == by)
-        each = rows.select(what, who).distinct().join(_named(tagged[1], tagged[0], "what", "tags"), what).join(_named(side[1], side[0], "who", "artist"), who)
-        ok = each.where(mention(F.col(f"{tagged[0]}_tags"), F.col(f"{side[0]}_artist"))).select(what, who)
-        out.append(rows.join(ok, [what, who], "left_semi"))
-    return out[0].unionByName(out[1]).unionByName(out[2])
-
-
-def agreeing_titles(pairs: DataFrame, t: DataFrame, m: DataFrame, threshold: float) -> DataFrame:
-    """(t_what, m_what, by) of those title pairs that agree: by equality, containment, and then words and letters."""
-    judged = version_verdicts(pairs, t, m)
-    contained = F.exists("t_title", lambda x: F.exists("m_title", lambda y: (x == y) | S.contains_significant(x, y)))
-    judged = materialize(judged.select("t_what", "m_what", "by", "t_title", "m_title", contained.alias("sure")))
-    whole = lambda c: F.filter(c, lambda v, k: ~S.is_stripped_sibling(F.col(c), k))
-    open_ = judged.where("NOT sure").select("t_what", "m_what", "by", F.explode(whole("t_title")).alias("own"), "m_title")
-    open_ = open_.select("t_what", "m_what", "by", "own", F.explode(whole("m_title")).alias("variant"))
-    alike = alike_texts(open_.select("own", "variant").distinct(), threshold)
-    return judged.where("sure").select("t_what", "m_what", "by").unionByName(open_.join(alike, ["own", "variant"]).select("t_what", "m_what", "by").distinct())
+    return both.withColumn("by", by).where("by IS NOT NULL").select("t_what", "m_what", F.nullif("by", F.lit("")).alias("by"))
 
 
 MATCHED = ("t_who", "t_what", "m_who", "m_what")
 
 
-def exact_title_path(t: DataFrame, m: DataFrame, accepted: DataFrame, threshold: float) -> DataFrame:
-    """MATCHED of keys with a title variant in common whose artist is accepted or resembles any of the song's variants."""
-    exploded = lambda df, side: _named(df, side, "what", "title").select(f"{side}_what", F.explode(f"{side}_title").alias("variant"))
-    same = exploded(t, "t").join(exploded(m, "m"), "variant").select("t_what", "m_what").distinct()
-    judged = version_verdicts(same, t, m).select("t_what", "m_what", "by")
-    met = judged.join(_named(t.where(F.size("artist") > 0), "t", "who", "what"), "t_what").join(_named(m, "m", "who", "what"), "m_what")
-    met = materialize(met)
-    artists = materialize(met.select("t_who", "m_who").distinct())
-    carried = _named(m, "m", "who", "artist").select("m_who", F.explode("m_artist").alias("variant"))
-    variants = artists.join(carried, "m_who")
-    sigs = t.where(F.size("artist") > 0).select(F.col("who").alias("sig"), F.col("artist").alias("variants")).dropDuplicates(["sig"])
-    known = accepted.select(F.col("who").alias("sig"), "variant")
-    more = pair_matches(variants.select(F.col("t_who").alias("sig"), "variant").distinct().join(known, ["sig", "variant"], "left_anti"), sigs, threshold)
-    good = variants.join(known.unionByName(more).withColumnRenamed("sig", "t_who"), ["t_who", "variant"], "left_semi").select("t_who", "m_who").distinct()
-    return mentioned(met.join(good, ["t_who", "m_who"], "left_semi"), t, m).select(*MATCHED)
+def compatible(rows: DataFrame, t: DataFrame, m: DataFrame) -> DataFrame:
+    """Of rows with MATCHED those whose versions agree; ``rows`` is read several times."""
+    found = rows.join(version_verdicts(rows.select("t_what", "m_what").distinct(), t, m), ["t_what", "m_what"])
+    song = F.col("by") == "song"
+    tagged = found.where("by IS NOT NULL").withColumns({"what": F.when(song, F.col("t_what")).otherwise(F.col("m_what")), "who": F.when(song, F.col("m_who")).otherwise(F.col("t_who"))})
+    of = lambda df, by, key, texts: df.select(F.lit(by).alias("by"), key, texts).dropDuplicates([key])
+    tags = of(t, "song", "what", "tags").unionByName(of(m, "track", "what", "tags"))
+    artists = of(m, "song", "who", "artist").unionByName(of(t, "track", "who", "artist"))
+    asked = tagged.select("by", "what", "who").distinct().join(tags, ["by", "what"]).join(artists, ["by", "who"])
+    ok = asked.where(_mention(F.col("tags"), F.col("artist"))).select("by", "what", "who")
+    return found.where("by IS NULL").select(*rows.columns).unionByName(tagged.join(ok, ["by", "what", "who"], "left_semi").select(*rows.columns))
 
 
-def artist_path(t: DataFrame, m: DataFrame, sk: DataFrame, accepted: DataFrame, threshold: float, most: int | None = MAX_FUZZY_SONGS) -> DataFrame:
-    """MATCHED and map_id of keys with an accepted artist whose titles agree; map_id is null for all songs of the key, else one song of it.
+def exact_title_rows(t: DataFrame, m: DataFrame, threshold: float) -> DataFrame:
+    """MATCHED of keys with a title variant in common whose artists match, whatever their versions.
+
+    Artists are held against each other in the blocks of a title variant; titles fan them out afterwards.
+    """
+    t = t.where(F.size("artist") > 0)
+    entries = lambda df: df.select(F.explode("title").alias("block"), "who", "what")
+    lists = lambda df: entries(df).select("block", F.col("who").alias("id")).distinct().join(_lists(df, "who", "artist"), "id")
+    met = alike_in_blocks(lists(t), lists(m), threshold).withColumnsRenamed({"left": "t_who", "right": "m_who"})
+    for side, df in (("t", t), ("m", m)):
+        met = met.join(entries(df).withColumnsRenamed({"who": f"{side}_who", "what": f"{side}_what"}), ["block", f"{side}_who"])
+    return met.select(*MATCHED).distinct()
+
 
-    Titles are tested once for each distinct pair that some artist brings together.
+def artist_rows(t: DataFrame, m: DataFrame, sk: DataFrame, accepted: DataFrame, threshold: float, most: int | None = MAX_FUZZY_SONGS) -> DataFrame:
+    """MATCHED and map_id of keys with an accepted artist whose titles match; map_id is null for all songs of the key, else one song of it.
+
+    Titles are held against each other in the blocks of a track's artist.
     """
     carried = _named(m, "m", "who", "artist").select("m_who", F.explode("m_artist").alias("variant"))
     exact = accepted.where("exact").join(carried, "variant").select(F.col("who").alias("t_who"), "m_who").distinct()
@@ -273,19 +235,29 @@ def artist_path(t: DataFrame, m: DataFrame, sk: DataFrame, accepted: DataFrame,
     fuzzy = fuzzy.join(sk.select(F.col("map_id").alias("_id"), "who", "what"), F.col("map_id") == F.col("_id"))
     fuzzy = fuzzy.select(F.col("sig").alias("t_who"), F.col("who").alias("m_who"), F.col("what").alias("m_what"), "map_id")
     songs = materialize(exact.select(*fuzzy.columns).unionByName(fuzzy))
-    tracks = _named(t.where((F.size("artist") > 0) & (F.size("title") > 0)), "t", "who", "what")
-    met = materialize(songs.select("t_who", "m_what").distinct().join(tracks, "t_who"))
-    agree = materialize(agreeing_titles(met.select("t_what", "m_what").distinct(), t, m, threshold))
-    found = met.join(agree, ["t_what", "m_what"]).join(songs, ["t_who", "m_what"])
-    return mentioned(found.select(*MATCHED, "map_id", "by"), t, m).select(*MATCHED, "map_id")
+    t = t.where((F.size("artist") > 0) & (F.size("title") > 0))
+    left = t.select(F.col("who").alias("block"), F.col("what").alias("id"), F.col("title").alias("texts"))
+    right = songs.select(F.col("t_who").alias("block"), F.col("m_what").alias("id")).distinct().join(_lists(m, "what", "title"), "id")
+    met = alike_in_blocks(left, right, threshold, siblings=True).toDF("t_who", "t_what", "m_what")
+    return met.join(songs, ["t_who", "m_what"]).select(*MATCHED, "map_id")
+
+
+def exact_title_path(t: DataFrame, m: DataFrame, threshold: float) -> DataFrame:
+    """MATCHED of keys with a title variant in common, matching artists and versions that agree."""
+    return compatible(materialize(exact_title_rows(t, m, threshold)), t, m)
+
+
+def artist_path(t: DataFrame, m: DataFrame, sk: DataFrame, accepted: DataFrame, threshold: float, most: int | None = MAX_FUZZY_SONGS) -> DataFrame:
+    """MATCHED and map_id of keys with an accepted artist, matching titles and versions that agree."""
+    return compatible(materialize(artist_rows(t, m, sk, accepted, threshold, most)), t, m)
 
 
 def match_keys(t: DataFrame, m: DataFrame, sk: DataFrame, threshold: float, most: int | None = MAX_FUZZY_SONGS) -> DataFrame:
     """(tkey, mkey, map_id): matched keys; map_id is null for all songs of the key, else one song of it."""
     accepted = materialize(accepted_of(t, m, threshold))
-    by_title = exact_title_path(t, m, accepted, threshold).withColumn("map_id", F.lit(None).cast("bigint"))
-    by_artist = artist_path(t, m, sk, accepted, threshold, most)
-    return as_keys(by_title.unionByName(by_artist))
+    by_title = exact_title_rows(t, m, threshold).withColumn("map_id", F.lit(None).cast("bigint"))
+    rows = materialize(by_title.unionByName(artist_rows(t, m, sk, accepted, threshold, most)))
+    return as_keys(compatible(rows, t, m))
 
 
 def as_keys(matched: DataFrame) -> DataFrame:
@@ -296,7 +268,7 @@ def as_keys(matched: DataFrame) -> DataFrame:
 def accepted_of(t: DataFrame, m: DataFrame, threshold: float) -> DataFrame:
     """(who, variant, exact): the accepted artists of distinct keys."""
     whos = t.where(F.size("artist") > 0).select("who", signature(F.col("artist")).alias("sig")).distinct()
-    return accepted_artists(materialize(signatures(t)), artist_variants(m), threshold).join(whos, "sig").select("who", "variant", "exact")
+    return accepted_artists(signatures(t), artist_variants(m), threshold).join(whos, "sig").select("who", "variant", "exact")
 
 
 def match_tracks(tracks: DataFrame, songs: DataFrame, threshold: float = THRESHOLD, most: int | None = MAX_FUZZY_SONGS) -> DataFrame:
@@ -327,27 +299,16 @@ def fanned_out(found: DataFrame, tk: DataFrame, sk: DataFrame) -> DataFrame:
     return by_key.join(tk.select("id", "tkey"), "tkey").select("id", "map_id", "tkey", "mkey")
 
 
-def match_score() -> Column:
-    return arrow_helper(_score_batch, "double")(*(F.col(c) for c in ("t_title", "t_artist", "m_title", "m_artist")))
-
-
-def _score_batch(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
-    title, artist = S.best_many(a.to_pylist(), c.to_pylist()), S.best_many(b.to_pylist(), d.to_pylist())
-    return pa.array([min(x, y) for x, y in zip(title.tolist(), artist.tolist())], pa.float64())
-
-
-def _best_batch(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array(S.best_many([x.split("|") for x in a.to_pylist()], [y.split("|") for y in b.to_pylist()]), pa.float64())
-
-
 def score_keys(pairs: DataFrame, t: DataFrame, m: DataFrame) -> DataFrame:
     """(tkey, mkey, score) of distinct key pairs; each pair of titles and each pair of artists is scored once."""
-    out = _sides(pairs.select("tkey", "mkey").distinct(), t, m)
-    out = out.select("tkey", "mkey", *(signature(F.col(f"{side}_{part}")).alias(f"{side}_{part}") for side in "tm" for part in ("title", "artist")))
-    for part in ("title", "artist"):
-        texts = out.select(f"t_{part}", f"m_{part}").distinct()
-        best = arrow_helper(_best_batch, "double")(F.col(f"t_{part}"), F.col(f"m_{part}"))
-        out = out.join(texts.withColumn(f"best_{part}", best), [f"t_{part}", f"m_{part}"])
+    ids = lambda df, side: df.select(F.col(f"{side}key"), F.col("who").alias(f"{side}_who"), F.col("what").alias(f"{side}_what"))
+    out = materialize(pairs.select("tkey", "mkey").distinct().join(ids(t, "t"), "tkey").join(ids(m, "m"), "mkey"))
+    for key, texts in (("what", "title"), ("who", "artist")):
+        both = [f"t_{key}", f"m_{key}"]
+        each = out.select(*both).distinct()
+        for side, df in (("t", t), ("m", m)):
+            each = each.join(_lists(df, key, texts).toDF(f"{side}_{key}", side), f"{side}_{key}")
+        out = out.join(each.select(*both, S.best_score(F.col("t"), F.col("m")).alias(f"best_{texts}")), both)
     return out.select("tkey", "mkey", F.least("best_title", "best_artist").alias("score"))
 
 
@@ -387,7 +348,7 @@ def search_titles(tracks: DataFrame, songs: DataFrame, terms: list[str], least:
     tk = track_keys(first).select("id", "tkey", F.col("artist").alias("t_artist"), F.col("title").alias("t_title"))
     sk = materialize(song_keys(songs))
     m = distinct_keys(sk, "mkey").select("mkey", F.col("artist").alias("m_artist"), F.col("title").alias("m_title"))
-    scored = m.where((F.size("m_artist") > 0) | (F.size("m_title") > 0)).join(F.broadcast(tk), F.lit(True)).withColumn("score", match_score()).where(F.col("score") >= least)
+    scored = m.where((F.size("m_artist") > 0) | (F.size("m_title") > 0)).join(F.broadcast(tk), F.lit(True)).withColumn("score", F.least(S.best_score(F.col("t_title"), F.col("m_title"), least), S.best_score(F.col("t_artist"), F.col("m_artist"), least))).where(F.col("score") >= least)
     hits = scored.select("id", "mkey", "score").join(sk.select("mkey", "map_id"), "mkey")
     w = Window.partitionBy("term_no").orderBy(F.desc("score"), "map_id")
     return hits.join(first.select("id", "term_no", "term"), "id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= best).select("term", F.col("id").alias("track_id"), "map_id", "score", "rank")

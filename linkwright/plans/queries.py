@@ -467,10 +467,13 @@ def shown(*columns):
     f"WITH {L.DISTINCT} SELECT DISTINCT {', '.join(f"array_to_string({side}.{part}, '|') AS {side}_{part}" for side in 'tm' for part in ('title', 'tags', 'artist'))}, {L.compatible('t', 'm')} AS compatible FROM t JOIN m ON list_has_any(t.title, m.title) WHERE len(t.tags) + len(m.tags) > 0",
 )
 def g13(spark, d):
-    """Keys with a title in common, of which one has tags."""
+    """Keys with a title in common, of which one has tags: which of them the job lets pass."""
     t, m = _sides(spark, d)
-    both = link._sides(link.exact_title_pairs(t, m), t, m).where(F.size("t_tags") + F.size("m_tags") > 0)
-    both = both.withColumn("compatible", link.compatible())
+    ids = lambda df, side: df.select(f"{side}key", *(F.col(c).alias(f"{side}_{c}") for c in ("who", "what", "title", "tags", "artist")))
+    both = link.exact_title_pairs(t, m).join(ids(t, "t"), "tkey").join(ids(m, "m"), "mkey")
+    both = link.materialize(both.where(F.size("t_tags") + F.size("m_tags") > 0))
+    passed = link.compatible(both.select(*link.MATCHED), t, m).distinct().withColumn("passed", F.lit(True))
+    both = both.join(passed, list(link.MATCHED), "left").withColumn("compatible", F.coalesce("passed", F.lit(False)))
     return both.select(*shown("t_title", "t_tags", "t_artist", "m_title", "m_tags", "m_artist"), "compatible").distinct()
 
 
@@ -488,12 +491,16 @@ def g10(spark, d):
     f"WITH {L.paths(link.THRESHOLD)} SELECT DISTINCT array_to_string(x, '|') AS t_title, array_to_string(y, '|') AS m_title, EXISTS (FROM agree WHERE agree.x = brought.x AND agree.y = brought.y) AS agree FROM brought",
 )
 def g11(spark, d):
-    """Titles of compatible keys that an accepted artist brings together."""
-    t, m = _sides(spark, d)
-    accepted = link.accepted_of(t, m, link.THRESHOLD)
-    pairs = accepted.join(m.select("mkey", F.explode("artist").alias("variant")), "variant").join(t.select("tkey", "who"), "who").select("tkey", "mkey").distinct()
-    both = link._sides(pairs, t, m).where(link.compatible()).select("t_title", "m_title").distinct()
-    return both.select(*shown("t_title", "m_title"), link.titles_match(link.THRESHOLD).alias("agree"))
+    """Titles of compatible keys that an accepted artist brings together: which of them the job finds to match."""
+    sk = link.materialize(keys_of_songs(spark, d))
+    t, m = link.distinct_keys(link.materialize(keys_of_tracks(spark, d)), "tkey"), link.distinct_keys(sk, "mkey")
+    accepted = link.materialize(link.accepted_of(t, m, link.THRESHOLD))
+    ids = lambda df, side, *more: df.select(F.col("who").alias(f"{side}_who"), F.col("what").alias(f"{side}_what"), *more)
+    rows = accepted.select(F.col("who").alias("t_who"), "variant").join(ids(m, "m", F.explode("artist").alias("variant")), "variant").join(ids(t, "t"), "t_who")
+    brought = link.compatible(link.materialize(rows.select(*link.MATCHED).distinct()), t, m).select("t_what", "m_what").distinct()
+    found = link.artist_rows(t, m, sk, accepted, link.THRESHOLD).select("t_what", "m_what").distinct().withColumn("found", F.lit(True))
+    both = brought.join(found, ["t_what", "m_what"], "left").join(link._named(t, "t", "what", "title"), "t_what").join(link._named(m, "m", "what", "title"), "m_what")
+    return both.select(*shown("t_title", "m_title"), F.coalesce("found", F.lit(False)).alias("agree")).distinct()
 
 
 def plain_sigs(spark, d):
@@ -548,7 +555,7 @@ def _keys(spark, d):
 def k05(spark, d):
     tk, sk = _keys(spark, d)
     t, m = link.distinct_keys(tk, "tkey"), link.distinct_keys(sk, "mkey")
-    found = link.exact_title_path(t, m, link.materialize(link.accepted_of(t, m, link.THRESHOLD)), link.THRESHOLD)
+    found = link.exact_title_path(t, m, link.THRESHOLD)
     return link.fanned_out(link.as_keys(found.withColumn("map_id", F.lit(None).cast("bigint"))), tk, sk).select(F.col("id").alias("track_id"), "map_id")
 
 

@@ -4,10 +4,11 @@ import random
 
 import pytest
 
-from linkwright.functions import similarity as S
 from linkwright.functions import textkeys as T
 from linkwright.operators import linkage as L
 
+import plain_similarity as S
+
 
 def track_key(artist, title):
     return T.artist_variants(artist), T.field_variants(title), T.remix_tags(title)

@@ -29,14 +29,14 @@ def dealt(left: DataFrame, right: DataFrame, cell_lists: int = CELL_LISTS) -> Da
     """(block, part, chunk, side, id, texts) of left and right (block, id, texts): the rows of cells."""
     rows = left.select("block", F.lit(0).alias("side"), "id", "texts").unionByName(right.select("block", F.lit(1).alias("side"), "id", "texts"))
     n = lambda side: F.count(F.when(F.col("side") == side, 1))
-    full = rows.groupBy(F.col("block").alias("_block")).agg(n(0).alias("_l"), n(1).alias("_r")).where((F.col("_l") > cell_lists) | (F.col("_r") > cell_lists))
-    full = full.select("_block", *(F.greatest(F.ceil(F.col(c) / cell_lists), F.lit(1)).cast("int").alias(name) for c, name in (("_l", "_parts"), ("_r", "_chunks"))))
-    rows = rows.join(full, F.col("block") == F.col("_block"), "left")
+    # lists of blocks that only one side has meet nothing
+    held = rows.groupBy(F.col("block").alias("_block")).agg(n(0).alias("_l"), n(1).alias("_r")).where((F.col("_l") > 0) & (F.col("_r") > 0))
+    held = held.select("_block", *(F.ceil(F.col(c) / cell_lists).cast("int").alias(name) for c, name in (("_l", "_parts"), ("_r", "_chunks"))))
+    rows = rows.join(held, F.col("block") == F.col("_block"))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     cell = lambda p, c: F.struct(p.alias("part"), c.alias("chunk"))
-    cells = F.when(F.col("_block").isNull(), F.array(cell(F.lit(0), F.lit(0))))
-    cells = cells.when(F.col("side") == 0, F.transform(every("_chunks"), lambda c: cell(own("_parts"), c))).otherwise(F.transform(every("_parts"), lambda p: cell(p, own("_chunks"))))
+    cells = F.when(F.col("side") == 0, F.transform(every("_chunks"), lambda c: cell(own("_parts"), c))).otherwise(F.transform(every("_parts"), lambda p: cell(p, own("_chunks"))))
     return rows.select("block", "side", "id", "texts", F.explode(cells).alias("c")).select("block", "c.part", "c.chunk", "side", "id", "texts")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from linkwright.functions import columns as C
@@ -143,23 +143,97 @@ def sort_key(name: str) -> Column:
     return ascii_lower(F.col(name)) if name in TEXT_KEYS else F.col(name)
 
 
+def seek(key: Column, tie: Column, ascending: bool, last: tuple | None) -> Column:
+    """Whether a row comes after ``last``, a (key, tie), in the order of ``paged``; all do after None."""
+    if last is None:
+        return F.lit(True)
+    value, at = last
+    beyond = tie > at
+    if value is None:
+        same = key.isNull() & beyond
+        return same | key.isNotNull() if ascending else same
+    same = (key == value) & beyond
+    return F.coalesce(key > value, F.lit(False)) | F.coalesce(same, F.lit(False)) if ascending else key.isNull() | (key < value) | same
+
+
+def page_after(df: DataFrame, key: Column, tie: str, ascending: bool, last: tuple | None, size: int) -> DataFrame:
+    """The page behind a row, with its ``sort_key``: a filter and a top list of one page, however deep it lies."""
+    rows = df.withColumn("sort_key", key).where(seek(F.col("sort_key"), F.col(tie), ascending, last))
+    return paged(rows, [F.col("sort_key")], F.col(tie), ascending, 1, size)
+
+
+def end_of(page: DataFrame, tie: str) -> tuple | None:
+    """(sort_key, tie) of the last row of a page of ``page_after``, None of an empty one; a page has MAX_PAGE rows at most."""
+    rows = page.select("sort_key", tie).collect()
+    return tuple(rows[-1]) if rows else None
+
+
+def _sorted_by(found: DataFrame, difficulties: DataFrame, q: Query) -> tuple[DataFrame, Column]:
+    """What is found, with what its order needs, and the order's key."""
+    key = q.sort if q.sort in SORT_KEYS else "upload_time"
+    return with_stars(found, difficulties, q.filters.stars_source) if key == "stars" else found, sort_key(key)
+
+
+def _page(found: DataFrame, difficulties: DataFrame, q: Query) -> DataFrame:
+    rows, key = _sorted_by(found, difficulties, q)
+    return paged(rows, [key], F.col("map_id"), q.ascending, q.page, q.page_size).select(*found.columns)
+
+
 def query_catalog(songs: DataFrame, difficulties: DataFrame, q: Query) -> tuple[DataFrame, DataFrame]:
     """The page's rows, and one row with the total of all that pass."""
     found = catalog_filter(songs, difficulties, q.filters)
-    total = found.agg(F.count(F.lit(1)).alias("total"))
-    key = q.sort if q.sort in SORT_KEYS else "upload_time"
-    rows = with_stars(found, difficulties, q.filters.stars_source) if key == "stars" else found
-    page = paged(rows, [sort_key(key)], F.col("map_id"), q.ascending, q.page, q.page_size)
-    return page.select(*songs.columns), total
+    return _page(found, difficulties, q), found.agg(F.count(F.lit(1)).alias("total"))
+
+
+def observed(found: DataFrame) -> tuple[DataFrame, Observation]:
+    """Rows whose number, ``total``, is seen while they are read for something else."""
+    seen = Observation()
+    return found.observe(seen, F.count(F.lit(1)).alias("total")), seen
+
+
+def catalog_page(songs: DataFrame, difficulties: DataFrame, q: Query) -> tuple[DataFrame, Observation]:
+    """The page's rows, and the total of all that pass, which is there once the page has been read: one pass for both."""
+    found, seen = observed(catalog_filter(songs, difficulties, q.filters))
+    return _page(found, difficulties, q), seen
+
+
+def with_total(page: DataFrame, seen: Observation) -> DataFrame:
+    """A page, which has MAX_PAGE rows at most, with the total beside each row."""
+    rows = page.collect()
+    return page.sparkSession.createDataFrame(rows, page.schema).withColumn("total", F.lit(seen.get["total"]).cast("bigint"))
+
+
+def catalog_after(songs: DataFrame, difficulties: DataFrame, q: Query, last: tuple | None) -> DataFrame:
+    """The page behind ``last``, an ``end_of`` the page before; ``q.page`` is not used."""
+    rows, key = _sorted_by(catalog_filter(songs, difficulties, q.filters), difficulties, q)
+    return page_after(rows, key, "map_id", q.ascending, last, q.page_size).select(*songs.columns, "sort_key")
+
+
+def tracks_found(tracks: DataFrame, search: str) -> DataFrame:
+    return tracks.where(matches_any(LIBRARY_SEARCHED, search)) if search.strip() else tracks
+
+
+def library_key(sort: str) -> Column:
+    return sort_key(sort if sort in LIBRARY_SORT_KEYS else "artist")
 
 
 def query_tracks(tracks: DataFrame, search: str = "", sort: str = "artist", ascending: bool = False, page: int = 1, page_size: int = LIBRARY_PAGE) -> tuple[DataFrame, DataFrame]:
-    found = tracks.where(matches_any(LIBRARY_SEARCHED, search)) if search.strip() else tracks
-    key = sort if sort in LIBRARY_SORT_KEYS else "artist"
-    rows = paged(found, [sort_key(key)], F.col("id"), ascending, page, page_size).select(*LIBRARY_COLUMNS)
+    found = tracks_found(tracks, search)
+    rows = paged(found, [library_key(sort)], F.col("id"), ascending, page, page_size).select(*LIBRARY_COLUMNS)
     return rows, found.agg(F.count(F.lit(1)).alias("total"))
 
 
+def library_page(tracks: DataFrame, search: str = "", sort: str = "artist", ascending: bool = False, page: int = 1, page_size: int = LIBRARY_PAGE) -> tuple[DataFrame, Observation]:
+    """As ``query_tracks``, the total seen while the page is read."""
+    found, seen = observed(tracks_found(tracks, search))
+    return paged(found, [library_key(sort)], F.col("id"), ascending, page, page_size).select(*LIBRARY_COLUMNS), seen
+
+
+def library_after(tracks: DataFrame, last: tuple | None, search: str = "", sort: str = "artist", ascending: bool = False, page_size: int = LIBRARY_PAGE) -> DataFrame:
+    """The page behind ``last``, an ``end_of`` the page before."""
+    return page_after(tracks_found(tracks, search), library_key(sort), "id", ascending, last, page_size).select(*LIBRARY_COLUMNS, "sort_key")
+
+
 def difficulties_of(difficulties: DataFrame, map_ids: DataFrame) -> DataFrame:
     """Children of some songs, in order."""
     ids = map_ids.select(F.col("map_id").alias("_id")).distinct()

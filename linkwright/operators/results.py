@@ -24,20 +24,41 @@ def group_scores(scored: DataFrame, tracks: DataFrame) -> DataFrame:
     return scored.join(ids, F.col("track_id") == F.col("_id")).groupBy("group_artist", "group_title", "map_id").agg(F.max("score").alias("score"))
 
 
+GROUP = ("group_artist", "group_title")
+
+
+def matched_tracks(scored: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Tracks with their groups, those that have a match."""
+    return with_group(tracks).join(scored.select(F.col("track_id").alias("_id")).distinct(), F.col("id") == F.col("_id"), "left_semi")
+
+
 def track_groups(scored: DataFrame, tracks: DataFrame) -> DataFrame:
-    """(group_artist, group_title, primary_id, instances, n_instances) of matched tracks."""
-    matched = with_group(tracks).join(scored.select(F.col("track_id").alias("_id")).distinct(), F.col("id") == F.col("_id"), "left_semi")
-    rank = F.struct("artist", "title", "id")
-    grouped = matched.groupBy("group_artist", "group_title").agg(F.min(rank).alias("first"), F.sort_array(F.collect_list(rank)).alias("each"))
-    return grouped.select("group_artist", "group_title", F.col("first.id").alias("primary_id"), F.col("first.artist").alias("artist"), F.col("first.title").alias("title"), F.col("each.id").alias("instances"), F.size("each").alias("n_instances"))
+    """(group_artist, group_title, primary_id, artist, title, n_instances) of matched tracks; ``group_instances`` has the instances."""
+    first = F.min(F.struct("artist", "title", "id")).alias("first")
+    grouped = matched_tracks(scored, tracks).groupBy(*GROUP).agg(first, F.count(F.lit(1)).alias("n_instances"))
+    return grouped.select(*GROUP, F.col("first.id").alias("primary_id"), F.col("first.artist").alias("artist"), F.col("first.title").alias("title"), "n_instances")
+
+
+def group_instances(scored: DataFrame, tracks: DataFrame) -> DataFrame:
+    """(group_artist, group_title, position, id): a group's tracks by artist, title and id, a row for each; the sort spills."""
+    w = Window.partitionBy(*GROUP).orderBy("artist", "title", "id")
+    return matched_tracks(scored, tracks).select(*GROUP, F.row_number().over(w).alias("position"), "id")
+
+
+def group_matches(scored: DataFrame, tracks: DataFrame) -> DataFrame:
+    """(group_artist, group_title, position, map_id, score): a group's songs, best first, a row for each."""
+    w = Window.partitionBy(*GROUP).orderBy(F.desc("score"), "map_id")
+    return group_scores(scored, tracks).select(*GROUP, F.row_number().over(w).alias("position"), "map_id", "score")
 
 
 def group_results(scored: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Groups with their matches (score, map_id), best first; groups by artist and title."""
-    best = group_scores(scored, tracks).groupBy("group_artist", "group_title").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("worse"), "map_id"))).alias("m"))
-    best = best.select(F.col("group_artist").alias("_a"), F.col("group_title").alias("_t"), F.col("m.map_id").alias("map_ids"), F.transform("m", lambda x: -x["worse"]).alias("scores"))
-    out = track_groups(scored, tracks).join(best, (F.col("group_artist") == F.col("_a")) & (F.col("group_title") == F.col("_t"))).drop("_a", "_t")
-    return out.orderBy(F.collate("artist", "UNICODE"), F.collate("title", "UNICODE"))
+    """Groups by artist and title, with the number of their songs and the best score; ``group_matches`` has the songs."""
+    best = group_scores(scored, tracks).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n_matches"), F.max("score").alias("best"))
+    return track_groups(scored, tracks).join(best, list(GROUP)).orderBy(*result_order())
+
+
+def result_order() -> list[Column]:
+    return [F.collate("artist", "UNICODE"), F.collate("title", "UNICODE"), F.col("primary_id")]
 
 
 def coverage(scored: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -142,5 +163,4 @@ def sort_matches(rows: DataFrame, key: str = "score", ascending: bool = False) -
 
 def result_page(groups: DataFrame, page: int = 1, size: int = 50) -> DataFrame:
     """Groups by artist and title, one page of them."""
-    keys = [F.collate("artist", "UNICODE"), F.collate("title", "UNICODE"), F.col("primary_id")]
-    return groups.orderBy(*keys).offset((max(1, page) - 1) * size).limit(size)
+    return groups.orderBy(*result_order()).offset((max(1, page) - 1) * size).limit(size)

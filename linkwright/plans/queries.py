@@ -137,7 +137,7 @@ def s09(spark, d):
     at = _out(spark, "tracks")
     n = sinks.write_tracks(tracks(spark, d), at).first()[0]
     sinks.clear_tracks(spark, at)
-    return spark.read.parquet(f"{at}/tracks").agg(F.lit(n).cast("long").alias("tracks"), F.count(F.lit(1)).alias("after_clear"))
+    return sinks.read_tracks(spark, at).agg(F.lit(n).cast("long").alias("tracks"), F.count(F.lit(1)).alias("after_clear"))
 
 
 @query("s10_export_for_matching", "SELECT map_id, key, song_name, song_author, level_author FROM songs")
@@ -289,10 +289,53 @@ query("l02_catalog_page","SELECT map_id FROM songs ORDER BY rating ASC, map_id L
 query("l03_library_page", f"SELECT id, title, artist, album, coalesce(duration, -1) AS duration, coalesce(year, -1) AS year, fetched_at FROM tracks WHERE {_LIB} ORDER BY lower(title) DESC, id LIMIT 100 OFFSET 100")(
     lambda spark, d: cat.query_tracks(tracks(spark, d).withColumn("normalized_key", F.lit("")), "ring", "title", page=2)[0].select("id", "title", "artist", "album", _known("duration"), _known("year"), "fetched_at")
 )
-query("k12_query_catalog", "SELECT * FROM songs WHERE bpm BETWEEN 190 AND 250 AND EXISTS (FROM difficulties WHERE song_map_id = map_id AND difficulty IN (3, 4) AND stars_ss >= 4) ORDER BY (SELECT max(stars_ss) FROM difficulties WHERE song_map_id = map_id) DESC, map_id LIMIT 50")(
+_K12_PAGE = "SELECT * FROM songs WHERE bpm BETWEEN 190 AND 250 AND EXISTS (FROM difficulties WHERE song_map_id = map_id AND difficulty IN (3, 4) AND stars_ss >= 4) ORDER BY (SELECT max(stars_ss) FROM difficulties WHERE song_map_id = map_id) DESC, map_id LIMIT 50"
+query("k12_query_catalog", _K12_PAGE)(
     lambda spark, d: cat.query_catalog(songs(spark, d), difficulties(spark, d), Query(Filters(bpm_min=190.0, bpm_max=250.0, difficulties=(3, 4), stars_min=4.0), sort="stars"))[0]
 )
 query("k13_query_tracks", f"SELECT count(*) AS total FROM tracks WHERE {_LIB}")(lambda spark, d: cat.query_tracks(tracks(spark, d).withColumn("normalized_key", F.lit("")), "ring")[1])
+_K12 = Query(Filters(bpm_min=190.0, bpm_max=250.0, difficulties=(3, 4), stars_min=4.0), sort="stars")
+_K12_FOUND = "FROM songs WHERE bpm BETWEEN 190 AND 250 AND EXISTS (FROM difficulties WHERE song_map_id = map_id AND difficulty IN (3, 4) AND stars_ss >= 4)"
+
+
+@query("k12_on_written_tables", _K12_PAGE)
+def k12_on_written_tables(spark, d):
+    """The query on tables dealt out by song."""
+    at = _out(spark, "catalog")
+    sinks.write_catalog(songs(spark, d), difficulties(spark, d), snapshots.snapshot_meta(nested(spark, d)), at)
+    tables = sinks.read_catalog(spark, at)
+    return cat.query_catalog(tables["songs"], tables["difficulties"], _K12)[0]
+
+
+query(
+    "k12_page_and_total",
+    f"SELECT map_id, song_name, total FROM (SELECT *, count(*) OVER () AS total {_K12_FOUND}) ORDER BY (SELECT max(stars_ss) FROM difficulties WHERE song_map_id = map_id) DESC NULLS LAST, map_id LIMIT 50",
+)(lambda spark, d: cat.with_total(*cat.catalog_page(songs(spark, d), difficulties(spark, d), _K12)).select("map_id", "song_name", "total"))
+query("k13_page_and_total", f"SELECT id, title, total FROM (SELECT *, count(*) OVER () AS total FROM tracks WHERE {_LIB}) ORDER BY lower(artist) DESC, id LIMIT 100")(
+    lambda spark, d: cat.with_total(*cat.library_page(tracks(spark, d).withColumn("normalized_key", F.lit("")), "ring")).select("id", "title", "total")
+)
+
+
+def after(make, tie, pages=2):
+    """The page that is reached by going on from the last row of each page before it."""
+    last = None
+    for _ in range(pages - 1):
+        last = cat.end_of(make(last), tie)
+    return in_order(make(last))
+
+
+for _key in cat.SORT_KEYS:
+    _col = "(SELECT max(stars_ss) FROM difficulties WHERE song_map_id = map_id)" if _key == "stars" else f"lower({_key})" if _key in cat.TEXT_KEYS else _key
+    for _way, _up, _nulls in (("asc", True, "FIRST"), ("desc", False, "LAST")):
+        query(f"l02_after_{_key}_{_way}", f"SELECT map_id, row_number() OVER (ORDER BY {_col} {_way} NULLS {_nulls}, map_id) - 81 AS position FROM songs ORDER BY position LIMIT 40 OFFSET 80")(
+            lambda spark, d, k=_key, up=_up: after(lambda last: cat.catalog_after(songs(spark, d), difficulties(spark, d), Query(sort=k, ascending=up, page_size=40), last), "map_id", 3).select("map_id", "position")
+        )
+for _key in cat.LIBRARY_SORT_KEYS:
+    _col = f"lower({_key})" if _key in cat.TEXT_KEYS else _key
+    for _way, _up, _nulls in (("asc", True, "FIRST"), ("desc", False, "LAST")):
+        query(f"l03_after_{_key}_{_way}", f"SELECT id, row_number() OVER (ORDER BY {_col} {_way} NULLS {_nulls}, id) - 101 AS position FROM tracks ORDER BY position LIMIT 100 OFFSET 100")(
+            lambda spark, d, k=_key, up=_up: after(lambda last: cat.library_after(tracks(spark, d).withColumn("normalized_key", F.lit("")), last, "", k, up), "id").select("id", "position")
+        )
 query(
     "k14_song_detail",
     f"SELECT map_id, song_name, {_labels_sql('ranked_states', C.RANKED_LABELS)} AS ranked_labels, {_code_sql('characteristic', C.CHARACTERISTICS)} AS characteristic_label, {_code_sql('difficulty', C.DIFFICULTIES)} AS difficulty_label, stars_ss, {_labels_sql('mods', C.MOD_LABELS)} AS mod_labels FROM songs LEFT JOIN difficulties ON song_map_id = map_id",
@@ -600,6 +643,12 @@ query(
 )(lambda spark, d: res.size_profile(keys_of_songs(spark, d), link.match_tracks(tracks(spark, d), songs(spark, d))))
 
 
+def listed(groups, matches):
+    """Groups with their songs' ids as one text, for display."""
+    ids = matches.groupBy(*res.GROUP).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "map_id"))), lambda x: x["map_id"].cast("string")), ",").alias("map_ids"))
+    return groups.join(ids, list(res.GROUP))
+
+
 @query(
     "k09_group_results",
     _SCORED
@@ -609,7 +658,8 @@ query(
 )
 def k09(spark, d):
     t = tracks(spark, d)
-    return res.group_results(link.score_matches(t, songs(spark, d)), t).select("artist", "title", "n_instances", F.array_join("map_ids", ",").alias("map_ids"))
+    found = link.materialize(link.score_matches(t, songs(spark, d)))
+    return listed(res.group_results(found, t), res.group_matches(found, t)).select("artist", "title", "n_instances", "map_ids")
 
 
 # ---- results, on scored pairs by a plain rule ----
@@ -619,8 +669,24 @@ query("a06_track_groups", "SELECT lower(artist) AS group_artist, lower(title) AS
     lambda spark, d: res.track_groups(scored(spark, d), tracks(spark, d)).select("group_artist", "group_title", "primary_id", "n_instances")
 )
 query("k09_grouped_scored", "SELECT group_artist, group_title, array_to_string(list(map_id ORDER BY score DESC, map_id), ',') AS map_ids FROM (SELECT lower(artist) AS group_artist, lower(title) AS group_title, map_id, max(score) AS score FROM scored JOIN tracks ON id = track_id GROUP BY 1, 2, 3) GROUP BY 1, 2")(
-    lambda spark, d: res.group_results(scored(spark, d), tracks(spark, d)).select("group_artist", "group_title", F.array_join("map_ids", ",").alias("map_ids"))
+    lambda spark, d: listed(res.group_results(scored(spark, d), tracks(spark, d)), res.group_matches(scored(spark, d), tracks(spark, d))).select("group_artist", "group_title", "map_ids")
 )
+_BEST = "(SELECT lower(artist) AS group_artist, lower(title) AS group_title, map_id, max(score) AS score FROM scored JOIN tracks ON id = track_id GROUP BY 1, 2, 3)"
+_GROUPED = "(SELECT lower(artist) AS group_artist, lower(title) AS group_title, min((artist, title, id)) AS first, count(*) AS n_instances FROM tracks WHERE id IN (SELECT track_id FROM scored) GROUP BY 1, 2)"
+query(
+    "k09_group_rows",
+    f"SELECT group_artist, group_title, first[3] AS primary_id, first[1] AS artist, first[2] AS title, n_instances, n_matches, best FROM {_GROUPED} "
+    f"JOIN (SELECT group_artist, group_title, count(*) AS n_matches, max(score) AS best FROM {_BEST} GROUP BY 1, 2) USING (group_artist, group_title)",
+)(lambda spark, d: res.group_results(scored(spark, d), tracks(spark, d)))
+query(
+    "k09_group_matches",
+    f"SELECT group_artist, group_title, row_number() OVER (PARTITION BY group_artist, group_title ORDER BY score DESC, map_id) AS position, map_id, score FROM {_BEST}",
+)(lambda spark, d: res.group_matches(scored(spark, d), tracks(spark, d)))
+query(
+    "a06_group_instances",
+    "SELECT group_artist, group_title, row_number() OVER (PARTITION BY group_artist, group_title ORDER BY artist, title, id) AS position, id "
+    "FROM (SELECT *, lower(artist) AS group_artist, lower(title) AS group_title FROM tracks WHERE id IN (SELECT track_id FROM scored))",
+)(lambda spark, d: res.group_instances(scored(spark, d), tracks(spark, d)))
 query("a08_coverage", "SELECT count(DISTINCT (lower(artist), lower(title))) AS groups, count(DISTINCT (lower(artist), lower(title))) FILTER (id IN (SELECT track_id FROM scored)) AS matched_groups, floor(count(DISTINCT (lower(artist), lower(title))) FILTER (id IN (SELECT track_id FROM scored)) / count(DISTINCT (lower(artist), lower(title)))::DOUBLE * 100 * 10 + 0.5) / 10 AS coverage FROM tracks")(
     lambda spark, d: res.coverage(scored(spark, d), tracks(spark, d))
 )

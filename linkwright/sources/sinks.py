@@ -1,31 +1,41 @@
-"""Writers: whole tables are replaced, as each load is a whole snapshot."""
+"""Writers: whole tables are replaced, as each load is a whole snapshot; each replacement is one version of a store."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkwright.sources import store
 
-def write_catalog(songs: DataFrame, difficulties: DataFrame, meta: DataFrame, path: str) -> DataFrame:
-    """Write the three tables; one row with the written counts."""
+BUCKETS = 16
+CATALOG_KEYS = {"songs": "map_id", "difficulties": "song_map_id"}
+
+
+def write_catalog(songs: DataFrame, difficulties: DataFrame, meta: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """Replace the catalog by one version of all three tables, dealt out by song; one row with the written counts."""
     spark = songs.sparkSession
-    songs.write.mode("overwrite").parquet(f"{path}/songs")
-    difficulties.write.mode("overwrite").parquet(f"{path}/difficulties")
-    meta.write.mode("overwrite").parquet(f"{path}/meta")
-    n = spark.read.parquet(f"{path}/songs").agg(F.count(F.lit(1)).alias("songs"))
-    return n.join(spark.read.parquet(f"{path}/difficulties").agg(F.count(F.lit(1)).alias("difficulties")), F.lit(True))
+    store.publish(spark, path, {"songs": songs, "difficulties": difficulties, "meta": meta}, CATALOG_KEYS, buckets)
+    return store.counts(spark, path, "songs", "difficulties")
+
+
+def read_catalog(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """songs, difficulties and meta of one version; joins and groups by song need no exchange."""
+    return store.read(spark, path)
 
 
 def write_tracks(tracks: DataFrame, path: str) -> DataFrame:
     """Replace the library; one row with the written count."""
-    tracks.write.mode("overwrite").parquet(f"{path}/tracks")
-    return tracks.sparkSession.read.parquet(f"{path}/tracks").agg(F.count(F.lit(1)).alias("tracks"))
+    store.publish(tracks.sparkSession, path, {"tracks": tracks})
+    return store.counts(tracks.sparkSession, path, "tracks")
+
+
+def read_tracks(spark: SparkSession, path: str) -> DataFrame:
+    return store.read(spark, path)["tracks"]
 
 
 def clear_tracks(spark: SparkSession, path: str) -> None:
-    """Empty the library, keeping its columns."""
-    schema = spark.read.parquet(f"{path}/tracks").schema
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/tracks")
+    """Empty the library, keeping its columns: a version without rows."""
+    store.publish(spark, path, {"tracks": read_tracks(spark, path).limit(0)})
 
 
 def songs_for_matching(songs: DataFrame) -> DataFrame:

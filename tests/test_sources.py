@@ -60,10 +60,50 @@ def test_sinks(spark, tmp_path):
     t = spark.createDataFrame([("1", "a"), ("2", "b")], "id string, title string")
     assert sinks.write_tracks(t, str(tmp_path)).first().tracks == 2
     sinks.clear_tracks(spark, str(tmp_path))
-    again = spark.read.parquet(f"{tmp_path}/tracks")
+    again = sinks.read_tracks(spark, str(tmp_path))
     assert again.count() == 0 and again.columns == t.columns
 
 
+def test_a_failed_replacement_leaves_the_old_snapshot_whole(spark, tmp_path):
+    at = str(tmp_path)
+    songs = lambda n: spark.createDataFrame([(k, f"{n} {k}") for k in range(n)], "map_id long, song_name string")
+    children = lambda n: spark.createDataFrame([(k % n, float(k)) for k in range(3 * n)], "song_map_id long, stars_ss double")
+    meta = lambda n: spark.createDataFrame([("scrape_ended_time", str(n))], "key string, value string")
+    with pytest.raises(ValueError):
+        sinks.read_catalog(spark, at)
+    sinks.write_catalog(songs(5), children(5), meta(5), at, 4)
+    held = sinks.read_catalog(spark, at)
+    bad = children(7).withColumn("stars_ss", F.raise_error(F.lit("lost between the tables")).cast("double"))
+    for broken in (lambda: sinks.write_catalog(songs(7), bad, meta(7), at, 4), lambda: sinks.write_catalog(songs(7), children(7), meta(7).withColumn("value", F.raise_error(F.lit("lost"))), at, 4)):
+        with pytest.raises(Exception, match="lost"):
+            broken()
+        now = sinks.read_catalog(spark, at)
+        assert now["songs"].count() == 5 and now["difficulties"].count() == 15 and now["meta"].first().value == "5"
+    assert tuple(sinks.write_catalog(songs(7), children(7), meta(7), at, 4).first()) == (7, 21)
+    # who has begun to read a version goes on with it
+    assert held["songs"].count() == 5 and held["difficulties"].count() == 15
+    assert sinks.read_catalog(spark, at)["meta"].first().value == "7"
+
+
+def test_a_new_session_knows_the_buckets(spark, tmp_path):
+    at = str(tmp_path)
+    songs = spark.range(40).select(F.col("id").alias("map_id"))
+    children = spark.range(120).select((F.col("id") % 30).alias("song_map_id"), F.col("id").cast("double").alias("stars_ss"))
+    sinks.write_catalog(songs, children, spark.createDataFrame([("k", "v")], "key string, value string"), at, 4)
+    for t in spark.catalog.listTables():
+        if t.name.startswith("linkwright_"):
+            spark.sql(f"DROP TABLE {t.name}")
+    tables = sinks.read_catalog(spark, at)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = cat.with_stars(tables["songs"], tables["difficulties"])
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "SortMergeJoin" in plan
+        assert both.where("stars IS NULL").count() == 10 and both.agg(F.max("stars")).first()[0] == 119.0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_search_details(spark):
     rows = [(1, "a%b", "X"), (2, "a_b", "Ä"), (3, "AXB", "ä"), (4, "back\\slash", None)]
     df = spark.createDataFrame(rows, "id int, title string, artist string")

@@ -8,6 +8,9 @@ on distinct pairs that passed the native tests.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,7 +80,7 @@ def song_keys(songs: DataFrame) -> DataFrame:
 
 
 def distinct_keys(keyed: DataFrame, key: str) -> DataFrame:
-    return keyed.dropDuplicates([key])
+    return keyed.drop("id", "map_id").dropDuplicates([key])
 
 
 # ---- artists ----
@@ -110,23 +113,36 @@ def trigram_frequency(variants: DataFrame) -> DataFrame:
     return trigram_postings(variants).groupBy("trigram").agg(F.count(F.lit(1)).alias("df"))
 
 
-def trigram_votes(sigs: DataFrame, variants: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class ArtistIndex:
+    """Song artists as blocking reads them: (variant, tri), (trigram, variant), and (trigram, df)."""
+
+    variants: DataFrame
+    postings: DataFrame
+    frequency: DataFrame
+
+
+def artist_index(variants: DataFrame) -> ArtistIndex:
+    return ArtistIndex(variants.select("variant", unique_trigrams(F.col("variant")).alias("tri")), trigram_postings(variants), trigram_frequency(variants))
+
+
+def trigram_votes(sigs: DataFrame, variants: DataFrame | ArtistIndex) -> DataFrame:
     """(sig, variant): song variants with enough of the trigrams of one of an artist's variants.
 
     If k of n trigrams must be shared, one of them is among the n - k + 1 rarest, so only these are looked
     up; the candidates' trigrams are then counted in full.
     """
+    index = variants if isinstance(variants, ArtistIndex) else artist_index(variants)
     own = sigs.select(F.explode("variants").alias("own")).distinct().withColumn("tri", unique_trigrams(F.col("own")))
     own = own.withColumn("need", F.greatest(F.lit(SHARED_LEAST), F.ceil(F.size("tri") * SHARED_SHARE).cast("int"))).where(F.size("tri") >= F.col("need"))
-    df = trigram_frequency(variants).select(F.col("trigram").alias("_tri"), "df")
+    df = index.frequency.select(F.col("trigram").alias("_tri"), "df")
     each = own.select("own", "need", F.size("tri").alias("n"), F.explode("tri").alias("trigram")).join(df, F.col("trigram") == F.col("_tri"))
     rare = Window.partitionBy("own").orderBy("df", "trigram")
     # trigrams that no song has are dropped above and would be the rarest of all: ranks start after them
     absent = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("own"))
     probe = each.withColumn("rank", F.row_number().over(rare) + absent).where(F.col("rank") <= F.col("n") - F.col("need") + 1)
-    met = probe.select("own", "trigram").join(trigram_postings(variants), "trigram").select("own", "variant").distinct()
-    cut = variants.select("variant", unique_trigrams(F.col("variant")).alias("own_tri"))
-    full = met.join(own, "own").join(cut, "variant").where(F.size(F.array_intersect("tri", "own_tri")) >= F.col("need"))
+    met = probe.select("own", "trigram").join(index.postings, "trigram").select("own", "variant").distinct()
+    full = met.join(own, "own").join(index.variants.select("variant", F.col("tri").alias("own_tri")), "variant").where(F.size(F.array_intersect("tri", "own_tri")) >= F.col("need"))
     voted = full.select("own", "variant")
     return sigs.select("sig", F.explode("variants").alias("own")).join(voted, "own").select("sig", "variant").distinct()
 
@@ -136,9 +152,9 @@ def pair_matches(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFra
     return pairs.join(sigs, "sig").where(S.any_alike(F.col("variants"), F.col("variant"), threshold)).select("sig", "variant")
 
 
-def accepted_artists(sigs: DataFrame, variants: DataFrame, threshold: float) -> DataFrame:
+def accepted_artists(sigs: DataFrame, variants: DataFrame | ArtistIndex, threshold: float) -> DataFrame:
     """(sig, variant, exact). An equal variant anywhere switches the trigram path off for the whole artist."""
-    exact = materialize(exact_artists(sigs, variants))
+    exact = exact_artists(sigs, variants.variants if isinstance(variants, ArtistIndex) else variants)
     rest = sigs.join(exact.select("sig").distinct(), "sig", "left_anti")
     fuzzy = pair_matches(trigram_votes(rest, variants), rest, threshold)
     return exact.withColumn("exact", F.lit(True)).unionByName(fuzzy.withColumn("exact", F.lit(False)))
@@ -212,10 +228,12 @@ def compatible(rows: DataFrame, t: DataFrame, m: DataFrame) -> DataFrame:
 def exact_title_rows(t: DataFrame, m: DataFrame, threshold: float) -> DataFrame:
     """MATCHED of keys with a title variant in common whose artists match, whatever their versions.
 
-    Artists are held against each other in the blocks of a title variant; titles fan them out afterwards.
+    Artists are held against each other in the blocks of a title; titles fan them out afterwards. A title's variants go with
+    and without spaces, so those that share one share it without spaces too, and no others do.
     """
     t = t.where(F.size("artist") > 0)
-    entries = lambda df: df.select(F.explode("title").alias("block"), "who", "what")
+    squeezed = F.array_distinct(F.transform("title", lambda v: F.replace(v, F.lit(" "), F.lit(""))))
+    entries = lambda df: df.select(F.explode(squeezed).alias("block"), "who", "what")
     lists = lambda df: entries(df).select("block", F.col("who").alias("id")).distinct().join(_lists(df, "who", "artist"), "id")
     met = alike_in_blocks(lists(t), lists(m), threshold).withColumnsRenamed({"left": "t_who", "right": "m_who"})
     for side, df in (("t", t), ("m", m)):
@@ -252,9 +270,9 @@ def artist_path(t: DataFrame, m: DataFrame, sk: DataFrame, accepted: DataFrame,
     return compatible(materialize(artist_rows(t, m, sk, accepted, threshold, most)), t, m)
 
 
-def match_keys(t: DataFrame, m: DataFrame, sk: DataFrame, threshold: float, most: int | None = MAX_FUZZY_SONGS) -> DataFrame:
+def match_keys(t: DataFrame, m: DataFrame, sk: DataFrame, threshold: float, most: int | None = MAX_FUZZY_SONGS, index: ArtistIndex | None = None) -> DataFrame:
     """(tkey, mkey, map_id): matched keys; map_id is null for all songs of the key, else one song of it."""
-    accepted = materialize(accepted_of(t, m, threshold))
+    accepted = materialize(accepted_of(t, m, threshold, index))
     by_title = exact_title_rows(t, m, threshold).withColumn("map_id", F.lit(None).cast("bigint"))
     rows = materialize(by_title.unionByName(artist_rows(t, m, sk, accepted, threshold, most)))
     return as_keys(compatible(rows, t, m))
@@ -265,10 +283,10 @@ def as_keys(matched: DataFrame) -> DataFrame:
     return matched.select(_key("t_who", "t_what").alias("tkey"), _key("m_who", "m_what").alias("mkey"), "map_id")
 
 
-def accepted_of(t: DataFrame, m: DataFrame, threshold: float) -> DataFrame:
+def accepted_of(t: DataFrame, m: DataFrame, threshold: float, index: ArtistIndex | None = None) -> DataFrame:
     """(who, variant, exact): the accepted artists of distinct keys."""
     whos = t.where(F.size("artist") > 0).select("who", signature(F.col("artist")).alias("sig")).distinct()
-    return accepted_artists(signatures(t), artist_variants(m), threshold).join(whos, "sig").select("who", "variant", "exact")
+    return accepted_artists(signatures(t), index or artist_variants(m), threshold).join(whos, "sig").select("who", "variant", "exact")
 
 
 def match_tracks(tracks: DataFrame, songs: DataFrame, threshold: float = THRESHOLD, most: int | None = MAX_FUZZY_SONGS) -> DataFrame:
@@ -281,11 +299,12 @@ def match_tracks(tracks: DataFrame, songs: DataFrame, threshold: float = THRESHO
 
 def match_keyed(tk: DataFrame, sk: DataFrame, threshold: float = THRESHOLD, most: int | None = MAX_FUZZY_SONGS) -> DataFrame:
     """``match_tracks`` on keys."""
-    return _match(materialize(tk), materialize(sk), threshold, most).select(F.col("id").alias("track_id"), "map_id")
+    return _match(tk, materialize(sk), threshold, most).select(F.col("id").alias("track_id"), "map_id")
 
 
 def _match(tk: DataFrame, sk: DataFrame, threshold: float, most: int | None = MAX_FUZZY_SONGS) -> DataFrame:
-    t, m = distinct_keys(tk, "tkey"), distinct_keys(sk, "mkey")
+    """``fanned_out`` matches; ``tk`` is read twice, for its distinct keys and for its ids."""
+    t, m = materialize(distinct_keys(tk, "tkey")), materialize(distinct_keys(sk, "mkey"))
     found = materialize(match_keys(t, m, sk, threshold, most))
     return fanned_out(found, tk, sk)
 
@@ -321,8 +340,29 @@ def score_matches(tracks: DataFrame, songs: DataFrame, threshold: float = THRESH
 
 
 def match_one(track: DataFrame, songs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The matches of one track: the same job on one row."""
-    return match_tracks(track.limit(1), songs, threshold)
+    """The matches of one track: the same job on one row. ``match_indexed`` reads keys that are kept instead of songs."""
+    return match_tracks(materialize(track.limit(1)), songs, threshold)
+
+
+# ---- a kept index ----
+
+#: What each table of the index is dealt out by.
+INDEX_KEYS = {"match_songs": "mkey", "match_keys": None, "match_variants": "variant", "match_postings": "trigram", "match_frequency": "trigram"}
+
+
+def match_index(songs: DataFrame) -> dict[str, DataFrame]:
+    """The tables that matching reads of songs, to be kept with the version of the songs: keys, artist variants and their trigrams."""
+    sk = materialize(song_keys(songs))
+    index = artist_index(artist_variants(sk))
+    return {"match_songs": sk, "match_keys": distinct_keys(sk, "mkey"), "match_variants": index.variants, "match_postings": index.postings, "match_frequency": index.frequency}
+
+
+def match_indexed(tracks: DataFrame, kept: Mapping[str, DataFrame], threshold: float = THRESHOLD, most: int | None = MAX_FUZZY_SONGS) -> DataFrame:
+    """``match_tracks`` with the tables of ``match_index``: only the tracks are keyed, and no text of a song is read."""
+    index = ArtistIndex(kept["match_variants"], kept["match_postings"], kept["match_frequency"])
+    tk, sk = materialize(track_keys(tracks)), kept["match_songs"]
+    found = materialize(match_keys(distinct_keys(tk, "tkey"), kept["match_keys"], sk, threshold, most, index))
+    return fanned_out(found, tk, sk).select(F.col("id").alias("track_id"), "map_id")
 
 
 def explain_pairs(tracks: DataFrame, songs: DataFrame, pairs: DataFrame, least: float = 0.5) -> DataFrame:

@@ -14,9 +14,10 @@ from linkwright.plans import linkage_sql as L
 from linkwright.operators import catalog as cat
 from linkwright.operators import linkage as link
 from linkwright.operators import results as res
+from linkwright.operators import search_index
 from linkwright.operators.catalog import Filters, Query
 from linkwright.plans.fixtures import SCRAPED, TAGS, view, with_views
-from linkwright.sources import library, sinks, snapshots
+from linkwright.sources import library, sinks, snapshots, store
 from linkwright.storage import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,6 +238,23 @@ query("f14_result_search", "SELECT DISTINCT id FROM scored JOIN tracks ON id = t
 )
 query("f15_min_rating", "SELECT track_id, scored.map_id, score FROM scored JOIN songs ON scored.map_id = songs.map_id WHERE rating >= 80 / 100.0e0")(lambda spark, d: res.prune_by_rating(scored(spark, d), songs(spark, d), 80))
 
+
+
+def _searched(spark, d, rows, id_col, columns, search):
+    """A search with postings that were written before."""
+    at = _out(spark, "postings")
+    store.publish(spark, at, {"postings": search_index.search_postings(rows, id_col, columns)}, {"postings": "trigram"})
+    return search_index.indexed_search(rows, store.read(spark, at)["postings"], search, id_col, columns)
+
+
+query("f01_indexed_search", f"SELECT map_id, song_name FROM songs WHERE {FILTERS['f01_text_search'][1]}")(lambda spark, d: _searched(spark, d, songs(spark, d), "map_id", cat.SEARCHED, " Red_Widget ").select("map_id", "song_name"))
+query("f13_indexed_search", f"SELECT id, title FROM tracks WHERE {_LIB}")(lambda spark, d: _searched(spark, d, tracks(spark, d), "id", cat.LIBRARY_SEARCHED, " RING ").select("id", "title"))
+query("f08_characteristic_and_notes", "SELECT map_id, song_name FROM songs WHERE EXISTS (FROM difficulties WHERE song_map_id = map_id AND characteristic IN (1, 2) AND notes >= 960)")(
+    lambda spark, d: cat.catalog_filter(songs(spark, d), difficulties(spark, d), Filters(characteristics=(1, 2), min_notes=960)).select("map_id", "song_name")
+)
+query("f11_mods_of_hard_ones", "SELECT map_id, song_name FROM songs WHERE EXISTS (FROM difficulties WHERE song_map_id = map_id AND mods & 1 > 0 AND difficulty = 4 AND stars_ss >= 8)")(
+    lambda spark, d: cat.catalog_filter(songs(spark, d), difficulties(spark, d), Filters(mods=1, difficulties=(4,), stars_min=8.0)).select("map_id", "song_name")
+)
 # ---- joins, aggregates and orders of the catalog ----
 
 query("j02_max_stars", "SELECT map_id, max(stars_ss) AS stars FROM songs LEFT JOIN difficulties ON song_map_id = map_id GROUP BY 1")(lambda spark, d: cat.with_stars(songs(spark, d), difficulties(spark, d)).select("map_id", "stars"))
@@ -627,6 +645,15 @@ query("k08_score_matches", _SCORED + " SELECT track_id, map_id, round(score, 9)
 query("k10_match_one", _found_sql("found") + " WHERE track_id = (SELECT min(id) FROM tracks)")(
     lambda spark, d: link.match_one(tracks(spark, d).orderBy("id"), songs(spark, d))
 )
+@query("k10_on_kept_index", _found_sql("found") + " WHERE track_id = (SELECT min(id) FROM tracks)")
+def k10_on_kept_index(spark, d):
+    """One track against keys that are kept with the songs."""
+    at = _out(spark, "catalog")
+    kept = link.match_index(songs(spark, d))
+    sinks.write_catalog(songs(spark, d), difficulties(spark, d), snapshots.snapshot_meta(nested(spark, d)), at, more=kept, keys=link.INDEX_KEYS)
+    return link.match_indexed(tracks(spark, d).orderBy("id").limit(1), sinks.read_catalog(spark, at))
+
+
 query("k11_exact_artist_signatures", f"WITH {L.DISTINCT} SELECT DISTINCT sig FROM exact")(lambda spark, d: link.exact_artist_signatures(tracks(spark, d), songs(spark, d)))
 _TERMS = ["red widget", "small ring", "no such title"]
 query("j10_search_titles", L.searched(_TERMS, 0.8, 5))(

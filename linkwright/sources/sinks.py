@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +13,14 @@ BUCKETS = 16
 CATALOG_KEYS = {"songs": "map_id", "difficulties": "song_map_id"}
 
 
-def write_catalog(songs: DataFrame, difficulties: DataFrame, meta: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
-    """Replace the catalog by one version of all three tables, dealt out by song; one row with the written counts."""
+def write_catalog(songs: DataFrame, difficulties: DataFrame, meta: DataFrame, path: str, buckets: int = BUCKETS, more: Mapping[str, DataFrame] | None = None, keys: Mapping[str, str] | None = None) -> DataFrame:
+    """Replace the catalog by one version of all three tables, dealt out by song; one row with the written counts.
+
+    ``more`` are tables made of the songs that are kept with them, as an index, dealt out by ``keys``.
+    """
     spark = songs.sparkSession
-    store.publish(spark, path, {"songs": songs, "difficulties": difficulties, "meta": meta}, CATALOG_KEYS, buckets)
+    tables = {"songs": songs, "difficulties": difficulties, "meta": meta, **(more or {})}
+    store.publish(spark, path, tables, CATALOG_KEYS | {k: v for k, v in (keys or {}).items() if v}, buckets)
     return store.counts(spark, path, "songs", "difficulties")
 
 

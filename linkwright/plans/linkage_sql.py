@@ -8,6 +8,7 @@ from __future__ import annotations
 from linkwright.functions import textkeys as T
 
 _LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+# The values of textkeys' expressions, as SQL text (fixed values).
 _MAPPED = "(?:beatmapp?e?d?|mapp?e?d?|charte?d?|edit(?:ed)?|remapp?e?d?)\\s+by\\b"
 _SOFT = "(?i)\\s+(?:feat\\.?|ft\\.?|featuring|vs\\.?|x|×|&|\\+|and|with|w/)\\s+|\\s*,\\s*"
 
@@ -48,14 +49,18 @@ cuts AS (SELECT text, list_prepend(whole, flatten(list_transform(string_split_re
 credits AS (SELECT text, {ordered(f"list_filter(list_transform(parts, lambda p: trim(p)), lambda p: p <> '' AND NOT regexp_matches(p, '(?i)^{_MAPPED}'))")} AS credit FROM cuts),
 keys AS (SELECT text, credit, {ordered(f"flatten(list_transform(credit, lambda p: {field_variants('p')}))")} AS artist, {field_variants('text')} AS title, {remix_tags('text')} AS tags FROM credits)"""
 
-#: sk(map_id, artist, title, tags) and tk(id, artist, title, tags).
-SIDES = f"""{KEYS},
+#: tk(id, artist, title, tags).
+TRACK_SIDE = f"""{KEYS},
+tk AS (SELECT id, coalesce(a.artist, []) AS artist, coalesce(n.title, []) AS title, coalesce(n.tags, []) AS tags
+  FROM tracks LEFT JOIN keys a ON a.text = tracks.artist LEFT JOIN keys n ON n.text = tracks.title)"""
+
+#: tk and sk(map_id, artist, title, tags).
+SIDES = f"""{TRACK_SIDE},
 dashed AS (SELECT map_id, song_author, level_author, song_name, position(' - ' IN song_name) AS dash FROM songs),
 sk AS (SELECT map_id, {ordered("list_concat(list_concat(coalesce(a.artist, []), coalesce(l.artist, [])), coalesce(c.artist, []))")} AS artist,
   {ordered("list_concat(coalesce(n.title, []), coalesce(r.title, []))")} AS title, coalesce(n.tags, []) AS tags
   FROM dashed LEFT JOIN keys a ON a.text = song_author LEFT JOIN keys l ON l.text = level_author LEFT JOIN keys n ON n.text = song_name
-  LEFT JOIN keys c ON dash > 1 AND c.text = substr(song_name, 1, dash - 1) LEFT JOIN keys r ON dash > 1 AND r.text = substr(song_name, dash + 3)),
-tk AS (SELECT id, coalesce(a.artist, []) AS artist, coalesce(n.title, []) AS title, coalesce(n.tags, []) AS tags FROM tracks LEFT JOIN keys a ON a.text = tracks.artist LEFT JOIN keys n ON n.text = tracks.title)"""
+  LEFT JOIN keys c ON dash > 1 AND c.text = substr(song_name, 1, dash - 1) LEFT JOIN keys r ON dash > 1 AND r.text = substr(song_name, dash + 3))"""
 
 
 def significant(a: str, b: str) -> str:

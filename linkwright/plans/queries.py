@@ -417,7 +417,7 @@ query("n08_remix_tags", "SELECT DISTINCT song_name AS text, CASE WHEN contains(s
 query("n09_field_variants", _texts_sql("array_to_string(title, '|') AS variants"))(lambda spark, d: _texts(spark, d).select("text", F.array_join("title", "|").alias("variants")))
 query("n10_artist_variants", _texts_sql("array_to_string(artist, '|') AS variants"))(lambda spark, d: _texts(spark, d).select("text", F.array_join("artist", "|").alias("variants")))
 query("n11_song_keys", f"WITH {L.SIDES} SELECT map_id, array_to_string(artist, '|') AS artist, array_to_string(title, '|') AS title, array_to_string(tags, '|') AS tags FROM sk")(lambda spark, d: keys_of_songs(spark, d).select("map_id", F.array_join("artist", "|").alias("artist"), F.array_join("title", "|").alias("title"), F.array_join("tags", "|").alias("tags")))
-query("n12_track_keys", f"WITH {L.SIDES} SELECT id, array_to_string(artist, '|') AS artist, array_to_string(title, '|') AS title, array_to_string(tags, '|') AS tags FROM tk")(lambda spark, d: keys_of_tracks(spark, d).select("id", F.array_join("artist", "|").alias("artist"), F.array_join("title", "|").alias("title"), F.array_join("tags", "|").alias("tags")))
+query("n12_track_keys", f"WITH {L.TRACK_SIDE} SELECT id, array_to_string(artist, '|') AS artist, array_to_string(title, '|') AS title, array_to_string(tags, '|') AS tags FROM tk")(lambda spark, d: keys_of_tracks(spark, d).select("id", F.array_join("artist", "|").alias("artist"), F.array_join("title", "|").alias("title"), F.array_join("tags", "|").alias("tags")))
 _TRI = "CASE WHEN length(s) < 3 THEN [s] ELSE list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3)) END"
 query("n13_trigrams", f"SELECT doc_id, array_to_string({_TRI}, '|') AS trigrams FROM {_DUP}")(lambda spark, d: sentences(spark, d).select("doc_id", F.array_join(T.trigrams(F.col("s")), "|").alias("trigrams")))
 query("n14_unique_trigrams", f"SELECT doc_id, CASE WHEN length(s) < 3 THEN 0 ELSE len(list_distinct({_TRI})) END AS n FROM {_DUP}")(lambda spark, d: sentences(spark, d).select("doc_id", F.size(T.unique_trigrams(F.col("s"))).alias("n")))
@@ -737,6 +737,21 @@ for _key, _col in [("bpm", "bpm"), ("duration", "duration"), ("upload_time", "up
         query(f"l04_sort_{_key}_{_way}", f"SELECT track_id, scored.map_id, row_number() OVER (PARTITION BY track_id ORDER BY {_col} {_way}, scored.map_id) AS position FROM scored JOIN songs ON songs.map_id = scored.map_id")(
             lambda spark, d, k=_key, up=_up: res.sort_matches(res.hydrate(scored(spark, d), tracks(spark, d), songs(spark, d)), k, up).select("track_id", "map_id", "position")
         )
+# Text keys in locale order, which DuckDB takes from a library of its own.
+for _key in res.MATCH_SORTS[:3]:
+    for _way, _up in (("asc", True), ("desc", False)):
+        query(
+            f"l04_sort_{_key}_{_way}",
+            f"SELECT track_id, scored.map_id, row_number() OVER (PARTITION BY track_id ORDER BY {_key} COLLATE en {_way}, scored.map_id) AS position "
+            "FROM scored JOIN songs ON songs.map_id = scored.map_id",
+        )(lambda spark, d, k=_key, up=_up: res.sort_matches(res.hydrate(scored(spark, d), tracks(spark, d), songs(spark, d)), k, up).select("track_id", "map_id", "position"))
+query(
+    "l05_page_in_locale_order",
+    f"SELECT group_artist, group_title, row_number() OVER (ORDER BY first[1] COLLATE en, first[2] COLLATE en, first[3]) - 1001 AS position FROM {_GROUPED} ORDER BY position LIMIT 500 OFFSET 1000",
+)(lambda spark, d: in_order(res.result_page(res.track_groups(scored(spark, d), tracks(spark, d)), 3, 500)).select("group_artist", "group_title", "position"))
+query("p14_coverage_text", "SELECT printf('%.1f', floor(count(DISTINCT (lower(artist), lower(title))) FILTER (id IN (SELECT track_id FROM scored)) / count(DISTINCT (lower(artist), lower(title)))::DOUBLE * 1000 + 0.5) / 10) AS percent FROM tracks")(
+    lambda spark, d: res.coverage(scored(spark, d), tracks(spark, d)).select(C.percent_text(F.col("matched_groups") / F.col("groups"), 1).alias("percent"))
+)
 query("l05_result_page","SELECT group_artist, group_title FROM (SELECT lower(artist) AS group_artist, lower(title) AS group_title, arg_min(id, (artist, title, id)) AS pid, min(artist) AS a FROM tracks WHERE id IN (SELECT track_id FROM scored) AND NOT regexp_matches(artist || title, '[^a-z ]') GROUP BY 1, 2) ORDER BY group_artist, group_title, pid LIMIT 20 OFFSET 20")(
     lambda spark, d: res.result_page(res.track_groups(scored(spark, d), tracks(spark, d).where(~F.concat("artist", "title").rlike("[^a-z ]"))), 2, 20).select("group_artist", "group_title")
 )

@@ -1,11 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A text's words and clause ends become symbols: insult (with a weight), threat, target, negation, reporting
-verb, other, end. Five small transducers each mark or rewrite symbols: negation marks what follows within its
-reach, reported speech marks what follows in the clause, address marks the whole clause of a word that
-addresses somebody (it guesses at the start of a clause, and a wrong guess dies at the end), matching turns
+verb, modal verb, third person, other, end. Small transducers each mark or rewrite symbols: a target that a modal
+verb follows is a subject, negation marks what follows within its reach, reported speech and a third person's doings mark
+what follows in the clause, address marks the whole clause of a word that names somebody, and object that of
+one who may be acted upon (these guess at the start of a clause, and a wrong guess dies at the end), matching turns
 insults and threats into patterns, and the last one tells the first loose insult of a text from further ones.
-They are composed once into one machine, which reads a text from end to end.
+They are composed once into one machine, which reads a text from end to end. A threat needs an object, and isn't one where
+a third person acts: "you can destroy the object" and "they murder him" threaten nobody.
 
 A document's score comes from its patterns, whose weights are fitted by logistic regression on labelled rows and are never
 negative. A lone insult that addresses nobody, and insults that are negated or reported, are held below LONE however
@@ -52,7 +54,9 @@ REACH = 3
 MAX_WORDS = 500_000
 
 # Fixed values.
-TARGETS = "you your yours u he she they them him her du dich dir ihr euch sie er tu te toi vous il elle ils elles usted ustedes tú ti él ella ellos ellas"
+TARGETS = "you your yours u them him her du dich dir ihr euch sie tu te toi vous usted ustedes tú ti"
+THIRD = "he she they er il elle ils elles él ella ellos ellas"
+MODALS = "can could may might must should would will shall cannot kannst könnt könntest darfst dürft sollst musst peux pouvez devez puedes puede pueden debes"
 NEGATIONS = "not no never none nobody without isnt arent dont nicht kein keine keinen nie niemals ohne pas jamais aucun aucune sans ni nunca jamás sin ningún ninguna"
 REPORTS = "said says say saying told wrote writes called calls claimed claims quoted quotes sagte sagt schrieb schreibt nannte behauptet dit disait écrit écrivait appelé dijo dice escribió llamó"
 THREATS = "kill hurt destroy shoot stab strangle murder töten umbringen verletzen erschießen tuer blesser détruire égorger matar herir destruir apuñalar"
@@ -62,7 +66,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[.,;:!?|\n]+")
 
 #: What the machine reads, and the marks that symbols carry from one transducer to the next.
-KINDS = ("insult", "threat", "target", "negation", "report", "other", "end")
+KINDS = ("insult", "threat", "target", "third", "modal", "negation", "report", "other", "end")
 Symbol = tuple[str, frozenset]
 Arc = tuple[int | str | tuple, Symbol | str | None]
 
@@ -91,13 +95,24 @@ def following(kind: str, mark: str, reach: int | None) -> Transducer:
     return Transducer([0], arcs)
 
 
-def around(kind: str, mark: str) -> Transducer:
-    """Marks all symbols of a clause that has one of this kind: the states say none, one to come, one seen."""
+def subjects() -> Transducer:
+    """A target that a modal verb follows at once becomes a subject: the state says what the next symbol has to be."""
+
+    def arcs(state: str, s: Symbol) -> list[Arc]:
+        if state != "any" and (s[0] == "modal") != (state == "modal"):
+            return []
+        return [("modal", ("subject", s[1])), ("other", s)] if s[0] == "target" else [("any", s)]
+
+    return Transducer(["any"], arcs, lambda state: state != "modal")
+
+
+def around(kinds: tuple[str, ...], mark: str) -> Transducer:
+    """Marks all symbols of a clause that has one of these kinds: the states say none, one to come, one seen."""
 
     def arcs(state: str, s: Symbol) -> list[Arc]:
         if s[0] == "end":
             return [] if state == "to come" else [("none", s), ("to come", s)]
-        if s[0] == kind:
+        if s[0] in kinds:
             return [] if state == "none" else [("seen", s)]
         return [(state, marked(s, mark, state != "none"))]
 
@@ -105,13 +120,13 @@ def around(kind: str, mark: str) -> Transducer:
 
 
 def matching() -> Transducer:
-    """Insults and threats become patterns; a threat needs somebody whom the clause addresses."""
+    """Insults and threats become patterns; a threat needs an object in its clause."""
 
     def arcs(state: int, s: Symbol) -> list[Arc]:
         kind, marks = s
         if kind == "insult":
             return [(0, next((p for p, m in (("reported", "reported"), ("negated", "negated"), ("targeted", "addressed")) if m in marks), "insult"))]
-        return [(0, "threat" if kind == "threat" and marks == {"addressed"} else None)]
+        return [(0, "threat" if kind == "threat" and "object" in marks and not marks & {"negated", "reported", "narrated"} else None)]
 
     return Transducer([0], arcs)
 
@@ -138,8 +153,17 @@ def composed(parts: list[Transducer]) -> tuple[list[int], dict[tuple[int, str],
     return starts, arcs, {k for states, k in number.items() if all(t.final(x) for t, x in zip(parts, states))}
 
 
-STARTS, ARCS, FINAL = composed([following("negation", "negated", REACH), following("report", "reported", None), around("target", "addressed"), matching(), piling()])
-FIXED = {w: kind for kind, words in (("threat", THREATS), ("report", REPORTS), ("negation", NEGATIONS), ("target", TARGETS)) for w in words.split()}
+STARTS, ARCS, FINAL = composed([
+    subjects(),
+    following("negation", "negated", REACH),
+    following("report", "reported", None),
+    following("third", "narrated", None),
+    around(("target", "third", "subject"), "addressed"),
+    around(("target",), "object"),
+    matching(),
+    piling(),
+])
+FIXED = {w: kind for kind, words in (("threat", THREATS), ("report", REPORTS), ("negation", NEGATIONS), ("modal", MODALS), ("third", THIRD), ("target", TARGETS)) for w in words.split()}
 
 
 def features_of(word: str) -> list[str]:

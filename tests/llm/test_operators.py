@@ -332,6 +332,9 @@ def test_threats_before_and_after_their_target(spark):
         assert names(text) == [["threat"]], text
     assert names("blarg that you are") == [["targeted"]] and names("kill the lights") == [] and names("kill the lights, you") == []
     assert names("i will not kill you") == [] and names("she said i will kill you") == []
+    # who acts is no object, and what third persons do is told
+    assert names("you can destroy the object and kill the process in one step") == [] and names("they murder him in chapter two of the novel") == []
+    assert names("you can run but i will kill you") == [["threat"]] and names("they are blarg") == [["targeted"]] and names("you can be a blarg") == [["targeted"]]
     plain = ["the river and the green table walk over an open door " * 3 + str(i) for i in range(60)]
     docs = documents(spark, [t + (". you are a blarg" if i % 5 == 0 else "") for i, t in enumerate(plain)] + ["i will kill you", plain[1] + ". kill him"])
     lab = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(60)], "doc_id long, toxic int")
@@ -349,18 +352,19 @@ def brute_patterns(kinds):
         for i, k in enumerate(c):
             # a reach counts from its last negation
             last = max((j for j in range(i) if c[j] == "negation"), default=-10)
-            negated, reported, addressed = i - last <= toxicity.REACH, "report" in c[:i], "target" in c
+            negated, reported, addressed = i - last <= toxicity.REACH, "report" in c[:i], "target" in c or "third" in c
+            acted_on = any(x == "target" and y != "modal" for x, y in zip(c, [*c[1:], "end"]))
             if k == "insult":
                 name = "reported" if reported else "negated" if negated else "targeted" if addressed else "again" if any_insult else "insult"
                 any_insult |= name in ("insult", "targeted")
                 out.append(name)
-            elif k == "threat" and addressed and not negated and not reported:
+            elif k == "threat" and acted_on and not negated and not reported and "third" not in c[:i]:
                 out.append("threat")
     return out
 
 
 def test_machine_agrees_with_its_rules():
-    word = {"insult": "blarg", "threat": "kill", "target": "you", "negation": "not", "report": "said", "other": "tree", "end": "."}
+    word = {"insult": "blarg", "threat": "kill", "target": "you", "third": "they", "modal": "can", "negation": "not", "report": "said", "other": "tree", "end": "."}
     g, rng = toxicity.Grammar({"blarg": 6.0}), random.Random(11)
     for _ in range(3000):
         kinds = [rng.choice(toxicity.KINDS) for _ in range(rng.randrange(14))]

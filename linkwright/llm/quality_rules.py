@@ -167,8 +167,23 @@ def path_of(lost: dict[Step, int], caught: dict[Step, int]) -> list[Step]:
         out.append((s, CUTOFFS[s][k]))
 
 
+def least_texts(most: float, level: float) -> int:
+    """The good holdout texts without which not even a rule that rejects none of them is certified."""
+    return math.ceil(math.log(level) / math.log1p(-most))
+
+
 def choose_cutoffs(measured: DataFrame, labels: DataFrame, max_false: float = 0.02, delta: float = 0.05, id_col: str = "doc_id", label_col: str = "quality") -> dict[tuple[int, str], float]:
-    """Cutoffs by stratum and signal. What comes to the driver is a count for each grid cell: its size is fixed."""
+    """Cutoffs by stratum and signal."""
+    return certify(measured, labels, max_false, delta, id_col, label_col)[0]
+
+
+def certify(
+    measured: DataFrame, labels: DataFrame, max_false: float = 0.02, delta: float = 0.05, id_col: str = "doc_id", label_col: str = "quality"
+) -> tuple[dict[tuple[int, str], float], dict[int, str]]:
+    """Cutoffs by stratum and signal, and for each stratum what its certificate is or why it has none.
+
+    What comes to the driver is a count for each grid cell: its size is fixed.
+    """
     texts = materialize(labelled_texts(measured, labels, id_col, label_col).withColumn("stratum", stratum()))
     cells = {(s, c): F.sum((v > c).cast("long")) for s, v in signals().items() for c in CUTOFFS[s]}
     found = texts.where("tuning").groupBy("stratum", "good").agg(*(v.alias(f"c{k}") for k, v in enumerate(cells.values()))).collect()
@@ -176,27 +191,33 @@ def choose_cutoffs(measured: DataFrame, labels: DataFrame, max_false: float = 0.
     none = dict.fromkeys(cells, 0)
     paths = {band: path_of(counted.get((band, 1), none), counted.get((band, 0), none)) for band in range(len(BANDS))}
     steps = [F.when((F.col("stratum") == band) & (signals()[s] > c), F.lit(k)) for band, path in paths.items() for k, (s, c) in enumerate(path)]
-    if not steps:
-        return {}
     # the step from which on a text is rejected
-    tested = texts.where("NOT tuning AND good = 1").groupBy("stratum", F.array_min(F.array(*steps)).alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
-    out = {}
+    step_of = F.array_min(F.array(*steps)) if steps else F.lit(None).cast("int")
+    tested = texts.where("NOT tuning AND good = 1").groupBy("stratum", step_of.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
+    out, why = {}, {}
+    least = least_texts(max_false, delta / len(BANDS))
     for band, path in paths.items():
         n = sum(r["n"] for r in tested if r["stratum"] == band)
+        why[band] = f"none: {n} of {least} good holdout texts" if n < least else "none: no setting is worth its losses" if not path else "none: the first setting rejects too many"
         for k, (s, c) in enumerate(path):
             rejected = sum(r["n"] for r in tested if r["stratum"] == band and r["step"] is not None and r["step"] <= k)
             if not certified(rejected, n, max_false, delta / len(BANDS)):
                 break
             out[band, s] = c
-    return out
+            why[band] = f"false rejections at most {max_false:g}, from {n} good holdout texts"
+    return out, why
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, max_false: float = 0.02, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, COUNTS, text_hash, stratum, base_failed, kept and failed_rules of every document."""
+    """doc_id, COUNTS, text_hash, stratum, base_failed, kept, failed_rules and certificate of every document.
+
+    A stratum without enough good holdout texts has no certified rule, and ``certificate`` says so: the base rules decide alone there.
+    """
     measured = materialize(measure(docs, id_col, text_col))
-    cutoffs = choose_cutoffs(measured, labels, max_false, delta)
+    cutoffs, why = certify(measured, labels, max_false, delta)
     s = signals()
     hits = [F.when((stratum() == band) & (s[name] > c), F.lit(name)) for (band, name), c in cutoffs.items()]
     failed = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
     out = measured.withColumn("stratum", stratum()).withColumn("base_failed", base_failed()).withColumn("failed_rules", failed)
+    out = out.withColumn("certificate", F.create_map(*(F.lit(x) for pair in why.items() for x in pair))[F.col("stratum")])
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))

@@ -233,7 +233,8 @@ def test_binomial_bounds(spark):
     docs = documents(spark, [f"{good} {i} {'x' * (i % 7)} y{i * i}" if i % 2 else bad + str(i) for i in range(n)]).withColumn("text", F.col("text"))
     measured = quality_rules.measure(docs).withColumn("n_repeat_words", F.lit(0).cast("long"))
     lab = spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, quality int")
-    cut = quality_rules.choose_cutoffs(measured, lab)
+    cut, why = quality_rules.certify(measured, lab)
+    assert {b for b, w in why.items() if not w.startswith("none")} == {b for b, _ in cut} and len(why) == len(quality_rules.BANDS)
     assert (1, "symbol_rate") in cut and 0 < cut[1, "symbol_rate"] < 1
 
 
@@ -300,6 +301,16 @@ def test_cutoffs_by_brute_force(spark):
     assert sum(not r.kept for r in out if not r.quality) > 100 and sum(not r.kept for r in out if r.quality) <= 0.05 * sum(r.quality for r in out)
 
 
+def test_a_certificate_says_why_there_is_none(spark):
+    least = quality_rules.least_texts(0.02, 0.05 / len(quality_rules.BANDS))
+    assert quality_rules.certified(0, least, 0.02, 0.05 / len(quality_rules.BANDS)) and not quality_rules.certified(0, least - 1, 0.02, 0.05 / len(quality_rules.BANDS))
+    docs = documents(spark, ["word " + " ".join(f"w{k}x{i}" for k in range(30)) for i in range(8)])
+    lab = spark.createDataFrame([(i, 1) for i in range(8)], "doc_id long, quality int")
+    for labels in (lab, lab.where("false")):
+        got = quality_rules.quality_rules(docs, labels).collect()
+        assert all(r.kept and r.certificate.startswith("none: ") and f"of {least} good" in r.certificate for r in got)
+
+
 # ---- 4: toxicity ----
 
 

@@ -10,7 +10,8 @@ Two tokens may stand side by side if undoing their merges, latest first, never s
 border that would have been merged earlier.
 
 Defined results: null text counts as empty and gives no ids; each row gives one row, repeated ones too; a
-null doc_id is kept; other columns are ignored. Special tokens in a text become their own ids.
+null doc_id is kept; a very long text is a chunk of its own; nothing can tie; an empty table gives no rows; other
+columns are ignored. Special tokens in a text become their own ids.
 """
 
 from __future__ import annotations

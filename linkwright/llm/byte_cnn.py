@@ -14,7 +14,7 @@ any length are scored whole.
 Defined results: null text counts as empty and is scored like any other; each row gives one row; labels
 that are null, of null doc_ids or of unknown documents are not used, and of several labels of a doc_id the
 largest is; a labelled doc_id that several rows have counts once, with its least text; without labels of both
-kinds each score is one half. Other columns are ignored.
+kinds each score is one half; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ that very many rows share costs a row for each task; rows look their names up by
 should two values of a bucket agree in that one too, the job stops instead of giving both one name.
 
 Defined results: null text counts as empty; a null doc_id ranks below every other; rows that agree
-in doc_id and text are the same document and all carry the same result; other columns are ignored.
+in doc_id and text are the same document and all carry the same result; a very long text is many blocks, each a row
+of its own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -18,7 +18,9 @@ together against all pairs.
 
 Defined results: null and empty texts, and texts without words, have no links and are classes of their own;
 texts of fewer than five words have one token, all their words; each row gives one row and counts for the
-links of the others; a null doc_id is kept, and a class without any doc_id has a null class_id; of rows with equal doc_ids and different texts, each is a document. Other columns
+links of the others; a null doc_id is kept, and a class without any doc_id has a null class_id; of rows with equal doc_ids and different texts, each is a document; of
+class ids the least doc_id is taken; very long texts are read whole, and their sets are bounded by BLOCK_BYTES in a block; an empty
+table gives no rows. Other columns
 are ignored.
 """
 

@@ -19,8 +19,8 @@ out as a table at a time. All rows are scored whole. Evidence is an array of one
 Defined results: a null text, and one of fewer than three bytes, has no text evidence; null labels are not learned
 from; missing declarations, suffixes and hosts are no evidence; unknown declared languages are one value; a row without
 a trigram of letters and without other evidence is undetermined and rejected; of languages that tie, the first in alphabetical order wins, and the
-undetermined one last; each row gives one row, equal rows equal ones; without labelled rows all are undetermined.
-Other columns are ignored.
+undetermined one last; each row gives one row, equal rows equal ones; without labelled rows all are undetermined;
+a very long text is read whole; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ occurrences are removed. Windows overlap, so the positions that they cover are m
 
 Defined results: null text counts as empty; documents of fewer than three lines, and windows of three empty
 lines, are left alone; a null doc_id comes first; rows that agree in doc_id and text are one document and
-each get its result; other columns are ignored.
+each get its result; texts may have any number of lines, which are rows of their own; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ cycle, so one cycle's schedule, of q rows, serves every cycle.
 
 Defined results: every row gets a place, whatever its source; sources without a weight, and null ones,
 share ``other_parts``; null doc_ids come first in their source; rows that repeat a doc_id each get a place
-of their own; a source that has run out leaves its slots unused. Only DataFrame functions are used.
+of their own; a source that has run out leaves its slots unused; texts
+are carried and never read; an empty table gives no rows. Only DataFrame functions are used.
 """
 
 from __future__ import annotations

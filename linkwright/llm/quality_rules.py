@@ -16,7 +16,7 @@ base rules; the base rules are fixed by the caller and no part of the bound.
 Defined results: null and empty texts have no words and fail the base rules; each row gives one row;
 labels of null doc_ids, null labels and documents without labels don't count; a doc_id with several labels, and
 a text that several labelled documents have, counts as good if any of them is; a very long text is measured whole;
-other columns are ignored.
+values that tie with a cutoff pass; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -20,7 +20,7 @@ are compared byte by byte.
 Defined results: null text counts as empty; texts shorter than LENGTH are left alone; a null doc_id comes first;
 rows with equal doc_ids and different texts are different documents, in the order of a hash of their texts; rows that
 agree in doc_id and text are one document given again: they don't remove each other, and what is removed is removed in
-each; other columns are ignored.
+each; very long texts are read in segments; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

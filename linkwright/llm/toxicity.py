@@ -21,7 +21,7 @@ negations, reporting verbs and threats are fixed.
 Defined results: null and empty texts score as texts without matches; each row gives one row; labels that
 are null or of null doc_ids are not used, and of several labels of a doc_id the largest is; a labelled doc_id that
 several rows have counts once, with its least text; without labels of both kinds nothing is learned and only threats
-count; a very long text is read whole, a clause at a time. Other columns are ignored.
+count; a very long text is read whole, a clause at a time; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -77,8 +77,8 @@ def non_siblings(t: P.Texts, text: np.ndarray, start: np.ndarray, texts: list[st
     return t.spaced[text] | last | (of[after] != text)
 
 
-def alike_lists(cell: np.ndarray, side: np.ndarray, lists: pa.ListArray, threshold: float, siblings: bool) -> tuple[np.ndarray, np.ndarray, int]:
-    """Rows (left, right) of one cell whose lists match, and how many distinct pairs of texts were compared."""
+def alike_lists(cell: np.ndarray, side: np.ndarray, lists: pa.ListArray, threshold: float, siblings: bool) -> tuple[int, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """How many distinct pairs of texts were compared, and the rows (left, right) of one cell whose lists match, some at a time."""
     values = lists.flatten()
     coded = pc.dictionary_encode(values)
     texts = coded.dictionary.to_pylist()
@@ -94,20 +94,16 @@ def alike_lists(cell: np.ndarray, side: np.ndarray, lists: pa.ListArray, thresho
         keys, where = np.unique(cell[row[own]] * kinds + kind[own], return_inverse=True)
         order = np.argsort(where, kind="stable")
         sides.append((keys, row[own][order], np.concatenate([[0], np.cumsum(np.bincount(where, minlength=len(keys)))])))
-    (lk, l_rows, l_start), (rk, r_rows, r_start) = sides
+    lk, rk = sides[0][0], sides[1][0]
     # each left text with all right texts of its cell
     low, high = np.searchsorted(rk, lk // kinds * kinds), np.searchsorted(rk, (lk // kinds + 1) * kinds)
     n, stops = high - low, np.cumsum(high - low)
     got = []
-    lo, done = 0, 0
-    while lo < len(lk):
-        hi = max(lo + 1, int(np.searchsorted(stops, done + LOAD_PAIRS, "right")))
+    for lo, hi in _runs(stops, LOAD_PAIRS):
         left = np.repeat(np.arange(lo, hi), n[lo:hi])
-        right = np.arange(len(left)) + np.repeat(low[lo:hi] - (stops[lo:hi] - n[lo:hi] - done), n[lo:hi])
-        x, y = lk[left] % kinds // 2, rk[right] % kinds // 2
-        open_ = P.may_match(t, x, y, threshold)
+        right = np.arange(len(left)) + np.repeat(low[lo:hi] - (stops[lo:hi] - n[lo:hi] - (stops[lo] - n[lo])), n[lo:hi])
+        open_ = P.may_match(t, lk[left] % kinds // 2, rk[right] % kinds // 2, threshold)
         got.append((left[open_], right[open_]))
-        lo, done = hi, int(stops[hi - 1])
     left, right = (np.concatenate([*(g[k] for g in got), np.zeros(0, np.int64)]).astype(np.int64) for k in (0, 1))
     a, b = lk[left] % kinds, rk[right] % kinds
     codes, which = np.unique(a // 2 * len(texts) + b // 2, return_inverse=True)
@@ -115,13 +111,34 @@ def alike_lists(cell: np.ndarray, side: np.ndarray, lists: pa.ListArray, thresho
     sure, near, compared = P.alike(t, x, y, threshold)
     hit = sure[which] | near[which] & (a % 2 == 1) & (b % 2 == 1)
     left, right = left[hit], right[hit]
-    # the lists of the left text with the lists of the right one
-    nl, nr = l_start[left + 1] - l_start[left], r_start[right + 1] - r_start[right]
-    each = nl * nr
-    pair = np.repeat(np.arange(len(left)), each)
-    k = np.arange(len(pair)) - np.repeat(np.cumsum(each) - each, each)
-    found = np.unique(l_rows[l_start[left[pair]] + k // np.maximum(nr[pair], 1)] * len(lists) + r_rows[r_start[right[pair]] + k % np.maximum(nr[pair], 1)]) if len(pair) else np.zeros(0, np.int64)
-    return found // max(1, len(lists)), found % max(1, len(lists)), compared
+    return compared, _lists_of(left, right, sides, len(lists))
+
+
+def _lists_of(left: np.ndarray, right: np.ndarray, sides: list[tuple], n_lists: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The lists of each left text with the lists of the right one: each pair once, some left lists at a time."""
+    (_, l_rows, l_start), (_, r_rows, r_start) = sides
+    nl = l_start[left + 1] - l_start[left]
+    hit = np.repeat(np.arange(len(left)), nl)
+    row = l_rows[l_start[left[hit]] + np.arange(len(hit)) - np.repeat(np.cumsum(nl) - nl, nl)]
+    order = np.argsort(row, kind="stable")
+    row, hit = row[order], hit[order]
+    nr = r_start[right[hit] + 1] - r_start[right[hit]]
+    ends = np.flatnonzero(np.diff(row, append=-1))  # where a left list's texts end
+    for lo, hi in _runs(np.cumsum(nr)[ends], LOAD_PAIRS):
+        some = slice(ends[lo - 1] + 1 if lo else 0, ends[hi - 1] + 1)
+        n = nr[some]
+        other = r_rows[np.repeat(r_start[right[hit[some]]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        found = np.unique(np.repeat(row[some], n) * n_lists + other)
+        yield found // n_lists, found % n_lists
+
+
+def _runs(stops: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of items that come to ``most`` together, or are one item; ``stops`` are running sums."""
+    lo, done = 0, 0
+    while lo < len(stops):
+        hi = max(lo + 1, int(np.searchsorted(stops, done + most, "right")))
+        yield lo, hi
+        lo, done = hi, int(stops[hi - 1])
 
 
 def alike_in_blocks(left: DataFrame, right: DataFrame, threshold: float, siblings: bool = False, cell_lists: int = CELL_LISTS) -> DataFrame:
@@ -137,8 +154,8 @@ def alike_in_blocks(left: DataFrame, right: DataFrame, threshold: float, sibling
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_cells(it):
             lists = rows["texts"].combine_chunks()
-            a, b, _ = alike_lists(cells_of(rows), rows["side"].to_numpy(), lists, threshold, siblings)
             ids, blocks = rows["id"].combine_chunks(), rows["block"].combine_chunks()
-            yield pa.RecordBatch.from_arrays([blocks.take(pa.array(a)), ids.take(pa.array(a)), ids.take(pa.array(b))], ["block", "left", "right"])
+            for a, b in alike_lists(cells_of(rows), rows["side"].to_numpy(), lists, threshold, siblings)[1]:
+                yield pa.RecordBatch.from_arrays([blocks.take(pa.array(a)), ids.take(pa.array(a)), ids.take(pa.array(b))], ["block", "left", "right"])
 
     return arrow_map(cells, batches, f"block {kinds['block']}, left {kinds['id']}, right {kinds['id']}")

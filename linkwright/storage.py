@@ -32,7 +32,10 @@ def materialize(df: DataFrame, narrow: bool = False) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more: whatever was made of them is written too."""
+    """Delete written tables that nothing reads any more: whatever was made of them is written too.
+
+    A plan that still reads one of them, if a caller keeps it, fails from then on.
+    """
     for table in tables:
         context = table.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(table._linkwright_at)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from linkwright.functions import pairs as P
 from linkwright.functions import similarity as S
-from linkwright.operators.blocks import alike_in_blocks, alike_lists
+import linkwright.operators.blocks as B
+from linkwright.operators.blocks import alike_in_blocks, alike_lists, dealt
 
 
 def of(score, a, b, *more):
@@ -121,6 +122,13 @@ def test_blocks(spark, cell_lists, siblings):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_a_hot_block_is_dealt_evenly(spark):
+    """Half of all titles being one leaves no cell far above the others."""
+    many = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "intro").otherwise(F.concat(F.lit("t"), F.col("id") % 40)).alias("block"), "id", F.array(F.col("id").cast("string")).alias("texts"))
+    sizes = [r["count"] for r in dealt(many, many, 100).groupBy("block", "part", "chunk").count().collect()]
+    assert len(sizes) == 20 * 20 + 20 and max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
+
+
 def test_few_pairs_are_compared():
     """Of titles of one artist, those compared by letters are at most five times those that match."""
     rng = random.Random(5)
@@ -130,9 +138,19 @@ def test_few_pairs_are_compared():
     tracks = [rng.choice(songs)[: rng.randint(-2, 0) or None] for _ in range(200)]
     lists = pa.array([[s.replace(" ", ""), s] if " " in s else [s] for s in tracks + songs])
     side = np.repeat([0, 1], [200, 400])
-    left, _, compared = alike_lists(np.zeros(600, np.int64), side, lists, 0.85, True)
-    assert 0 < compared <= 5 * len(left)
+    compared, found = alike_lists(np.zeros(600, np.int64), side, lists, 0.85, True)
+    assert 0 < compared <= 5 * sum(len(left) for left, _ in found)
 
 
 def test_siblings():
     assert plain.not_siblings(["thedeal", "the deal", "x"]) == ["the deal", "x"]
+
+
+def test_few_at_a_time(monkeypatch):
+    """Whatever is taken at a time, each pair of lists comes once."""
+    lists = pa.array([["a b", "ab"], ["a b"], ["ab", "a c"]] * 9)
+    side, cell = np.repeat([0, 1, 0], 9), np.zeros(27, np.int64)
+    pairs = lambda: [p for a, b in alike_lists(cell, side, lists, 0.85, False)[1] for p in zip(a.tolist(), b.tolist())]
+    want = pairs()
+    monkeypatch.setattr(B, "LOAD_PAIRS", 2)
+    assert sorted(pairs()) == sorted(want) and len(set(want)) == len(want) > 9

@@ -99,6 +99,9 @@ def test_a_new_session_knows_the_buckets(spark, tmp_path):
         both = cat.with_stars(tables["songs"], tables["difficulties"])
         plan = both._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning" not in plan and "SortMergeJoin" in plan
+        page = cat.query_catalog(tables["songs"], tables["difficulties"], cat.Query(cat.Filters(stars_min=50.0), sort="stars"))[0]
+        plan = page._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and plan.count("SortMergeJoin") == 2 and page.count() == 30
         assert both.where("stars IS NULL").count() == 10 and both.agg(F.max("stars")).first()[0] == 119.0
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

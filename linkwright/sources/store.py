@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from linkwright.storage import delete
+
 PUBLISHED = "version bigint, folder string, tables string"
 
 
@@ -86,6 +88,22 @@ def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return out
 
 
+def expire(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Delete the tables of all but the last ``keep`` published versions, whose readers then fail; gives how many went.
+
+    Versions are few, one for each load, so their lines are read by the driver.
+    """
+    if keep < 1:
+        raise ValueError("the published version stays")
+    lines = _published(spark, path)
+    old = lines.orderBy(F.desc("version"), F.desc("folder")).offset(keep).collect() if lines is not None else []
+    for line in old:
+        delete(spark, f"{path}/versions/{line['folder']}")
+        for name in json.loads(line["tables"]):
+            spark.sql(f"DROP TABLE IF EXISTS {_table_name(line['folder'], name)}")
+    return len(old)
+
+
 def counts(spark: SparkSession, path: str, *names: str) -> DataFrame:
     """One row with the number of rows of some published tables."""
     tables = read(spark, path)

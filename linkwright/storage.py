@@ -37,6 +37,11 @@ def release(*tables: DataFrame) -> None:
     A plan that still reads one of them, if a caller keeps it, fails from then on.
     """
     for table in tables:
-        context = table.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(table._linkwright_at)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        delete(table.sparkSession, table._linkwright_at)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any file system that Spark reads."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

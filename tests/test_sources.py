@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from linkwright.functions import columns as C
 from linkwright.operators import catalog as cat
 from linkwright.schemas import SNAPSHOT
-from linkwright.sources import library, sinks, snapshots
+from linkwright.sources import library, sinks, snapshots, store
 
 
 def song(map_id, uploader=None, children=()):
@@ -85,6 +85,17 @@ def test_a_failed_replacement_leaves_the_old_snapshot_whole(spark, tmp_path):
     assert sinks.read_catalog(spark, at)["meta"].first().value == "7"
 
 
+def test_old_versions_expire(spark, tmp_path):
+    at = str(tmp_path)
+    for n in (1, 2, 3):
+        store.publish(spark, at, {"t": spark.range(n), "u": spark.range(n)}, {"u": "id"}, 2)
+    assert store.expire(spark, at, 2) == 1 and len(list((tmp_path / "versions").iterdir())) == 2
+    assert {k: df.count() for k, df in store.read(spark, at).items()} == {"t": 3, "u": 3} and store.current(spark, at)[0] == 3
+    assert store.publish(spark, at, {"t": spark.range(9)}) == 4 and store.read(spark, at)["t"].count() == 9
+    with pytest.raises(ValueError):
+        store.expire(spark, at, 0)
+
+
 def test_a_new_session_knows_the_buckets(spark, tmp_path):
     at = str(tmp_path)
     songs = spark.range(40).select(F.col("id").alias("map_id"))

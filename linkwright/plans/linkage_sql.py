@@ -26,15 +26,24 @@ def variants(text: str) -> str:
 
 def field_variants(text: str) -> str:
     bare = f"rtrim(regexp_replace({text}, '\\s*\\([^()]*\\)$', ''))"
-    kept = f"trim(array_to_string(list_filter(string_split_regex({bare}, '\\s+'), lambda w: NOT list_contains({_LIST(T.FILLER_WORDS)}, regexp_replace(lower(w), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g'))), ' '))"
+    kept = (
+        f"trim(array_to_string(list_filter(string_split_regex({bare}, '\\s+'), lambda w: NOT "
+        f"list_contains({_LIST(T.FILLER_WORDS)}, regexp_replace(lower(w), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g'))), ' '))"
+    )
     return f"list_filter({variants(kept)}, lambda v: length(v) >= 3)"
 
 
 def remix_tags(text: str) -> str:
     groups = f"list_transform(regexp_extract_all({text}, '\\([^()]*\\)|\\[[^\\[\\]]*\\]'), lambda c: substr(c, 2, length(c) - 2))"
-    clauses = f"list_filter(list_concat({groups}, CASE WHEN contains({text}, ' - ') THEN [substr({text}, position(' - ' IN {text}) + 3)] ELSE [] END), lambda c: regexp_matches(c, '(?i)\\b(?:{'|'.join(T.REMIX_WORDS)})\\b'))"
+    clauses = (
+        f"list_filter(list_concat({groups}, CASE "
+        f"WHEN contains({text}, ' - ') THEN [substr({text}, position(' - ' IN {text}) + 3)] "
+        f"ELSE [] END), lambda c: regexp_matches(c, '(?i)\\b(?:{'|'.join(T.REMIX_WORDS)})\\b'))"
+    )
     words = f"flatten(list_transform({clauses}, lambda c: string_split(trim(regexp_replace(lower(strip_accents(c)), '[^a-z0-9]+', ' ', 'g')), ' ')))"
-    return ordered(f"list_filter({words}, lambda w: length(w) >= 3 AND NOT list_contains({_LIST(T.GENERIC_WORDS)}, w) AND NOT regexp_full_match(w, '[0-9]+'))")
+    return ordered(
+        f"list_filter({words}, lambda w: length(w) >= 3 AND NOT list_contains({_LIST(T.GENERIC_WORDS)}, w) "
+        f"AND NOT regexp_full_match(w, '[0-9]+'))")
 
 
 #: keys(text, credit, artist, title, tags) of all texts of songs and tracks.
@@ -102,7 +111,11 @@ def aware(pairs: str, threshold: float, name: str = "aware") -> str:
 def compatible(t: str, m: str) -> str:
     mention = lambda tags, side: f"len(list_filter({tags}, lambda g: len(list_filter(list_concat({side}.artist, {side}.title), lambda v: contains(v, g))) > 0)) > 0"
     shared = f"len(list_filter({t}.tags, lambda g: len(list_filter({m}.tags, lambda h: contains(g, h) OR contains(h, g))) > 0)) > 0"
-    return f"(CASE WHEN len({t}.tags) = 0 AND len({m}.tags) = 0 THEN true WHEN {shared} THEN true WHEN len({m}.tags) = 0 THEN {mention(f'{t}.tags', m)} WHEN len({t}.tags) = 0 THEN {mention(f'{m}.tags', t)} ELSE false END)"
+    return (
+        f"(CASE WHEN len({t}.tags) = 0 AND len({m}.tags) = 0 THEN true WHEN {shared} THEN true "
+        f"WHEN len({m}.tags) = 0 THEN {mention(f'{t}.tags', m)} WHEN len({t}.tags) = 0 THEN {mention(f'{m}.tags', t)} "
+        f"ELSE false END)"
+    )
 
 
 #: Distinct keys: t(k, sig, artist, title, tags), m(k, artist, title, tags); owns(sig, own) and known(variant).
@@ -147,7 +160,11 @@ found AS (SELECT * FROM by_title UNION SELECT * FROM by_artist)"""
 
 def fanned(relation: str) -> str:
     """(track_id, map_id, t, m) of matched keys."""
-    return f"(SELECT tk.id AS track_id, sk.map_id, r.t, r.m FROM {relation} r JOIN t ON t.k = r.t JOIN m ON m.k = r.m JOIN tk ON tk.artist = t.artist AND tk.title = t.title AND tk.tags = t.tags JOIN sk ON sk.artist = m.artist AND sk.title = m.title AND sk.tags = m.tags)"
+    return (
+        f"(SELECT tk.id AS track_id, sk.map_id, r.t, r.m FROM {relation} r JOIN t ON t.k = r.t JOIN m ON m.k = r.m JOIN tk "
+        f"ON tk.artist = t.artist AND tk.title = t.title AND tk.tags = t.tags JOIN sk ON sk.artist = m.artist "
+        f"AND sk.title = m.title AND sk.tags = m.tags)"
+    )
 
 
 _PART = "CASE WHEN least(length(a), length(b)) >= 3 AND (contains(a, b) OR contains(b, a)) THEN 0.8e0 ELSE 0.0e0 END"
@@ -189,6 +206,9 @@ SELECT term, track_id, map_id, score, rank FROM (SELECT *, row_number() OVER (PA
 
 def explained(pairs: str, least: float) -> str:
     """Variant pairs of given (track_id, map_id) that resemble each other: track_id, map_id, part, own, other, score."""
-    part = lambda c: f"SELECT track_id, map_id, '{c}' AS part, a, unnest(y) AS b FROM (SELECT track_id, map_id, unnest(tk.{c}) AS a, sk.{c} AS y FROM asked JOIN tk ON id = track_id JOIN sk USING (map_id))"
+    part = lambda c: (
+        f"SELECT track_id, map_id, '{c}' AS part, a, unnest(y) AS b FROM (SELECT track_id, map_id, unnest(tk.{c}) AS a, sk.{c} "
+        f"AS y FROM asked JOIN tk ON id = track_id JOIN sk USING (map_id))"
+    )
     return f"""WITH {SIDES}, asked AS ({pairs}), parts AS ({part('artist')} UNION ALL {part('title')}),{jaro('parts', 'winkler')}
 SELECT track_id, map_id, part, a AS own, b AS other, round({_FUZZY}, 9) AS score FROM parts LEFT JOIN winkler USING (a, b) WHERE {_FUZZY} >= {least}"""

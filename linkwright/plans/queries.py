@@ -78,7 +78,9 @@ query("s01_flatten_songs", "SELECT * REPLACE (CASE WHEN uploader_name IS NULL TH
 query("s02_flatten_difficulties", "SELECT difficulties.* FROM difficulties JOIN songs ON song_map_id = map_id")(lambda spark, d: snapshots.flatten_difficulties(nested_by_size(spark, d)))
 
 
-@query("s03_validate_snapshots", f"SELECT CAST(map_id % {PARTS} AS INT) AS part, CASE WHEN map_id % {PARTS} % 4 = 1 THEN 'unsupported format version 2' ELSE 'hash blob too short' END AS error FROM songs WHERE map_id % {PARTS} % 4 IN (1, 2) GROUP BY ALL")
+@query("s03_validate_snapshots",
+    f"SELECT CAST(map_id % {PARTS} AS INT) AS part, CASE WHEN map_id % {PARTS} % 4 = 1 THEN 'unsupported format version 2' "
+    f"ELSE 'hash blob too short' END AS error FROM songs WHERE map_id % {PARTS} % 4 IN (1, 2) GROUP BY ALL")
 def s03(spark, d):
     n = nested(spark, d).withColumn("part", (F.col("songs")[0]["map_id"] % PARTS).cast("int"))
     n = n.withColumn("format_version", F.when(F.col("part") % 4 == 1, 2).otherwise(F.col("format_version")))
@@ -88,7 +90,9 @@ def s03(spark, d):
 
 query(
     "s04_snapshot_meta",
-    f"SELECT key, value, count(*) AS n FROM (SELECT DISTINCT map_id % {PARTS} AS p FROM songs) CROSS JOIN (SELECT 'scrape_ended_time' AS key, '{SCRAPED}' AS value UNION ALL SELECT 'tag_list', '[\"' || array_to_string({TAG_SQL}, '\",\"') || '\"]') GROUP BY 1, 2",
+    f"SELECT key, value, count(*) AS n FROM (SELECT DISTINCT map_id % {PARTS} AS p FROM songs) CROSS JOIN "
+        f"(SELECT 'scrape_ended_time' AS key, '{SCRAPED}' AS value UNION ALL "
+        f"SELECT 'tag_list', '[\"' || array_to_string({TAG_SQL}, '\",\"') || '\"]') GROUP BY 1, 2",
 )(lambda spark, d: snapshots.snapshot_meta(nested(spark, d)).groupBy("key", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -106,14 +110,22 @@ def pages(spark, d):
 
 
 _OK = "(CAST(id AS BIGINT) // 100) % 7 <> 3 AND (CAST(id AS BIGINT) // 100) % 11 <> 5"
-query("s05_read_track_pages", f"SELECT id, title, CASE WHEN CAST(id AS BIGINT) % 13 <> 0 THEN artist END AS artist, album, coalesce(duration, -1) AS duration, coalesce(year, -1) AS year, 7 AS track FROM tracks WHERE {_OK}")(
+query("s05_read_track_pages",
+    f"SELECT id, title, CASE WHEN CAST(id AS BIGINT) % 13 <> 0 THEN artist END AS artist, album, coalesce(duration, -1) "
+    f"AS duration, coalesce(year, -1) AS year, 7 AS track FROM tracks WHERE {_OK}")(
     lambda spark, d: library.tracks_of(library.split_ok_failed(library.parse_pages(pages(spark, d)))[0]).select("id", "title", "artist", "album", _known("duration"), _known("year"), "track")
 )
-query("s06_failed_pages", "SELECT 'failed' AS status, 'Wrong username or password (code 40)' AS error, count(DISTINCT CAST(id AS BIGINT) // 100) AS n FROM tracks WHERE (CAST(id AS BIGINT) // 100) % 7 = 3")(
+query("s06_failed_pages",
+    "SELECT 'failed' AS status, 'Wrong username or password (code 40)' AS error, count(DISTINCT CAST(id AS BIGINT) // 100) "
+    "AS n FROM tracks WHERE (CAST(id AS BIGINT) // 100) % 7 = 3")(
     lambda spark, d: library.split_ok_failed(library.parse_pages(pages(spark, d)))[1].groupBy("response.status", "error").agg(F.count(F.lit(1)).alias("n"))
 )
 _KEY = "regexp_replace(lower(strip_accents({})), '[^a-z0-9]+', '', 'g')"
-_PROJECTED = f"SELECT id, title, coalesce(a, '') AS artist, {_KEY.format("coalesce(a, '') || ' ' || title")} AS normalized_key, album, coalesce(duration, -1) AS duration, coalesce(year, -1) AS year, 7 AS track_number, 123 AS fetched_at FROM (SELECT *, CASE WHEN CAST(id AS BIGINT) % 13 <> 0 THEN artist END AS a FROM tracks WHERE {_OK})"
+_PROJECTED = (
+    f"SELECT id, title, coalesce(a, '') AS artist, {_KEY.format("coalesce(a, '') || ' ' || title")} "
+    f"AS normalized_key, album, coalesce(duration, -1) AS duration, coalesce(year, -1) AS year, 7 AS track_number, 123 "
+    f"AS fetched_at FROM (SELECT *, CASE WHEN CAST(id AS BIGINT) % 13 <> 0 THEN artist END AS a FROM tracks WHERE {_OK})"
+)
 
 
 @query("s07_project_tracks", _PROJECTED)
@@ -157,14 +169,20 @@ query("s11_all_tracks", "SELECT id, artist, title FROM tracks")(lambda spark, d:
 query("p01_rating", "SELECT map_id, rating FROM songs")(lambda spark, d: songs(spark, d).select("map_id", C.rating(F.col("upvotes"), F.col("downvotes")).alias("rating")))
 query("p02_map_key", "SELECT map_id, printf('%x', map_id) AS key FROM songs")(lambda spark, d: songs(spark, d).select("map_id", C.map_key(F.col("map_id")).alias("key")))
 query("p03_hash_at", "SELECT map_id, hash FROM songs")(lambda spark, d: snapshots.flatten_songs(nested_by_size(spark, d)).select("map_id", "hash"))
-query("p04_uploader", "SELECT map_id, CASE WHEN map_id % 3 = 0 THEN level_author WHEN map_id % 3 = 1 THEN '' ELSE uploader_name END AS uploader FROM songs")(
+query("p04_uploader",
+    "SELECT map_id, CASE WHEN map_id % 3 = 0 THEN level_author WHEN map_id % 3 = 1 THEN '' ELSE uploader_name END "
+    "AS uploader FROM songs")(
     lambda spark, d: songs(spark, d).select("map_id", C.uploader(F.when(F.col("map_id") % 3 == 1, "").when(F.col("map_id") % 3 == 2, F.col("uploader_name")), F.col("level_author")).alias("uploader"))
 )
 query("p05_hundredths", "SELECT song_map_id, notes, notes / 100.0e0 AS stars FROM difficulties")(lambda spark, d: difficulties(spark, d).select("song_map_id", "notes", C.hundredths(F.col("notes")).alias("stars")))
-query("p06_tag_names", f"SELECT map_id, array_to_string([{TAG_SQL}[i + 1] FOR i IN range(0, 17) IF (tags >> i) & 1 = 1], ',') AS tag_names FROM songs")(
+query("p06_tag_names",
+    f"SELECT map_id, array_to_string([{TAG_SQL}[i + 1] FOR i IN range(0, 17) IF (tags >> i) & 1 = 1], ',') AS tag_names "
+    f"FROM songs")(
     lambda spark, d: songs(spark, d).select("map_id", F.array_join(C.tag_names(F.col("tags"), F.array(*map(F.lit, TAGS))), ",").alias("tag_names"))
 )
-query("p07_tag_positions", "SELECT name, max(pos) AS bit FROM (SELECT song_author AS name, row_number() OVER (PARTITION BY map_id % 64 ORDER BY map_id) - 1 AS pos FROM songs) GROUP BY 1")(
+query("p07_tag_positions",
+    "SELECT name, max(pos) AS bit FROM (SELECT song_author AS name, row_number() OVER (PARTITION BY map_id % 64 "
+    "ORDER BY map_id) - 1 AS pos FROM songs) GROUP BY 1")(
     lambda spark, d: snapshots.tag_positions(
         songs(spark, d).groupBy(F.col("map_id") % 64).agg(F.transform(F.sort_array(F.collect_list(F.struct("map_id", "song_author"))), lambda s: s["song_author"]).alias("tag_list"))
     )
@@ -178,7 +196,9 @@ def _labels_sql(c: str, labels: dict[int, str]) -> str:
     return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} & {b} = {b} THEN '{n}' END" for b, n in labels.items()) + "], lambda x: x IS NOT NULL), ',')"
 
 
-query("p09_flag_labels", f"SELECT map_id, {_labels_sql('ranked_states', C.RANKED_LABELS)} AS ranked, {_labels_sql('upload_flags', C.UPLOAD_LABELS)} AS upload FROM songs")(
+query("p09_flag_labels",
+    f"SELECT map_id, {_labels_sql('ranked_states', C.RANKED_LABELS)} "
+    f"AS ranked, {_labels_sql('upload_flags', C.UPLOAD_LABELS)} AS upload FROM songs")(
     lambda spark, d: songs(spark, d).select(
         "map_id", F.array_join(C.flag_labels(F.col("ranked_states"), C.RANKED_LABELS), ",").alias("ranked"), F.array_join(C.flag_labels(F.col("upload_flags"), C.UPLOAD_LABELS), ",").alias("upload")
     )
@@ -192,17 +212,26 @@ def _code_sql(c: str, names) -> str:
     return f"CASE {c} " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(names)) + f" ELSE 'Unknown(' || CAST({c} AS VARCHAR) || ')' END"
 
 
-query("p10_code_labels", f"SELECT {_code_sql('bombs', C.CHARACTERISTICS)} AS characteristic, {_code_sql('obstacles', C.DIFFICULTIES)} AS difficulty, count(*) AS n FROM difficulties GROUP BY 1, 2")(
+query("p10_code_labels",
+    f"SELECT {_code_sql('bombs', C.CHARACTERISTICS)} AS characteristic, {_code_sql('obstacles', C.DIFFICULTIES)} "
+    f"AS difficulty, count(*) AS n FROM difficulties GROUP BY 1, 2")(
     lambda spark, d: difficulties(spark, d).groupBy(C.characteristic_label(F.col("bombs")).alias("characteristic"), C.difficulty_label(F.col("obstacles")).alias("difficulty")).agg(F.count(F.lit(1)).alias("n"))
 )
-query("p11_duration_text", "SELECT map_id, CAST(d // 60 AS VARCHAR) || ':' || lpad(CAST(d % 60 AS VARCHAR), 2, '0') AS text FROM (SELECT map_id, duration * 7 + map_id % 60 AS d FROM songs)")(
+query("p11_duration_text",
+    "SELECT map_id, CAST(d // 60 AS VARCHAR) || ':' || lpad(CAST(d % 60 AS VARCHAR), 2, '0') AS text FROM "
+    "(SELECT map_id, duration * 7 + map_id % 60 AS d FROM songs)")(
     lambda spark, d: songs(spark, d).select("map_id", C.duration_text(F.col("duration") * 7 + F.col("map_id") % 60).alias("text"))
 )
 query(
     "p12_iso_times",
-    "SELECT map_id, strftime(make_timestamp(upload_time * 1000000), '%Y-%m-%d') AS day, strftime(make_timestamp(upload_time * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') AS at, strftime(make_timestamp(upload_time * 1000000), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(map_id % 1000 AS VARCHAR), 3, '0') || 'Z' AS at_ms FROM songs",
+    "SELECT map_id, strftime(make_timestamp(upload_time * 1000000), '%Y-%m-%d') "
+        "AS day, strftime(make_timestamp(upload_time * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') "
+        "AS at, strftime(make_timestamp(upload_time * 1000000), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(map_id % 1000 "
+        "AS VARCHAR), 3, '0') || 'Z' AS at_ms FROM songs",
 )(lambda spark, d: songs(spark, d).select("map_id", C.iso_date(F.col("upload_time")).alias("day"), C.iso_datetime(F.col("upload_time")).alias("at"), C.iso_datetime_ms(F.col("upload_time") * 1000 + F.col("map_id") % 1000).alias("at_ms")))
-query("p13_links", f"SELECT map_id, '{C.ONE_CLICK}' || key AS one_click, '{C.MAP_PAGE}' || key AS page, '{C.DOWNLOAD}' || key AS zip, '{C.COVER}' || hash || '.jpg' AS cover FROM songs")(
+query("p13_links",
+    f"SELECT map_id, '{C.ONE_CLICK}' || key AS one_click, '{C.MAP_PAGE}' || key AS page, '{C.DOWNLOAD}' || key "
+    f"AS zip, '{C.COVER}' || hash || '.jpg' AS cover FROM songs")(
     lambda spark, d: songs(spark, d).select("map_id", C.one_click_url(F.col("key")).alias("one_click"), C.map_page_url(F.col("key")).alias("page"), C.download_url(F.col("key")).alias("zip"), C.cover_url(F.col("hash")).alias("cover"))
 )
 query("p14_percent_text", "SELECT map_id, CAST(CAST(floor(rating * 100 + 0.5) AS BIGINT) AS VARCHAR) AS percent FROM songs")(lambda spark, d: songs(spark, d).select("map_id", C.percent_text(F.col("rating")).alias("percent")))
@@ -213,7 +242,10 @@ query("p14_percent_one_digit", "SELECT track_id, map_id, printf('%.1f', floor(sc
 # ---- filters ----
 
 FILTERS: dict[str, tuple[Filters, str]] = {
-    "f01_text_search": (Filters(search=" Red_Widget "), "lower(song_name) LIKE '%red_widget%' OR lower(song_author) LIKE '%red_widget%' OR lower(level_author) LIKE '%red_widget%' OR lower(uploader_name) LIKE '%red_widget%' OR lower(key) LIKE '%red_widget%' OR lower(hash) LIKE '%red_widget%'"),
+    "f01_text_search": (Filters(search=" Red_Widget "),
+        "lower(song_name) LIKE '%red_widget%' OR lower(song_author) LIKE '%red_widget%' "
+        "OR lower(level_author) LIKE '%red_widget%' OR lower(uploader_name) LIKE '%red_widget%' "
+        "OR lower(key) LIKE '%red_widget%' OR lower(hash) LIKE '%red_widget%'"),
     "f02_ranked_all": (Filters(ranked_states=5), "ranked_states & 5 = 5"),
     "f03_ranked_any": (Filters(ranked_states_any=6), "ranked_states & 6 > 0"),
     "f04_upload_flags": (Filters(upload_flags=2), "upload_flags & 2 = 2"),
@@ -226,17 +258,23 @@ FILTERS: dict[str, tuple[Filters, str]] = {
     "f10_stars_other_source": (Filters(stars_min=8.0, stars_source="bl"), "EXISTS (FROM difficulties WHERE song_map_id = map_id AND stars_bl >= 8)"),
     "f11_mods_any": (Filters(mods=6), "EXISTS (FROM difficulties WHERE song_map_id = map_id AND mods & 6 > 0)"),
     "f12_min_counts": (Filters(min_notes=900, min_obstacles=3, min_bombs=0), "EXISTS (FROM difficulties WHERE song_map_id = map_id AND notes >= 900 AND obstacles >= 3 AND bombs >= 0)"),
-    "j01_same_child": (Filters(characteristics=(1,), difficulties=(4,), stars_min=5.0, mods=1, bpm_min=190.0), "bpm >= 190 AND EXISTS (FROM difficulties WHERE song_map_id = map_id AND characteristic = 1 AND difficulty = 4 AND stars_ss >= 5 AND mods & 1 > 0)"),
+    "j01_same_child": (Filters(characteristics=(1,), difficulties=(4,), stars_min=5.0, mods=1, bpm_min=190.0),
+        "bpm >= 190 AND EXISTS (FROM difficulties WHERE song_map_id = map_id AND characteristic = 1 AND difficulty = 4 "
+        "AND stars_ss >= 5 AND mods & 1 > 0)"),
 }
 for _name, (_f, _sql) in FILTERS.items():
     query(_name, f"SELECT map_id, song_name FROM songs WHERE {_sql}")(lambda spark, d, f=_f: cat.catalog_filter(songs(spark, d), difficulties(spark, d), f).select("map_id", "song_name"))
 
 _LIB = "lower(title) LIKE '%ring%' OR lower(artist) LIKE '%ring%' OR lower(album) LIKE '%ring%'"
 query("f13_library_search", f"SELECT id, title FROM tracks WHERE {_LIB}")(lambda spark, d: tracks(spark, d).where(cat.matches_any(cat.LIBRARY_SEARCHED, " RING ")).select("id", "title"))
-query("f14_result_search", "SELECT DISTINCT id FROM scored JOIN tracks ON id = track_id WHERE contains(lower(title), 'widg') OR contains(lower(artist), 'widg')")(
+query("f14_result_search",
+    "SELECT DISTINCT id FROM scored JOIN tracks ON id = track_id WHERE contains(lower(title), 'widg') "
+    "OR contains(lower(artist), 'widg')")(
     lambda spark, d: res.search_results(tracks(spark, d).join(scored(spark, d), F.col("id") == F.col("track_id"), "left_semi"), "WidG").select("id")
 )
-query("f15_min_rating", "SELECT track_id, scored.map_id, score FROM scored JOIN songs ON scored.map_id = songs.map_id WHERE rating >= 80 / 100.0e0")(lambda spark, d: res.prune_by_rating(scored(spark, d), songs(spark, d), 80))
+query("f15_min_rating",
+    "SELECT track_id, scored.map_id, score FROM scored JOIN songs ON scored.map_id = songs.map_id "
+    "WHERE rating >= 80 / 100.0e0")(lambda spark, d: res.prune_by_rating(scored(spark, d), songs(spark, d), 80))
 
 
 
@@ -249,10 +287,14 @@ def _searched(spark, d, rows, id_col, columns, search):
 
 query("f01_indexed_search", f"SELECT map_id, song_name FROM songs WHERE {FILTERS['f01_text_search'][1]}")(lambda spark, d: _searched(spark, d, songs(spark, d), "map_id", cat.SEARCHED, " Red_Widget ").select("map_id", "song_name"))
 query("f13_indexed_search", f"SELECT id, title FROM tracks WHERE {_LIB}")(lambda spark, d: _searched(spark, d, tracks(spark, d), "id", cat.LIBRARY_SEARCHED, " RING ").select("id", "title"))
-query("f08_characteristic_and_notes", "SELECT map_id, song_name FROM songs WHERE EXISTS (FROM difficulties WHERE song_map_id = map_id AND characteristic IN (1, 2) AND notes >= 960)")(
+query("f08_characteristic_and_notes",
+    "SELECT map_id, song_name FROM songs WHERE EXISTS (FROM difficulties WHERE song_map_id = map_id AND characteristic IN "
+    "(1, 2) AND notes >= 960)")(
     lambda spark, d: cat.catalog_filter(songs(spark, d), difficulties(spark, d), Filters(characteristics=(1, 2), min_notes=960)).select("map_id", "song_name")
 )
-query("f11_mods_of_hard_ones", "SELECT map_id, song_name FROM songs WHERE EXISTS (FROM difficulties WHERE song_map_id = map_id AND mods & 1 > 0 AND difficulty = 4 AND stars_ss >= 8)")(
+query("f11_mods_of_hard_ones",
+    "SELECT map_id, song_name FROM songs WHERE EXISTS (FROM difficulties WHERE song_map_id = map_id AND mods & 1 > 0 "
+    "AND difficulty = 4 AND stars_ss >= 8)")(
     lambda spark, d: cat.catalog_filter(songs(spark, d), difficulties(spark, d), Filters(mods=1, difficulties=(4,), stars_min=8.0)).select("map_id", "song_name")
 )
 # ---- joins, aggregates and orders of the catalog ----
@@ -261,7 +303,9 @@ query("j02_max_stars", "SELECT map_id, max(stars_ss) AS stars FROM songs LEFT JO
 query("j03_children", "SELECT difficulties.* FROM difficulties WHERE song_map_id IN (SELECT map_id FROM songs WHERE ranked_states = 3)")(
     lambda spark, d: cat.difficulties_of(difficulties(spark, d), songs(spark, d).where("ranked_states = 3").select("map_id"))
 )
-query("a01_filtered_count", "SELECT count(*) AS total FROM songs WHERE bpm >= 200 AND EXISTS (FROM difficulties WHERE song_map_id = map_id AND notes >= 500)")(
+query("a01_filtered_count",
+    "SELECT count(*) AS total FROM songs WHERE bpm >= 200 AND EXISTS (FROM difficulties WHERE song_map_id = map_id "
+    "AND notes >= 500)")(
     lambda spark, d: cat.query_catalog(songs(spark, d), difficulties(spark, d), Query(Filters(bpm_min=200.0, min_notes=500)))[1]
 )
 query("a02_catalog_stats", f"SELECT count(*) AS song_count, CAST({SCRAPED} AS BIGINT) AS scrape_ended_time, {len(TAGS)} AS tags FROM songs")(
@@ -274,7 +318,9 @@ query("w01_keep_last", "SELECT l_partkey AS id, max(l_orderkey * 10 + l_linenumb
 )
 for _key in cat.SORT_KEYS:
     _col = "(SELECT max(stars_ss) FROM difficulties WHERE song_map_id = map_id)" if _key == "stars" else f"lower({_key})" if _key in cat.TEXT_KEYS else _key
-    query(f"l01_sort_{_key}", f"SELECT map_id, row_number() OVER () AS n FROM (SELECT map_id FROM songs ORDER BY {_col} DESC NULLS LAST, map_id LIMIT 50)".replace("row_number() OVER () AS n", "0 AS n"))(
+    query(f"l01_sort_{_key}",
+        f"SELECT map_id, row_number() OVER () AS n FROM (SELECT map_id FROM songs ORDER BY {_col} DESC NULLS LAST, map_id "
+        f"LIMIT 50)".replace("row_number() OVER () AS n", "0 AS n"))(
         lambda spark, d, k=_key: cat.query_catalog(songs(spark, d), difficulties(spark, d), Query(sort=k))[0].select("map_id", F.lit(0).alias("n"))
     )
 
@@ -286,34 +332,51 @@ def in_order(page):
 
 for _key in cat.SORT_KEYS:
     _col = "(SELECT max(stars_ss) FROM difficulties WHERE song_map_id = map_id)" if _key == "stars" else f"lower({_key})" if _key in cat.TEXT_KEYS else _key
-    query(f"l01_order_{_key}", f"SELECT map_id, row_number() OVER (ORDER BY {_col} DESC NULLS LAST, map_id) - 1 AS position FROM songs ORDER BY position LIMIT 50")(
+    query(f"l01_order_{_key}",
+        f"SELECT map_id, row_number() OVER (ORDER BY {_col} DESC NULLS LAST, map_id) - 1 AS position FROM songs ORDER BY position "
+        f"LIMIT 50")(
         lambda spark, d, k=_key: in_order(cat.query_catalog(songs(spark, d), difficulties(spark, d), Query(sort=k))[0]).select("map_id", "position")
     )
-query("l02_catalog_order", "SELECT map_id, row_number() OVER (ORDER BY rating, map_id) - 76 AS position FROM songs ORDER BY position LIMIT 25 OFFSET 75")(
+query("l02_catalog_order",
+    "SELECT map_id, row_number() OVER (ORDER BY rating, map_id) - 76 AS position FROM songs ORDER BY position "
+    "LIMIT 25 OFFSET 75")(
     lambda spark, d: in_order(cat.query_catalog(songs(spark, d), difficulties(spark, d), Query(sort="rating", ascending=True, page=4, page_size=25))[0]).select("map_id", "position")
 )
-query("l03_library_order", f"SELECT id, row_number() OVER (ORDER BY lower(title) DESC, id) - 101 AS position FROM tracks WHERE {_LIB} ORDER BY position LIMIT 100 OFFSET 100")(
+query("l03_library_order",
+    f"SELECT id, row_number() OVER (ORDER BY lower(title) DESC, id) - 101 AS position FROM tracks WHERE {_LIB} "
+    f"ORDER BY position LIMIT 100 OFFSET 100")(
     lambda spark, d: in_order(cat.query_tracks(tracks(spark, d).withColumn("normalized_key", F.lit("")), "ring", "title", page=2)[0]).select("id", "position")
 )
 for _key in cat.LIBRARY_SORT_KEYS:
     _col = f"lower({_key})" if _key in cat.TEXT_KEYS else _key
     for _way, _up, _nulls in (("asc", True, "FIRST"), ("desc", False, "LAST")):
-        query(f"l03_order_{_key}_{_way}", f"SELECT id, row_number() OVER (ORDER BY {_col} {_way} NULLS {_nulls}, id) - 1 AS position FROM tracks ORDER BY position LIMIT 100")(
+        query(f"l03_order_{_key}_{_way}",
+            f"SELECT id, row_number() OVER (ORDER BY {_col} {_way} NULLS {_nulls}, id) - 1 AS position FROM tracks ORDER BY position "
+            f"LIMIT 100")(
             lambda spark, d, k=_key, up=_up: in_order(cat.query_tracks(tracks(spark, d).withColumn("normalized_key", F.lit("")), "", k, up)[0]).select("id", "position")
         )
 query("l02_catalog_page","SELECT map_id FROM songs ORDER BY rating ASC, map_id LIMIT 25 OFFSET 75")(
     lambda spark, d: cat.query_catalog(songs(spark, d), difficulties(spark, d), Query(sort="rating", ascending=True, page=4, page_size=25))[0].select("map_id")
 )
-query("l03_library_page", f"SELECT id, title, artist, album, coalesce(duration, -1) AS duration, coalesce(year, -1) AS year, fetched_at FROM tracks WHERE {_LIB} ORDER BY lower(title) DESC, id LIMIT 100 OFFSET 100")(
+query("l03_library_page",
+    f"SELECT id, title, artist, album, coalesce(duration, -1) AS duration, coalesce(year, -1) AS year, fetched_at FROM tracks "
+    f"WHERE {_LIB} ORDER BY lower(title) DESC, id LIMIT 100 OFFSET 100")(
     lambda spark, d: cat.query_tracks(tracks(spark, d).withColumn("normalized_key", F.lit("")), "ring", "title", page=2)[0].select("id", "title", "artist", "album", _known("duration"), _known("year"), "fetched_at")
 )
-_K12_PAGE = "SELECT * FROM songs WHERE bpm BETWEEN 190 AND 250 AND EXISTS (FROM difficulties WHERE song_map_id = map_id AND difficulty IN (3, 4) AND stars_ss >= 4) ORDER BY (SELECT max(stars_ss) FROM difficulties WHERE song_map_id = map_id) DESC, map_id LIMIT 50"
+_K12_PAGE = (
+    "SELECT * FROM songs WHERE bpm BETWEEN 190 AND 250 AND EXISTS (FROM difficulties WHERE song_map_id = map_id "
+    "AND difficulty IN (3, 4) AND stars_ss >= 4) ORDER BY (SELECT max(stars_ss) FROM difficulties "
+    "WHERE song_map_id = map_id) DESC, map_id LIMIT 50"
+)
 query("k12_query_catalog", _K12_PAGE)(
     lambda spark, d: cat.query_catalog(songs(spark, d), difficulties(spark, d), Query(Filters(bpm_min=190.0, bpm_max=250.0, difficulties=(3, 4), stars_min=4.0), sort="stars"))[0]
 )
 query("k13_query_tracks", f"SELECT count(*) AS total FROM tracks WHERE {_LIB}")(lambda spark, d: cat.query_tracks(tracks(spark, d).withColumn("normalized_key", F.lit("")), "ring")[1])
 _K12 = Query(Filters(bpm_min=190.0, bpm_max=250.0, difficulties=(3, 4), stars_min=4.0), sort="stars")
-_K12_FOUND = "FROM songs WHERE bpm BETWEEN 190 AND 250 AND EXISTS (FROM difficulties WHERE song_map_id = map_id AND difficulty IN (3, 4) AND stars_ss >= 4)"
+_K12_FOUND = (
+    "FROM songs WHERE bpm BETWEEN 190 AND 250 AND EXISTS (FROM difficulties WHERE song_map_id = map_id AND difficulty IN "
+    "(3, 4) AND stars_ss >= 4)"
+)
 
 
 @query("k12_on_written_tables", _K12_PAGE)
@@ -327,9 +390,12 @@ def k12_on_written_tables(spark, d):
 
 query(
     "k12_page_and_total",
-    f"SELECT map_id, song_name, total FROM (SELECT *, count(*) OVER () AS total {_K12_FOUND}) ORDER BY (SELECT max(stars_ss) FROM difficulties WHERE song_map_id = map_id) DESC NULLS LAST, map_id LIMIT 50",
+    f"SELECT map_id, song_name, total FROM (SELECT *, count(*) OVER () AS total {_K12_FOUND}) ORDER BY (SELECT max(stars_ss) "
+        f"FROM difficulties WHERE song_map_id = map_id) DESC NULLS LAST, map_id LIMIT 50",
 )(lambda spark, d: cat.with_total(*cat.catalog_page(songs(spark, d), difficulties(spark, d), _K12)).select("map_id", "song_name", "total"))
-query("k13_page_and_total", f"SELECT id, title, total FROM (SELECT *, count(*) OVER () AS total FROM tracks WHERE {_LIB}) ORDER BY lower(artist) DESC, id LIMIT 100")(
+query("k13_page_and_total",
+    f"SELECT id, title, total FROM (SELECT *, count(*) OVER () AS total FROM tracks WHERE {_LIB}) "
+    f"ORDER BY lower(artist) DESC, id LIMIT 100")(
     lambda spark, d: cat.with_total(*cat.library_page(tracks(spark, d).withColumn("normalized_key", F.lit("")), "ring")).select("id", "title", "total")
 )
 
@@ -345,18 +411,26 @@ def after(make, tie, pages=2):
 for _key in cat.SORT_KEYS:
     _col = "(SELECT max(stars_ss) FROM difficulties WHERE song_map_id = map_id)" if _key == "stars" else f"lower({_key})" if _key in cat.TEXT_KEYS else _key
     for _way, _up, _nulls in (("asc", True, "FIRST"), ("desc", False, "LAST")):
-        query(f"l02_after_{_key}_{_way}", f"SELECT map_id, row_number() OVER (ORDER BY {_col} {_way} NULLS {_nulls}, map_id) - 81 AS position FROM songs ORDER BY position LIMIT 40 OFFSET 80")(
+        query(f"l02_after_{_key}_{_way}",
+            f"SELECT map_id, row_number() OVER (ORDER BY {_col} {_way} NULLS {_nulls}, map_id) - 81 AS position FROM songs "
+            f"ORDER BY position LIMIT 40 OFFSET 80")(
             lambda spark, d, k=_key, up=_up: after(lambda last: cat.catalog_after(songs(spark, d), difficulties(spark, d), Query(sort=k, ascending=up, page_size=40), last), "map_id", 3).select("map_id", "position")
         )
 for _key in cat.LIBRARY_SORT_KEYS:
     _col = f"lower({_key})" if _key in cat.TEXT_KEYS else _key
     for _way, _up, _nulls in (("asc", True, "FIRST"), ("desc", False, "LAST")):
-        query(f"l03_after_{_key}_{_way}", f"SELECT id, row_number() OVER (ORDER BY {_col} {_way} NULLS {_nulls}, id) - 101 AS position FROM tracks ORDER BY position LIMIT 100 OFFSET 100")(
+        query(f"l03_after_{_key}_{_way}",
+            f"SELECT id, row_number() OVER (ORDER BY {_col} {_way} NULLS {_nulls}, id) - 101 AS position FROM tracks "
+            f"ORDER BY position LIMIT 100 OFFSET 100")(
             lambda spark, d, k=_key, up=_up: after(lambda last: cat.library_after(tracks(spark, d).withColumn("normalized_key", F.lit("")), last, "", k, up), "id").select("id", "position")
         )
 query(
     "k14_song_detail",
-    f"SELECT map_id, song_name, {_labels_sql('ranked_states', C.RANKED_LABELS)} AS ranked_labels, {_code_sql('characteristic', C.CHARACTERISTICS)} AS characteristic_label, {_code_sql('difficulty', C.DIFFICULTIES)} AS difficulty_label, stars_ss, {_labels_sql('mods', C.MOD_LABELS)} AS mod_labels FROM songs LEFT JOIN difficulties ON song_map_id = map_id",
+    f"SELECT map_id, song_name, {_labels_sql('ranked_states', C.RANKED_LABELS)} "
+        f"AS ranked_labels, {_code_sql('characteristic', C.CHARACTERISTICS)} "
+        f"AS characteristic_label, {_code_sql('difficulty', C.DIFFICULTIES)} "
+        f"AS difficulty_label, stars_ss, {_labels_sql('mods', C.MOD_LABELS)} AS mod_labels FROM songs LEFT JOIN difficulties "
+        f"ON song_map_id = map_id",
 )(
     lambda spark, d: cat.song_detail(songs(spark, d), difficulties(spark, d), TAGS).select(
         "map_id", "song_name", F.array_join("ranked_labels", ",").alias("ranked_labels"), "characteristic_label", "difficulty_label", "stars_ss", F.array_join("mod_labels", ",").alias("mod_labels")
@@ -379,14 +453,18 @@ _SPACED = "trim(regexp_replace({0}, '[^a-z0-9]+', ' ', 'g'))"
 _LOW = "lower(strip_accents(s))"
 query("n01_fold_lookalikes", f"SELECT doc_id, translate(s || '’–“', '’–“', '''-\"') AS folded FROM {_DUP}")(lambda spark, d: sentences(spark, d).select("doc_id", T.fold_lookalikes(F.concat("s", F.lit("’–“"))).alias("folded")))
 query("n02_fold_diacritics", f"SELECT doc_id, strip_accents(s) AS folded FROM {_DUP}")(lambda spark, d: sentences(spark, d).select("doc_id", T.fold_diacritics(F.col("s")).alias("folded")))
-query("n03_normalize_variants", f"SELECT doc_id, CASE WHEN a = b THEN a ELSE concat_ws('|', nullif(a, ''), nullif(b, '')) END AS variants FROM (SELECT doc_id, {_STRIPPED.format(_LOW)} AS a, {_SPACED.format(_LOW)} AS b FROM {_DUP})")(
+query("n03_normalize_variants",
+    f"SELECT doc_id, CASE WHEN a = b THEN a ELSE concat_ws('|', nullif(a, ''), nullif(b, '')) END AS variants FROM "
+    f"(SELECT doc_id, {_STRIPPED.format(_LOW)} AS a, {_SPACED.format(_LOW)} AS b FROM {_DUP})")(
     lambda spark, d: sentences(spark, d).select("doc_id", F.array_join(T.normalize_variants(F.col("s")), "|").alias("variants"))
 )
 query("n04_strip_trailing_parens", "SELECT map_id, rtrim(regexp_replace(song_name, '\\s*\\([^()]*\\)$', '')) AS bare FROM songs")(
     lambda spark, d: link._looked_up(songs(spark, d).select("map_id", "song_name"), T.text_keys(songs(spark, d).select(F.col("song_name").alias("text"))), "song_name", bare="bare").select("map_id", "bare")
 )
 _FILLER = "[" + ", ".join(f"'{w}'" for w in T.FILLER_WORDS) + "]"
-query("n05_strip_filler_words", f"SELECT map_id, trim(array_to_string(list_filter(string_split_regex(song_name, '\\s+'), lambda w: NOT list_contains({_FILLER}, regexp_replace(lower(w), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g'))), ' ')) AS kept FROM songs")(
+query("n05_strip_filler_words",
+    f"SELECT map_id, trim(array_to_string(list_filter(string_split_regex(song_name, '\\s+'), lambda w: NOT "
+    f"list_contains({_FILLER}, regexp_replace(lower(w), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g'))), ' ')) AS kept FROM songs")(
     lambda spark, d: songs(spark, d).select("map_id", T.strip_filler_words(F.col("song_name")).alias("kept"))
 )
 query("n07_normalized_key", f"SELECT id, {_KEY.format("artist || ' ' || title")} AS normalized_key FROM tracks")(lambda spark, d: tracks(spark, d).select("id", T.normalized_key(F.col("artist"), F.col("title")).alias("normalized_key")))
@@ -411,13 +489,20 @@ def _texts_sql(columns):
 
 
 query("n06_split_artist_credit", _texts_sql("array_to_string(credit, chr(10)) AS credit"))(lambda spark, d: _texts(spark, d).select("text", F.array_join("credit", "\n").alias("credit")))
-query("n08_remix_tags", "SELECT DISTINCT song_name AS text, CASE WHEN contains(song_name, 'Alpha Remix') THEN 'alpha' WHEN contains(song_name, 'Beta Remix') THEN 'beta' WHEN contains(song_name, 'Gamma flip') THEN 'gamma' ELSE '' END AS tags FROM songs")(
+query("n08_remix_tags",
+    "SELECT DISTINCT song_name AS text, CASE WHEN contains(song_name, 'Alpha Remix') THEN 'alpha' "
+    "WHEN contains(song_name, 'Beta Remix') THEN 'beta' WHEN contains(song_name, 'Gamma flip') THEN 'gamma' ELSE '' END "
+    "AS tags FROM songs")(
     lambda spark, d: T.text_keys(songs(spark, d).select(F.col("song_name").alias("text"))).select("text", F.array_join("tags", "|").alias("tags"))
 )
 query("n09_field_variants", _texts_sql("array_to_string(title, '|') AS variants"))(lambda spark, d: _texts(spark, d).select("text", F.array_join("title", "|").alias("variants")))
 query("n10_artist_variants", _texts_sql("array_to_string(artist, '|') AS variants"))(lambda spark, d: _texts(spark, d).select("text", F.array_join("artist", "|").alias("variants")))
-query("n11_song_keys", f"WITH {L.SIDES} SELECT map_id, array_to_string(artist, '|') AS artist, array_to_string(title, '|') AS title, array_to_string(tags, '|') AS tags FROM sk")(lambda spark, d: keys_of_songs(spark, d).select("map_id", F.array_join("artist", "|").alias("artist"), F.array_join("title", "|").alias("title"), F.array_join("tags", "|").alias("tags")))
-query("n12_track_keys", f"WITH {L.TRACK_SIDE} SELECT id, array_to_string(artist, '|') AS artist, array_to_string(title, '|') AS title, array_to_string(tags, '|') AS tags FROM tk")(lambda spark, d: keys_of_tracks(spark, d).select("id", F.array_join("artist", "|").alias("artist"), F.array_join("title", "|").alias("title"), F.array_join("tags", "|").alias("tags")))
+query("n11_song_keys",
+    f"WITH {L.SIDES} SELECT map_id, array_to_string(artist, '|') AS artist, array_to_string(title, '|') "
+    f"AS title, array_to_string(tags, '|') AS tags FROM sk")(lambda spark, d: keys_of_songs(spark, d).select("map_id", F.array_join("artist", "|").alias("artist"), F.array_join("title", "|").alias("title"), F.array_join("tags", "|").alias("tags")))
+query("n12_track_keys",
+    f"WITH {L.TRACK_SIDE} SELECT id, array_to_string(artist, '|') AS artist, array_to_string(title, '|') "
+    f"AS title, array_to_string(tags, '|') AS tags FROM tk")(lambda spark, d: keys_of_tracks(spark, d).select("id", F.array_join("artist", "|").alias("artist"), F.array_join("title", "|").alias("title"), F.array_join("tags", "|").alias("tags")))
 _TRI = "CASE WHEN length(s) < 3 THEN [s] ELSE list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3)) END"
 query("n13_trigrams", f"SELECT doc_id, array_to_string({_TRI}, '|') AS trigrams FROM {_DUP}")(lambda spark, d: sentences(spark, d).select("doc_id", F.array_join(T.trigrams(F.col("s")), "|").alias("trigrams")))
 query("n14_unique_trigrams", f"SELECT doc_id, CASE WHEN length(s) < 3 THEN 0 ELSE len(list_distinct({_TRI})) END AS n FROM {_DUP}")(lambda spark, d: sentences(spark, d).select("doc_id", F.size(T.unique_trigrams(F.col("s"))).alias("n")))
@@ -453,12 +538,19 @@ def name_pairs(spark, d):
     return a.join(b, "k")
 
 
-_PAIRS = "(SELECT x.p_partkey AS k, x.p_name || ' ' || lower(x.p_type) AS a, y.p_name AS b, list_distinct(string_split(x.p_name || ' ' || lower(x.p_type), ' ')) AS ta, list_distinct(string_split(y.p_name, ' ')) AS tb FROM part x JOIN part y ON x.p_partkey = y.p_partkey * 3)"
+_PAIRS = (
+    "(SELECT x.p_partkey AS k, x.p_name || ' ' || lower(x.p_type) AS a, y.p_name AS b, "
+    "list_distinct(string_split(x.p_name || ' ' || lower(x.p_type), ' ')) AS ta, list_distinct(string_split(y.p_name, ' ')) "
+    "AS tb FROM part x JOIN part y ON x.p_partkey = y.p_partkey * 3)"
+)
 _CONTAINS = "CASE WHEN a = b THEN 1.0e0 WHEN least(length(a), length(b)) >= 3 AND (contains(a, b) OR contains(b, a)) THEN 0.8e0 ELSE 0.0e0 END"
 query("g03_word_jaccard", f"SELECT k, len(list_intersect(ta, tb)) / (len(ta) + len(tb) - len(list_intersect(ta, tb)))::DOUBLE AS score FROM {_PAIRS}")(lambda spark, d: name_pairs(spark, d).select("k", S.word_jaccard(F.col("a"), F.col("b")).alias("score")))
 query("g04_token_set", f"SELECT k, 2.0e0 * len(list_intersect(ta, tb)) / (len(ta) + len(tb)) AS score FROM {_PAIRS}")(lambda spark, d: name_pairs(spark, d).select("k", S.token_set(F.col("a"), F.col("b")).alias("score")))
 query("g05_contains_score", f"SELECT k, {_CONTAINS} AS score FROM {_PAIRS}")(lambda spark, d: name_pairs(spark, d).select("k", S.contains_score(F.col("a"), F.col("b")).alias("score")))
-query("g09_contains_significant", f"SELECT k, (least(length(a), length(b)) >= 6 OR contains(CASE WHEN length(a) <= length(b) THEN a ELSE b END, ' ')) AND contains(' ' || CASE WHEN length(a) <= length(b) THEN b ELSE a END || ' ', ' ' || CASE WHEN length(a) <= length(b) THEN a ELSE b END || ' ') AS hit FROM {_PAIRS}")(
+query("g09_contains_significant",
+    f"SELECT k, (least(length(a), length(b)) >= 6 OR contains(CASE WHEN length(a) <= length(b) THEN a ELSE b END, ' ')) "
+    f"AND contains(' ' || CASE WHEN length(a) <= length(b) THEN b ELSE a END || ' ', ' ' || CASE "
+    f"WHEN length(a) <= length(b) THEN a ELSE b END || ' ') AS hit FROM {_PAIRS}")(
     lambda spark, d: name_pairs(spark, d).select("k", S.contains_significant(F.col("a"), F.col("b")).alias("hit"))
 )
 # Jaro in SQL: matched characters are found one after another with a recursive list fold
@@ -470,13 +562,19 @@ q AS (SELECT a, b, len(list_filter(hit, lambda h: h > 0)) AS n, list_filter(list
   list_transform(list_sort(list_filter(hit, lambda h: h > 0)), lambda h: substr(b, h, 1)) AS y FROM m),
 j AS (SELECT a, b, CASE WHEN a = b THEN 1.0e0 WHEN n = 0 THEN 0.0e0 ELSE (n * 1.0e0 / length(a) + n * 1.0e0 / length(b) + (n - len(list_filter(range(1, n + 1), lambda i: x[i] <> y[i])) / 2.0e0) / n) / 3 END AS jaro FROM q)
 """
-_PREFIX = "CASE WHEN substr(a, 1, 1) <> substr(b, 1, 1) THEN 0 WHEN substr(a, 2, 1) <> substr(b, 2, 1) THEN 1 WHEN substr(a, 3, 1) <> substr(b, 3, 1) THEN 2 WHEN substr(a, 4, 1) <> substr(b, 4, 1) THEN 3 ELSE least(4, length(a), length(b)) END"
+_PREFIX = (
+    "CASE WHEN substr(a, 1, 1) <> substr(b, 1, 1) THEN 0 WHEN substr(a, 2, 1) <> substr(b, 2, 1) THEN 1 "
+    "WHEN substr(a, 3, 1) <> substr(b, 3, 1) THEN 2 WHEN substr(a, 4, 1) <> substr(b, 4, 1) THEN 3 "
+    "ELSE least(4, length(a), length(b)) END"
+)
 query("g01_jaro", f"{_JARO} SELECT k, round(jaro, 9) AS score FROM {_PAIRS} JOIN j USING (a, b)".lstrip())(lambda spark, d: name_pairs(spark, d).select("k", F.round(S.jaro(F.col("a"), F.col("b")), 9).alias("score")))
 query("g02_jaro_winkler", f"{_JARO} SELECT k, round(jaro + 0.1e0 * ({_PREFIX}) * (1 - jaro), 9) AS score FROM {_PAIRS} JOIN j USING (a, b)".lstrip())(lambda spark, d: name_pairs(spark, d).select("k", F.round(S.jaro_winkler(F.col("a"), F.col("b")), 9).alias("score")))
 _FUZZY = f"greatest({_CONTAINS}, jaro + 0.1e0 * ({_PREFIX}) * (1 - jaro), 2.0e0 * len(list_intersect(ta, tb)) / (len(ta) + len(tb)))"
 query("g06_fuzzy_score", f"{_JARO} SELECT k, round({_FUZZY}, 9) AS score FROM {_PAIRS} JOIN j USING (a, b)".lstrip())(lambda spark, d: name_pairs(spark, d).select("k", F.round(S.fuzzy_score(F.col("a"), F.col("b")), 9).alias("score")))
 query("g07_fuzzy_at_least", f"{_JARO} SELECT k, {_FUZZY} >= 0.75 AS hit FROM {_PAIRS} JOIN j USING (a, b)".lstrip())(lambda spark, d: name_pairs(spark, d).select("k", S.fuzzy_at_least(F.col("a"), F.col("b"), 0.75).alias("hit")))
-query("g08_token_aware", f"WITH {L.aware(_PAIRS, 0.75)} SELECT k, a = b OR EXISTS (FROM aware w WHERE w.a = p.a AND w.b = p.b) AS hit FROM {_PAIRS} p".replace("WITH \n", "WITH "))(lambda spark, d: name_pairs(spark, d).select("k", S.token_aware(F.col("a"), F.col("b"), 0.75).alias("hit")))
+query("g08_token_aware",
+    f"WITH {L.aware(_PAIRS, 0.75)} SELECT k, a = b OR EXISTS (FROM aware w WHERE w.a = p.a AND w.b = p.b) AS hit "
+    f"FROM {_PAIRS} p".replace("WITH \n", "WITH "))(lambda spark, d: name_pairs(spark, d).select("k", S.token_aware(F.col("a"), F.col("b"), 0.75).alias("hit")))
 # The same nine with a pair for every part: the part of the next key, or the first part where there is none.
 
 
@@ -490,7 +588,8 @@ def next_pairs(spark, d):
 
 _NEXT = _PAIRS.replace(
     "part x JOIN part y ON x.p_partkey = y.p_partkey * 3",
-    "part x CROSS JOIN (SELECT min(p_partkey) AS low FROM part) LEFT JOIN part z ON z.p_partkey = x.p_partkey + 1 JOIN part y ON y.p_partkey = coalesce(z.p_partkey, low)",
+    "part x CROSS JOIN (SELECT min(p_partkey) AS low FROM part) LEFT JOIN part z ON z.p_partkey = x.p_partkey + 1 "
+        "JOIN part y ON y.p_partkey = coalesce(z.p_partkey, low)",
 )
 for _name, _column, _made in [
     ("g01_jaro", "score", lambda a, b: F.round(S.jaro(a, b), 9)),
@@ -525,7 +624,9 @@ def shown(*columns):
 
 @query(
     "g13_remix_compatible",
-    f"WITH {L.DISTINCT} SELECT DISTINCT {', '.join(f"array_to_string({side}.{part}, '|') AS {side}_{part}" for side in 'tm' for part in ('title', 'tags', 'artist'))}, {L.compatible('t', 'm')} AS compatible FROM t JOIN m ON list_has_any(t.title, m.title) WHERE len(t.tags) + len(m.tags) > 0",
+    f"WITH {L.DISTINCT} "
+        f"SELECT DISTINCT {', '.join(f"array_to_string({side}.{part}, '|') AS {side}_{part}" for side in 'tm' for part in ('title', 'tags', 'artist'))}, {L.compatible('t', 'm')} "
+        f"AS compatible FROM t JOIN m ON list_has_any(t.title, m.title) WHERE len(t.tags) + len(m.tags) > 0",
 )
 def g13(spark, d):
     """Keys with a title in common, of which one has tags: which of them the job lets pass."""
@@ -540,7 +641,11 @@ def g13(spark, d):
 
 @query(
     "g10_artist_pairs",
-    f"WITH {L.DISTINCT}, grams AS (SELECT variant, {L._GRAMS.format('variant')} AS u FROM known), votes AS (SELECT DISTINCT sig, variant FROM (SELECT sig, {L._GRAMS.format('own')} AS g FROM owns) JOIN grams ON len(g) > 0 AND len(list_intersect(g, u)) >= greatest(2, ceil(len(g) * 0.25))), {L.aware('(SELECT own AS a, variant AS b FROM votes JOIN owns USING (sig))', link.THRESHOLD)} SELECT DISTINCT sig, variant FROM votes JOIN owns USING (sig) LEFT JOIN aware ON a = own AND b = variant WHERE own = variant OR {L.significant('own', 'variant')} OR a IS NOT NULL",
+    f"WITH {L.DISTINCT}, grams AS (SELECT variant, {L._GRAMS.format('variant')} AS u FROM known), votes AS "
+        f"(SELECT DISTINCT sig, variant FROM (SELECT sig, {L._GRAMS.format('own')} AS g FROM owns) JOIN grams ON len(g) > 0 "
+        f"AND len(list_intersect(g, u)) >= greatest(2, ceil(len(g) * 0.25))), {L.aware('(SELECT own AS a, variant AS b FROM votes JOIN owns USING (sig))', link.THRESHOLD)} "
+        f"SELECT DISTINCT sig, variant FROM votes JOIN owns USING (sig) LEFT JOIN aware ON a = own AND b = variant "
+        f"WHERE own = variant OR {L.significant('own', 'variant')} OR a IS NOT NULL",
 )
 def g10(spark, d):
     sigs, variants = link.signatures(keys_of_tracks(spark, d)), link.artist_variants(keys_of_songs(spark, d))
@@ -549,7 +654,8 @@ def g10(spark, d):
 
 @query(
     "g11_titles_match",
-    f"WITH {L.paths(link.THRESHOLD)} SELECT DISTINCT array_to_string(x, '|') AS t_title, array_to_string(y, '|') AS m_title, EXISTS (FROM agree WHERE agree.x = brought.x AND agree.y = brought.y) AS agree FROM brought",
+    f"WITH {L.paths(link.THRESHOLD)} SELECT DISTINCT array_to_string(x, '|') AS t_title, array_to_string(y, '|') "
+        f"AS m_title, EXISTS (FROM agree WHERE agree.x = brought.x AND agree.y = brought.y) AS agree FROM brought",
 )
 def g11(spark, d):
     """Titles of compatible keys that an accepted artist brings together: which of them the job finds to match."""
@@ -572,17 +678,28 @@ def plain_sigs(spark, d):
     return s, v
 
 
-_SIGS = "s AS (SELECT DISTINCT regexp_replace(lower(artist), '[^a-z0-9]+', '', 'g') AS sig FROM tracks), v AS (SELECT DISTINCT regexp_replace(lower(song_author), '[^a-z0-9]+', '', 'g') AS variant FROM songs WHERE song_author <> '')"
+_SIGS = (
+    "s AS (SELECT DISTINCT regexp_replace(lower(artist), '[^a-z0-9]+', '', 'g') AS sig FROM tracks), v AS "
+    "(SELECT DISTINCT regexp_replace(lower(song_author), '[^a-z0-9]+', '', 'g') AS variant FROM songs "
+    "WHERE song_author <> '')"
+)
 _GRAMS = "list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3)))"
 query("k01_exact_artists", f"WITH {_SIGS} SELECT sig, variant FROM s JOIN v ON sig = variant")(lambda spark, d: link.exact_artists(*plain_sigs(spark, d)))
-query("k02_trigram_votes", f"WITH {_SIGS}, g AS (SELECT sig, {_GRAMS.format('sig')} AS t FROM s), h AS (SELECT variant, {_GRAMS.format('variant')} AS u FROM v) SELECT sig, variant FROM g JOIN h ON len(list_intersect(t, u)) >= greatest(2, ceil(len(t) * 0.25))")(
+query("k02_trigram_votes",
+    f"WITH {_SIGS}, g AS (SELECT sig, {_GRAMS.format('sig')} AS t FROM s), h AS (SELECT variant, {_GRAMS.format('variant')} "
+    f"AS u FROM v) SELECT sig, variant FROM g JOIN h ON len(list_intersect(t, u)) >= greatest(2, ceil(len(t) * 0.25))")(
     lambda spark, d: link.trigram_votes(*plain_sigs(spark, d))
 )
-query("a14_trigram_frequency", f"WITH {_SIGS}, h AS (SELECT unnest({_GRAMS.format('variant')}) AS trigram FROM v WHERE length(variant) >= 3) SELECT trigram, count(*) AS df FROM h GROUP BY 1")(lambda spark, d: link.trigram_frequency(plain_sigs(spark, d)[1]))
+query("a14_trigram_frequency",
+    f"WITH {_SIGS}, h AS (SELECT unnest({_GRAMS.format('variant')}) AS trigram FROM v WHERE length(variant) >= 3) "
+    f"SELECT trigram, count(*) AS df FROM h GROUP BY 1")(lambda spark, d: link.trigram_frequency(plain_sigs(spark, d)[1]))
 query("j05_fuzzy_only_artists", f"WITH {_SIGS} SELECT sig FROM s WHERE sig NOT IN (SELECT variant FROM v)")(
     lambda spark, d: plain_sigs(spark, d)[0].join(link.exact_artists(*plain_sigs(spark, d)), "sig", "left_anti").select("sig")
 )
-query("j07_title_variant_join", "SELECT DISTINCT regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') AS tkey, regexp_replace(lower(song_name), '[^a-z0-9]+', '', 'g') AS mkey FROM tracks JOIN songs ON regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') = regexp_replace(lower(song_name), '[^a-z0-9]+', '', 'g')")(
+query("j07_title_variant_join",
+    "SELECT DISTINCT regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') "
+    "AS tkey, regexp_replace(lower(song_name), '[^a-z0-9]+', '', 'g') AS mkey FROM tracks JOIN songs "
+    "ON regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') = regexp_replace(lower(song_name), '[^a-z0-9]+', '', 'g')")(
     lambda spark, d: link.exact_title_pairs(
         tracks(spark, d).select(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", "").alias("tkey")).select("tkey", F.array("tkey").alias("title"), F.array("tkey").alias("artist")),
         songs(spark, d).select(F.regexp_replace(F.lower("song_name"), "[^a-z0-9]+", "").alias("mkey")).select("mkey", F.array("mkey").alias("title")),
@@ -591,7 +708,9 @@ query("j07_title_variant_join", "SELECT DISTINCT regexp_replace(lower(title), '[
 query("k03_fuzzy_artists", f"WITH {L.accepted(link.THRESHOLD)} SELECT sig, variant FROM fuzzy")(lambda spark, d: link.accepted_artists(link.signatures(keys_of_tracks(spark, d)), link.artist_variants(keys_of_songs(spark, d)), link.THRESHOLD).where("NOT exact").select("sig", "variant"))
 query(
     "k04_artist_candidates",
-    "SELECT sig, map_id FROM (SELECT DISTINCT regexp_replace(lower(artist), '[^a-z0-9]+', '', 'g') AS sig FROM tracks) JOIN (SELECT map_id, regexp_replace(lower(song_author), '[^a-z0-9]+', '', 'g') AS variant FROM songs WHERE song_author <> '') ON sig = variant",
+    "SELECT sig, map_id FROM (SELECT DISTINCT regexp_replace(lower(artist), '[^a-z0-9]+', '', 'g') AS sig FROM tracks) JOIN "
+        "(SELECT map_id, regexp_replace(lower(song_author), '[^a-z0-9]+', '', 'g') AS variant FROM songs "
+        "WHERE song_author <> '') ON sig = variant",
 )(
     lambda spark, d: link.artist_candidates(
         link.exact_artists(*plain_sigs(spark, d)).withColumn("exact", F.lit(True)), songs(spark, d).select("map_id", F.array(F.regexp_replace(F.lower("song_author"), "[^a-z0-9]+", "")).alias("artist"))
@@ -631,14 +750,19 @@ def k06(spark, d):
 # an artist found by trigrams brings a bounded number of songs, those with the least map_id
 query(
     "w02_capped_candidates",
-    f"WITH {L.accepted(link.THRESHOLD)}, met AS (SELECT DISTINCT sig, map_id FROM (SELECT map_id, unnest(artist) AS variant FROM sk) JOIN fuzzy USING (variant)) SELECT sig, map_id FROM (SELECT *, row_number() OVER (PARTITION BY sig ORDER BY map_id) AS n FROM met) WHERE n <= 20",
+    f"WITH {L.accepted(link.THRESHOLD)}, met AS (SELECT DISTINCT sig, map_id FROM (SELECT map_id, unnest(artist) AS variant "
+        f"FROM sk) JOIN fuzzy USING (variant)) SELECT sig, map_id FROM (SELECT *, row_number() OVER (PARTITION BY sig "
+        f"ORDER BY map_id) AS n FROM met) WHERE n <= 20",
 )(
     lambda spark, d: link.artist_candidates(
         link.accepted_artists(link.signatures(keys_of_tracks(spark, d)), link.artist_variants(keys_of_songs(spark, d)), link.THRESHOLD).where("NOT exact"), keys_of_songs(spark, d), 20
     ).select("sig", "map_id")
 )
 query("k07_match_tracks", _found_sql("found"))(lambda spark, d: link.match_tracks(tracks(spark, d), songs(spark, d)))
-_SCORED = f"WITH {L.scores(link.THRESHOLD)}, pairs_of AS (SELECT DISTINCT track_id, map_id, score FROM {L.fanned('found')} f JOIN scores USING (t, m))"
+_SCORED = (
+    f"WITH {L.scores(link.THRESHOLD)}, pairs_of AS (SELECT DISTINCT track_id, map_id, score FROM {L.fanned('found')} f "
+    f"JOIN scores USING (t, m))"
+)
 query("k08_score_matches", _SCORED + " SELECT track_id, map_id, round(score, 9) AS score FROM pairs_of")(
     lambda spark, d: link.score_matches(tracks(spark, d), songs(spark, d)).select("track_id", "map_id", F.round("score", 9).alias("score"))
 )
@@ -659,14 +783,19 @@ _TERMS = ["red widget", "small ring", "no such title"]
 query("j10_search_titles", L.searched(_TERMS, 0.8, 5))(
     lambda spark, d: link.search_titles(tracks(spark, d), songs(spark, d), _TERMS).withColumn("score", F.round("score", 9))
 )
-query("g15_explain_pairs", L.explained("SELECT track_id, map_id FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, map_id) AS rank FROM scored) WHERE rank = 1", 0.5))(
+query("g15_explain_pairs", L.explained(
+    "SELECT track_id, map_id FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, map_id) AS rank "
+    "FROM scored) WHERE rank = 1", 0.5))(
     lambda spark, d: link.explain_pairs(tracks(spark, d), songs(spark, d), res.top_matches(scored(spark, d), 1).select("track_id", "map_id")).withColumn("score", F.round("score", 9))
 )
 query("a12_empty_keys", f"WITH {L.SIDES} SELECT count(*) AS rows, count(*) FILTER (len(title) = 0) AS empty FROM sk")(lambda spark, d: res.empty_keys(keys_of_songs(spark, d)))
 query("a12_empty_track_keys", f"WITH {L.SIDES} SELECT count(*) AS rows, count(*) FILTER (len(title) = 0) AS empty FROM tk")(lambda spark, d: res.empty_keys(keys_of_tracks(spark, d)))
 query(
     "a13_size_profile",
-    f"WITH {L.paths(link.THRESHOLD)}, pairs_of AS (SELECT DISTINCT track_id, map_id FROM {L.fanned('found')}) SELECT (SELECT count(DISTINCT v) FROM (SELECT unnest(artist) AS v FROM sk)) AS artist_variants, (SELECT count(DISTINCT v) FROM (SELECT unnest(title) AS v FROM sk)) AS title_variants, (SELECT count(DISTINCT track_id) FROM pairs_of) AS matched_tracks, (SELECT count(*) FROM pairs_of) AS pairs",
+    f"WITH {L.paths(link.THRESHOLD)}, pairs_of AS (SELECT DISTINCT track_id, map_id FROM {L.fanned('found')}) SELECT (SELECT "
+        f"count(DISTINCT v) FROM (SELECT unnest(artist) AS v FROM sk)) AS artist_variants, (SELECT count(DISTINCT v) FROM "
+        f"(SELECT unnest(title) AS v FROM sk)) AS title_variants, (SELECT count(DISTINCT track_id) FROM pairs_of) "
+        f"AS matched_tracks, (SELECT count(*) FROM pairs_of) AS pairs",
 )(lambda spark, d: res.size_profile(keys_of_songs(spark, d), link.match_tracks(tracks(spark, d), songs(spark, d))))
 
 
@@ -679,9 +808,12 @@ def listed(groups, matches):
 @query(
     "k09_group_results",
     _SCORED
-    + ", g AS (SELECT lower(artist) AS a, lower(title) AS t, min((artist, title, id)) AS first, count(*) AS n FROM tracks WHERE id IN (SELECT track_id FROM pairs_of) GROUP BY 1, 2), "
-    "best AS (SELECT lower(artist) AS a, lower(title) AS t, map_id, max(score) AS score FROM pairs_of JOIN tracks ON id = track_id GROUP BY 1, 2, 3), "
-    "listed AS (SELECT a, t, string_agg(map_id, ',' ORDER BY score DESC, map_id) AS map_ids FROM best GROUP BY 1, 2) SELECT first[1] AS artist, first[2] AS title, n AS n_instances, map_ids FROM g JOIN listed USING (a, t)",
+    + ", g AS (SELECT lower(artist) AS a, lower(title) AS t, min((artist, title, id)) AS first, count(*) AS n FROM tracks "
+        "WHERE id IN (SELECT track_id FROM pairs_of) GROUP BY 1, 2), "
+    "best AS (SELECT lower(artist) AS a, lower(title) AS t, map_id, max(score) AS score FROM pairs_of JOIN tracks "
+        "ON id = track_id GROUP BY 1, 2, 3), "
+    "listed AS (SELECT a, t, string_agg(map_id, ',' ORDER BY score DESC, map_id) AS map_ids FROM best GROUP BY 1, 2) "
+        "SELECT first[1] AS artist, first[2] AS title, n AS n_instances, map_ids FROM g JOIN listed USING (a, t)",
 )
 def k09(spark, d):
     t = tracks(spark, d)
@@ -691,50 +823,82 @@ def k09(spark, d):
 
 # ---- results, on scored pairs by a plain rule ----
 
-query("a05_best_score_of_group", "SELECT lower(artist) AS group_artist, lower(title) AS group_title, map_id, max(score) AS score FROM scored JOIN tracks ON id = track_id GROUP BY 1, 2, 3")(lambda spark, d: res.group_scores(scored(spark, d), tracks(spark, d)))
-query("a06_track_groups", "SELECT lower(artist) AS group_artist, lower(title) AS group_title, arg_min(id, (artist, title, id)) AS primary_id, count(*) AS n_instances FROM tracks WHERE id IN (SELECT track_id FROM scored) GROUP BY 1, 2")(
+query("a05_best_score_of_group",
+    "SELECT lower(artist) AS group_artist, lower(title) AS group_title, map_id, max(score) AS score FROM scored JOIN tracks "
+    "ON id = track_id GROUP BY 1, 2, 3")(lambda spark, d: res.group_scores(scored(spark, d), tracks(spark, d)))
+query("a06_track_groups",
+    "SELECT lower(artist) AS group_artist, lower(title) AS group_title, arg_min(id, (artist, title, id)) AS primary_id, "
+    "count(*) AS n_instances FROM tracks WHERE id IN (SELECT track_id FROM scored) GROUP BY 1, 2")(
     lambda spark, d: res.track_groups(scored(spark, d), tracks(spark, d)).select("group_artist", "group_title", "primary_id", "n_instances")
 )
-query("k09_grouped_scored", "SELECT group_artist, group_title, array_to_string(list(map_id ORDER BY score DESC, map_id), ',') AS map_ids FROM (SELECT lower(artist) AS group_artist, lower(title) AS group_title, map_id, max(score) AS score FROM scored JOIN tracks ON id = track_id GROUP BY 1, 2, 3) GROUP BY 1, 2")(
+query("k09_grouped_scored",
+    "SELECT group_artist, group_title, array_to_string(list(map_id ORDER BY score DESC, map_id), ',') AS map_ids FROM "
+    "(SELECT lower(artist) AS group_artist, lower(title) AS group_title, map_id, max(score) AS score FROM scored JOIN tracks "
+    "ON id = track_id GROUP BY 1, 2, 3) GROUP BY 1, 2")(
     lambda spark, d: listed(res.group_results(scored(spark, d), tracks(spark, d)), res.group_matches(scored(spark, d), tracks(spark, d))).select("group_artist", "group_title", "map_ids")
 )
-_BEST = "(SELECT lower(artist) AS group_artist, lower(title) AS group_title, map_id, max(score) AS score FROM scored JOIN tracks ON id = track_id GROUP BY 1, 2, 3)"
-_GROUPED = "(SELECT lower(artist) AS group_artist, lower(title) AS group_title, min((artist, title, id)) AS first, count(*) AS n_instances FROM tracks WHERE id IN (SELECT track_id FROM scored) GROUP BY 1, 2)"
+_BEST = (
+    "(SELECT lower(artist) AS group_artist, lower(title) AS group_title, map_id, max(score) AS score FROM scored JOIN tracks "
+    "ON id = track_id GROUP BY 1, 2, 3)"
+)
+_GROUPED = (
+    "(SELECT lower(artist) AS group_artist, lower(title) AS group_title, min((artist, title, id)) AS first, count(*) "
+    "AS n_instances FROM tracks WHERE id IN (SELECT track_id FROM scored) GROUP BY 1, 2)"
+)
 query(
     "k09_group_rows",
     f"SELECT group_artist, group_title, first[3] AS primary_id, first[1] AS artist, first[2] AS title, n_instances, n_matches, best FROM {_GROUPED} "
-    f"JOIN (SELECT group_artist, group_title, count(*) AS n_matches, max(score) AS best FROM {_BEST} GROUP BY 1, 2) USING (group_artist, group_title)",
+    f"JOIN (SELECT group_artist, group_title, count(*) AS n_matches, max(score) AS best FROM {_BEST} GROUP BY 1, 2) USING "
+        f"(group_artist, group_title)",
 )(lambda spark, d: res.group_results(scored(spark, d), tracks(spark, d)))
 query(
     "k09_group_matches",
-    f"SELECT group_artist, group_title, row_number() OVER (PARTITION BY group_artist, group_title ORDER BY score DESC, map_id) AS position, map_id, score FROM {_BEST}",
+    f"SELECT group_artist, group_title, row_number() OVER (PARTITION BY group_artist, group_title "
+        f"ORDER BY score DESC, map_id) AS position, map_id, score FROM {_BEST}",
 )(lambda spark, d: res.group_matches(scored(spark, d), tracks(spark, d)))
 query(
     "a06_group_instances",
     "SELECT group_artist, group_title, row_number() OVER (PARTITION BY group_artist, group_title ORDER BY artist, title, id) AS position, id "
     "FROM (SELECT *, lower(artist) AS group_artist, lower(title) AS group_title FROM tracks WHERE id IN (SELECT track_id FROM scored))",
 )(lambda spark, d: res.group_instances(scored(spark, d), tracks(spark, d)))
-query("a08_coverage", "SELECT count(DISTINCT (lower(artist), lower(title))) AS groups, count(DISTINCT (lower(artist), lower(title))) FILTER (id IN (SELECT track_id FROM scored)) AS matched_groups, floor(count(DISTINCT (lower(artist), lower(title))) FILTER (id IN (SELECT track_id FROM scored)) / count(DISTINCT (lower(artist), lower(title)))::DOUBLE * 100 * 10 + 0.5) / 10 AS coverage FROM tracks")(
+query("a08_coverage",
+    "SELECT count(DISTINCT (lower(artist), lower(title))) AS groups, count(DISTINCT (lower(artist), lower(title))) FILTER "
+    "(id IN (SELECT track_id FROM scored)) AS matched_groups, floor(count(DISTINCT (lower(artist), lower(title))) FILTER "
+    "(id IN (SELECT track_id FROM scored)) / count(DISTINCT (lower(artist), lower(title)))::DOUBLE * 100 * 10 + 0.5) / 10 "
+    "AS coverage FROM tracks")(
     lambda spark, d: res.coverage(scored(spark, d), tracks(spark, d))
 )
 _COUNTS = "(SELECT track_id, count(*) AS matches, max(score) AS best FROM scored GROUP BY 1)"
 query("a09_match_count_histogram", f"SELECT matches, count(*) AS tracks FROM {_COUNTS} GROUP BY 1")(lambda spark, d: res.match_count_histogram(scored(spark, d)))
-query("a10_score_buckets", f"SELECT CASE WHEN best >= 1 THEN '1.0' WHEN best >= 0.9 THEN '0.9-0.99' WHEN best >= 0.8 THEN '0.8-0.89' WHEN best >= 0.7 THEN '0.7-0.79' ELSE '<0.7' END AS bucket, count(*) AS n, count(*) / (SELECT count(DISTINCT track_id) FROM scored)::DOUBLE AS share FROM {_COUNTS} GROUP BY 1")(
+query("a10_score_buckets",
+    f"SELECT CASE WHEN best >= 1 THEN '1.0' WHEN best >= 0.9 THEN '0.9-0.99' WHEN best >= 0.8 THEN '0.8-0.89' "
+    f"WHEN best >= 0.7 THEN '0.7-0.79' ELSE '<0.7' END AS bucket, count(*) AS n, count(*) / (SELECT count(DISTINCT track_id) "
+    f"FROM scored)::DOUBLE AS share FROM {_COUNTS} GROUP BY 1")(
     lambda spark, d: res.score_buckets(scored(spark, d)).withColumnRenamed("tracks", "n")
 )
-query("a11_match_summary", f"SELECT count(*) AS matched, avg(matches) AS average_matches, (SELECT count(*) FROM tracks) AS n, count(*) / (SELECT count(*) FROM tracks)::DOUBLE AS share FROM {_COUNTS}")(
+query("a11_match_summary",
+    f"SELECT count(*) AS matched, avg(matches) AS average_matches, (SELECT count(*) FROM tracks) AS n, count(*) / (SELECT "
+    f"count(*) FROM tracks)::DOUBLE AS share FROM {_COUNTS}")(
     lambda spark, d: res.match_summary(scored(spark, d), tracks(spark, d)).withColumnRenamed("tracks", "n")
 )
-query("j09_hydrate", "SELECT track_id, scored.map_id, score, title, artist, song_name, bpm FROM scored JOIN tracks ON id = track_id JOIN songs ON songs.map_id = scored.map_id")(
+query("j09_hydrate",
+    "SELECT track_id, scored.map_id, score, title, artist, song_name, bpm FROM scored JOIN tracks ON id = track_id "
+    "JOIN songs ON songs.map_id = scored.map_id")(
     lambda spark, d: res.hydrate(scored(spark, d), tracks(spark, d), songs(spark, d)).select("track_id", "map_id", "score", "title", "artist", "song_name", "bpm")
 )
-query("w03_top_matches", "SELECT track_id, map_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, map_id) AS rank FROM scored) WHERE rank <= 2")(lambda spark, d: res.top_matches(scored(spark, d), 2))
-query("l04_sort_matches", "SELECT track_id, scored.map_id, row_number() OVER (PARTITION BY track_id ORDER BY rating DESC, score DESC, scored.map_id) AS position FROM scored JOIN songs ON songs.map_id = scored.map_id")(
+query("w03_top_matches",
+    "SELECT track_id, map_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY track_id "
+    "ORDER BY score DESC, map_id) AS rank FROM scored) WHERE rank <= 2")(lambda spark, d: res.top_matches(scored(spark, d), 2))
+query("l04_sort_matches",
+    "SELECT track_id, scored.map_id, row_number() OVER (PARTITION BY track_id "
+    "ORDER BY rating DESC, score DESC, scored.map_id) AS position FROM scored JOIN songs ON songs.map_id = scored.map_id")(
     lambda spark, d: res.sort_matches(res.hydrate(scored(spark, d), tracks(spark, d), songs(spark, d)), "rating").select("track_id", "map_id", "position")
 )
 for _key, _col in [("bpm", "bpm"), ("duration", "duration"), ("upload_time", "upload_time"), ("score", "score"), ("ranked", "ranked_states")]:
     for _way, _up in (("asc", True), ("desc", False)):
-        query(f"l04_sort_{_key}_{_way}", f"SELECT track_id, scored.map_id, row_number() OVER (PARTITION BY track_id ORDER BY {_col} {_way}, scored.map_id) AS position FROM scored JOIN songs ON songs.map_id = scored.map_id")(
+        query(f"l04_sort_{_key}_{_way}",
+            f"SELECT track_id, scored.map_id, row_number() OVER (PARTITION BY track_id ORDER BY {_col} {_way}, scored.map_id) "
+            f"AS position FROM scored JOIN songs ON songs.map_id = scored.map_id")(
             lambda spark, d, k=_key, up=_up: res.sort_matches(res.hydrate(scored(spark, d), tracks(spark, d), songs(spark, d)), k, up).select("track_id", "map_id", "position")
         )
 # Text keys in locale order, which DuckDB takes from a library of its own.
@@ -747,16 +911,26 @@ for _key in res.MATCH_SORTS[:3]:
         )(lambda spark, d, k=_key, up=_up: res.sort_matches(res.hydrate(scored(spark, d), tracks(spark, d), songs(spark, d)), k, up).select("track_id", "map_id", "position"))
 query(
     "l05_page_in_locale_order",
-    f"SELECT group_artist, group_title, row_number() OVER (ORDER BY first[1] COLLATE en, first[2] COLLATE en, first[3]) - 1001 AS position FROM {_GROUPED} ORDER BY position LIMIT 500 OFFSET 1000",
+    f"SELECT group_artist, group_title, row_number() OVER "
+        f"(ORDER BY first[1] COLLATE en, first[2] COLLATE en, first[3]) - 1001 AS position FROM {_GROUPED} ORDER BY position "
+        f"LIMIT 500 OFFSET 1000",
 )(lambda spark, d: in_order(res.result_page(res.track_groups(scored(spark, d), tracks(spark, d)), 3, 500)).select("group_artist", "group_title", "position"))
-query("p14_coverage_text", "SELECT printf('%.1f', floor(count(DISTINCT (lower(artist), lower(title))) FILTER (id IN (SELECT track_id FROM scored)) / count(DISTINCT (lower(artist), lower(title)))::DOUBLE * 1000 + 0.5) / 10) AS percent FROM tracks")(
+query("p14_coverage_text",
+    "SELECT printf('%.1f', floor(count(DISTINCT (lower(artist), lower(title))) FILTER (id IN (SELECT track_id "
+    "FROM scored)) / count(DISTINCT (lower(artist), lower(title)))::DOUBLE * 1000 + 0.5) / 10) AS percent FROM tracks")(
     lambda spark, d: res.coverage(scored(spark, d), tracks(spark, d)).select(C.percent_text(F.col("matched_groups") / F.col("groups"), 1).alias("percent"))
 )
-query("l05_result_page","SELECT group_artist, group_title FROM (SELECT lower(artist) AS group_artist, lower(title) AS group_title, arg_min(id, (artist, title, id)) AS pid, min(artist) AS a FROM tracks WHERE id IN (SELECT track_id FROM scored) AND NOT regexp_matches(artist || title, '[^a-z ]') GROUP BY 1, 2) ORDER BY group_artist, group_title, pid LIMIT 20 OFFSET 20")(
+query("l05_result_page",
+    "SELECT group_artist, group_title FROM (SELECT lower(artist) AS group_artist, lower(title) AS group_title, arg_min(id, "
+    "(artist, title, id)) AS pid, min(artist) AS a FROM tracks WHERE id IN (SELECT track_id FROM scored) "
+    "AND NOT regexp_matches(artist || title, '[^a-z ]') GROUP BY 1, 2) ORDER BY group_artist, group_title, pid "
+    "LIMIT 20 OFFSET 20")(
     lambda spark, d: res.result_page(res.track_groups(scored(spark, d), tracks(spark, d).where(~F.concat("artist", "title").rlike("[^a-z ]"))), 2, 20).select("group_artist", "group_title")
 )
 # All matched groups; hexadecimal digits sort alike in the page's collation and in bytes, so both engines share the order.
-query("l05_result_page_whole", "SELECT group_artist, group_title FROM (SELECT DISTINCT lower(artist) AS group_artist, lower(title) AS group_title FROM tracks WHERE id IN (SELECT track_id FROM scored)) ORDER BY group_artist, group_title LIMIT 20 OFFSET 20")(
+query("l05_result_page_whole",
+    "SELECT group_artist, group_title FROM (SELECT DISTINCT lower(artist) AS group_artist, lower(title) AS group_title "
+    "FROM tracks WHERE id IN (SELECT track_id FROM scored)) ORDER BY group_artist, group_title LIMIT 20 OFFSET 20")(
     lambda spark, d: res.result_page(res.track_groups(scored(spark, d), tracks(spark, d)).withColumns({"artist": F.hex("group_artist"), "title": F.hex("group_title")}), 2, 20).select("group_artist", "group_title")
 )
 query("l06_busiest_tracks", f"SELECT track_id, matches, best FROM {_COUNTS} ORDER BY matches DESC, track_id LIMIT 15")(lambda spark, d: res.busiest_tracks(scored(spark, d)))

@@ -174,11 +174,15 @@ def artist_candidates(accepted: DataFrame, song_keys_: DataFrame, most: int | No
 # ---- matching ----
 
 
+def title_entries(df: DataFrame, *columns: str) -> DataFrame:
+    """(block, ...) of each title without its spaces. A title's variants go with and without spaces, so those that share one share it without spaces too, and no others do."""
+    squeezed = F.array_distinct(F.transform("title", lambda v: F.replace(v, F.lit(" "), F.lit(""))))
+    return df.select(F.explode(squeezed).alias("block"), *columns)
+
+
 def exact_title_pairs(t: DataFrame, m: DataFrame) -> DataFrame:
     """(tkey, mkey) with a title variant in common."""
-    left = t.where(F.size("artist") > 0).select("tkey", F.explode("title").alias("variant"))
-    right = m.select("mkey", F.explode("title").alias("variant"))
-    return left.join(right, "variant").select("tkey", "mkey").distinct()
+    return title_entries(t.where(F.size("artist") > 0), "tkey").join(title_entries(m, "mkey"), "block").select("tkey", "mkey").distinct()
 
 
 def _named(df: DataFrame, side: str, *columns: str) -> DataFrame:
@@ -228,12 +232,10 @@ def compatible(rows: DataFrame, t: DataFrame, m: DataFrame) -> DataFrame:
 def exact_title_rows(t: DataFrame, m: DataFrame, threshold: float) -> DataFrame:
     """MATCHED of keys with a title variant in common whose artists match, whatever their versions.
 
-    Artists are held against each other in the blocks of a title; titles fan them out afterwards. A title's variants go with
-    and without spaces, so those that share one share it without spaces too, and no others do.
+    Artists are held against each other in the blocks of a title; titles fan them out afterwards.
     """
     t = t.where(F.size("artist") > 0)
-    squeezed = F.array_distinct(F.transform("title", lambda v: F.replace(v, F.lit(" "), F.lit(""))))
-    entries = lambda df: df.select(F.explode(squeezed).alias("block"), "who", "what")
+    entries = lambda df: title_entries(df, "who", "what")
     lists = lambda df: entries(df).select("block", F.col("who").alias("id")).distinct().join(_lists(df, "who", "artist"), "id")
     met = alike_in_blocks(lists(t), lists(m), threshold).withColumnsRenamed({"left": "t_who", "right": "m_who"})
     for side, df in (("t", t), ("m", m)):

@@ -528,6 +528,23 @@ for _name, _column, _made in [
 ]:
     query(f"{_name}_whole", ORACLES[_name].replace(_DUP, _WHOLE))(lambda spark, d, column=_column, made=_made: whole_texts(spark, d).select("doc_id", made(F.col("s")).alias(column)))
 
+# Every look-alike by its code point, behind each whole text (fixed values).
+_CODES = {
+    "''": [*range(0x2018, 0x201C), 0x2039, 0x203A],
+    '"': [*range(0x201C, 0x2020), 0xAB, 0xBB],
+    "-": [*range(0x2010, 0x2016)],
+    ".": [0x2026],
+    "*": [0x2022],
+    " ": [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000],
+}
+_ALIKE = "".join(chr(c) for codes in [*_CODES.values(), range(0xFF01, 0xFF5F)] for c in codes)
+_FOLDED = " ".join(f"WHEN unicode(c) IN ({', '.join(map(str, codes))}) THEN '{plain}'" for plain, codes in _CODES.items())
+query(
+    "n01_fold_every_lookalike",
+    f"SELECT doc_id, array_to_string(list_transform(string_split(s || '{_ALIKE}', ''), lambda c: "
+    f"CASE {_FOLDED} WHEN unicode(c) BETWEEN 65281 AND 65374 THEN chr(unicode(c) - 65248) ELSE c END), '') AS folded FROM {_WHOLE}",
+)(lambda spark, d: whole_texts(spark, d).select("doc_id", T.fold_lookalikes(F.concat("s", F.lit(_ALIKE))).alias("folded")))
+
 # ---- similarity: names of consecutive parts ----
 
 

@@ -2,8 +2,8 @@
 
 Fixed expressions find the seeds: e-mail addresses, IP addresses, card and phone numbers. What stands beside a seed (the
 word or the two words before it, the word behind it, both) is a lexical pattern of its kind. The same patterns
-also stand beside candidates, identifiers that the expressions leave out: numbers without a plus sign, addresses
-whose signs are written out or bracketed, IPv6 addresses. Patterns and instances are the two sides of a graph, which Spark
+also stand beside candidates, identifiers that the expressions leave out: numbers of 7 to 12 digits without a plus sign, card
+numbers with other marks between their digits, addresses whose signs are written out or bracketed, IPv6 addresses. Patterns and instances are the two sides of a graph, which Spark
 scores in rounds: a pattern has the share of its instances that are known to be of the kind, if
 enough of them are; a candidate the chance that not all of its patterns err. Instances count once for a
 pattern, whatever the number of copies. Candidates of a high score are found, seeds stay in any case.
@@ -103,9 +103,11 @@ def candidates(text: str, known: list[Span]) -> list[tuple[int, int, list[int]]]
     """(start, end, kinds) of identifiers that are no seeds and meet none."""
     some = []
     for m in _NUMBER.finditer(text):
-        n = len(_digits(m.group()))
-        if kinds := [k for k, low, high in ((CARD, 12, 19), (PHONE, 7, 15)) if low <= n <= high]:
-            some.append((m.start(), m.end(), kinds))
+        digits = _digits(m.group())
+        if 13 <= len(digits) <= 19 and luhn(digits):  # a number that fails its own check is no card in any context
+            some.append((m.start(), m.end(), [CARD]))
+        elif 7 <= len(digits) <= 12:
+            some.append((m.start(), m.end(), [PHONE]))
     some += [(m.start(), m.end(), [IP]) for p in (_IPV6, _BRACKETED_IP) for m in p.finditer(text)]
     done = 0
     for m in _WRITTEN_AT.finditer(text):

@@ -1,5 +1,6 @@
 """Personal data: seeds against plain expressions, scores against a plain graph, finds in contexts."""
 
+import hashlib
 import random
 import re
 import time
@@ -97,5 +98,24 @@ def test_finds_and_scores(spark):
         assert more == want, text
 
 
+def test_query_on_whole_documents(spark, sf_dir):
+    """The contract's columns of every document, from plain expressions."""
+    from linkwright.llm.q11 import op11_pii
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = op11_pii(spark, sf_dir).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        spans = plain_seeds(texts[r.doc_id])
+        joined = ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == j for k, _, _ in spans) for j in range(4)]
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and r.spans == joined and r.n_found == 0
+    assert sum(r.n_card + r.n_email for r in got) > 0
+
+
+def test_numbers_that_fail_their_check_are_no_candidates():
+    assert candidates("card 4111 1111 1111 1112 or 4111111111111112", []) == [] and candidates("card 4111.1111.1111.1111", []) == [(5, 24, [2])]
+
+
 def test_empty_table(spark):
     assert personal_data(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []

@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkwright.shipping import arrow_map
+from linkwright.shipping import arrow_map, slices
 
 #: The byte-level pre-tokenizer's pattern (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose encodings a worker keeps; beyond, it starts anew.
 MAX_WORDS = 250_000
-#: Characters of text that are encoded at a time.
-CHUNK_CHARS = 4_000_000
+#: Characters of text that are encoded, decoded and handed back at a time.
+CHUNK_CHARS = 1_000_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -168,16 +168,16 @@ def bpe(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(source.value)
-        for batch in it:
-            lengths, ids, texts = [], [], []
+        for batch in slices(it):
+            at = 0
             for some in chunks(batch["text"].to_pylist()):
-                for one in bpe.encode(some):
-                    lengths.append(len(one))
-                    ids.append(np.array(one, dtype=np.int32))
-                    texts.append(bpe.decode(one))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-            flat = pa.array(np.concatenate([*ids, np.empty(0, np.int32)]))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(offsets, flat), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+                coded = bpe.encode(some)
+                offsets = pa.array(np.cumsum([0, *map(len, coded)]).astype(np.int32))
+                flat = pa.array(np.fromiter(chain.from_iterable(coded), np.int32))
+                decoded = pa.array(map(bpe.decode, coded), pa.string())
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, len(some)), pa.ListArray.from_arrays(offsets, flat), decoded], ["doc_id", "ids", "decoded"])
+                at += len(some)
+                del some, coded, offsets, flat, decoded  # nothing of a chunk stays while the next one is made
         bpe.forget()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -409,6 +410,22 @@ def test_bpe(spark, real, awkward):
     assert bpe.bpe(empty(spark), tokenizer_path()).count() == 0
 
 
+def test_bpe_gives_a_batch_back_by_chunks(spark, monkeypatch):
+    """A worker holds what it makes of a chunk, not of all rows of a batch; each piece keeps its own doc_ids."""
+    texts = [None if k % 7 == 0 else f"row {k} of many " * (k % 5) for k in range(2500)] + ["long text " * 150_000, "", "end"]
+    docs, kept = documents(spark, [""]), []
+    monkeypatch.setattr(bpe, "arrow_map", lambda rows, batches, schema: kept.append(batches))
+    bpe.bpe(docs, tokenizer_path())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([t or "" for t in texts])], ["doc_id", "text"])
+    pieces = list(kept[0](iter([batch])))
+    assert max(p.num_rows for p in pieces) <= 1000
+    assert all(p.num_rows == 1 or sum(map(len, p["decoded"].to_pylist())) <= bpe.CHUNK_CHARS for p in pieces)
+    whole = pa.Table.from_batches(pieces)
+    assert whole["doc_id"].to_pylist() == list(range(len(texts))) and whole["decoded"].to_pylist() == [t or "" for t in texts]
+    own = bpe.coder(open(tokenizer_path(), encoding="utf-8").read())
+    assert whole["ids"].slice(0, 2500).to_pylist() == own.encode([t or "" for t in texts[:2500]])
+
+
 def test_bpe_on_random_strings():
     from tokenizers import Tokenizer
 

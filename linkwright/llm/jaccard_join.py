@@ -5,7 +5,7 @@ chooses those of its tokens whose node-seeded hash is below 1 / (LAMBDA * size),
 and goes down to the nodes named by the path so far and the token. Similar sets choose the same tokens, so
 they meet in the same nodes. A node with few sets is a bucket; the sets of a larger one are split on the
 next tokens of their paths, DEPTH tokens at most: a group of near copies chooses the same tokens at any depth, so
-splitting further would not end. Runs are repeated until a pair at the threshold is met with probability RECALL.
+splitting further would not end. Before a split, sets that one of LEADERS leaders of the node covers are tied to it and left out. Runs are repeated until a pair at the threshold is met with probability RECALL.
 
 Documents with equal sets are one class from the start, so copies never meet each other. In a bucket, sets
 are compared by sketches of their least hashes with leaders: a set that no leader covers becomes one, and
@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ BLOCK_BYTES = 16_000_000
 COLUMNS, ROWS = 1024, 256
 #: Cells of a sketch; sketches at least COVER alike are covered, at least TIE alike are tied.
 CELLS, COVER, TIE = 64, 0.6, 0.22
+#: Leaders of a large node before it is split.
+LEADERS = 4
 
 
 def runs(similarity: float = SIMILARITY, recall: float = RECALL) -> int:
@@ -100,43 +103,53 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.where(inside, (value & np.uint64(0xFFFF)) | np.uint64(1), np.uint64(0)).astype(np.uint16)
 
 
-def paths(s: np.ndarray, seeds: np.ndarray) -> list[list[np.ndarray]]:
-    """For each node of the first level its hash, and the hashes of the nodes below it on each further level."""
+def paths(s: np.ndarray, seeds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each level the hashes of its nodes, in the order of the nodes above, and how many each of these has (on the first level: how many there are)."""
     below = np.uint64(min(2**64 - 1, int(2**64 / (LAMBDA * len(s)))))
-    level = np.argwhere(mix(s[None, :] ^ seeds[:, None]) < below)
-    node = mix(mix(s[level[:, 1]]) + seeds[level[:, 0]])
-    root = np.arange(len(node))
-    out = [[n, [], []] for n in node]
-    for depth in range(1, DEPTH):
-        if not len(node):
-            break
+    chosen = np.argwhere(mix(s[None, :] ^ seeds[:, None]) < below)
+    node = mix(mix(s[chosen[:, 1]]) + seeds[chosen[:, 0]])
+    out = [(node, np.array([len(node)]))]
+    for _ in range(1, DEPTH):
         chosen = np.argwhere(mix(s[None, :] ^ node[:, None]) < below)
-        root = root[chosen[:, 0]]
-        node = mix(mix(s[chosen[:, 1]]) + node[chosen[:, 0]])
-        for r, n in zip(root.tolist(), node):
-            out[r][depth].append(n)
+        out.append((mix(mix(s[chosen[:, 1]]) + node[chosen[:, 0]]), np.bincount(chosen[:, 0], minlength=len(node))))
+        node = out[-1][0]
     return out
 
 
+#: Type of a tree: nodes with the nodes below them.
+TREE = "array<struct<node:long>>"
+for _ in range(1, DEPTH):
+    TREE = f"array<struct<node:long,below:{TREE}>>"
+
+
+def trees_of(found: list[list[tuple[np.ndarray, np.ndarray]]]) -> pa.Array:
+    """The trees of ``paths`` as nested lists."""
+    under: list[pa.Array] = []
+    for level in range(DEPTH - 1, -1, -1):
+        nodes = np.concatenate([np.empty(0, np.uint64), *(f[level][0] for f in found)]).view(np.int64)
+        counts = np.concatenate([np.zeros(1, np.int64), *(f[level][1] for f in found)])
+        here = pa.StructArray.from_arrays([pa.array(nodes), *under], ["node", "below"][: 1 + len(under)])
+        under = [pa.ListArray.from_arrays(pa.array(np.cumsum(counts).astype(np.int32)), here)]
+    return under[0]
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, n_runs: int) -> DataFrame:
     """(doc_id, digest, size, sketch, tree) of every whole text."""
     seeds = mix(np.arange(1, n_runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("p1", pa.int64()), ("p2", pa.list_(pa.int64())), ("p3", pa.list_(pa.int64()))]))
-        signed = lambda x: np.array(x, np.uint64).view(np.int64).tolist()
+        no_tree = [(np.empty(0, np.uint64), np.zeros(1 if k == 0 else 0, np.int64)) for k in range(DEPTH)]
         for batch in slices(it):
             digests, sizes, sk, trees = [], [], [], []
             for s in token_sets(batch["body"].to_pylist()):
                 sizes.append(len(s))
                 digests.append(digest(s) if len(s) else None)
                 sk.append(sketch(s).tobytes() if len(s) else None)
-                trees.append([{"p1": signed([n])[0], "p2": signed(two), "p3": signed(three)} for n, two, three in paths(s, seeds)] if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sk, pa.binary()), pa.array(trees, kind)], ["doc_id", "digest", "size", "sketch", "tree"])
+                trees.append(paths(s, seeds) if len(s) else no_tree)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sk, pa.binary()), trees_of(trees)], ["doc_id", "digest", "size", "sketch", "tree"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), body(text_col).alias("body"))
-    tree = "array<struct<p1:long,p2:array<long>,p3:array<long>>>"
-    return arrow_map(rows, batches, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, size int, sketch binary, tree {tree}")
+    return arrow_map(rows, batches, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, size int, sketch binary, tree {TREE}")
 
 
 def sized(members: DataFrame) -> DataFrame:
@@ -145,15 +158,60 @@ def sized(members: DataFrame) -> DataFrame:
     return members.join(n, F.col("node") == F.col("_node")).drop("_node")
 
 
-def buckets(classes: DataFrame) -> DataFrame:
-    """(node, digest, n): the nodes with SMALL sets at most on the shallowest level, and the deepest ones of any size."""
-    top = classes.select("digest", F.explode("tree").alias("t")).select("digest", F.col("t.p1").alias("node"), "t.p2", "t.p3")
-    top = materialize(sized(top))
-    large = top.where(F.col("n") > SMALL)
-    mid = sized(large.select("digest", F.explode("p2").alias("node")))
-    deep = sized(large.select("digest", F.explode("p3").alias("node")))
-    keep = ["node", "digest", "n"]
-    return top.where(F.col("n") <= SMALL).select(*keep).unionByName(mid.where(F.col("n") <= SMALL).select(*keep)).unionByName(deep.select(*keep))
+def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarity of sketches, cells on the last axis."""
+    full = x != 0
+    return ((x == y) & full).sum(-1) / np.maximum((full | (y != 0)).sum(-1), 1)
+
+
+def led(large: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Members of large nodes against LEADERS of each node: adds covered, and to, the leaders that it is tied to (one of each chain of them).
+
+    Each member gives one row, however large its node is.
+    """
+    rows = materialize(large.join(sketched.select(F.col("digest").alias("_d"), "sketch"), F.col("digest") == F.col("_d")).drop("_d"))
+    some = [F.min_by(F.concat("digest", "sketch"), F.xxhash64("digest", "node", F.lit(k))) for k in range(LEADERS)]
+    # written, so that the rows of one node can be split in the join
+    leaders = materialize(rows.groupBy(F.col("node").alias("_node")).agg(F.concat(*some).alias("leaders")), narrow=True)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = np.dtype([("digest", "V16"), ("sketch", np.uint16, CELLS)])
+        for batch in slices(it):
+            own = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint16).reshape(-1, 1, CELLS)
+            lead = np.frombuffer(b"".join(batch["leaders"].to_pylist()), wide).reshape(-1, LEADERS)
+            near = alike(own, lead["sketch"])
+            chained = alike(lead["sketch"][:, :, None], lead["sketch"][:, None]) >= TIE
+            for _ in range(LEADERS.bit_length()):
+                chained = chained @ chained
+            first = chained.argmax(2)
+            to = []
+            for digest_, row, at, names in zip(batch["digest"].to_pylist(), near >= TIE, first, lead["digest"]):
+                to.append([x for x in {names[k].tobytes() for k in at[row]} if x != digest_])
+            covered = pa.array((near >= COVER).any(1))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("node", "digest", "below")), covered, pa.array(to, pa.list_(pa.binary()))], ["node", "digest", "below", "covered", "to"])
+
+    rows = rows.join(leaders, F.col("node") == F.col("_node")).select("node", "digest", "below", "sketch", "leaders")
+    return materialize(arrow_map(rows, batches, f"node long, digest binary, below {rows.schema['below'].dataType.simpleString()}, covered boolean, to array<binary>"))
+
+
+def buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, digest, n): nodes with SMALL sets at most, and those of the last level with any number; and edges (a, b) of large nodes to their leaders.
+
+    Of a large node the sets that a leader covers stay where they are: whatever they may be linked with there is tied to that
+    leader too. So near copies, which no depth parts, mostly end where they first meet; only the other sets go down, and only from large nodes.
+    """
+    members, edges = [], []
+    level = classes.select("digest", F.explode("tree").alias("t")).select("digest", "t.node", "t.below")
+    for depth in range(1, DEPTH):
+        level = materialize(sized(level))
+        held = led(level.where(F.col("n") > SMALL).drop("n"), classes)
+        rest = materialize(sized(held.where("NOT covered").drop("covered", "to")))
+        members += [x.where(F.col("n") <= SMALL).select("node", "digest", "n") for x in (level, rest)]
+        edges.append(held.select(F.col("digest").alias("a"), F.explode("to").alias("b")))
+        down = rest.where(F.col("n") > SMALL).select("digest", F.explode("below").alias("t"))
+        level = down.select("digest", "t.node", *(["t.below"] if depth + 1 < DEPTH else []))
+    members.append(sized(level).select("node", "digest", "n"))
+    return reduce(DataFrame.unionByName, members), reduce(DataFrame.unionByName, edges)
 
 
 def in_blocks(members: DataFrame, key: str, n: str, n_bytes: Column | None = None) -> DataFrame:
@@ -317,8 +375,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows, classes = materialize(sketched.select("doc_id", "digest", "size"), narrow=True), materialize(trees.select("digest", "rep", "n_docs", "size"), narrow=True)
     release(sketched)
     full = rows.where("size > 0")
-    members = buckets(trees.select("digest", "tree")).join(trees.select(F.col("digest").alias("_d"), "sketch"), F.col("digest") == F.col("_d")).drop("_d")
-    roots = materialize(components(ties(members)), narrow=True)
+    members, edges = buckets(trees.select("digest", "tree", "sketch"))
+    members = members.join(trees.select(F.col("digest").alias("_d"), "sketch"), F.col("digest") == F.col("_d")).drop("_d")
+    roots = materialize(components(ties(members).unionByName(edges)), narrow=True)
     release(trees)
     rooted = materialize(roots.join(classes, F.col("node") == F.col("digest")).drop("node"), narrow=True)
     sizes = materialize(rooted.groupBy(F.col("root").alias("_root")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("n_tokens")), narrow=True)

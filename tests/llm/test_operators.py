@@ -788,6 +788,39 @@ def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
     assert got == brute_classes(made)
 
 
+def test_near_copies_end_at_the_first_level(spark, monkeypatch):
+    """The sets of a large group that leaders cover are not dealt out to deeper nodes again; others are, and lose no link."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(150)]
+    made = {}
+    for i in range(420):
+        w = list(base)
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(150)] = f"n{rng.randrange(50)}"
+        if i >= 300:  # these share a passage with the group and are no copies; every second one is a near copy of the one before
+            own = random.Random(i // 2)
+            w = base[:40] + [f"x{own.randrange(100_000)}" for _ in range(60)] + [f"y{i}"]
+        made[i] = " ".join(w)
+    given, sized = [], jaccard_join.sized
+    monkeypatch.setattr(jaccard_join, "sized", lambda members: given.append(members.count()) or sized(members))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_classes(documents(spark, list(made.values()))).collect()}
+    assert got == brute_classes(made)
+    assert sum(given[1:]) < 1.5 * given[0]
+
+
+def test_trees_hold_the_paths():
+    seeds = jaccard_join.mix(np.arange(1, 16, dtype=np.uint64))
+    sets = [np.unique(jaccard_join.mix(np.arange(a, a + n, dtype=np.uint64))) for a, n in ((0, 1), (5, 40), (9, 400))]
+    found = [jaccard_join.paths(s, seeds) for s in sets]
+    for s, tree in zip(sets, jaccard_join.trees_of(found).to_pylist()):
+        below = np.uint64(min(2**64 - 1, int(2**64 / (jaccard_join.LAMBDA * len(s)))))
+        mix = lambda x: int(jaccard_join.mix(np.array([x % 2**64], np.uint64))[0])
+        down = lambda at: [(mix(mix(int(x)) + at)) for x in s if mix(int(x) ^ at) < below]
+        signed = lambda x: x - 2**64 if x >= 2**63 else x
+        want = [{"node": signed(a), "below": [{"node": signed(b), "below": [{"node": signed(c)} for c in down(b)]} for b in down(a)]} for q in seeds for a in down(int(q))]
+        assert tree == want
+
+
 def test_runs_suffice_where_one_set_contains_the_other():
     meet = 1.0
     for _ in range(jaccard_join.DEPTH):

@@ -47,3 +47,12 @@ def test_lists_of_songs(spark, monkeypatch, most):
     got = [(r.id, r.map_id, r.score) for r in L.fanned_out(found, tracks, songs).collect()]
     want = [(t, k, 0.5) for t in ("t1", "t2") for k in (1, 2, 3, 4)] + [(t, k, 0.9) for t in ("t1", "t2") for k in (9, None)] + [("t3", 1, 0.7), ("t3", 3, 0.7)]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_dealt_out_finer(spark):
+    """What becomes rows is dealt out in more tasks than its size asks for."""
+    tracks = spark.createDataFrame([("t1", "x")], "id string, tkey string")
+    songs = spark.createDataFrame([("a", 1)], "mkey string, map_id bigint")
+    found = spark.createDataFrame([("x", "a", None)], "tkey string, mkey string, map_id bigint")
+    plan = L.fanned_out(found, tracks, songs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [tkey") == 2 and f", {8 * int(spark.conf.get('spark.sql.shuffle.partitions'))}" in plan
